@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .block_topk import top_k
 from .cost_packing import pack_documents
+from .set_join import jaccard_components
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
 
 
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +29,8 @@ def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op7_block_topk": op7_block_topk,
     "op8_cost_packing": op8_cost_packing,
 }
 
