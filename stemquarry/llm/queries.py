@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .block_topk import top_k
 from .cost_packing import pack_documents
+from .quality_crf import quality
 from .set_join import jaccard_components
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -29,6 +34,7 @@ def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_crf": op1_quality_crf,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op7_block_topk": op7_block_topk,
     "op8_cost_packing": op8_cost_packing,
