@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .block_topk import top_k
 from .cost_packing import pack_documents
+from .license_templates import licenses
 from .quality_crf import quality
+from .secret_dfa import secrets
 from .set_join import jaccard_components
 
 
@@ -21,6 +23,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op5_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
 
@@ -36,6 +46,8 @@ def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_license_templates": op3_license_templates,
+    "op5_secret_dfa": op5_secret_dfa,
     "op7_block_topk": op7_block_topk,
     "op8_cost_packing": op8_cost_packing,
 }
