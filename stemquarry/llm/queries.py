@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .block_topk import top_k
 from .cost_packing import pack_documents
 from .license_templates import licenses
+from .pii_crf import personal_data
 from .quality_crf import quality
 from .secret_dfa import secrets
 from .set_join import jaccard_components
@@ -27,6 +28,10 @@ def op3_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_license_templates": op3_license_templates,
+    "op4_pii_crf": op4_pii_crf,
     "op5_secret_dfa": op5_secret_dfa,
     "op7_block_topk": op7_block_topk,
     "op8_cost_packing": op8_cost_packing,
