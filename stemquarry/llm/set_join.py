@@ -15,8 +15,9 @@ boundary is the one at which the estimated work of both sides is least.
 
 Lists are resolved without pairing a group with itself.  First every class is compared with one
 hub, the smallest class of its lists, which ties groups of near copies together.  Then pairs whose
-members are still in different components are enumerated, counted, cut by an exact bound on the
-number of shared list entries, and verified on whole sets.  Hub links are only a shortcut: a pair
+members are still in different components are enumerated, under exact bounds: sizes, the entries
+that can follow the first shared list, and the number of lists shared; what is left is verified on
+whole sets.  Hub links are only a shortcut: a pair
 that the second step leaves out is in one component already.
 
 Defined results: null text, empty text and text without words have an empty set, n_shingles 0 and
@@ -34,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, connected_components, only_ids, ship
@@ -212,16 +213,31 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, samp
     known = met.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = scratch.save(known.select("key", "doc_id", "n", "component"), "known")
     scratch.drop(met)
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_lists = scratch.save(known.join(mixed, "key"), "open")
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    mixed = mixed.where("lo <> hi").select("key", "size")
+    by_doc = Window.partitionBy("doc_id")
+    ranked = known.join(mixed, "key").select(
+        "key", "doc_id", "n", "component", F.row_number().over(by_doc.orderBy("size", "key")).alias("rank"), F.count("*").over(by_doc).alias("entries")
+    )
+    open_lists = scratch.save(ranked, "open")
     scratch.drop(known)
-    left, right = (open_lists.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component"))) for s in "ab")
-    rest = (
+    left, right = (
+        open_lists.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "component", "rank", "entries"))) for side in "ab"
+    )
+    # Shortest lists first, the first list that a pair shares leaves at most the entries behind it.
+    possible = 1 + F.least(F.col("entries_a") - F.col("rank_a"), F.col("entries_b") - F.col("rank_b"))
+    pairs = (
         left.join(right, "key")
         .where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & _near("n_a", "n_b", t))
-        .groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b")
-        .agg(F.count("*").alias("s"))
-        .where(_enough_shared("n_a", "n_b", F.col("s"), boundary, t))
+        .where(_enough_shared("n_a", "n_b", possible, boundary, t))
+        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b")
+        .distinct()
+    )
+    keys = open_lists.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most one prefix long
+    rest = (
+        pairs.join(keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("keys_a")), "a")
+        .join(keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("keys_b")), "b")
+        .where(_enough_shared("n_a", "n_b", F.size(F.array_intersect("keys_a", "keys_b")), boundary, t))
     )
     more = _links(spark, scratch, first, rest.select("a", "b"), "rest", k, t)
     labels = connected_components(spark, scratch, links.union(more))
