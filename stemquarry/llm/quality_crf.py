@@ -117,6 +117,13 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return features, first, n
 
 
+def _features_by_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of many texts, block by block so that byte arrays stay small."""
+    parts = [line_features(b.column("text")) for b in blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))]
+    lines = np.concatenate([np.diff(first) for _, first, _ in parts])
+    return np.concatenate([x for x, _, _ in parts]), np.concatenate(([0], np.cumsum(lines))), np.concatenate([n for _, _, n in parts])
+
+
 class Model:
     """CRF weights, feature scaling and the calibration curve."""
 
@@ -146,7 +153,7 @@ class Model:
         self.prior = float(quality.mean()) if quality.size else 0.5
         if np.unique(quality).size < 2:
             return self
-        x, first, n = line_features(texts)
+        x, first, n = _features_by_block(texts)
         doc = np.repeat(np.arange(quality.size), np.diff(first))
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
         self.mean[-1], self.spread[-1] = 0.0, 1.0
