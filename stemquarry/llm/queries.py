@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .block_topk import top_k
 from .cost_packing import pack_documents
+from .hnsw import nearest
 from .license_templates import licenses
 from .pii_crf import personal_data
+from .piece_viterbi import encode_documents
 from .quality_crf import quality
 from .secret_dfa import secrets
 from .set_join import jaccard_components
@@ -36,6 +38,11 @@ def op5_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return encode_documents(docs, model_path=public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op7_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
 
@@ -48,14 +55,20 @@ def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_license_templates": op3_license_templates,
     "op4_pii_crf": op4_pii_crf,
     "op5_secret_dfa": op5_secret_dfa,
+    "op6_piece_viterbi": op6_piece_viterbi,
     "op7_block_topk": op7_block_topk,
     "op8_cost_packing": op8_cost_packing,
+    "op9_hnsw": op9_hnsw,
 }
 
 ORACLE_SQL: dict[str, str] = {}
