@@ -11,6 +11,7 @@ from .block_topk import top_k
 from .cost_packing import pack_documents
 from .hnsw import nearest
 from .license_templates import licenses
+from .passage_dedup import repeats
 from .pii_crf import personal_data
 from .piece_viterbi import encode_documents
 from .quality_crf import quality
@@ -59,6 +60,10 @@ def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_block_topk": op7_block_topk,
     "op8_cost_packing": op8_cost_packing,
     "op9_hnsw": op9_hnsw,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -101,6 +101,13 @@ def only_ids(df: DataFrame, ids: DataFrame, n_ids: int, key: str = "doc_id") ->
     return df.join(ids, key, "left_semi")
 
 
+def except_ids(df: DataFrame, ids: DataFrame, n_ids: int, key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids`` (null keys stay), under the same bound."""
+    if n_ids <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return df.join(ids, key, "left_anti").select(df.columns)
+
+
 def connected_components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Label nodes of ``edges(a long, b long)`` with the smallest reachable node id.
 
