@@ -220,7 +220,7 @@ def containment_level(phrase: ColumnOrName, text: ColumnOrName) -> Column:
 
 def sentences(c: ColumnOrName, least: int = 8) -> Column:
     """TXT-34: sentence parts of at least ``least`` characters."""
-    parts = F.transform(F.split(col(c), r"[。？！；\n]|(?<=[a-z])\. (?=[A-Z])"), F.trim)
+    parts = F.transform(F.split(col(c), r"[。？！；\n]|(?<=[a-z])\. (?=[A-Z])"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.length(s) >= least)
 
 
@@ -289,7 +289,7 @@ def sort_options(options: ColumnOrName) -> Column:
 
 def distinct_options(options: ColumnOrName) -> Column:
     """MAP-03."""
-    return F.size(F.array_distinct(F.transform(F.map_values(col(options)), F.trim)))
+    return F.size(F.array_distinct(F.transform(F.map_values(col(options)), lambda v: F.trim(v))))
 
 
 def answer_letters(c: ColumnOrName) -> Column:

@@ -14,19 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """TXT-01/04: compatibility composition."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """CMP-01: matching-block similarity (automatic junk on for long texts, as the default has it)."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio_exact(a: pd.Series, b: pd.Series) -> pd.Series:
     """CMP-01 without automatic junk."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -93,7 +93,7 @@ def segment_words(frequency: dict[str, int], least: int = 8):
     The dictionary is captured by the function; callers check its size (sources.tables.dictionary).
     """
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rx = re.compile(f"[A-Za-z]{{{least},}}")
 
@@ -111,7 +111,7 @@ def merge_fragments(words: set[str]):
     """TXT-22/23: join four, three or two neighbouring Latin fragments into a known word of five or
     more letters where one fragment is short and no word itself."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(text: str) -> str:
             tokens, out, i = text.split(" "), [], 0
@@ -134,7 +134,7 @@ def merge_fragments(words: set[str]):
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_text(s: pd.Series) -> pd.Series:
     """SRC-12: text of a page without markup, scripts and styles; blocks end with a line break."""
 
@@ -168,7 +168,7 @@ def visible_text(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html_lib.unescape(x))
 

@@ -15,7 +15,7 @@ def labelled_options(text: Column) -> Column:
     """REP-01: labels and texts of a run A, B, C(, D) of markers, from the last A on."""
     tail = F.regexp_extract(text, r"(?s).*([(（]A[)）].*)$", 1)
     labels = F.regexp_extract_all(tail, F.lit(OPTION), F.lit(1))
-    values = F.transform(F.regexp_extract_all(tail, F.lit(OPTION), F.lit(2)), F.trim)
+    values = F.transform(F.regexp_extract_all(tail, F.lit(OPTION), F.lit(2)), lambda v: F.trim(v))
     n = F.size(labels)
     run = labels == F.slice(F.array(*[F.lit(k) for k in "ABCD"]), 1, F.greatest(n, F.lit(1)))
     return F.when((n >= 3) & (n <= 4) & run, F.map_from_arrays(labels, values))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def duplicates(df: DataFrame, by: str, number: str) -> DataFrame:
     """WIN-01: numbers that occur more than once, with their counts."""
-    return df.groupBy(by, number).agg(F.count("*").alias("n")).where("n > 1")
+    return df.groupBy(by, number).agg(F.count("*").alias("occurrences")).where("occurrences > 1")
 
 
 def repeats(df: DataFrame, by: str, number: str, *order: str) -> DataFrame:
@@ -97,11 +97,11 @@ def attach_lines(df: DataFrame, by: str, order: str, text: str, starts: Column,
     return g.groupBy(by, "segment").agg(F.min(order).alias(order), joined.alias(text))
 
 
-def lines_by_gap(df: DataFrame, by: str, y: str, tolerance: float) -> Column:
+def lines_by_gap(df: DataFrame, by: str, y: str, tolerance: float) -> DataFrame:
     """WIN-14 (words): a new line where the step from the last word is above the tolerance."""
     w = Window.partitionBy(by).orderBy(y)
-    step = F.col(y) - F.lag(y).over(w)
-    return F.sum(F.when(step > tolerance, 1).otherwise(0)).over(w)
+    stepped = df.withColumn("_step", F.col(y) - F.lag(y).over(w))
+    return stepped.withColumn("line", F.sum(F.when(F.col("_step") > tolerance, 1).otherwise(0)).over(w)).drop("_step")
 
 
 def anchored_lines(df: DataFrame, by: str, y: str, text: str, tolerance: float = 2.0) -> DataFrame:
