@@ -16,7 +16,7 @@ grouped top-k merges them.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
 repeated vectors are separate candidates; ids that occur in several rows are candidates once for
-each row, and a query id that repeats is asked once for each distinct vector; a vector of another
+each row, and a query id that repeats is asked with its least vector; a vector of another
 length than the query is no candidate for it; an empty table gives no rows; other columns are not
 read.
 """
@@ -152,7 +152,8 @@ def top_k(
     rows = quantised(vectors.select(id_col, column), id_col, column)
     shards = packets(rows, shard_rows).withColumn("shard", F.monotonically_increasing_id())
     shards = scratch.save(shards, "shards")
-    asked = scratch.save(packets(rows.where(F.col("vec_id") % every == 0), query_rows), "queries")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dims", "weights")).alias("q"))
+    asked = scratch.save(packets(queries.select("vec_id", "q.dims", "q.weights"), query_rows), "queries")
     # Each query packet is copied to each shard number of its dimension; the join is on that number.
     numbers = shards.select("shard", "dims")
     pairs = (

@@ -17,8 +17,7 @@ ids are kept, because a query returns at most k of them and skips at most its ow
 the same as with all of them.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
-part; rows with a null id neither; queries that repeat an id are answered once for each distinct
-vector; vectors of another length are no candidates; ties go to the smaller id; an empty table
+part; rows with a null id neither; a query id that repeats is asked with its least vector; an id that repeats with one vector is one candidate; vectors of another length are no candidates; ties go to the smaller id; an empty table
 gives no rows; other columns are not read.
 """
 
@@ -180,10 +179,10 @@ def build_index(vectors: DataFrame, scratch: Scratch, k: int, shard_rows: int) -
     """One row per shard: (shard, dims, n, vectors, ids, id_first, entry, widths, links)."""
     equal = Window.partitionBy("dims", "embedding").orderBy("vec_id")
     points = (
-        vectors.withColumn("place", F.row_number().over(equal))
+        vectors.withColumn("place", F.dense_rank().over(equal))
         .where(F.col("place") <= k + 1)  # bounded per vector, and applied before the shuffle too
         .groupBy("dims", "embedding")
-        .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+        .agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     )
     points = scratch.save(points, "points")
     shards = max(1, -(-points.count() // shard_rows))
@@ -222,7 +221,7 @@ def nearest(
         F.col(id_col).cast("long").alias("vec_id"), F.size(column).alias("dims"), F.col(column).cast("array<double>").alias("embedding")
     )
     index = build_index(rows, scratch, k, shard_rows)
-    asked = rows.where(F.col("vec_id") % every == 0)
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dims", "embedding")).alias("q")).select("vec_id", "q.dims", "q.embedding")
     packs = max(1, -(-asked.count() // query_rows))
 
     def pack(table: pa.Table) -> pa.Table:
