@@ -96,7 +96,9 @@ def random_sample(t):
     return search.random_rows(t("documents").orderBy("doc_id").select("doc_id", "lang"), 50)
 
 
-@query("select 25 least, 25 most, 100 total")
+@query("""with o as (select lang, least(count(*), 25) own, count(*) - least(count(*), 25) rest from documents group by 1),
+    f as (select own + greatest(0, least(rest, 100 - sum(own) over () - coalesce(sum(rest) over (order by lang rows between unbounded preceding and 1 preceding), 0))) n from o)
+    select min(n) least, max(n) most, sum(n) total from f""")
 def stratified_sample_sizes(t):
     """ORD-03: sizes of a sample of 100 over four languages."""
     s = search.stratified_sample(t("documents").select("doc_id", "lang"), "lang", 100, "doc_id")

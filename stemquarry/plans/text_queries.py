@@ -11,8 +11,6 @@ from ..sources import pages as pg
 from ..sources import tables
 from .base import query
 
-X = F.col("text")
-
 
 @query("""select doc_id, regexp_replace(regexp_replace(text, 'th at', 'that', 'g'), 'in to', 'into', 'g') fixed from documents""")
 def literal_table(t):
@@ -24,7 +22,7 @@ def literal_table(t):
 def broken_words(t):
     """TXT-01/02: ordered repairs of split words (word boundaries differ between engines; see tests)."""
     fixed = tx.repair_broken_words("text")
-    return t("documents").select("doc_id", (fixed != X).alias("changed"), F.length(fixed).alias("n"))
+    return t("documents").select("doc_id", (fixed != F.col("text")).alias("changed"), F.length(fixed).alias("n"))
 
 
 @query("select doc_id, regexp_replace(lower(translate(text, '，。；：？！（）', ',.;:?!()')), '\\s+', '', 'g') k from documents")
@@ -43,7 +41,7 @@ def loose_keys(t):
 def bracket_folding(t):
     """TXT-06, REP-15."""
     wide = tx.full_width_brackets("text")
-    return t("documents").where(F.contains(X, F.lit("("))).select("doc_id", wide.alias("wide"), tx.half_width_brackets(wide).alias("half"))
+    return t("documents").where(F.contains(F.col("text"), F.lit("("))).select("doc_id", wide.alias("wide"), tx.half_width_brackets(wide).alias("half"))
 
 
 @query("select doc_id, translate(text, 'éèçßñ', 'eecsn') folded from documents")
@@ -280,7 +278,7 @@ def patched_values(t):
 def line_kinds(t):
     """FIL-10, GEN-02: kinds of text lines."""
     x = parsers.lines_of(t("documents"), "doc_id")
-    kind = F.when(parsers.is_header(X), "header").when(X.rlike(parsers.CHOICE), "choice").otherwise("other")
+    kind = F.when(parsers.is_header(F.col("text")), "header").when(F.col("text").rlike(parsers.CHOICE), "choice").otherwise("other")
     return x.select("doc_id", F.col("line").cast("long").alias("line"), kind.alias("kind"))
 
 
@@ -494,7 +492,7 @@ def moved_passages(t):
 @query("select conv_id, turn, case when turn % 2 = 0 then '(見文章第 ' || turn || ' 題空格)' else text end stem from conversations")
 def filled_stems(t):
     """REP-08."""
-    c = t("conversations").select("conv_id", "turn", F.lit("choice").alias("type"), F.col("turn").alias("number"), F.when(F.col("turn") % 2 == 0, " ").otherwise(X).alias("stem"), F.lit("p").alias("passage"))
+    c = t("conversations").select("conv_id", "turn", F.lit("choice").alias("type"), F.col("turn").alias("number"), F.when(F.col("turn") % 2 == 0, " ").otherwise(F.col("text")).alias("stem"), F.lit("p").alias("passage"))
     return repairs.fill_stems(c).select("conv_id", "turn", "stem")
 
 
