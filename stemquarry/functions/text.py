@@ -185,6 +185,26 @@ def shorten_subject(c: ColumnOrName) -> Column:
     return F.when(F.size(parts) > 4, F.replace(text, inner, short)).otherwise(text)
 
 
+def snippet(c: ColumnOrName, needle: str, margin: int = 20) -> Column:
+    """PRJ-05: the first occurrence of a literal with ``margin`` characters on either side, or null."""
+    at = F.position(F.lit(needle), col(c))
+    start = F.greatest(F.lit(1), at - margin)
+    return F.when(at > 0, F.substring(col(c), start, at - start + len(needle) + margin))
+
+
+def deep_apply(df_columns: list[tuple[str, str]], f) -> dict[str, Column]:
+    """PRJ-03: apply a text function to every string, string array and string map of a schema."""
+    out = {}
+    for name, kind in df_columns:
+        if kind == "string":
+            out[name] = f(F.col(name))
+        elif kind == "array<string>":
+            out[name] = F.transform(name, lambda x: f(x))
+        elif kind == "map<string,string>":
+            out[name] = F.transform_values(name, lambda k, v: f(v))
+    return out
+
+
 def safe_file_name(c: ColumnOrName, most: int = 80) -> Column:
     """TXT-29."""
     return F.substring(F.trim(fold(c, [(r'[<>:"/\\|?*]', "_"), (r"\s+", " ")])), 1, most)

@@ -37,3 +37,9 @@ def history(sessions: DataFrame, user: str, at: str, n: int = 20) -> DataFrame:
 def next_hit(current: int, total: int, step: int) -> int:
     """CLI-03: next or previous hit with wraparound."""
     return (current + step) % total if total else -1
+
+
+def export_visible(cards: DataFrame, path: str, *, query: str, text: str, answers: bool = False) -> None:
+    """CLI-09: write the cards that a query leaves visible, with or without their answers."""
+    found = card_search(cards, text, query=query)
+    (found if answers else found.drop("answer")).write.mode("error").json(path)

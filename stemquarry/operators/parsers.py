@@ -145,3 +145,26 @@ def two_columns(chars: DataFrame, key: str, split: float) -> DataFrame:
     ordered = side.groupBy("_k", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda r: r["text"]), "").alias("text"))
     lines = win.anchored_lines(ordered, "_k", "y", "text")
     return lines.select(F.split("_k", r"\|")[0].alias(key), F.split("_k", r"\|")[1].cast("int").alias("column"), "line", "text")
+
+
+def parse_documents(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """GEN-04: one row per document: facets, notes, number of questions by type."""
+    q = parse_questions(docs, key, text).groupBy(key).agg(F.count("*").alias("questions"), F.count_if(F.col("type") == "choice").alias("choice"), F.count_if(F.col("type") == "essay").alias("essay"))
+    return docs.select(key, *metadata(text)).join(notes_of(docs, key, text), key, "left").join(q, key, "left").fillna(0, ["questions", "choice", "essay"])
+
+
+def parse_batch(docs: DataFrame, key: str, answers: DataFrame, private_use: dict[str, str], text: str = "text") -> DataFrame:
+    """GEN-09: first of equal documents, private-use characters mapped, parsed, demoted, answers merged."""
+    from . import joins, sets
+
+    first = sets.flag_copies(docs.select(key, text), F.col(text), key).where("not is_copy").select(key, tx.replace_private_use(text, private_use).alias(text))
+    q = parse_questions(first, key, text).withColumn("number_int", F.col("number").try_cast("int"))
+    few = (F.col("type") == "choice") & (F.coalesce(F.size("options"), F.lit(0)) < 2)
+    q = q.withColumn("type", F.when(few, "essay").otherwise(F.col("type"))).withColumn("answer", F.lit(None).cast("string"))
+    return joins.fill_from_key(q, answers.withColumnRenamed("number", "number_int"), [key, "number_int"], "answer", overwrite=True)
+
+
+def questions_from_notes(files: DataFrame) -> DataFrame:
+    """REP-16: questions that stand among the notes of a paper."""
+    docs = files.select("file_id", F.array_join(F.filter("notes", lambda n: ~is_note(n)), "\n").alias("text"))
+    return parse_questions(docs, "file_id")

@@ -195,7 +195,7 @@ def options_text(options: str = "options") -> Column:
 
 
 def question_rules() -> list[Rule]:
-    """DET-01..04, 07..10, 14, 15: rules on one question (columns of sources.corpus)."""
+    """DET-01..04, 07..10, 14, 15, 21: rules on one question (columns of sources.corpus)."""
     choice, essay = F.col("type") == "choice", F.col("type") == "essay"
     stem, answer = F.coalesce(F.col("stem"), F.lit("")), F.coalesce(F.col("answer"), F.lit(""))
     keys = F.coalesce(F.array_sort(F.map_keys("options")), F.array().cast("array<string>"))

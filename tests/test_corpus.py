@@ -152,3 +152,31 @@ def test_event_counts_stream(spark, tmp_path):
 def test_anchored_lines(spark):
     df = spark.createDataFrame([("d", 1.0, "a"), ("d", 2.5, "b"), ("d", 3.5, "c")], "doc string, y double, text string")
     assert [(r.line, r.text) for r in windows.anchored_lines(df, "doc", "y", "text").orderBy("line").collect()] == [(0, "ab"), (1, "c")]
+
+
+def test_binary_pages(spark, tmp_path):
+    """Any decoder plugs in; here a file's lines are its pages."""
+    from stemquarry.sources import pdftext
+
+    (tmp_path / "a.pdf").write_bytes("1. 題目\n(A) 一 (B) 二 (C) 三 (D) 四".encode())
+    (tmp_path / "b.pdf").write_bytes(b"\xff")
+    files = pdftext.read_binary(spark, str(tmp_path))
+    rows = pdftext.pages(files, lambda b: list(enumerate(b.decode().split("\n"), 1)))
+    assert [(r.page, r.text[:2]) for r in rows.orderBy("page").collect()] == [(1, "1."), (2, "(A")]
+    assert [Path(r.path).name for r in pdftext.failed(files, rows).collect()] == ["b.pdf"]
+    assert "題目" in pdftext.page_documents(rows).first().text
+    chars = pdftext.glyphs(files.where("path like '%a.pdf'"), lambda b: [(p, 0.0, 5.0, "x", "f", 100.0) for p in (1, 2)])
+    assert sorted(r.y for r in chars.collect()) == [5.0, 105.0]
+    assert pdftext.images(files.where("path like '%a.pdf'"), lambda b: [(1, 49, 500, b""), (1, 100, 50, b""), (2, 100, 49, b"")]).count() == 1
+
+
+def test_parse_batch(spark):
+    from stemquarry.operators import parsers
+
+    page = "1. 題目\n(A) 一 (B) 二 (C) 三 (D) 四\n2. 說明之"
+    docs = spark.createDataFrame([(1, page), (2, page), (3, "1. x\n(A) a (B) b (C) c (D) d")], "doc long, text string")
+    answers = spark.createDataFrame([(1, 1, "B"), (3, 1, "D")], "doc long, number int, answer string")
+    got = {(r.doc, r.number): (r.type, r.answer) for r in parsers.parse_batch(docs, "doc", answers, {"": "A"}).collect()}
+    assert got == {(1, "1"): ("choice", "B"), (1, "2"): ("essay", None), (3, "1"): ("choice", "D")}
+    kept = spark.createDataFrame([(1, ["※注意：x", "1. 題目", "(A) 一 (B) 二 (C) 三 (D) 四"])], "file_id long, notes array<string>")
+    assert [(r.number, len(r.options)) for r in parsers.questions_from_notes(kept).collect()] == [("1", 4)]
