@@ -27,8 +27,20 @@ _LEFT: list[tuple[SparkSession, str]] = []
 BROADCAST_ROWS = 2_000_000
 
 
+#: Bytes and rows of one Arrow batch between the JVM and Python.  Texts are long, so Spark's own row
+#: limit would make batches of tens of megabytes in each of an executor's workers.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor (idempotent per application)."""
+    """Make this package importable on every executor (once per application), and bound Arrow batches
+    where the session leaves Spark's limits as they are."""
+    for key, default, value in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES),
+    ):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

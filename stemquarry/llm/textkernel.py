@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once.  Array temporaries are about 60 bytes for each of them.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -58,7 +58,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(21, int(n).bit_length()))
+    return _powers(1 << max(20, int(n).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
