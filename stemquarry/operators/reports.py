@@ -30,8 +30,8 @@ def group_quality(df: DataFrame, by: str, metrics: dict[str, Column]) -> DataFra
 
 def against_mean_of_means(groups: DataFrame, by: str, value: str, excluded: str) -> DataFrame:
     """AGG-08: each group's value against the unweighted mean of all groups but one."""
-    mean = groups.where(F.col(by) != excluded).agg(F.avg(value).alias("mean_of_means"))
-    return groups.crossJoin(F.broadcast(mean)).select(by, value, "mean_of_means", (F.col(value) - F.col("mean_of_means")).alias("difference"))
+    mean = groups.where(F.col(by) != excluded).agg(F.avg(value).alias("mean_of_means")).scalar()
+    return groups.select(by, value, mean.alias("mean_of_means")).withColumn("difference", F.col(value) - F.col("mean_of_means"))
 
 
 def pivot_counts(df: DataFrame, by: str, over: str, values: list[str]) -> DataFrame:
@@ -86,10 +86,9 @@ def mean_per(df: DataFrame, by: str, inner: str, item: str) -> DataFrame:
 
 def absent_in_few(df: DataFrame, by: str, year: str, most: int = 3) -> DataFrame:
     """AGG-23: groups that some years lack, at most ``most`` of them."""
-    every = df.agg(F.array_sort(F.collect_set(year)).alias("_all"))
-    own = df.groupBy(by).agg(F.collect_set(year).alias("_own"))
-    missing = F.array_sort(F.array_except("_all", "_own"))
-    return own.crossJoin(F.broadcast(every)).select(by, missing.alias("absent")).where(F.size("absent").between(1, most))
+    every = df.agg(F.array_sort(F.collect_set(year)).alias("_all")).scalar()
+    own = df.groupBy(by).agg(F.collect_set(year).alias("_own")).withColumn("_all", every)
+    return own.select(by, F.array_sort(F.array_except("_all", "_own")).alias("absent")).where(F.size("absent").between(1, most))
 
 
 def spellings(df: DataFrame, name: str, normal: Column) -> DataFrame:

@@ -62,9 +62,12 @@ def search(
 
 
 def totals(files: DataFrame, questions: DataFrame) -> DataFrame:
-    """AGG-01: one row: files, questions, choice, essay."""
-    q = questions.agg(F.count("*").alias("questions"), F.count_if(F.col("type") == "choice").alias("choice"), F.count_if(F.col("type") == "essay").alias("essay"))
-    return files.agg(F.count("*").alias("files")).crossJoin(q)  # one row by one row
+    """AGG-01: one row: files, questions, choice, essay, in one aggregate over both tables."""
+    rows = files.select(F.lit("file").alias("kind")).unionByName(
+        questions.select(F.when(F.col("type").isin("choice", "essay"), F.col("type")).otherwise("other").alias("kind"))
+    )
+    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    return rows.agg(n("file").alias("files"), n("choice", "essay", "other").alias("questions"), n("choice").alias("choice"), n("essay").alias("essay"))
 
 
 def counts(df: DataFrame, *by: str, name: str = "n") -> DataFrame:

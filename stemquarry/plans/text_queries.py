@@ -477,7 +477,8 @@ def deleted_rows(t):
     two = F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.lit("y"))
     q = t("documents").select(F.lit("choice").alias("type"), F.col("text").alias("stem"), F.lit("").alias("passage"), F.lit(1).alias("number_int"), F.when(F.col("doc_id") % 5 != 0, two).alias("options"))
     kept, deleted = repairs.drop_unusable(q)
-    return kept.agg(F.count("*").alias("kept")).crossJoin(deleted.agg(F.count("*").alias("deleted")))
+    both = kept.select(F.lit(True).alias("keep")).union(deleted.select(F.lit(False)))
+    return both.agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("deleted"))
 
 
 @query("""select conv_id, number_int, case when number_int between 2 and 3 then 'long text' end passage from (select conv_id, turn number_int from conversations)""")

@@ -66,8 +66,9 @@ def text_report(issues: DataFrame) -> str:
 
 def run_stats(files: DataFrame, questions: DataFrame) -> DataFrame:
     """SNK-09: one row of run statistics."""
-    q = questions.agg(F.count("*").alias("questions"), F.count_if(F.col("type") == "choice").alias("choice"), F.count_if(F.col("type") == "essay").alias("essay"))
-    return files.agg(F.count("*").alias("files")).crossJoin(q)
+    from ..operators.search import totals
+
+    return totals(files, questions)
 
 
 def formatted(questions: DataFrame) -> DataFrame:
