@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, connected_components, only_ids, ship
+from .runtime import BROADCAST_ROWS, Scratch, connected_components, only_ids, ship
 from .textkernel import blocks, distinct_sets, mix
 
 #: Documents of the sample that tells common shingles and list lengths (bounded, see _plan).
@@ -95,34 +95,35 @@ def keys_of(x: np.ndarray, common: np.ndarray, boundary: int, t: int) -> np.ndar
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _sets_table(docs: DataFrame, k: int) -> DataFrame:
+def _sets_table(docs: DataFrame, k: int, share: float) -> DataFrame:
+    """(doc_id, n_shingles, set_hash, sample): ``sample`` holds the set itself for a share of the documents."""
+    below = np.uint64(min(share, 1.0) * 0.999999 * 2**64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             sets = distinct_sets(block.column("text"), k)
+            ids = block.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            chosen = (mix(ids + np.uint64(77)) <= below).tolist()
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array([s.size for s in sets], pa.int64()), pa.array([set_hash(s) if s.size else 0 for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "set_hash"],
+                [
+                    block.column("doc_id"),
+                    pa.array([s.size for s in sets], pa.int64()),
+                    pa.array([set_hash(s) if s.size else 0 for s in sets], pa.int64()),
+                    pa.array([s.astype(np.int64) if c and s.size else None for s, c in zip(sets, chosen, strict=True)], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n_shingles", "set_hash", "sample"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long, sample array<long>")
 
 
-def _plan(docs: DataFrame, k: int, t: int, sample_docs: int) -> tuple[np.ndarray, int]:
-    """(common shingles, boundary) from at most ``sample_docs`` documents.
+def _plan(sets: DataFrame, n: int, t: int, sample_docs: int) -> tuple[np.ndarray, int]:
+    """(common shingles, boundary) from the sampled sets, about ``sample_docs`` of n documents.
 
-    What the driver receives is bounded by the sample: shingles of at least COMMON_IN_SAMPLE sample
-    documents, and one size per document.  It steers the order and the cost only, never the result.
+    What the driver receives is bounded by the sample: shingles of at least COMMON_IN_SAMPLE of its
+    distinct sets.  It steers the order and the cost only, never the result.
     """
-    n = docs.count()
-    share = min(1.0, sample_docs / max(1, n))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            for s in distinct_sets(block.column("text"), k):
-                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(np.full(s.size, s.size))], names=["key", "n"])
-
-    seen = chosen.select("text").distinct().mapInArrow(run, "key long, n long")
+    seen = sets.where("sample is not null").dropDuplicates(["set_hash"]).select(F.explode("sample").alias("key"))
     common = seen.groupBy("key").count().where(F.col("count") >= COMMON_IN_SAMPLE).select("key").toPandas()["key"].to_numpy(np.int64)
     lists = 1.0 + COMMON_IN_SAMPLE * max(1, n) / max(1, sample_docs) / 50  # mean entries met for one list key
     work = {b: sum(light_work(m, b, t) for m in range(1, b + 1)) + sum(prefix_length(m, t) * (1 + lists) for m in range(b + 1, LARGEST_LIGHT + 5)) for b in range(LARGEST_LIGHT + 1)}
@@ -185,17 +186,22 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, samp
     scratch = Scratch(spark, "setjoin")
     t = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = scratch.save(_sets_table(docs, k), "sets")
+    n_docs = docs.count()
+    all_sets = scratch.save(_sets_table(docs, k, sample_docs / max(1, n_docs)), "sets")
+    sets = all_sets.select("doc_id", "n_shingles", "set_hash")
     classes = scratch.save(
         sets.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
     # Rows that repeat another's set carry no list entries of their own.
     repeats = sets.join(classes.where("copies > 1"), ["set_hash", "n_shingles"]).where("doc_id <> rep").select("doc_id")
     repeats = scratch.save(repeats.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "repeats")
-    n_repeats = repeats.count()
-    first = docs.where("doc_id is not null").join(F.broadcast(repeats) if n_repeats <= 2_000_000 else repeats, "doc_id", "left_anti")
-    common, boundary = _plan(docs, k, t, sample_docs)
-    entries = scratch.save(_entries(first, common, boundary, k, t), "entries")
+    common, boundary = _plan(all_sets, n_docs, t, sample_docs)
+    first = docs.where("doc_id is not null")
+    if repeats.count() <= BROADCAST_ROWS:
+        entries = _entries(first.join(F.broadcast(repeats), "doc_id", "left_anti"), common, boundary, k, t)
+    else:  # the list entries are moved, which are a fraction of the texts
+        entries = _entries(first, common, boundary, k, t).join(repeats, "doc_id", "left_anti")
+    entries = scratch.save(entries, "entries")
 
     lists = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("hub")).where("size > 1")
     lists = lists.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("n_hub"))
