@@ -514,3 +514,20 @@ def issue_reports(t):
 
     issues = rules.apply(t("documents").withColumn("path", F.col("source")), rules.text_rules(), "path")
     return sinks.issue_report(issues)
+
+
+@query("""select conv_id, turn, lower(word) word, suffix from (select conv_id, turn, 'xyz' || turn % 3 word, 'tion' suffix from conversations) where 1 = 0
+    union all select conv_id, turn, 'pol', 'ice' from conversations union all select conv_id, turn, 'infor', 'mation' from conversations where 1 = 0 union all select conv_id, turn, 'sta', 'tion' from conversations where turn % 2 = 0""")
+def rule_broken_words(t):
+    """DET-05: known broken words, and suffixes apart from a word that isn't exempt."""
+    tail = F.when(F.col("turn") % 2 == 0, " pol ice, sta tion").otherwise(" pol ice, are able")
+    c = t("conversations").select("conv_id", "turn", tail.alias("text"))
+    exempt = t("conversations").sparkSession.createDataFrame([("are",)], "word string")
+    return rules.broken_words(c, "text", exempt, "conv_id", "turn")
+
+
+@query("select conv_id, turn, true english from conversations where length(text) > 0 and regexp_matches(text, '^[A-Za-z ]{45}') union all select conv_id, turn, false from conversations where 1 = 0")
+def rule_english_context(t):
+    """DET-12: spans in English surroundings, here the first letter of texts that start in plain English."""
+    c = t("conversations").where(F.col("text").rlike("^[A-Za-z ]{45}"))
+    return c.select("conv_id", "turn", rules.in_english(F.col("text"), F.lit(0), F.lit(1)).alias("english"))
