@@ -219,24 +219,32 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, samp
     known = met.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = scratch.save(known.select("key", "doc_id", "n", "component"), "known")
     scratch.drop(met)
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-    mixed = mixed.where("lo <> hi").select("key", "size")
-    by_doc = Window.partitionBy("doc_id")
-    ranked = known.join(mixed, "key").select(
-        "key", "doc_id", "n", "component", F.row_number().over(by_doc.orderBy("size", "key")).alias("rank"), F.count("*").over(by_doc).alias("entries")
+    # In a list, the members outside its largest component meet all members; those inside it don't
+    # meet each other, so a large group of near copies costs no pairs of its own.
+    mixed = known.groupBy("key", "component").agg(F.count("*").alias("own")).groupBy("key").agg(
+        F.sum("own").alias("size"), F.max_by("component", F.struct("own", "component")).alias("main"), F.count("*").alias("components")
     )
+    by_doc = Window.partitionBy("doc_id")
+    ranked = known.join(mixed.where("components > 1").drop("components"), "key").select(
+        "key", "doc_id", "n", "component", (F.col("component") == F.col("main")).alias("in_main"),
+        F.row_number().over(by_doc.orderBy("size", "key")).alias("rank"), F.count("*").over(by_doc).alias("entries"),
+    )
     open_lists = scratch.save(ranked, "open")
     scratch.drop(known)
     left, right = (
-        open_lists.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "component", "rank", "entries"))) for side in "ab"
+        open_lists.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "component", "in_main", "rank", "entries"))) for side in "ab"
     )
     # Shortest lists first, the first list that a pair shares leaves at most the entries behind it.
     possible = 1 + F.least(F.col("entries_a") - F.col("rank_a"), F.col("entries_b") - F.col("rank_b"))
+    once = F.col("in_main_b") | (F.col("doc_id_a") < F.col("doc_id_b"))
+    swap = F.col("doc_id_a") > F.col("doc_id_b")
+    ordered = lambda c, x, y: F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}"))
     pairs = (
-        left.join(right, "key")
-        .where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & _near("n_a", "n_b", t))
+        left.where("not in_main_a")
+        .join(right, "key")
+        .where(once & (F.col("component_a") != F.col("component_b")) & _near("n_a", "n_b", t))
         .where(_enough_shared("n_a", "n_b", possible, boundary, t))
-        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b")
+        .select(ordered("doc_id", "a", "b").alias("a"), ordered("doc_id", "b", "a").alias("b"), ordered("n", "a", "b").alias("n_a"), ordered("n", "b", "a").alias("n_b"))
         .distinct()
     )
     keys = open_lists.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most one prefix long
