@@ -8,6 +8,7 @@ cost does not depend on word length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +36,16 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task: workers live on between tasks, and
+    an executor's limit counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
 
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
