@@ -2,8 +2,13 @@
 
 Paragraphs of a text are of two kinds.  Lines of at least ``min_words`` words are compared as sets
 of k-word shingles: MinHash signatures are cut into bands (8 bands of 2 rows find a pair of Jaccard
-similarity 0.8 with probability 0.9997), distinct lines that collide in a band are joined with the
-band's first line, verified by exact Jaccard on their words, and clustered by connected components.
+similarity 0.8 with probability 0.9997), and distinct lines that collide in a band are verified by
+exact Jaccard on their words and clustered by connected components.  First every line is compared
+with one hub for each band, the band's first line, which ties near copies of one line together.
+Then the bands whose lines are still in different components are resolved: their lines outside the
+largest component meet all lines of the band, so every colliding pair is compared or is in one
+component already.  Before texts are read, pairs pass an exact bound on sketches (a bitmap of each
+line's shingles: bits that one side lacks are shingles that it lacks).
 Passages that sit inside or across lines are found by running paragraphs: runs of ``min_words``
 words that start at content-chosen places, namely where a shingle's hash is the least of some
 ``spread`` successive ones (the last such place on ties).  A passage of at least ``min_words + spread - 1`` words that two texts
@@ -24,10 +29,12 @@ ties the smaller id keeps; an empty table gives no rows; other columns are carri
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import BROADCAST_ROWS, Scratch, connected_components, only_ids, ship
@@ -40,7 +47,10 @@ BANDS, ROWS = 8, 2
 THRESHOLD = 80
 _SEED = np.random.default_rng(20).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
-SEGMENTS = "is_line boolean, key long, doc_id long, start long, words long, bands array<long>"
+#: Longs of a line's sketch.
+SKETCH = 4
+
+SEGMENTS = "is_line boolean, key long, doc_id long, start long, words long, bands array<long>, sketch array<long>"
 
 
 def rolled(h: np.ndarray, size: int) -> np.ndarray:
@@ -108,13 +118,28 @@ class Paragraphs:
         self.line_doc = doc[self.line]
         self.line_hash = range_hashes(w.hash, self.line, self.line_end)
 
+    def _line_shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, first): shingles of the lines; line i has first[i]:first[i + 1]."""
+        count = self.line_end - self.line - SHINGLE + 1
+        first = np.concatenate(([0], np.cumsum(count)))
+        return self.shingle[np.repeat(self.line - first[:-1], count) + np.arange(first[-1])], first
+
+    def sketches(self) -> np.ndarray:
+        """(lines, SKETCH) bitmaps: the bits that a line's shingles hash to."""
+        if not self.line.size:
+            return np.empty((0, SKETCH), np.int64)
+        x, first = self._line_shingles()
+        place = (x >> np.uint64(40)) % np.uint64(64 * SKETCH)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        out = [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == i, bit, np.uint64(0)), first[:-1]) for i in range(SKETCH)]
+        return np.stack(out, axis=1).astype(np.int64)
+
     def bands(self) -> np.ndarray:
         """(lines, BANDS) keys from MinHash signatures of the lines' shingles."""
-        count = self.line_end - self.line - SHINGLE + 1
-        if not count.size:
+        if not self.line.size:
             return np.empty((0, BANDS), np.int64)
-        first = np.concatenate(([0], np.cumsum(count)))
-        x = self.shingle[np.repeat(self.line - first[:-1], count) + np.arange(first[-1])]
+        x, first = self._line_shingles()
+        count = np.diff(first)
         with np.errstate(over="ignore"):
             out = np.empty((count.size, BANDS), np.uint64)
             for b in range(BANDS):
@@ -127,40 +152,84 @@ class Paragraphs:
 
 
 def segments(docs: DataFrame, min_words: int, spread: int) -> DataFrame:
-    """All paragraphs: key is the hash of the words; lines carry their band keys."""
+    """All paragraphs: key is the hash of the words; lines carry their band keys and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             p = Paragraphs(block.column("text"), min_words, spread)
             ids = block.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             first = p.words.first
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(p.line.size + 1, dtype=np.int32) * BANDS), pa.array(p.bands().ravel()))
-            for kind, key, doc, start, words, keys in (
-                (True, p.line_hash, p.line_doc, p.line, p.line_end - p.line, bands),
-                (False, p.run_hash, p.run_doc, p.run, p.run_words, pa.nulls(p.run.size, pa.list_(pa.int64()))),
+            bands, sketches = (
+                pa.ListArray.from_arrays(pa.array(np.arange(p.line.size + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (p.bands(), p.sketches())
+            )
+            none = pa.nulls(p.run.size, pa.list_(pa.int64()))
+            for kind, key, doc, start, words, *lists in (
+                (True, p.line_hash, p.line_doc, p.line, p.line_end - p.line, bands, sketches),
+                (False, p.run_hash, p.run_doc, p.run, p.run_words, none, none),
             ):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(key.size, kind)), pa.array(key.astype(np.int64)), pa.array(ids[doc]), pa.array(start - first[doc]), pa.array(words.astype(np.int64)), keys],
-                    names=["is_line", "key", "doc_id", "start", "words", "bands"],
+                    [pa.array(np.full(key.size, kind)), pa.array(key.astype(np.int64)), pa.array(ids[doc]), pa.array(start - first[doc]), pa.array(words.astype(np.int64)), *lists],
+                    names=["is_line", "key", "doc_id", "start", "words", "bands", "sketch"],
                 )
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, SEGMENTS)
 
 
+def _may_reach(threshold: int) -> Column:
+    """Exact bound for lines a and b: a bit that only one sketch has is a shingle that only that line has."""
+    alone = []
+    for x, y in ("ab", "ba"):
+        bits = [F.bit_count(F.col(f"sketch_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"sketch_{y}")[i]))) for i in range(SKETCH)]
+        alone.append(reduce(add, bits))
+    both = F.least(*(F.col(f"words_{x}") - (SHINGLE - 1) - n for x, n in zip("ab", alone, strict=True)))
+    return both * (100 - threshold) >= (alone[0] + alone[1]) * threshold
+
+
 def _near_lines(docs: DataFrame, scratch: Scratch, firsts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): keys of distinct lines that reach the threshold, of those that collide in a band."""
+    """(a, b): keys of distinct lines that reach the threshold, which tie all such lines that collide
+    in a band together."""
     spread = firsts.select("key", F.explode("bands").alias("band"))
     hubs = spread.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("lines")).where("lines > 1").select("band", "hub")
-    pairs = scratch.save(
-        spread.join(hubs, "band").where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs"
+    met = scratch.save(spread.join(hubs, "band"), "met")
+    pairs = met.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    links = _verified(docs, scratch, firsts, pairs, "hub", threshold)
+    labels = connected_components(docs.sparkSession, scratch, links).withColumnRenamed("node", "key")
+
+    # Bands that still meet several components: the lines outside the largest one meet all lines.
+    known = met.join(labels, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
+    known = scratch.save(known, "known")
+    scratch.drop(met)
+    mixed = known.groupBy("band", "component").agg(F.count("*").alias("own")).groupBy("band").agg(
+        F.max_by("component", F.struct("own", "component")).alias("main"), F.count("*").alias("components")
+    )
+    stats = firsts.select("key", F.col("first.words").alias("words"), "sketch")
+    open_bands = known.join(mixed.where("components > 1").drop("components"), "band").join(stats, "key")
+    open_bands = scratch.save(open_bands.withColumn("in_main", F.col("component") == F.col("main")).drop("main"), "open")
+    scratch.drop(known)
+    left, right = (open_bands.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "component", "words", "sketch", "in_main"))) for side in "ab")
+    once = F.col("in_main_b") | (F.col("key_a") < F.col("key_b"))
+    pairs = (
+        left.where("not in_main_a")
+        .join(right, "band")
+        .where(once & (F.col("component_a") != F.col("component_b")) & _may_reach(threshold))
+        .select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+        .distinct()
     )
-    place = firsts.select("key", F.col("first.doc_id").alias("doc"), F.col("first.start").alias("start"), F.col("first.words").alias("words"))
+    more = _verified(docs, scratch, firsts, pairs, "rest", threshold)
+    scratch.drop(open_bands)
+    return links.union(more)
+
+
+def _verified(docs: DataFrame, scratch: Scratch, firsts: DataFrame, pairs: DataFrame, name: str, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b) of line keys that reach the threshold; saved."""
+    place = firsts.select("key", F.col("first.doc_id").alias("doc"), F.col("first.start").alias("start"), F.col("first.words").alias("words"), "sketch")
     located = pairs
     for side in "ab":
-        located = located.join(place.withColumnsRenamed({"key": side, "doc": f"doc_{side}", "start": f"start_{side}", "words": f"words_{side}"}), side)
+        located = located.join(place.withColumnsRenamed({"key": side} | {c: f"{c}_{side}" for c in place.columns[1:]}), side)
+    located = located.where(_may_reach(threshold))
     by_docs = located.groupBy("doc_a", "doc_b").agg(F.collect_list(F.struct("a", "b", "start_a", "words_a", "start_b", "words_b")).alias("lines"))
-    by_docs = scratch.save(by_docs, "line-pairs")
-    ids = scratch.save(by_docs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "line-docs")
+    by_docs = scratch.save(by_docs, f"{name}-pairs")
+    ids = scratch.save(by_docs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), f"{name}-docs")
     texts = only_ids(docs.select("doc_id", "text"), ids, ids.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +251,15 @@ def _near_lines(docs: DataFrame, scratch: Scratch, firsts: DataFrame, threshold:
                         b.append(x["b"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return (
+    links = (
         by_docs.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
         .join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
         .select("text_a", "text_b", "lines")
         .mapInArrow(run, "a long, b long")
     )
+    links = scratch.save(links, f"{name}-links")
+    scratch.drop(by_docs, ids)
+    return links
 
 
 def removals(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, spread: int = SPREAD, threshold: int = THRESHOLD) -> DataFrame:
@@ -199,11 +271,11 @@ def removals(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
     lines = parts.where("is_line")
     firsts = scratch.save(
         lines.groupBy("key").agg(
-            F.min(F.struct("doc_id", "start", "words")).alias("first"), F.max("doc_id").alias("last_doc"), F.any_value("bands").alias("bands")
+            F.min(F.struct("doc_id", "start", "words")).alias("first"), F.max("doc_id").alias("last_doc"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
         ),
         "firsts",
     )
-    links = scratch.save(_near_lines(docs, scratch, firsts, threshold), "line-links")
+    links = _near_lines(docs, scratch, firsts, threshold)
     labels = connected_components(spark, scratch, links).withColumnRenamed("node", "key")
     clustered = firsts.join(labels, "key", "left").select(
         "key", F.coalesce("component", "key").alias("component"), F.col("first.doc_id").alias("low"), F.col("last_doc").alias("high")

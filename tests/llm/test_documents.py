@@ -440,6 +440,50 @@ def test_every_long_common_run_has_a_common_window():
         assert a & b
 
 
+def template_families(seed=6):
+    """Lines of one template in pairs: members are under 0.8 to strangers, over 0.8 within a pair."""
+    r = np.random.default_rng(seed)
+    new = lambda n: [f"n{x}" for x in r.integers(0, 10**9, n)]
+    lines = []
+    for strangers in (2, 3, 6):
+        base = new(100)
+        for _ in range(120):
+            one = list(base)
+            for at in r.choice(np.arange(20, 95, 3), strangers, replace=False):
+                one[at : at + 3] = new(3)
+            two = list(one)
+            two[10:14] = new(4)
+            lines += [" ".join(one), " ".join(two)]
+    return [(i, lines[j]) for i, j in enumerate(r.permutation(len(lines)).tolist())]
+
+
+def test_near_lines_of_templated_families_against_brute_force(spark):
+    rows = template_families()
+    want = {i: c for i, (_, c) in brute_components(rows).items() if c != i}
+    assert len(want) >= 360
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r.keeper_id for r in passage_dedup.repeats(df).collect() if r.ranges == "0:100"}
+    assert whole == want
+
+
+def test_sketches_never_rule_out_a_near_line(spark):
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"s{x}" for x in r.integers(0, 40, 300)) for _ in range(3)]
+    for text in list(texts):
+        for n in (1, 3, 9, 20):
+            w = text.split(" ")
+            for at in r.integers(0, len(w), n):
+                w[at] = "t"
+            texts.append(" ".join(w))
+    p = passage_dedup.Paragraphs(pa.array(texts))
+    lines = spark.createDataFrame([(i, 300, s) for i, s in enumerate(p.sketches().tolist())], "key long, words long, sketch array<long>")
+    a, b = (lines.select(*(F.col(c).alias(f"{c}_{side}") for c in lines.columns)) for side in "ab")
+    got = {(x.key_a, x.key_b) for x in a.join(b, F.col("key_a") < F.col("key_b")).where(passage_dedup._may_reach(80)).collect()}
+    sets = [shingles(t) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near and near <= got and len(got) < len(texts) * (len(texts) - 1) // 2
+
+
 def test_passage_edges(edge, empty):
     got = passage_dedup.repeats(edge).collect()
     assert {(r.doc_id, r.keeper_id) for r in got} == {(9, 8)}
