@@ -447,17 +447,17 @@ def note_mentions(t):
 
 @query()
 def segmented_words(t):
-    """TXT-18..20, SRC-18: glued words split by a frequency dictionary of the reference texts' commonest words."""
-    words = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 2").groupBy("w").count().orderBy(F.desc("count"), "w").limit(1000)
-    frequency = {r.w: r["count"] for r in words.collect()}
+    """TXT-18..20, SRC-18: glued words split by a frequency dictionary of all words of the reference texts."""
+    words = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) >= 2").groupBy("word").agg(F.count("*").alias("n"))
+    frequency = tables.collected_words(words, "benchmark")
     return t("benchmark").select("item_id", udfs.segment_words(frequency)(F.regexp_replace("text", "([a-z]) ([a-z])", "$1$2")).alias("text"))
 
 
 @query()
 def merged_fragments(t):
     """TXT-22/23: fragments joined into known words."""
-    words = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 5").distinct().orderBy("w").limit(1000)
-    known = {r.w for r in words.collect()}
+    words = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) >= 5").distinct().withColumn("n", F.lit(1))
+    known = set(tables.collected_words(words, "benchmark"))
     return t("benchmark").select("item_id", udfs.merge_fragments(known)(F.regexp_replace("text", "([a-z]{2})([a-z]{3})", "$1 $2")).alias("text"))
 
 

@@ -38,10 +38,15 @@ def dictionary(spark: SparkSession, path: str, forced: tuple[str, ...] = (), for
     (operators.joins.known_words), not in a function.
     """
     rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where("p[0] <> ''").select(F.lower(F.col("p")[0]).alias("word"), F.coalesce(F.get("p", F.lit(1)).try_cast("int"), F.lit(1)).alias("n"))
-    words = rows.groupBy("word").agg(F.max("n").alias("n")).limit(DICTIONARY_WORDS + 1).collect()
-    if len(words) > DICTIONARY_WORDS:
-        raise ValueError(f"{path} holds more than {DICTIONARY_WORDS} words")
-    return {r.word: r.n for r in words} | {w: forced_frequency for w in forced}
+    return collected_words(rows.groupBy("word").agg(F.max("n").alias("n")), path) | {w: forced_frequency for w in forced}
+
+
+def collected_words(words: DataFrame, source: str) -> dict[str, int]:
+    """All of (word, n) as a dictionary; raises where there are more than DICTIONARY_WORDS."""
+    rows = words.limit(DICTIONARY_WORDS + 1).collect()
+    if len(rows) > DICTIONARY_WORDS:
+        raise ValueError(f"{source} holds more than {DICTIONARY_WORDS} words")
+    return {r.word: r.n for r in rows}
 
 
 def replacement_table(path: str) -> list[tuple[str, str]]:

@@ -67,3 +67,20 @@ def test_search_pushes_filters(spark, capsys):
     search.search(q, f, year=5, qtype="en", text_columns=("stem",)).explain("formatted")
     plan = capsys.readouterr().out
     assert "EqualTo(n_chars,5)" in plan and "EqualTo(lang,en)" in plan
+
+
+def test_dictionaries_hold_all_words(spark, tmp_path, monkeypatch):
+    from itertools import islice, product
+
+    from stemquarry.sources import tables
+
+    filler = ["".join(x) for x in islice(product("abcde", repeat=5), 1200)]  # before the others in alphabet and count
+    rows = [(0, ";".join(filler)), (1, ";".join(filler)), (2, "zebra"), (3, "quartz"), (4, "zephyr"), (5, "quartz zephyr")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    text = lambda name: {r.item_id: r.text for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert text("merged_fragments")[2] == "zebra"
+    assert text("segmented_words")[5] == "quartz zephyr"
+    monkeypatch.setattr(tables, "DICTIONARY_WORDS", 1000)
+    for name in ("merged_fragments", "segmented_words"):
+        with pytest.raises(ValueError, match="more than 1000 words"):
+            text(name)
