@@ -1,8 +1,8 @@
 """Operator 10: substring dedup by paragraph MinHash banding.
 
 Paragraphs of a text are of two kinds.  Lines of at least ``min_words`` words are compared as sets
-of k-word shingles: MinHash signatures are cut into bands (8 bands of 2 rows find a pair of Jaccard
-similarity 0.8 with probability 0.9997), and distinct lines that collide in a band are verified by
+of k-word shingles: MinHash signatures are cut into bands (12 bands of 3 rows find a pair of Jaccard
+similarity 0.8 with probability 0.9998), and distinct lines that collide in a band are verified by
 exact Jaccard on their words and clustered by connected components.  First every line is compared
 with one hub for each band, the band's first line, which ties near copies of one line together.
 Then the bands whose lines are still in different components are resolved: their lines outside the
@@ -43,7 +43,7 @@ from .textkernel import BLANK, Words, blocks, mix, powers, runs
 MIN_WORDS = 25
 SPREAD = 16
 SHINGLE = 5
-BANDS, ROWS = 8, 2
+BANDS, ROWS = 12, 3
 THRESHOLD = 80
 _SEED = np.random.default_rng(20).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 

@@ -484,6 +484,11 @@ def test_sketches_never_rule_out_a_near_line(spark):
     assert near and near <= got and len(got) < len(texts) * (len(texts) - 1) // 2
 
 
+def test_bands_are_selective():
+    found = lambda j: 1 - (1 - j**passage_dedup.ROWS) ** passage_dedup.BANDS
+    assert found(0.8) >= 0.9998 and found(0.2) <= 0.1
+
+
 def test_passage_edges(edge, empty):
     got = passage_dedup.repeats(edge).collect()
     assert {(r.doc_id, r.keeper_id) for r in got} == {(9, 8)}
