@@ -1,72 +1,69 @@
 """Operator 10: substring dedup by paragraph MinHash banding.
 
-Paragraphs of a text are of two kinds.  Lines of at least ``min_words`` words are compared as sets
-of k-word shingles: MinHash signatures are cut into bands (12 bands of 3 rows find a pair of Jaccard
-similarity 0.8 with probability 0.9998), and distinct lines that collide in a band are verified by
-exact Jaccard on their words and clustered by connected components.  First every line is compared
-with one hub for each band, the band's first line, which ties near copies of one line together.
-Then the bands whose lines are still in different components are resolved: their lines outside the
-largest component meet all lines of the band, so every colliding pair is compared or is in one
-component already.  Before texts are read, pairs pass an exact bound on sketches (a bitmap of each
-line's shingles: bits that one side lacks are shingles that it lacks).
-Passages that sit inside or across lines are found by running paragraphs: runs of ``min_words``
+Paragraphs of a text are of two kinds.  Blocks are lines of at least ``min_words`` words, and runs of
+shorter lines without a blank line between them that have as many together (wrapped text).  They are
+compared as sets of 5-word shingles: MinHash signatures are cut into bands, as many and as wide as
+``tuned_bands`` finds for the threshold and the wanted recall, and distinct blocks that collide in a
+band are verified by exact Jaccard and clustered by connected components.  First every block is
+compared with one hub of each of its bands, the block that collides most, which ties near copies of
+one block together.  Then bands whose blocks are still in different components are resolved: their
+blocks meet through the lists of their rarest shingles, under exact bounds, so every colliding pair
+at the threshold is linked or in one component already (see ``set_join.pairs_across``).
+Passages that sit inside or across blocks are found by running paragraphs: runs of ``min_words``
 words that start at content-chosen places, namely where a shingle's hash is the least of some
-``spread`` successive ones (the last such place on ties).  A passage of at least ``min_words + spread - 1`` words that two texts
-share contains such a run in both, at whatever place it stands; equal runs are one cluster.
+``spread`` successive ones (the last such place on ties).  A passage of at least
+``min_words + spread - 1`` words that two texts share contains such a run in both, at whatever place
+it stands.  Equal runs that overlap on one diagonal of a document and its keeper are one match,
+which is extended word by word to its true ends.
 
 The document with the smallest id of a cluster keeps its paragraph; it is removed from all others.
-Only distinct lines take part in banding, and every group is reduced to its first member by an
-aggregate that combines before the shuffle, so common lines and passages never form a task.
+Only distinct blocks take part in banding, and every group is reduced to its first member by an
+aggregate that combines before the shuffle, so common blocks and passages never form a task.
 
-Words are maximal runs of non-blank bytes, with A-Z lower-cased; hashes are 64 bits.
+Words are maximal runs of non-blank bytes, with A-Z lower-cased.  Blocks are equal when 128-bit
+hashes of their words are, runs by 64 bits, and a match counts only if 128-bit hashes of the whole
+ranges in both documents agree; ``without_repeats`` cuts a range only from a text that has that hash
+there.
 
 Defined results: null, empty and short texts have no paragraphs and stay as they are; repeats within
 one document stay; rows that share a doc_id count as one document; a null doc_id is left alone; of
-ties the smaller id keeps; an empty table gives no rows; other columns are carried through by
-``without_repeats`` and not read by ``repeats``.
+ties the smaller id keeps; an empty table gives no rows; other columns, of whatever name, are carried
+through by ``without_repeats`` and not read by ``repeats``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_ROWS, Scratch, connected_components, only_ids, ship
-from .textkernel import BLANK, Words, blocks, mix, powers, runs
+from .runtime import Scratch, connected_components, fresh, only_ids, ship
+from .set_join import pairs_across, verified
+from .textkernel import BLANK, Words, blocks, digests, mix, rolled, runs
 
 MIN_WORDS = 25
 SPREAD = 16
 SHINGLE = 5
-BANDS, ROWS = 12, 3
 THRESHOLD = 80
-_SEED = np.random.default_rng(20).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+#: Probability with which a pair exactly at the threshold collides in some band.
+RECALL = 0.9998
+#: Bands of a block at most.
+MOST_BANDS = 12
+#: Bytes of removed ranges that may be broadcast; beyond it the texts are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
-#: Longs of a line's sketch.
-SKETCH = 4
 
-SEGMENTS = "is_line boolean, key long, doc_id long, start long, words long, bands array<long>, sketch array<long>"
-
-
-def rolled(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` successive word hashes."""
-    if h.size < size:
-        return np.empty(0, np.uint64)
-    return range_hashes(h, np.arange(h.size - size + 1), np.arange(size, h.size + 1))
-
-
-def range_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of h[start:end], independent of where they stand."""
-    with np.errstate(over="ignore"):
-        up, down = powers(h.size + 1)
-        sums = np.zeros(h.size + 1, np.uint64)
-        np.cumsum(h * up[: h.size], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+def tuned_bands(threshold: int = THRESHOLD, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
+    """(bands, rows): the widest bands, which strangers collide in least, with which at most ``most``
+    of them reach the recall at the threshold; one row each where none does."""
+    found, rows = (most, 1), 1
+    while (bands := max(1, math.ceil(math.log(1 - recall) / math.log1p(-((min(threshold, 99) / 100) ** rows))))) <= most:
+        found, rows = (bands, rows), rows + 1
+    return found
 
 
 def anchors(value: np.ndarray, spread: int) -> np.ndarray:
@@ -87,21 +84,41 @@ def anchors(value: np.ndarray, spread: int) -> np.ndarray:
 
 
 class Paragraphs:
-    """Lines and running paragraphs of a block, as word ranges."""
-
-    def __init__(self, column: pa.Array, min_words: int = MIN_WORDS, spread: int = SPREAD):
-        w = self.words = Words(column)
-        n = w.hash.size
-        self.shingle = rolled(w.hash, SHINGLE)
+    """Blocks (and running paragraphs) of the texts of a column, as word ranges."""
+
+    def __init__(self, column: pa.Array, min_words: int = MIN_WORDS, spread: int = SPREAD, with_runs: bool = True):
+        self.words = Words(column)
+        self.shingle = rolled(self.words.hash, SHINGLE)
+        self._blocks(min_words)
+        if with_runs:
+            self._runs(min_words, spread)
+
+    def _blocks(self, min_words: int) -> None:
+        w = self.words
+        ends = np.flatnonzero(w.data == 10)
+        edge = np.concatenate(([0], np.searchsorted(w.start, ends)))
+        doc = np.searchsorted(w.doc_end, ends)
+        size = np.diff(edge)
+        short = (size > 0) & (size < min_words)
+        on = np.zeros(size.size, bool)  # a short line behind a short line of its document
+        on[1:] = short[1:] & short[:-1] & (doc[1:] == doc[:-1])
+        begin = np.flatnonzero(~on)
+        last = np.append(begin[1:], on.size) - 1 if begin.size else begin
+        start, end = edge[:-1][begin], edge[1:][last]
+        pick = end - start >= max(min_words, SHINGLE)
+        self.block, self.block_end, self.block_doc = start[pick], end[pick], doc[begin][pick]
+        self.block_key, self.block_check = digests(w.hash, self.block, self.block_end)
+
+    def _runs(self, min_words: int, spread: int) -> None:
+        w = self.words
         run_hash = rolled(w.hash, min_words)
-        value = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        value = np.full(w.hash.size, 0xFFFFFFFFFFFFFFFF, np.uint64)
         doc = np.repeat(np.arange(w.count.size), w.count)
-        at = np.arange(run_hash.size)
-        fits = at + min_words <= w.first[doc[: run_hash.size] + 1]
-        value[at[fits]] = self.shingle[at[fits]] >> np.uint64(1)
+        at = np.arange(min(run_hash.size, self.shingle.size))
+        at = at[at + min_words <= w.first[doc[: at.size] + 1]]
+        value[at] = self.shingle[at] >> np.uint64(1)
         self.run = anchors(value, spread)
-        self.run_hash = run_hash[self.run]
-        self.run_doc = doc[self.run]
+        self.run_hash, self.run_doc = run_hash[self.run], doc[self.run]
         # Equal runs that overlap (text that repeats itself) are one longer paragraph.
         on = np.zeros(self.run.size, bool)
         on[1:] = (self.run_hash[1:] == self.run_hash[:-1]) & (self.run_doc[1:] == self.run_doc[:-1]) & (np.diff(self.run) <= min_words)
@@ -110,195 +127,203 @@ class Paragraphs:
         self.run_words = (self.run[last] - self.run[begin] + min_words) if begin.size else np.empty(0, np.int64)
         self.run, self.run_hash, self.run_doc = self.run[begin], self.run_hash[begin], self.run_doc[begin]
 
-        breaks = np.flatnonzero(w.data == 10)
-        edge = np.concatenate(([0], np.searchsorted(w.start, breaks)))
-        size = np.diff(edge)
-        pick = size >= min_words
-        self.line, self.line_end = edge[:-1][pick], edge[1:][pick]
-        self.line_doc = doc[self.line]
-        self.line_hash = range_hashes(w.hash, self.line, self.line_end)
-
-    def _line_shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, first): shingles of the lines; line i has first[i]:first[i + 1]."""
-        count = self.line_end - self.line - SHINGLE + 1
+    def elements(self, i: int) -> np.ndarray:
+        """Distinct shingles of one block."""
+        return np.unique(self.shingle[self.block[i] : self.block_end[i] - SHINGLE + 1])
+
+    def bands(self, n_bands: int, rows: int) -> np.ndarray:
+        """(blocks, bands) keys from MinHash signatures of the blocks' shingles."""
+        out = np.empty((self.block.size, n_bands), np.uint64)
+        if not self.block.size:
+            return out.astype(np.int64)
+        seed = np.random.default_rng(20).integers(1, 1 << 62, n_bands * rows, dtype=np.uint64) | np.uint64(1)
+        count = self.block_end - self.block - SHINGLE + 1
         first = np.concatenate(([0], np.cumsum(count)))
-        return self.shingle[np.repeat(self.line - first[:-1], count) + np.arange(first[-1])], first
-
-    def sketches(self) -> np.ndarray:
-        """(lines, SKETCH) bitmaps: the bits that a line's shingles hash to."""
-        if not self.line.size:
-            return np.empty((0, SKETCH), np.int64)
-        x, first = self._line_shingles()
-        place = (x >> np.uint64(40)) % np.uint64(64 * SKETCH)
-        bit = np.uint64(1) << (place & np.uint64(63))
-        out = [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == i, bit, np.uint64(0)), first[:-1]) for i in range(SKETCH)]
-        return np.stack(out, axis=1).astype(np.int64)
-
-    def bands(self) -> np.ndarray:
-        """(lines, BANDS) keys from MinHash signatures of the lines' shingles."""
-        if not self.line.size:
-            return np.empty((0, BANDS), np.int64)
-        x, first = self._line_shingles()
-        count = np.diff(first)
+        x = self.shingle[np.repeat(self.block - first[:-1], count) + np.arange(first[-1])]
         with np.errstate(over="ignore"):
-            out = np.empty((count.size, BANDS), np.uint64)
-            for b in range(BANDS):
+            for b in range(n_bands):
                 key = np.full(count.size, b + 1, np.uint64)
-                for r in range(ROWS):
-                    least = np.minimum.reduceat((x * _SEED[b * ROWS + r]) >> np.uint64(20), first[:-1])
+                for r in range(rows):
+                    least = np.minimum.reduceat((x * seed[b * rows + r]) >> np.uint64(20), first[:-1])
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
                 out[:, b] = key
         return out.astype(np.int64)
 
 
-def segments(docs: DataFrame, min_words: int, spread: int) -> DataFrame:
-    """All paragraphs: key is the hash of the words; lines carry their band keys and sketches."""
+def segments(docs: DataFrame, min_words: int, spread: int, n_bands: int, rows: int) -> DataFrame:
+    """All paragraphs: key is the hash of the words; blocks carry a second hash and their band keys."""
+    names = ["is_block", "key", "check", "doc_id", "start", "words", *(f"band{b}" for b in range(n_bands))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             p = Paragraphs(block.column("text"), min_words, spread)
             ids = block.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             first = p.words.first
-            bands, sketches = (
-                pa.ListArray.from_arrays(pa.array(np.arange(p.line.size + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (p.bands(), p.sketches())
-            )
-            none = pa.nulls(p.run.size, pa.list_(pa.int64()))
-            for kind, key, doc, start, words, *lists in (
-                (True, p.line_hash, p.line_doc, p.line, p.line_end - p.line, bands, sketches),
-                (False, p.run_hash, p.run_doc, p.run, p.run_words, none, none),
+            none = pa.nulls(p.run.size, pa.int64())
+            for kind, key, check, doc, start, words, bands in (
+                (True, p.block_key, pa.array(p.block_check), p.block_doc, p.block, p.block_end - p.block, [pa.array(b) for b in p.bands(n_bands, rows).T]),
+                (False, p.run_hash, none, p.run_doc, p.run, p.run_words, [none] * n_bands),
             ):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(key.size, kind)), pa.array(key.astype(np.int64)), pa.array(ids[doc]), pa.array(start - first[doc]), pa.array(words.astype(np.int64)), *lists],
-                    names=["is_line", "key", "doc_id", "start", "words", "bands", "sketch"],
+                    [pa.array(np.full(key.size, kind)), pa.array(key.astype(np.int64)), check, pa.array(ids[doc]), pa.array(start - first[doc]), pa.array(words.astype(np.int64)), *bands], names=names
                 )
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, SEGMENTS)
+    return docs.select("doc_id", "text").mapInArrow(run, "is_block boolean, " + ", ".join(f"{n} long" for n in names[1:]))
+
+
+def _asked(docs: DataFrame, scratch: Scratch, wanted: DataFrame, name: str) -> DataFrame:
+    """Texts of the documents of ``wanted(doc_id, asked)`` beside what is asked of each."""
+    wanted = scratch.save(wanted, f"{name}-wanted")
+    return only_ids(docs.select("doc_id", "text"), wanted.select("doc_id"), wanted.count()).join(wanted, "doc_id")
+
 
+def _block_sets(docs: DataFrame, scratch: Scratch, needed: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, elements): the shingles of the blocks needed(key, low), by key; saved."""
+    wanted = needed.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list("key").alias("asked"))  # at most the blocks of a document
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            p = Paragraphs(block.column("text"), min_words, with_runs=False)
+            place = dict(zip(zip(p.block_doc.tolist(), p.block_key.tolist(), strict=True), range(p.block.size), strict=True))
+            found = [(key, place[doc, key]) for doc, keys in enumerate(block.column("asked").to_pylist()) for key in keys if (doc, key) in place]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.int64()), pa.array([p.elements(i).astype(np.int64) for _, i in found], pa.list_(pa.int64()))], names=["doc_id", "elements"]
+            )
 
-def _may_reach(threshold: int) -> Column:
-    """Exact bound for lines a and b: a bit that only one sketch has is a shingle that only that line has."""
-    alone = []
-    for x, y in ("ab", "ba"):
-        bits = [F.bit_count(F.col(f"sketch_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"sketch_{y}")[i]))) for i in range(SKETCH)]
-        alone.append(reduce(add, bits))
-    both = F.least(*(F.col(f"words_{x}") - (SHINGLE - 1) - n for x, n in zip("ab", alone, strict=True)))
-    return both * (100 - threshold) >= (alone[0] + alone[1]) * threshold
+    sets = _asked(docs, scratch, wanted, "blocks").mapInArrow(run, "doc_id long, elements array<long>")
+    return scratch.save(sets.dropDuplicates(["doc_id"]), "block-sets")
 
 
-def _near_lines(docs: DataFrame, scratch: Scratch, firsts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): keys of distinct lines that reach the threshold, which tie all such lines that collide
+def _near_blocks(docs: DataFrame, scratch: Scratch, firsts: DataFrame, min_words: int, threshold: int) -> DataFrame:
+    """(a, b): keys of distinct blocks that reach the threshold, which tie all such blocks that collide
     in a band together."""
-    spread = firsts.select("key", F.explode("bands").alias("band"))
-    hubs = spread.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("lines")).where("lines > 1").select("band", "hub")
-    met = scratch.save(spread.join(hubs, "band"), "met")
-    pairs = met.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    links = _verified(docs, scratch, firsts, pairs, "hub", threshold)
+    bands = [c for c in firsts.columns if c.startswith("band")]
+    spread = firsts.select("key", F.explode(F.array(*bands)).alias("band"))
+    crowded = scratch.save(spread.groupBy("band").agg(F.count("*").alias("blocks")).where("blocks > 1"), "crowded")
+    met = scratch.save(spread.join(crowded, "band"), "met")
+    # The hub of a band: of its blocks, the one that meets most others in all its bands.
+    weight = met.groupBy("key").agg(F.sum("blocks").alias("weight"))
+    hubs = scratch.save(met.join(weight, "key").groupBy("band").agg(F.max_by("key", F.struct("weight", "key")).alias("hub")), "hubs")
+    pairs = scratch.save(met.join(hubs, "band").where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "hub-pairs")
+    sets = _block_sets(docs, scratch, met.select("key").distinct().join(firsts.select("key", "low"), "key"), min_words)
+    links = scratch.save(verified(pairs, sets, threshold), "hub-links")
     labels = connected_components(docs.sparkSession, scratch, links).withColumnRenamed("node", "key")
+    scratch.drop(crowded, hubs, pairs)
 
-    # Bands that still meet several components: the lines outside the largest one meet all lines.
-    known = met.join(labels, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
-    known = scratch.save(known, "known")
+    # Blocks of bands that still meet several components.
+    known = scratch.save(met.join(labels, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component")), "known")
     scratch.drop(met)
-    mixed = known.groupBy("band", "component").agg(F.count("*").alias("own")).groupBy("band").agg(
-        F.max_by("component", F.struct("own", "component")).alias("main"), F.count("*").alias("components")
-    )
-    stats = firsts.select("key", F.col("first.words").alias("words"), "sketch")
-    open_bands = known.join(mixed.where("components > 1").drop("components"), "band").join(stats, "key")
-    open_bands = scratch.save(open_bands.withColumn("in_main", F.col("component") == F.col("main")).drop("main"), "open")
-    scratch.drop(known)
-    left, right = (open_bands.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "component", "words", "sketch", "in_main"))) for side in "ab")
-    once = F.col("in_main_b") | (F.col("key_a") < F.col("key_b"))
-    pairs = (
-        left.where("not in_main_a")
-        .join(right, "band")
-        .where(once & (F.col("component_a") != F.col("component_b")) & _may_reach(threshold))
-        .select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
-        .distinct()
-    )
-    more = _verified(docs, scratch, firsts, pairs, "rest", threshold)
-    scratch.drop(open_bands)
+    mixed = scratch.save(known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band"), "mixed-bands")
+    open_blocks = known.join(mixed, "band").select(F.col("key").alias("doc_id"), "component").distinct()
+    open_sets = scratch.save(sets.join(open_blocks, "doc_id").select("doc_id", "component", F.size("elements").cast("long").alias("n"), "elements"), "open-sets")
+    scratch.drop(known, mixed)
+    each = open_sets.select("doc_id", "component", "n", F.explode("elements").alias("key"))
+    often = scratch.save(each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    rarest = Window.partitionBy("doc_id").orderBy(F.coalesce("often", F.lit(1)), "key")
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    entries = each.join(often, "key", "left").withColumn("place", F.row_number().over(rarest)).where(F.col("often").isNotNull() & (F.col("place") <= prefix))
+    entries = scratch.save(entries.select("key", "doc_id", "n", "component"), "entries")
+    rest = pairs_across(scratch, entries, threshold, 0)
+    more = scratch.save(verified(rest, sets, threshold), "rest-links")
+    scratch.drop(open_sets, often, entries, rest, sets)
     return links.union(more)
 
 
-def _verified(docs: DataFrame, scratch: Scratch, firsts: DataFrame, pairs: DataFrame, name: str, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) of line keys that reach the threshold; saved."""
-    place = firsts.select("key", F.col("first.doc_id").alias("doc"), F.col("first.start").alias("start"), F.col("first.words").alias("words"), "sketch")
-    located = pairs
-    for side in "ab":
-        located = located.join(place.withColumnsRenamed({"key": side} | {c: f"{c}_{side}" for c in place.columns[1:]}), side)
-    located = located.where(_may_reach(threshold))
-    by_docs = located.groupBy("doc_a", "doc_b").agg(F.collect_list(F.struct("a", "b", "start_a", "words_a", "start_b", "words_b")).alias("lines"))
-    by_docs = scratch.save(by_docs, f"{name}-pairs")
-    ids = scratch.save(by_docs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), f"{name}-docs")
-    texts = only_ids(docs.select("doc_id", "text"), ids, ids.count())
+def _matches(docs: DataFrame, scratch: Scratch, run_rows: DataFrame, min_words: int, spread: int) -> DataFrame:
+    """(doc_id, keeper, start, end, core, core_end, hash, check): what a document shares with the first
+    one that holds it, by equal runs, verified and extended to the true ends."""
+    keepers = run_rows.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high")).where("keeper <> high").select("key", "keeper")
+    held = scratch.save(run_rows.join(scratch.save(keepers, "run-keepers"), "key"), "held-runs")
+    kept = scratch.save(held.where("doc_id = keeper").groupBy("key").agg(F.min("start").alias("kept_start")), "kept-runs")
+    placed = held.where("doc_id <> keeper").join(kept, "key").select("doc_id", "keeper", "start", "words", "kept_start").distinct()
+    # Overlapping runs of one diagonal are one match; text that repeats itself matches by its first run.
+    plain = placed.where(F.col("words") == min_words).withColumn("diagonal", F.col("start") - F.col("kept_start"))
+    along = Window.partitionBy("doc_id", "keeper", "diagonal").orderBy("start")
+    new = F.when(F.col("start") <= F.lag("start").over(along) + min_words, 0).otherwise(1)
+    plain = plain.withColumn("new", new).withColumn("match", F.sum("new").over(along)).groupBy("doc_id", "keeper", "diagonal", "match").agg(
+        F.min("start").alias("start"), (F.max("start") + min_words).alias("end"), F.min("kept_start").alias("kept_start")
+    )
+    matches = plain.select("doc_id", "keeper", "start", "end", F.col("end").alias("core_end"), "kept_start").unionByName(
+        placed.where(F.col("words") > min_words).select("doc_id", "keeper", "start", (F.col("start") + F.col("words")).alias("end"), (F.col("start") + min_words).alias("core_end"), "kept_start")
+    )
+    matches = scratch.save(matches.withColumn("kept_end", F.col("kept_start") + F.col("core_end") - F.col("start")), "matches")
+    scratch.drop(held, kept)
+
+    own = matches.select("doc_id", F.struct("start", "core_end", "end").alias("r"))
+    other = matches.select(F.col("keeper").alias("doc_id"), F.struct(F.col("kept_start").alias("start"), F.col("kept_end").alias("core_end"), F.col("kept_end").alias("end")).alias("r"))
+    wanted = own.union(other).distinct().groupBy("doc_id").agg(F.collect_list("r").alias("asked"))  # at most the places of a document
+    reach = spread - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(blocks(batches, "text_a"), "text_b"):
-            sides = []
-            for c in ("text_a", "text_b"):
-                w = Words(block.column(c))
-                sides.append((w.first, rolled(w.hash, SHINGLE)))
-            a, b = [], []
-            for i, lines in enumerate(block.column("lines").to_pylist()):
-                for x in lines:
-                    left, right = (
-                        np.unique(shingle[first[i] + x[f"start_{s}"] : first[i] + x[f"start_{s}"] + x[f"words_{s}"] - SHINGLE + 1])
-                        for s, (first, shingle) in zip("ab", sides, strict=True)
-                    )
-                    both = np.intersect1d(left, right, assume_unique=True).size
-                    if 100 * both >= threshold * (left.size + right.size - both):
-                        a.append(x["a"])
-                        b.append(x["b"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    links = (
-        by_docs.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-        .join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
-        .select("text_a", "text_b", "lines")
-        .mapInArrow(run, "a long, b long")
+        for block in blocks(batches):
+            w = Words(block.column("text"))
+            ids, rows = block.column("doc_id").to_pylist(), []
+            for i, asked in enumerate(block.column("asked").to_pylist()):
+                h = w.hash[w.first[i] : w.first[i + 1]].view(np.int64)
+                rows += [(ids[i], r["start"], r["core_end"], r["end"], h[max(0, r["start"] - reach) : r["start"]][::-1], h[r["end"] : r["end"] + reach], i) for r in asked if r["end"] <= h.size]
+            base = w.first[np.array([r[6] for r in rows], np.int64)]
+            start, core = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), *map(pa.array, digests(w.hash, base + start, base + core)), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (4, 5))],
+                names=["doc_id", "start", "core_end", "end", "hash", "check", "before", "after"],
+            )
+
+    schema = "doc_id long, start long, core_end long, end long, hash long, check long, before array<long>, after array<long>"
+    context = scratch.save(_asked(docs, scratch, wanted, "matches").mapInArrow(run, schema).distinct(), "contexts")
+    kept = context.select(F.col("doc_id").alias("keeper"), F.col("start").alias("kept_start"), F.col("core_end").alias("kept_end"), *(F.col(c).alias(f"kept_{c}") for c in ("hash", "check", "before", "after")))
+    both = matches.join(context, ["doc_id", "start", "core_end", "end"]).join(kept, ["keeper", "kept_start", "kept_end"]).where("hash = kept_hash and check = kept_check")
+    after = F.when(F.col("end") == F.col("core_end"), _common("after", "kept_after")).otherwise(0)
+    out = both.select(
+        "doc_id", "keeper", (F.col("start") - _common("before", "kept_before")).alias("start"), (F.col("end") + after).alias("end"), F.col("start").alias("core"), "core_end", "hash", "check"
     )
-    links = scratch.save(links, f"{name}-links")
-    scratch.drop(by_docs, ids)
-    return links
+    out = scratch.save(out.distinct(), "removed-runs")
+    scratch.drop(matches, context)
+    return out
+
 
+def _common(a: str, b: str) -> Column:
+    """Number of equal elements from the front of two arrays."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same).cast("long"))
 
-def removals(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, spread: int = SPREAD, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, start, words, keeper): word ranges to remove and the document that keeps each."""
+
+def removals(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, spread: int = SPREAD, threshold: int = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, keeper, start, end, core, core_end, hash, check): word ranges to remove, the document
+    that keeps each, and the hashes of the words from core to core_end."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = scratch.save(segments(docs, min_words, spread), "segments")
-    lines = parts.where("is_line")
-    firsts = scratch.save(
-        lines.groupBy("key").agg(
-            F.min(F.struct("doc_id", "start", "words")).alias("first"), F.max("doc_id").alias("last_doc"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
-        ),
-        "firsts",
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    n_bands, rows = tuned_bands(threshold, recall)
+    parts = scratch.save(segments(docs, min_words, spread, n_bands, rows), "segments")
+    all_blocks = parts.where("is_block")
+    # Two different blocks with one key, told apart by the second hash, are left alone.
+    firsts = all_blocks.groupBy("key").agg(
+        F.min("check").alias("check"), F.max("check").alias("other"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.min(f"band{b}").alias(f"band{b}") for b in range(n_bands))
     )
-    links = _near_lines(docs, scratch, firsts, threshold)
+    firsts = scratch.save(firsts.where("check = other").drop("check", "other"), "firsts")
+    links = _near_blocks(docs, scratch, firsts, min_words, threshold)
     labels = connected_components(spark, scratch, links).withColumnRenamed("node", "key")
-    clustered = firsts.join(labels, "key", "left").select(
-        "key", F.coalesce("component", "key").alias("component"), F.col("first.doc_id").alias("low"), F.col("last_doc").alias("high")
+    clustered = scratch.save(firsts.join(labels, "key", "left").select("key", F.coalesce("component", "key").alias("component"), "low", "high"), "clustered")
+    shared = scratch.save(
+        clustered.groupBy("component").agg(F.min("low").alias("keeper"), F.max("high").alias("high")).where("keeper <> high").select("component", "keeper"), "shared"
     )
-    shared = clustered.groupBy("component").agg(F.min("low").alias("keeper"), F.max("high").alias("high")).where("keeper <> high")
-    line_keepers = clustered.join(shared.select("component", "keeper"), "component").select("key", "keeper")
-    # Running paragraphs: the smallest id and the largest one of a key tell whether it repeats.
-    runs_ = parts.where("not is_line").select("key", "doc_id", "start", "words")
-    run_keepers = runs_.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high")).where("keeper <> high").select("key", "keeper")
-    return _held(lines, scratch.save(line_keepers, "line-keepers")).union(_held(runs_, scratch.save(run_keepers, "run-keepers")))
-
-
-def _held(parts: DataFrame, keepers: DataFrame) -> DataFrame:
-    """Paragraphs that another document keeps (an ordinary join: keepers grow with the corpus)."""
-    return parts.join(keepers, "key").where("doc_id <> keeper").select("doc_id", "start", "words", "keeper")
+    keepers = scratch.save(clustered.join(shared, "component").select("key", "keeper"), "block-keepers")
+    scratch.drop(firsts, clustered, shared)
+    end = F.col("start") + F.col("words")
+    removed = all_blocks.join(keepers, "key").where("doc_id <> keeper").select(
+        "doc_id", "keeper", "start", end.alias("end"), F.col("start").alias("core"), end.alias("core_end"), F.col("key").alias("hash"), "check"
+    )
+    removed = scratch.save(removed.distinct(), "removed-blocks")
+    matches = _matches(docs, scratch, parts.where("not is_block").select("key", "doc_id", "start", "words"), min_words, spread)
+    scratch.drop(parts, keepers)
+    return removed.unionByName(matches)
 
 
 def _merged(removed: DataFrame, *keys: str) -> DataFrame:
-    """Merged word ranges [start, end) in order, for each combination of keys."""
+    """Merged word ranges [start, end) in order, for each combination of keys (those of one document)."""
     ordered = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    ranges = removed.select(*keys, "start", (F.col("start") + F.col("words")).alias("end"))
-    islands = ranges.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(ordered))
+    islands = removed.select(*keys, "start", "end").distinct().withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(ordered))
     return (
         islands.groupBy(*keys, "island")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
@@ -320,20 +345,15 @@ def repeats(docs: DataFrame, **options) -> DataFrame:
     return merged.select("doc_id", F.col("keeper").alias("keeper_id"), text.alias("ranges"))
 
 
-def _fresh(df: DataFrame, name: str) -> str:
-    """A column name that the table doesn't have."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
-
-
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated passages cut out of the text; n_chars follows the text."""
     scratch = Scratch(docs.sparkSession, "passages")
-    ranges_, id_ = (_fresh(docs, c) for c in ("ranges", "removed_id"))
-    removed = scratch.save(_merged(removals(docs, scratch, **options), "doc_id").select(F.col("doc_id").alias(id_), F.col("ranges").alias(ranges_)), "removed")
-    small = removed.count() * 100 <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(removed) if small else removed, docs["doc_id"].cast("long") == F.col(id_), "left").drop(id_)
+    ranges_, id_ = (fresh(docs, c) for c in ("ranges", "removed_id"))
+    fields = ("start", "end", "core", "core_end", "hash", "check")
+    removed = removals(docs, scratch, **options).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(F.struct(*fields)).alias(ranges_))
+    removed = scratch.save(removed, "removed")
+    size = removed.agg(F.sum(F.size(ranges_) * 64 + 64)).first()[0] or 0
+    joined = docs.join(F.broadcast(removed) if size <= BROADCAST_BYTES else removed, docs["doc_id"].cast("long") == F.col(id_), "left").drop(id_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -343,8 +363,13 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
             touched = np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False))
             if touched.size:
                 text = block.column("text").to_pylist()
+                w = Words(block.column("text"))
                 for i in touched.tolist():
-                    text[i] = cut(text[i], [(r["start"], r["end"]) for r in ranges[i].as_py()])
+                    h = w.hash[w.first[i] : w.first[i + 1]]
+                    asked = [r for r in ranges[i].as_py() if r["end"] <= h.size]
+                    own = digests(h, *(np.array([r[c] for r in asked], np.int64) for c in ("core", "core_end")))
+                    sure = [r for r, a, b in zip(asked, *(x.tolist() for x in own), strict=True) if (a, b) == (r["hash"], r["check"])]
+                    text[i] = cut(text[i], [(r["start"], r["end"]) for r in sure])
                 out = out.set_column(place, out.schema.field(place), pa.array(text, out.schema.field(place).type))
             yield out
 
@@ -354,14 +379,17 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     return out
 
 
-def cut(text: str, ranges: list[tuple[int, int]]) -> str:
-    """A text without the given word ranges; the blank bytes behind a range go with it."""
+def cut(text: str | None, ranges: list[tuple[int, int]]) -> str | None:
+    """A text without the given word ranges (which may overlap); the blank bytes behind a range go with it."""
+    if not ranges:
+        return text
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
-    start, end = runs(~BLANK[data])
+    start, _ = runs(~BLANK[data])
     start = np.append(start, len(raw))
     out, at = [], 0
-    for a, b in ranges:
-        out.append(raw[at : start[a]])
-        at = int(start[min(b, start.size - 1)])
+    for a, b in sorted(ranges):
+        if start[a] > at:
+            out.append(raw[at : start[a]])
+        at = max(at, int(start[min(b, start.size - 1)]))
     return b"".join([*out, raw[at:]]).decode()

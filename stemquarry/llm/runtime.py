@@ -33,8 +33,11 @@ BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor (once per application), and bound Arrow batches
-    where the session leaves Spark's limits as they are."""
+    """Make this package importable on every executor (once per application).
+
+    Where the session leaves Spark's limits of Arrow batches as they are, they are set to smaller
+    ones, and stay so (README says this): results are lazy, so they can't be put back here.
+    """
     for key, default, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES),
@@ -54,15 +57,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a private one only where the session names none (tests)."""
+    """The shared checkpoint folder.  Where the session names none, a local session (tests) gets a
+    folder of its own; on a cluster that folder would be a different one on each machine: an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stemquarry-checkpoint")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark can write to."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -89,15 +96,18 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that later steps no longer read."""
         for t in tables:
-            _remove(self.spark, t.scratch_path)
+            remove(self.spark, t.scratch_path)
 
 
 @atexit.register
-def _sweep() -> None:
-    for spark, base in _LEFT:
+def release() -> None:
+    """Delete the intermediate tables of all results made so far.  Long sessions call it once they
+    have written their results; the end of the application does it anyway."""
+    while _LEFT:
+        spark, base = _LEFT.pop()
         try:
             if spark.sparkContext._jsc is not None:
-                _remove(spark, base)
+                remove(spark, base)
         except Exception:  # noqa: BLE001  the application has ended; nothing to report to
             return
 
@@ -120,13 +130,22 @@ def except_ids(df: DataFrame, ids: DataFrame, n_ids: int, key: str = "doc_id") -
     return df.join(ids, key, "left_anti").select(df.columns)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def connected_components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Label nodes of ``edges(a long, b long)`` with the smallest reachable node id.
 
     Alternates min-label propagation over the edges with pointer jumping, so path lengths shrink
-    geometrically.  Labels are aggregated map-side before each shuffle, which keeps hub nodes from
-    becoming one large group; lineage is cut each round.  Returns (node, component) for every node
-    that has an edge; an empty edge list gives an empty table.
+    geometrically.  Labels are aggregated map-side before each shuffle.  The two joins whose keys can
+    be hot (the edges of a hub, the members of a component) read written tables on both sides and
+    have one row for each key on the other side, so Spark splits their large partitions; lineage is
+    cut by those tables.  Returns (node, component) for every node that has an edge; an empty edge
+    list gives an empty table.
     """
     both = scratch.save(
         edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(),
@@ -134,22 +153,16 @@ def connected_components(spark: SparkSession, scratch: Scratch, edges: DataFrame
     )
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "cc-labels")
     while True:
-        seen = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("seen"))
-        )
-        step = labels.join(seen, "node", "left").select(
-            "node", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component")
-        )
-        hop = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        jumped = step.join(hop, "component", "left").select(
-            "node", "old", F.least("component", F.coalesce("up", "component")).alias("component")
+        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
+        step = scratch.save(
+            labels.join(seen, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component")), "cc-step"
         )
-        new = scratch.save(jumped, "cc-labels")
-        moved = new.where("old <> component").limit(1).count()
         scratch.drop(labels)
-        labels = new
-        if not moved:
+        if not step.where("old <> component").limit(1).count():  # neighbours agree everywhere
             scratch.drop(both)
-            return labels.select("node", "component")
+            return step.select("node", "component")
+        # Only nodes that are some node's label are looked up.
+        roots = step.select("component").distinct()
+        up = scratch.save(roots.join(step.select(F.col("node").alias("component"), F.col("component").alias("up")), "component"), "cc-up")
+        labels = scratch.save(step.join(up, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component")), "cc-labels")
+        scratch.drop(step, up)

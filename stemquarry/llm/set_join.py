@@ -1,7 +1,7 @@
 """Operator 2: n-gram Jaccard join, size-aware (heavy-light).
 
 A document's set holds its distinct k-word shingles as 64-bit hashes.  Documents with equal sets
-are one class from the start (grouped by a hash of the set), so copies are never paired.  Classes
+are one class from the start (grouped by a 128-bit hash of the set), so copies are never paired.  Classes
 link when ``100 * intersection >= threshold * union``.
 
 Light sets (size at most a boundary) enumerate fixed-size subsets: two sets of sizes a and b link
@@ -10,15 +10,17 @@ subsets of every c that a partner size allows, and equal subset keys are links.
 inverted lists: under one global order of shingles, linked sets share an element among the first
 ``n - ceil(t n) + 1`` of each, so only those enter the lists.  Light sets near the boundary enter
 them too, for their heavy partners.  The order is by hash, except that shingles which are common
-in a bounded sample of documents come last; any order is right, this one keeps lists short.  The
-boundary is the one at which the estimated work of both sides is least.
+in a sample of documents come last; any order is right, this one keeps lists short.  The boundary is
+the one at which the estimated work of both sides is least, from the measured number of sets of each
+size and the measured length of the lists that an entry meets.
 
 Lists are resolved without pairing a group with itself.  First every class is compared with one
 hub, the smallest class of its lists, which ties groups of near copies together.  Then pairs whose
-members are still in different components are enumerated, under exact bounds: sizes, the entries
-that can follow the first shared list, and the number of lists shared; what is left is verified on
-whole sets.  Hub links are only a shortcut: a pair
-that the second step leaves out is in one component already.
+members are still in different components are enumerated, list by list and size class by size
+class, under exact bounds: sizes, the entries that can follow the first shared list, and the number
+of lists shared; what is left is verified on whole sets, which are made once for each document of a
+pair.  Hub links are only a shortcut: a pair that the second step leaves out is in one component
+already.
 
 Defined results: null text, empty text and text without words have an empty set, n_shingles 0 and
 are linked with nothing (component_id is their own doc_id); fewer than k words are one shingle;
@@ -39,14 +41,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import BROADCAST_ROWS, Scratch, connected_components, only_ids, ship
-from .textkernel import blocks, distinct_sets, mix
+from .textkernel import blocks, digests, distinct_sets, mix
 
-#: Documents of the sample that tells common shingles and list lengths (bounded, see _plan).
+#: Documents of the sample that tells common shingles and list lengths; it grows with the square root
+#: of the table beyond 4 million documents.
 SAMPLE_DOCS = 4000
 #: A shingle in at least this many documents of the sample comes last in the order.
 COMMON_IN_SAMPLE = 4
-#: Candidate boundaries between light and heavy sets.
-LARGEST_LIGHT = 14
+#: The commonest shingles of the sample that the order knows, at most (8 bytes each in every task).
+COMMON_KEYS = 1_000_000
+#: Subset keys that one light set may emit; boundaries beyond that aren't considered.
+LIGHT_KEYS = 50_000
 
 
 def least_shared(a: int, b: int, t: int) -> int:
@@ -71,11 +76,27 @@ def light_work(n: int, boundary: int, t: int) -> int:
     return sum(math.comb(n, c) for c in subset_sizes(n, boundary, t))
 
 
-def set_hash(x: np.ndarray) -> int:
-    """Signed 64-bit hash of a sorted set."""
-    with np.errstate(over="ignore"):
-        at = np.arange(1, x.size + 1, dtype=np.uint64)
-        return int(mix(np.array([np.bitwise_xor.reduce(mix(x * np.uint64(0x9E3779B97F4A7C15) + at)) + np.uint64(x.size)], np.uint64)).astype(np.int64)[0])
+def chosen_boundary(sizes: dict[int, int], met: float, t: int) -> int:
+    """The boundary of least work: subset keys of light sets against prefix entries of heavy ones.
+
+    ``sizes`` counts sets by size, ``met`` is the number of other entries that one list entry meets.
+    """
+    heavy = lambda n: prefix_length(n, t) * (1 + met)
+    best, least, b = 0, None, 0
+    while b == 0 or light_work(b, b, t) <= LIGHT_KEYS:
+        work = sum(m * (light_work(n, b, t) if n <= b else 0) + m * (heavy(n) if 100 * n // t > b else 0) for n, m in sizes.items())
+        if least is None or work < least:
+            best, least = b, work
+        b += 1
+    return best
+
+
+def largest_light(t: int) -> int:
+    """The largest boundary that is considered."""
+    n = 1
+    while light_work(n + 1, n + 1, t) <= LIGHT_KEYS:
+        n += 1
+    return n
 
 
 def keys_of(x: np.ndarray, common: np.ndarray, boundary: int, t: int) -> np.ndarray:
@@ -96,7 +117,7 @@ def keys_of(x: np.ndarray, common: np.ndarray, boundary: int, t: int) -> np.ndar
 
 
 def _sets_table(docs: DataFrame, k: int, share: float) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, sample): ``sample`` holds the set itself for a share of the documents."""
+    """(doc_id, n_shingles, set_hash, set_check, sample): ``sample`` holds the set itself for a share of the documents."""
     below = np.uint64(min(share, 1.0) * 0.999999 * 2**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,30 +125,34 @@ def _sets_table(docs: DataFrame, k: int, share: float) -> DataFrame:
             sets = distinct_sets(block.column("text"), k)
             ids = block.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
             chosen = (mix(ids + np.uint64(77)) <= below).tolist()
+            size = np.array([s.size for s in sets], np.int64)
+            end = np.cumsum(size)
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column("doc_id"),
-                    pa.array([s.size for s in sets], pa.int64()),
-                    pa.array([set_hash(s) if s.size else 0 for s in sets], pa.int64()),
+                    pa.array(size),
+                    *map(pa.array, digests(np.concatenate(sets), end - size, end)),
                     pa.array([s.astype(np.int64) if c and s.size else None for s, c in zip(sets, chosen, strict=True)], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_hash", "sample"],
+                names=["doc_id", "n_shingles", "set_hash", "set_check", "sample"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long, sample array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long, set_check long, sample array<long>")
 
 
 def _plan(sets: DataFrame, n: int, t: int, sample_docs: int) -> tuple[np.ndarray, int]:
     """(common shingles, boundary) from the sampled sets, about ``sample_docs`` of n documents.
 
-    What the driver receives is bounded by the sample: shingles of at least COMMON_IN_SAMPLE of its
-    distinct sets.  It steers the order and the cost only, never the result.
+    The driver receives at most COMMON_KEYS shingles and a count for each small size.  They steer
+    the order and the cost only, never the result.
     """
-    seen = sets.where("sample is not null").dropDuplicates(["set_hash"]).select(F.explode("sample").alias("key"))
-    common = seen.groupBy("key").count().where(F.col("count") >= COMMON_IN_SAMPLE).select("key").toPandas()["key"].to_numpy(np.int64)
-    lists = 1.0 + COMMON_IN_SAMPLE * max(1, n) / max(1, sample_docs) / 50  # mean entries met for one list key
-    work = {b: sum(light_work(m, b, t) for m in range(1, b + 1)) + sum(prefix_length(m, t) * (1 + lists) for m in range(b + 1, LARGEST_LIGHT + 5)) for b in range(LARGEST_LIGHT + 1)}
-    return np.sort(common.astype(np.uint64)), min(work, key=work.get)
+    seen = sets.where("sample is not null").dropDuplicates(["set_hash", "set_check"]).select(F.explode("sample").alias("key")).groupBy("key").count()
+    common = seen.where(F.col("count") >= COMMON_IN_SAMPLE).orderBy(F.desc("count"), "key").limit(COMMON_KEYS).select("key").toPandas()["key"].to_numpy(np.int64)
+    # Entries of the sample that a list entry meets, for shingles that aren't common, and in the whole table.
+    met = seen.where(F.col("count") < COMMON_IN_SAMPLE).agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("met")).first()["met"] or 1.0
+    met = (met - 1) * max(1.0, n / max(1, sample_docs))
+    sizes = sets.where(F.col("n_shingles").between(1, 100 * (largest_light(t) + 1) // t)).groupBy("n_shingles").count()
+    return np.sort(common.astype(np.uint64)), chosen_boundary({r["n_shingles"]: r["count"] for r in sizes.collect()}, met, t)
 
 
 def _entries(docs: DataFrame, common: np.ndarray, boundary: int, k: int, t: int) -> DataFrame:
@@ -152,30 +177,88 @@ def _entries(docs: DataFrame, common: np.ndarray, boundary: int, k: int, t: int)
     return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, n int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n_ids: int, ids: DataFrame, k: int, t: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets link.  Only texts of documents in a pair are moved."""
+def element_sets(docs: DataFrame, ids: DataFrame, n_ids: int, k: int) -> DataFrame:
+    """(doc_id, elements): the whole sets of the documents in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(blocks(batches, "text_a"), "text_b"):
-            left, right = (distinct_sets(block.column(c), k) for c in ("text_a", "text_b"))
-            both = np.array([np.intersect1d(x, y, assume_unique=True).size for x, y in zip(left, right, strict=True)])
-            union = np.array([x.size + y.size for x, y in zip(left, right, strict=True)]) - both
-            yield block.select(["a", "b"]).filter(pa.array((union > 0) & (100 * both >= t * union)))
+        for block in blocks(batches):
+            sets = [s.astype(np.int64) for s in distinct_sets(block.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "elements"])
 
-    texts = only_ids(docs.select("doc_id", "text"), ids, n_ids)
+    return only_ids(docs.select("doc_id", "text"), ids, n_ids).mapInArrow(run, "doc_id long, elements array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets, from sets(doc_id, elements), link.
+
+    The set of b travels to a: of hub pairs, where one a has many b, every set travels once.
+    """
+    both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     return (
         pairs.select("a", "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .mapInArrow(run, "a long, b long")
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("of_b")), "b")
+        .join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("of_a")), "a")
+        .where((F.size("of_a") > 0) & ((100 + t) * both >= t * (F.size("of_a") + F.size("of_b"))))
+        .select("a", "b")
+        .distinct()
     )
 
 
-def _links(spark: SparkSession, scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str, k: int, t: int) -> DataFrame:
-    pairs = scratch.save(pairs, f"{name}-pairs")
+def pairs_across(scratch: Scratch, known: DataFrame, t: int, boundary: int) -> DataFrame:
+    """(a, b): pairs of different components that share a list and can still link.
+
+    ``known(key, doc_id, n, component)`` holds list entries: prefix elements of sets of n elements,
+    and subset keys of sets up to the boundary.  In a list, the members outside its largest
+    component meet all members; those inside it don't meet each other, so a large group of near
+    copies costs no pairs of its own.  Lists are split by size class: sizes of a link differ by no
+    more than a class.
+    """
+    mixed = known.groupBy("key", "component").agg(F.count("*").alias("own")).groupBy("key").agg(
+        F.sum("own").alias("size"), F.max_by("component", F.struct("own", "component")).alias("main"), F.count("*").alias("components")
+    )
+    mixed = scratch.save(mixed.where("components > 1").drop("components"), "mixed")
+    by_doc = Window.partitionBy("doc_id")
+    ranked = known.join(mixed, "key").select(
+        "key", "doc_id", "n", "component", (F.col("component") == F.col("main")).alias("in_main"),
+        F.row_number().over(by_doc.orderBy("size", "key")).alias("rank"), F.count("*").over(by_doc).alias("entries"),
+        F.floor(F.log(F.col("n")) / math.log(100 / t * 1.001)).cast("int").alias("class"),
+    )
+    open_lists = scratch.save(ranked, "open")
+    scratch.drop(mixed)
+    left, right = (
+        open_lists.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "component", "in_main", "rank", "entries", "class"))) for side in "ab"
+    )
+    left = left.where("not in_main_a").withColumn("class", F.explode(F.sequence(F.col("class_a") - 1, F.col("class_a") + 1)))
+    right = right.withColumnRenamed("class_b", "class")
+    # Shortest lists first, the first list that a pair shares leaves at most the entries behind it.
+    possible = 1 + F.least(F.col("entries_a") - F.col("rank_a"), F.col("entries_b") - F.col("rank_b"))
+    once = F.col("in_main_b") | (F.col("doc_id_a") < F.col("doc_id_b"))
+    swap = F.col("doc_id_a") > F.col("doc_id_b")
+    ordered = lambda c, x, y: F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}"))
+    pairs = (
+        left.join(right, ["key", "class"])
+        .where(once & (F.col("component_a") != F.col("component_b")) & _near("n_a", "n_b", t))
+        .where(_enough_shared("n_a", "n_b", possible, boundary, t))
+        .select(ordered("doc_id", "a", "b").alias("a"), ordered("doc_id", "b", "a").alias("b"), ordered("n", "a", "b").alias("n_a"), ordered("n", "b", "a").alias("n_b"))
+        .distinct()
+    )
+    keys = open_lists.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most one prefix long
+    rest = (
+        pairs.join(keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("keys_a")), "a")
+        .join(keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("keys_b")), "b")
+        .where(_enough_shared("n_a", "n_b", F.size(F.array_intersect("keys_a", "keys_b")), boundary, t))
+    )
+    rest = scratch.save(rest.select("a", "b"), "rest")
+    scratch.drop(open_lists)
+    return rest
+
+
+def _links(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str, k: int, t: int) -> DataFrame:
+    """The saved pairs that link."""
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    links = scratch.save(verified(docs, pairs, ids.count(), ids, k, t), f"{name}-links")
-    scratch.drop(pairs, ids)
+    sets = scratch.save(element_sets(docs, ids, ids.count(), k), f"{name}-sets")
+    links = scratch.save(verified(pairs, sets, t), f"{name}-links")
+    scratch.drop(pairs, ids, sets)
     return links
 
 
@@ -187,13 +270,13 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, samp
     t = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_docs = docs.count()
+    sample_docs = max(sample_docs, 2 * math.isqrt(n_docs))
     all_sets = scratch.save(_sets_table(docs, k, sample_docs / max(1, n_docs)), "sets")
-    sets = all_sets.select("doc_id", "n_shingles", "set_hash")
-    classes = scratch.save(
-        sets.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
-    )
+    sets = all_sets.select("doc_id", "n_shingles", "set_hash", "set_check")
+    same = ["set_hash", "set_check"]
+    classes = scratch.save(sets.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # Rows that repeat another's set carry no list entries of their own.
-    repeats = sets.join(classes.where("copies > 1"), ["set_hash", "n_shingles"]).where("doc_id <> rep").select("doc_id")
+    repeats = sets.where("n_shingles > 0").join(scratch.save(classes.where("copies > 1"), "copied"), same).where("doc_id <> rep").select("doc_id")
     repeats = scratch.save(repeats.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "repeats")
     common, boundary = _plan(all_sets, n_docs, t, sample_docs)
     first = docs.where("doc_id is not null")
@@ -204,65 +287,30 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, samp
     entries = scratch.save(entries, "entries")
 
     lists = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("hub")).where("size > 1")
-    lists = lists.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("n_hub"))
+    lists = scratch.save(lists.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("n_hub")), "lists")
     met = scratch.save(entries.join(lists, "key"), "met")
-    scratch.drop(entries)
+    scratch.drop(entries, lists)
 
     # One hub for each class: the one it shares most list entries with, if half of what a link needs.
     shared = met.where("doc_id <> hub").where(_near("n", "n_hub", t)).groupBy("doc_id", "hub", "n", "n_hub").agg(F.count("*").alias("s"))
     shared = shared.where(_enough_shared("n", "n_hub", 2 * F.col("s"), boundary, t))
     hubs = shared.groupBy("doc_id").agg(F.max_by("hub", F.struct("s", -F.col("hub"))).alias("hub"))
-    links = _links(spark, scratch, first, hubs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), "hub", k, t)
+    links = _links(scratch, first, scratch.save(hubs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), "hub-pairs"), "hub", k, t)
     labels = connected_components(spark, scratch, links)
 
     # Lists that still meet several components: every pair of them across components.
     known = met.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = scratch.save(known.select("key", "doc_id", "n", "component"), "known")
     scratch.drop(met)
-    # In a list, the members outside its largest component meet all members; those inside it don't
-    # meet each other, so a large group of near copies costs no pairs of its own.
-    mixed = known.groupBy("key", "component").agg(F.count("*").alias("own")).groupBy("key").agg(
-        F.sum("own").alias("size"), F.max_by("component", F.struct("own", "component")).alias("main"), F.count("*").alias("components")
-    )
-    by_doc = Window.partitionBy("doc_id")
-    ranked = known.join(mixed.where("components > 1").drop("components"), "key").select(
-        "key", "doc_id", "n", "component", (F.col("component") == F.col("main")).alias("in_main"),
-        F.row_number().over(by_doc.orderBy("size", "key")).alias("rank"), F.count("*").over(by_doc).alias("entries"),
-    )
-    open_lists = scratch.save(ranked, "open")
+    rest = pairs_across(scratch, known, t, boundary)
     scratch.drop(known)
-    left, right = (
-        open_lists.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "component", "in_main", "rank", "entries"))) for side in "ab"
-    )
-    # Shortest lists first, the first list that a pair shares leaves at most the entries behind it.
-    possible = 1 + F.least(F.col("entries_a") - F.col("rank_a"), F.col("entries_b") - F.col("rank_b"))
-    once = F.col("in_main_b") | (F.col("doc_id_a") < F.col("doc_id_b"))
-    swap = F.col("doc_id_a") > F.col("doc_id_b")
-    ordered = lambda c, x, y: F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}"))
-    pairs = (
-        left.where("not in_main_a")
-        .join(right, "key")
-        .where(once & (F.col("component_a") != F.col("component_b")) & _near("n_a", "n_b", t))
-        .where(_enough_shared("n_a", "n_b", possible, boundary, t))
-        .select(ordered("doc_id", "a", "b").alias("a"), ordered("doc_id", "b", "a").alias("b"), ordered("n", "a", "b").alias("n_a"), ordered("n", "b", "a").alias("n_b"))
-        .distinct()
-    )
-    keys = open_lists.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most one prefix long
-    rest = (
-        pairs.join(keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("keys_a")), "a")
-        .join(keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("keys_b")), "b")
-        .where(_enough_shared("n_a", "n_b", F.size(F.array_intersect("keys_a", "keys_b")), boundary, t))
-    )
-    more = _links(spark, scratch, first, rest.select("a", "b"), "rest", k, t)
+    more = _links(scratch, first, rest, "rest", k, t)
     labels = connected_components(spark, scratch, links.union(more))
+    scratch.drop(links, more)
 
-    # Classes to documents.
-    classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_hash", "n_shingles", F.coalesce("component", "rep").alias("component")
-    )
-    return sets.join(classes, ["set_hash", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
+    # Classes to documents; each class is one row, so a large class splits.
+    classes = scratch.save(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component")), "labelled")
+    return sets.join(classes, same, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _near(n: str, m: str, t: int) -> Column:

@@ -1,26 +1,30 @@
 """Vectorised text primitives over Arrow batches (numpy on UTF-8 bytes, no per-row Python).
 
 A block is a run of texts laid end to end with one newline byte after each.  Word starts, word
-ends and 64-bit word hashes come from whole-block array passes; the hash of a word is the
-difference of two prefix sums of byte * base**position, brought back to position zero, so its
-cost does not depend on word length.
+ends and 64-bit word hashes come from whole-block array passes.  A word is hashed eight bytes at a
+time: each step mixes the bytes into the state by a bijection, so different words of up to eight
+bytes and equal length never share a hash; long words are hashed by xxh3.  Runs of words are hashed
+by mixing the hashes of runs of half the length, never by plain sums or polynomials, whose
+collisions structured texts can hit.
 """
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Text bytes handled at once.  Array temporaries are about 60 bytes for each of them.
 BLOCK_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes up to which a word is mixed in array passes.
+_SHORT = 32
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -59,19 +63,6 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, ends - size, ends
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.full(n, _BASE, np.uint64)
-        down = np.full(n, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, int(n).bit_length()))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     with np.errstate(over="ignore"):
@@ -103,13 +94,48 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for each span."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end] for each span; hashes of other seeds are independent."""
+    with np.errstate(over="ignore"):
+        size = ends - starts
+        out = mix(size.astype(np.uint64) * _ODD + np.uint64(seed + 1))
+        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+        for at in range(0, _SHORT, 8):
+            live = np.flatnonzero((size > at) & (size <= _SHORT))
+            if not live.size:
+                break
+            chunk = np.ascontiguousarray(eight[starts[live] + at]).view("<u8").ravel() & _KEEP[np.minimum(size[live] - at, 8)]
+            out[live] = mix(out[live] ^ chunk)
+        raw = memoryview(np.ascontiguousarray(data))
+        for i in np.flatnonzero(size > _SHORT).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], seed)
+        return out
+
+
+def rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` successive hashes, put together from runs of powers of two."""
+    n = h.size - size + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        up, down = powers(data.size)
-        sums = np.zeros(data.size + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: data.size], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        out, power, width, at = np.full(n, size, np.uint64), h, 1, 0
+        while True:
+            if size & width:
+                out = mix(out * _ODD + power[at : at + n])
+                at += width
+            width *= 2
+            if width > size:
+                return out
+            half = width // 2
+            power = mix(power[:-half] * _ODD + power[half:])
+
+
+def digests(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit identities of h[start:end] as two signed 64-bit columns."""
+    raw = memoryview(np.ascontiguousarray(h)).cast("B")
+    found = b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    both = np.frombuffer(found, "<i8").reshape(-1, 2)
+    return both[:, 0].astype(np.int64), both[:, 1].astype(np.int64)
 
 
 class Words:
@@ -134,25 +160,18 @@ def shingle_hashes(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
     A document of 1 to k - 1 words has its whole sequence as one shingle; one without words none.
     """
-    with np.errstate(over="ignore"):
-        h, n = words.hash, words.count
-        acc = np.zeros(max(0, h.size - k + 1), np.uint64)
-        for j in range(k):
-            acc = acc * _BASE + h[j : j + acc.size]
-        acc = mix(acc + np.uint64(k))
-        made = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
-        first = np.concatenate(([0], np.cumsum(made)))
-        out = np.zeros(first[-1], np.uint64)
-        doc = np.repeat(np.arange(n.size), made)
-        at = words.first[:-1][doc] + np.arange(first[-1]) - first[:-1][doc]
-        full = n[doc] >= k
-        out[full] = acc[at[full]]
-        for i in np.flatnonzero((n > 0) & (n < k)):
-            x = np.uint64(0)
-            for v in h[words.first[i] : words.first[i + 1]]:
-                x = x * _BASE + v
-            out[first[i]] = mix(np.array([x + np.uint64(n[i])], np.uint64))[0]
-        return out, first
+    h, n = words.hash, words.count
+    all_runs = rolled(h, k)
+    made = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
+    first = np.concatenate(([0], np.cumsum(made)))
+    out = np.zeros(first[-1], np.uint64)
+    doc = np.repeat(np.arange(n.size), made)
+    at = words.first[:-1][doc] + np.arange(first[-1]) - first[:-1][doc]
+    full = n[doc] >= k
+    out[full] = all_runs[at[full]]
+    for i in np.flatnonzero((n > 0) & (n < k)).tolist():
+        out[first[i]] = rolled(h[words.first[i] : words.first[i + 1]], int(n[i]))[0]
+    return out, first
 
 
 def distinct_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:

@@ -466,27 +466,69 @@ def test_near_lines_of_templated_families_against_brute_force(spark):
     assert whole == want
 
 
-def test_sketches_never_rule_out_a_near_line(spark):
-    r = np.random.default_rng(7)
-    texts = [" ".join(f"s{x}" for x in r.integers(0, 40, 300)) for _ in range(3)]
-    for text in list(texts):
-        for n in (1, 3, 9, 20):
-            w = text.split(" ")
-            for at in r.integers(0, len(w), n):
-                w[at] = "t"
-            texts.append(" ".join(w))
-    p = passage_dedup.Paragraphs(pa.array(texts))
-    lines = spark.createDataFrame([(i, 300, s) for i, s in enumerate(p.sketches().tolist())], "key long, words long, sketch array<long>")
-    a, b = (lines.select(*(F.col(c).alias(f"{c}_{side}") for c in lines.columns)) for side in "ab")
-    got = {(x.key_a, x.key_b) for x in a.join(b, F.col("key_a") < F.col("key_b")).where(passage_dedup._may_reach(80)).collect()}
-    sets = [shingles(t) for t in texts]
-    near = {(i, j) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    assert near and near <= got and len(got) < len(texts) * (len(texts) - 1) // 2
-
-
-def test_bands_are_selective():
-    found = lambda j: 1 - (1 - j**passage_dedup.ROWS) ** passage_dedup.BANDS
-    assert found(0.8) >= 0.9998 and found(0.2) <= 0.1
+def test_near_blocks_with_shared_boilerplate_against_brute_force(spark):
+    """Families around one passage of boilerplate: strangers collide in bands, pairs at 0.8 or more must link."""
+    r = np.random.default_rng(12)
+    new = lambda n: [f"n{x}" for x in r.integers(0, 10**9, n)]
+    plate, rows = new(60), []
+    for i in range(150):
+        own = new(int(r.integers(8, 30)))
+        one = [*plate[: int(r.integers(30, 60))], *own]
+        two = list(one)
+        two[-2] = "changed"
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    want = {i: c for i, (_, c) in brute_components(rows).items() if c != i}
+    got = {}
+    for x in passage_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), Scratch(spark, "t")).collect():
+        if x.start == 0 and x.end == len(dict(rows)[x.doc_id].split()):
+            got[x.doc_id] = min(got.get(x.doc_id, x.keeper), x.keeper)
+    assert len(want) >= 150 and got == want
+
+
+def test_structured_words_are_told_apart(spark):
+    """Texts whose words or word runs differ only in a pattern that sums and polynomials modulo 2**64 can't see."""
+    x = "a"
+    for _ in range(11):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    rows = [(1, x), (2, y), (3, " ".join(x)), (4, " ".join(y)), (5, x)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in set_join.jaccard_components(df).collect()} == {i: c for i, (_, c) in brute_components(rows).items()}
+    assert {r.doc_id: r.text for r in passage_dedup.without_repeats(df.where("doc_id < 3")).collect()} == {1: x, 2: y}
+    e = piece_viterbi.encode_documents(df, model_path=MODEL)
+    assert e.where("not round_trip").count() == 0
+
+
+def test_wrapped_passages_and_exact_ends(spark):
+    r = np.random.default_rng(5)
+    word = lambda n: [f"v{x}" for x in r.integers(0, 10**7, n)]
+    shared, wrapped = word(51), word(60)
+    lines = lambda w: "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+    edited = [("x" if i == 30 else w) for i, w in enumerate(wrapped)]
+    rows = [(i, " ".join([*word(30 + i), *shared, *word(33)])) for i in range(4)]
+    rows += [(10, lines(wrapped)), (11, "\n\n".join([" ".join(word(30)), lines(edited), "end"]))]
+    out = {d.doc_id: d.text for d in passage_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(1, 4):  # the passage goes to its last word, nothing else does
+        assert out[i] == dict(rows)[i].replace(" ".join(shared) + " ", "")
+    assert out[0] == rows[0][1] and out[10] == lines(wrapped) and out[11].endswith("\n\nend") and len(out[11].split()) == 31
+
+
+def test_repeated_ids_lose_only_what_they_hold(spark):
+    r = np.random.default_rng(6)
+    shared = " ".join(f"v{x}" for x in r.integers(0, 10**7, 60))
+    other = " ".join(f"u{x}" for x in r.integers(0, 10**7, 90))
+    rows = [(1, shared), (2, shared + "\n" + "tail"), (2, other), (2, other)]
+    out = sorted(x.text for x in passage_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 2").collect())
+    assert out == ["tail", other, other]
+
+
+def test_bands_are_tuned_to_the_recall():
+    bands, rows = passage_dedup.tuned_bands()
+    found = lambda j, b=bands, r=rows: 1 - (1 - j**r) ** b
+    assert (bands, rows) == (12, 3) and found(0.8) >= 0.9998 and found(0.2) <= 0.1
+    for threshold, recall, most in ((50, 0.95, 20), (90, 0.999, 8), (80, 0.9998, 40)):
+        bands, rows = passage_dedup.tuned_bands(threshold, recall, most)
+        assert bands <= most and found(threshold / 100, bands, rows) >= recall
 
 
 def test_passage_edges(edge, empty):
