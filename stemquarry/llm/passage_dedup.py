@@ -6,9 +6,12 @@ compared as sets of 5-word shingles: MinHash signatures are cut into bands, as m
 ``tuned_bands`` finds for the threshold and the wanted recall, and distinct blocks that collide in a
 band are verified by exact Jaccard and clustered by connected components.  First every block is
 compared with one hub of each of its bands, the block that collides most, which ties near copies of
-one block together.  Then bands whose blocks are still in different components are resolved: their
-blocks meet through the lists of their rarest shingles, under exact bounds, so every colliding pair
-at the threshold is linked or in one component already (see ``set_join.pairs_across``).
+one block together.  Then bands whose blocks are still in different components are resolved:
+their blocks outside the band's largest component meet all its blocks under exact bounds (sizes, and
+bitmaps of shingles: a bit that one side lacks is a shingle that it lacks), so only pairs that may
+reach the threshold become rows, once each; blocks of large bands that share too few of their
+shingles with any other block are left out beforehand.  So every colliding pair at the threshold is
+linked or in one component already.
 Passages that sit inside or across blocks are found by running paragraphs: runs of ``min_words``
 words that start at content-chosen places, namely where a shingle's hash is the least of some
 ``spread`` successive ones (the last such place on ties).  A passage of at least
@@ -35,6 +38,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, connected_components, fresh, only_ids, ship
-from .set_join import pairs_across, verified
+from .set_join import verified
 from .textkernel import BLANK, Words, blocks, digests, mix, rolled, runs
 
 MIN_WORDS = 25
@@ -53,6 +58,10 @@ THRESHOLD = 80
 RECALL = 0.9998
 #: Bands of a block at most.
 MOST_BANDS = 12
+#: Longs of a block's bitmap.
+SKETCH = 16
+#: Blocks from which a band is large: it is thinned by shared shingles before its blocks meet.
+LARGE_BAND = 256
 #: Bytes of removed ranges that may be broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -131,6 +140,13 @@ class Paragraphs:
         """Distinct shingles of one block."""
         return np.unique(self.shingle[self.block[i] : self.block_end[i] - SHINGLE + 1])
 
+    def sketch(self, i: int) -> np.ndarray:
+        """The bits that one block's shingles hash to."""
+        place = (self.shingle[self.block[i] : self.block_end[i] - SHINGLE + 1] >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)
+        bits = np.zeros(64 * SKETCH, np.uint8)
+        bits[place] = 1
+        return np.packbits(bits, bitorder="little").view("<i8")
+
     def bands(self, n_bands: int, rows: int) -> np.ndarray:
         """(blocks, bands) keys from MinHash signatures of the blocks' shingles."""
         out = np.empty((self.block.size, n_bands), np.uint64)
@@ -152,23 +168,23 @@ class Paragraphs:
 
 def segments(docs: DataFrame, min_words: int, spread: int, n_bands: int, rows: int) -> DataFrame:
     """All paragraphs: key is the hash of the words; blocks carry a second hash and their band keys."""
-    names = ["is_block", "key", "check", "doc_id", "start", "words", *(f"band{b}" for b in range(n_bands))]
+    names = ["is_block", "key", "check", "doc_id", "start", "words", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             p = Paragraphs(block.column("text"), min_words, spread)
             ids = block.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             first = p.words.first
-            none = pa.nulls(p.run.size, pa.int64())
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(p.block.size + 1, dtype=np.int32) * n_bands), pa.array(p.bands(n_bands, rows).ravel()))
             for kind, key, check, doc, start, words, bands in (
-                (True, p.block_key, pa.array(p.block_check), p.block_doc, p.block, p.block_end - p.block, [pa.array(b) for b in p.bands(n_bands, rows).T]),
-                (False, p.run_hash, none, p.run_doc, p.run, p.run_words, [none] * n_bands),
+                (True, p.block_key, pa.array(p.block_check), p.block_doc, p.block, p.block_end - p.block, bands),
+                (False, p.run_hash, pa.nulls(p.run.size, pa.int64()), p.run_doc, p.run, p.run_words, pa.nulls(p.run.size, pa.list_(pa.int64()))),
             ):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(key.size, kind)), pa.array(key.astype(np.int64)), check, pa.array(ids[doc]), pa.array(start - first[doc]), pa.array(words.astype(np.int64)), *bands], names=names
+                    [pa.array(np.full(key.size, kind)), pa.array(key.astype(np.int64)), check, pa.array(ids[doc]), pa.array(start - first[doc]), pa.array(words.astype(np.int64)), bands], names=names
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "is_block boolean, " + ", ".join(f"{n} long" for n in names[1:]))
+    return docs.select("doc_id", "text").mapInArrow(run, "is_block boolean, key long, check long, doc_id long, start long, words long, bands array<long>")
 
 
 def _asked(docs: DataFrame, scratch: Scratch, wanted: DataFrame, name: str) -> DataFrame:
@@ -178,7 +194,7 @@ def _asked(docs: DataFrame, scratch: Scratch, wanted: DataFrame, name: str) -> D
 
 
 def _block_sets(docs: DataFrame, scratch: Scratch, needed: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, elements): the shingles of the blocks needed(key, low), by key; saved."""
+    """(doc_id, elements, sketch): the shingles of the blocks needed(key, low), by key; saved."""
     wanted = needed.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list("key").alias("asked"))  # at most the blocks of a document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +203,11 @@ def _block_sets(docs: DataFrame, scratch: Scratch, needed: DataFrame, min_words:
             place = dict(zip(zip(p.block_doc.tolist(), p.block_key.tolist(), strict=True), range(p.block.size), strict=True))
             found = [(key, place[doc, key]) for doc, keys in enumerate(block.column("asked").to_pylist()) for key in keys if (doc, key) in place]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()), pa.array([p.elements(i).astype(np.int64) for _, i in found], pa.list_(pa.int64()))], names=["doc_id", "elements"]
+                [pa.array([f[0] for f in found], pa.int64()), *(pa.array([of(i).astype(np.int64) for _, i in found], pa.list_(pa.int64())) for of in (p.elements, p.sketch))],
+                names=["doc_id", "elements", "sketch"],
             )
 
-    sets = _asked(docs, scratch, wanted, "blocks").mapInArrow(run, "doc_id long, elements array<long>")
+    sets = _asked(docs, scratch, wanted, "blocks").mapInArrow(run, "doc_id long, elements array<long>, sketch array<long>")
     return scratch.save(sets.dropDuplicates(["doc_id"]), "block-sets")
 
 
@@ -210,25 +227,50 @@ def _near_blocks(docs: DataFrame, scratch: Scratch, firsts: DataFrame, min_words
     labels = connected_components(docs.sparkSession, scratch, links).withColumnRenamed("node", "key")
     scratch.drop(crowded, hubs, pairs)
 
-    # Blocks of bands that still meet several components.
-    known = scratch.save(met.join(labels, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component")), "known")
+    # Bands that still meet several components.
+    known = scratch.save(met.join(labels, "key", "left").select("band", "blocks", "key", F.coalesce("component", "key").alias("component")), "known")
     scratch.drop(met)
-    mixed = scratch.save(known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band"), "mixed-bands")
-    open_blocks = known.join(mixed, "band").select(F.col("key").alias("doc_id"), "component").distinct()
-    open_sets = scratch.save(sets.join(open_blocks, "doc_id").select("doc_id", "component", F.size("elements").cast("long").alias("n"), "elements"), "open-sets")
+    mixed = known.groupBy("band", "component").agg(F.count("*").alias("own")).groupBy("band").agg(
+        F.max_by("component", F.struct("own", "component")).alias("main"), F.count("*").alias("components")
+    )
+    mixed = scratch.save(mixed.where("components > 1").drop("components"), "mixed")
+    rows = known.join(mixed, "band").join(sets.withColumnRenamed("doc_id", "key"), "key").join(firsts.select("key", *bands), "key")
+    bits = reduce(add, (F.bit_count(F.col("sketch")[i]) for i in range(SKETCH)))
+    rows = rows.withColumns({"n": F.size("elements").cast("long"), "bits": bits, "in_main": F.col("component") == F.col("main"), "at": F.array_position(F.array(*bands), F.col("band"))})
+    rows = scratch.save(_thinned(scratch, rows, threshold).drop("elements", "blocks", "main"), "open")
     scratch.drop(known, mixed)
-    each = open_sets.select("doc_id", "component", "n", F.explode("elements").alias("key"))
-    often = scratch.save(each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    rarest = Window.partitionBy("doc_id").orderBy(F.coalesce("often", F.lit(1)), "key")
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    entries = each.join(often, "key", "left").withColumn("place", F.row_number().over(rarest)).where(F.col("often").isNotNull() & (F.col("place") <= prefix))
-    entries = scratch.save(entries.select("key", "doc_id", "n", "component"), "entries")
-    rest = pairs_across(scratch, entries, threshold, 0)
+    left, right = (rows.select("band", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "band")) for side in "ab")
+    earlier = reduce(or_, ((F.col("at_a") > i + 1) & (F.col(f"{c}_a") == F.col(f"{c}_b")) for i, c in enumerate(bands[:-1])), F.lit(False))
+    once = F.col("in_main_b") | (F.col("key_a") < F.col("key_b"))
+    near = left.where("not in_main_a").join(right, "band").where(once & (F.col("component_a") != F.col("component_b")) & _may_reach(threshold) & ~earlier)
+    rest = scratch.save(near.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")), "rest-pairs")
+    scratch.drop(rows)
     more = scratch.save(verified(rest, sets, threshold), "rest-links")
-    scratch.drop(open_sets, often, entries, rest, sets)
+    scratch.drop(rest, sets)
     return links.union(more)
 
 
+def _thinned(scratch: Scratch, rows: DataFrame, threshold: int) -> DataFrame:
+    """``rows`` of open bands without those of large bands that no other block of a large band can
+    reach: too few of their shingles stand in any of them."""
+    rows = scratch.save(rows, "all-open")
+    large = F.col("blocks") >= LARGE_BAND
+    each = rows.where(large).select("key", "elements").dropDuplicates(["key"]).select("key", F.explode("elements").alias("element"))
+    often = scratch.save(each.groupBy("element").agg(F.count("*").alias("often")).where("often > 1").select("element"), "often")
+    shared = scratch.save(each.join(often, "element").groupBy("key").agg(F.count("*").alias("shared")), "shared-elements")
+    reach = F.coalesce("shared", F.lit(0)) * 100 >= F.col("n") * threshold
+    return rows.join(shared, "key", "left").where(~large | reach).drop("shared")
+
+
+def _may_reach(threshold: int) -> Column:
+    """Exact bound for blocks a and b from sizes and bitmaps: a bit that only one bitmap has is a
+    shingle that only that block has."""
+    both = reduce(add, (F.bit_count(F.col("sketch_a")[i].bitwiseAND(F.col("sketch_b")[i])) for i in range(SKETCH)))
+    most = F.least(*(F.col(f"n_{x}") - (F.col(f"bits_{x}") - both) for x in "ab"))
+    sizes = F.col("n_a") + F.col("n_b")
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold) & (most * (100 + threshold) >= sizes * threshold)
+
+
 def _matches(docs: DataFrame, scratch: Scratch, run_rows: DataFrame, min_words: int, spread: int) -> DataFrame:
     """(doc_id, keeper, start, end, core, core_end, hash, check): what a document shares with the first
     one that holds it, by equal runs, verified and extended to the true ends."""
@@ -298,7 +340,7 @@ def removals(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, s
     all_blocks = parts.where("is_block")
     # Two different blocks with one key, told apart by the second hash, are left alone.
     firsts = all_blocks.groupBy("key").agg(
-        F.min("check").alias("check"), F.max("check").alias("other"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.min(f"band{b}").alias(f"band{b}") for b in range(n_bands))
+        F.min("check").alias("check"), F.max("check").alias("other"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.min(F.col("bands")[b]).alias(f"band{b}") for b in range(n_bands))
     )
     firsts = scratch.save(firsts.where("check = other").drop("check", "other"), "firsts")
     links = _near_blocks(docs, scratch, firsts, min_words, threshold)

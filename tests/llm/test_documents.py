@@ -522,6 +522,25 @@ def test_repeated_ids_lose_only_what_they_hold(spark):
     assert out == ["tail", other, other]
 
 
+def test_bitmaps_never_rule_out_a_near_block(spark):
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"s{x}" for x in r.integers(0, 40, 300)) for _ in range(3)]
+    for text in list(texts):
+        for n in (1, 3, 9, 20):
+            w = text.split(" ")
+            for at in r.integers(0, len(w), n):
+                w[at] = "t"
+            texts.append(" ".join(w))
+    p = passage_dedup.Paragraphs(pa.array(texts))
+    rows = [(i, p.elements(i).size, p.sketch(i).tolist(), sum((x & (2**64 - 1)).bit_count() for x in p.sketch(i).tolist())) for i in range(len(texts))]
+    blocks = spark.createDataFrame(rows, "key long, n long, sketch array<long>, bits int")
+    a, b = (blocks.select(*(F.col(c).alias(f"{c}_{side}") for c in blocks.columns)) for side in "ab")
+    got = {(x.key_a, x.key_b) for x in a.join(b, F.col("key_a") < F.col("key_b")).where(passage_dedup._may_reach(80)).collect()}
+    sets = [shingles(t) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near and near <= got and len(got) < len(texts) * (len(texts) - 1) // 2
+
+
 def test_bands_are_tuned_to_the_recall():
     bands, rows = passage_dedup.tuned_bands()
     found = lambda j, b=bands, r=rows: 1 - (1 - j**r) ** b
