@@ -6,6 +6,10 @@ determinises it by subset construction over byte equivalence classes and minimis
 refinement.  ``scan`` runs the automaton over a whole block of text in one pass: the block is cut
 into lanes that advance together, one array operation per byte position, and lanes whose true
 incoming state differs from the assumed one are run again until they meet their recorded states.
+
+``matches`` gives spans: one pass of the backward automaton of all rules (each rule reversed, read
+from the block's end) marks every byte at which a rule's match begins; from those bytes the anchored
+automaton of the rule runs forward to the match's longest end.
 """
 
 from __future__ import annotations
@@ -118,6 +122,15 @@ class _Parser:
         return ALL & ~bits if negate else bits
 
 
+def backwards(node):
+    """The tree of the reversed language."""
+    if node[0] == "cat":
+        return ("cat", [backwards(x) for x in reversed(node[1])])
+    if node[0] == "alt":
+        return ("alt", [backwards(x) for x in node[1]])
+    return node if node[0] == "set" else ("rep", backwards(node[1]), *node[2:])
+
+
 def parse(pattern: str):
     p = _Parser(pattern)
     tree = p.alt()
@@ -174,21 +187,28 @@ class Nfa:
 
 @dataclass
 class Dfa:
-    """kind[byte] is the byte's class, step[state * classes + class] the next state, hit[state] a rule bit mask."""
+    """kind[byte] is the byte's class, step[state * classes + class] the next state, hit[state] a rule bit
+    mask, dead the state that nothing leads out of (-1: none)."""
 
     kind: np.ndarray
     step: np.ndarray
     hit: np.ndarray
     classes: int
+    dead: int = -1
+
 
+def compile(patterns: list[str], *, reverse: bool = False, anchored: bool = False) -> Dfa:
+    """One minimal automaton of all rules; state 0 is the start.
 
-def compile(patterns: list[str]) -> Dfa:
-    """One minimal automaton that finds every rule starting at any byte; state 0 is the start."""
+    It finds rules that start at any byte, or at the first one only where it is ``anchored``;
+    ``reverse`` is for texts that are read from their end.
+    """
     nfa = Nfa()
     root = nfa.state()
     ends = {}
     for r, pattern in enumerate(patterns):
-        ends[nfa.add(parse(pattern), root)] = 1 << r
+        tree = parse(pattern)
+        ends[nfa.add(backwards(tree) if reverse else tree, root)] = 1 << r
 
     sets = list({m[0] for m in nfa.move if m})
     kinds: dict[tuple, int] = {}
@@ -205,12 +225,13 @@ def compile(patterns: list[str]) -> Dfa:
         return frozenset(s for s in seen if nfa.move[s] or s in ends)
 
     begin = closure([root])
+    again = frozenset() if anchored else begin
     number, todo, step, hit = {begin: 0}, [begin], [], []
     while todo:
         now = todo.pop(0)
         hit.append(sum({ends[s] for s in now if s in ends}))
         for b in sample:
-            to = closure([nfa.move[s][1] for s in now if nfa.move[s] and nfa.move[s][0] >> b & 1]) | begin
+            to = closure([nfa.move[s][1] for s in now if nfa.move[s] and nfa.move[s][0] >> b & 1]) | again
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
@@ -228,7 +249,8 @@ def compile(patterns: list[str]) -> Dfa:
     rank = np.argsort(order, kind="stable")  # the start state is state 0 again
     name[rank] = np.arange(rank.size)
     small = name[block[table[order[rank]]]]
-    return Dfa(kind, small.astype(np.int32).ravel(), mask[order[rank]], len(sample))
+    stuck = np.flatnonzero((small == np.arange(len(small))[:, None]).all(axis=1) & (mask[order[rank]] == 0))
+    return Dfa(kind, small.astype(np.int32).ravel(), mask[order[rank]], len(sample), int(stuck[0]) if stuck.size else -1)
 
 
 LANE = 512
@@ -265,3 +287,56 @@ def scan(dfa: Dfa, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = dfa.hit[seen.T.ravel()[: data.size]]
     at = np.flatnonzero(flat)
     return at, flat[at]
+
+
+#: Lanes from which positions are advanced together rather than one by one.
+TOGETHER = 12
+
+
+def extents(dfa: Dfa, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last): ends (exclusive) of the shortest and the longest match of an anchored automaton
+    from each start, -1 where there is none."""
+    first, last = np.full(starts.size, -1, np.int64), np.full(starts.size, -1, np.int64)
+    live, state, t = np.arange(starts.size), np.zeros(starts.size, np.int64), 0
+    accepts = dfa.hit > 0
+    while live.size >= TOGETHER:
+        live = live[starts[live] + t < data.size]
+        at = starts[live] + t
+        state[live] = dfa.step[state[live] * dfa.classes + dfa.kind[data[at]]]
+        hit = live[accepts[state[live]]]
+        last[hit] = starts[hit] + t + 1
+        first[hit] = np.where(first[hit] < 0, last[hit], first[hit])
+        live = live[state[live] != dfa.dead]
+        t += 1
+    step, ok = (dfa.step.tolist(), accepts.tolist()) if live.size else ([], [])
+    for i in live.tolist():
+        now, at = int(state[i]), int(starts[i]) + t
+        while now != dfa.dead and at < data.size:
+            for k in dfa.kind[data[at : at + 4096]].tolist():
+                now = step[now * dfa.classes + k]
+                at += 1
+                if ok[now]:
+                    last[i] = at
+                    first[i] = at if first[i] < 0 else first[i]
+                elif now == dfa.dead:
+                    break
+    return first, last
+
+
+def matches(backward: Dfa, anchored: list[Dfa], data: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """For each rule its leftmost, longest, non-overlapping matches as (start, first end, end)."""
+    at, mask = scan(backward, data[::-1])
+    starts, mask = (data.size - 1 - at)[::-1], mask[::-1]
+    out: list[list[tuple[int, int, int]]] = []
+    for r, dfa in enumerate(anchored):
+        own = starts[mask >> r & 1 == 1]
+        heads = own[np.concatenate(([True], np.diff(own) > 1))] if own.size else own  # starts inside a run are covered by its head
+        known = dict(zip(heads.tolist(), zip(*(x.tolist() for x in extents(dfa, data, heads)), strict=True), strict=True))
+        found, i = [], 0
+        while i < own.size:
+            a = int(own[i])
+            first, end = known[a] if a in known else (int(x[0]) for x in extents(dfa, data, own[i : i + 1]))
+            found.append((a, first, end))
+            i = int(np.searchsorted(own, end))
+        out.append(found)
+    return out

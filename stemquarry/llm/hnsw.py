@@ -1,48 +1,57 @@
 """Operator 9: approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Rows are dealt to shards of a bounded size by a hash of the vector.  Each shard is one graph: every
-point is on level 0 and, with a probability that falls geometrically, on higher levels; on each
-level it is linked to near points chosen for diversity (a candidate is taken if it is nearer to the
-point than to the links already taken), and links run both ways up to a limit.  A shard is small,
-so candidates are the true nearest points of the level, from blocked matrix products.  A graph is
-stored as flat arrays: vectors, row ids, and one neighbour matrix per level.
-
-A search descends greedily from the entry point and keeps a beam on level 0.  All queries of a
-packet advance together, one array operation per expansion.  Every query visits every shard; the
-results of the shards are merged by score.  Scores are cosines of the original vectors in double
-precision.
+Rows are dealt to shards by a hash of the vector: as many as keep a shard at ``shard_rows`` rows,
+and more in a small table, so that all tasks have one.  Each shard is one graph.  Every point is on
+level 0 and, with a probability that falls geometrically, on higher levels.  Points are inserted
+highest level first, in batches: each point of a batch descends through the graph built so far,
+keeps a beam on every level, and is linked on its own levels to candidates of the beam (and of its
+batch) that are chosen for diversity: a candidate is taken if it is nearer to the point than to the
+links already taken.  Links run both ways; a point with too many keeps its oldest quarter, which
+holds the long links made while the graph was sparse and so ties tight groups together, and a
+diverse choice of the rest.  A graph is stored as flat arrays: vectors, row ids, and one neighbour
+matrix per level.
+
+A search starts at the entry point, descends with a small beam and keeps a wide one on level 0.  All
+queries of a packet advance together, one array operation per expansion.  Every query visits every
+shard: graphs are moved once, query packets are streamed past them, and the results of the shards
+are merged by score.  Scores are cosines of the original vectors in double precision.
 
 Rows with equal vectors share one point that carries their ids.  Only the k + 1 smallest of those
 ids are kept, because a query returns at most k of them and skips at most its own row: results are
 the same as with all of them.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
-part; rows with a null id neither; a query id that repeats is asked with its least vector; an id that repeats with one vector is one candidate; vectors of another length are no candidates; ties go to the smaller id; an empty table
-gives no rows; other columns are not read.
+part; rows with a null id neither; a query id that repeats is asked with its least vector; an id
+that repeats with one vector is one candidate; vectors of another length are no candidates; ties go
+to the smaller id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .block_topk import merged
+from .block_topk import merged, packets, streamed
 from .runtime import Scratch, ship
 
-#: Rows of a shard on average.
-SHARD_ROWS = 4096
-#: Links of a point on upper levels (twice as many on level 0).
-LINKS = 16
-#: Candidates for the links of a point.
-CANDIDATES = 48
-#: Points kept while searching level 0.
-BEAM = 128
+#: Rows of a shard on average, and of the shards of a small table that has one for each task.
+SHARD_ROWS, LEAST_ROWS = 131_072, 8192
+#: Links that a point chooses (it holds twice as many on level 0).
+LINKS = 20
+#: Beam of an insertion on level 0.
+BUILD_BEAM = 80
+#: Beam of a search on level 0.
+BEAM = 256
+#: Beam on upper levels, and the points handed down to the next level.
+UPPER_BEAM, HANDED = 32, 8
 #: Beam points expanded by one step.
-STEP = 4
+STEP = 6
+#: Cells of the matrix that marks visited points: it bounds how many queries advance together.
+VISITED_CELLS = 1 << 25
 
 
 class Graph:
@@ -50,59 +59,124 @@ class Graph:
 
     def __init__(self, unit: np.ndarray, levels: list[np.ndarray], entry: int):
         self.unit, self.levels, self.entry = unit, levels, entry
+        self.together = max(16, min(512, VISITED_CELLS // (len(unit) + 1)))
+        self._seen = np.zeros((0, len(unit) + 1), bool)
+        self.visited = 0  # points whose similarity was computed on level 0
 
     @classmethod
-    def build(cls, unit: np.ndarray, links: int = LINKS, candidates: int = CANDIDATES, seed: int = 11) -> Graph:
+    def build(cls, unit: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int = 11) -> Graph:
         n = len(unit)
-        height = np.floor(np.random.default_rng(seed).exponential(1 / np.log(links), n)).astype(np.int64)
-        levels = []
-        for level in range(int(height.max()) + 1 if n else 0):
-            members = np.flatnonzero(height >= level)
-            near = _level_links(unit[members], links, 2 * links if level == 0 else links, candidates)
-            full = np.full((n, near.shape[1]), -1, np.int32)
-            full[members] = np.where(near >= 0, members[near], -1)
-            levels.append(full)
-        return cls(unit, levels, int(height.argmax()) if n else 0)
-
-    def search(self, queries: np.ndarray, beam: int = BEAM, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, similarities), best first, of up to ``beam`` points for each unit query; -1 pads."""
+        height = np.minimum(np.random.default_rng(seed).exponential(1 / np.log(links), n), 8).astype(np.int64)
+        order = np.argsort(-height, kind="stable")
+        levels = [np.full((n, links * (1 + (level == 0))), -1, np.int32) for level in range(int(height.max()) + 1 if n else 0)]
+        g = cls(unit, levels, int(order[0]) if n else 0)
+        done = 0
+        while done < n:
+            batch = order[done : done + min(max(64, done // 2), g.together)]
+            near = np.full((batch.size, 1), g.entry)
+            for level in range(len(levels) - 1, -1, -1):
+                ids, sims = np.empty((batch.size, 0), np.int64), np.empty((batch.size, 0), np.float32)
+                if done:
+                    ids, sims = g._beam(level, unit[batch], near, beam if level == 0 else UPPER_BEAM)
+                    near = ids[:, :HANDED]
+                mine = np.flatnonzero(height[batch] >= level)
+                if mine.size:
+                    g._link(level, batch[mine], ids[mine], sims[mine], links, beam)
+            done += batch.size
+        g._seen = g._seen[:0]
+        g.visited = 0
+        return g
+
+    def _link(self, level: int, new: np.ndarray, ids: np.ndarray, sims: np.ndarray, links: int, beam: int) -> None:
+        """Link new points of a level with their candidates, both ways."""
+        near = self.levels[level]
+        if new.size > 1:  # the other points of the batch are candidates too
+            peers = self.unit[new] @ self.unit[new].T
+            np.fill_diagonal(peers, -np.inf)
+            c = min(new.size - 1, beam // 2)
+            at = np.argpartition(-peers, c - 1, axis=1)[:, :c]
+            ids, sims = np.concatenate((ids, new[at]), axis=1), np.concatenate((sims, np.take_along_axis(peers, at, axis=1)), axis=1)
+        if not ids.shape[1]:
+            return
+        ids, _ = self._chosen(ids, sims, links, beam)
+        near[new, : ids.shape[1]] = ids
+        source, target = np.repeat(new, ids.shape[1]), ids.ravel()
+        source, target = source[target >= 0], target[target >= 0]
+        order = np.argsort(target, kind="stable")
+        source, target = source[order], target[order]
+        rows, first, count = np.unique(target, return_index=True, return_counts=True)
+        place = np.arange(target.size) - np.repeat(first, count)
+        fits = place < links  # of a batch's links to one point, the first ones
+        extra = np.full((rows.size, min(links, int(count.max(initial=0)))), -1, np.int64)
+        extra[np.repeat(np.arange(rows.size), count)[fits], place[fits]] = source[fits]
+        held = near[rows].astype(np.int64)
+        extra[(extra[:, :, None] == held[:, None, :]).any(axis=2)] = -1
+        both = np.concatenate((held, extra), axis=1)
+        both = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), axis=1)
+        width = near.shape[1]
+        near[rows] = both[:, :width]
+        full = np.flatnonzero((both >= 0).sum(axis=1) > width)
+        old = width // 4
+        for a in range(0, full.size, 1024):
+            part = full[a : a + 1024]
+            rest = both[part, old:]
+            sims = np.where(rest >= 0, np.einsum("ijk,ik->ij", self.unit[rest], self.unit[rows[part]]), -np.inf)
+            near[rows[part], old:] = self._chosen(rest, sims, width - old, rest.shape[1])[0]
+
+    def _chosen(self, ids: np.ndarray, sims: np.ndarray, take: int, candidates: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the best candidates, ``take`` for each row: diverse ones, then the nearest of the rest."""
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :candidates]
+        ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
+        ids = np.where(np.isfinite(sims), ids, -1)
+        taken = np.zeros(ids.shape, bool)
+        for a in range(0, len(ids), 256):
+            s = slice(a, a + 256)
+            vectors = self.unit[ids[s]]
+            between = vectors @ vectors.transpose(0, 2, 1)
+            most = np.full(ids[s].shape, -np.inf, np.float32)  # similarity to the nearest link taken
+            for j in range(ids.shape[1]):
+                on = (most[:, j] < sims[s][:, j]) & (taken[s].sum(axis=1) < take) & (ids[s][:, j] >= 0)
+                taken[s][on, j] = True
+                most[on] = np.maximum(most[on], between[on, j])
+        rank = np.argsort(np.where(taken, -1, np.where(ids >= 0, 0, 1)), axis=1, kind="stable")[:, :take]
+        return np.take_along_axis(ids, rank, axis=1), np.take_along_axis(sims, rank, axis=1)
+
+    def _beam(self, level: int, queries: np.ndarray, seeds: np.ndarray, beam: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, similarities), best first, of up to ``beam`` points near each query; -1 pads."""
         n, b = len(self.unit), len(queries)
-        at = np.full(b, self.entry)
-        best = queries @ self.unit[self.entry]
-        for near in self.levels[:0:-1]:
-            moving = np.arange(b)
-            while moving.size:
-                to = near[at[moving]]
-                sim = np.where(to >= 0, np.einsum("ijk,ik->ij", self.unit[to], queries[moving]), -np.inf)
-                top = sim.argmax(axis=1)
-                value = sim[np.arange(moving.size), top]
-                better = value > best[moving]
-                moving, to, value, top = moving[better], to[better], value[better], top[better]
-                at[moving], best[moving] = to[np.arange(moving.size), top], value
-        ids = np.full((b, beam), -1, np.int64)
-        sims = np.full((b, beam), -np.inf, np.float32)
-        opened = np.ones((b, beam), bool)
-        ids[:, 0], sims[:, 0], opened[:, 0] = at, best, False
-        visited = np.zeros((b, n + 1), bool)  # the last column stands for padding
-        visited[:, n] = True
-        visited[np.arange(b), at] = True
+        if len(self._seen) < b:
+            self._seen = np.zeros((b, n + 1), bool)
+        seen = self._seen[:b]
+        seen[:] = False
+        seen[:, n] = True  # the last column stands for padding
+        near, every = self.levels[level], np.arange(b)[:, None]
+        ids, sims, opened = np.full((b, beam), -1, np.int64), np.full((b, beam), -np.inf, np.float32), np.ones((b, beam), bool)
+        s = min(beam, seeds.shape[1])
+        ids[:, :s], opened[:, :s] = seeds[:, :s], seeds[:, :s] < 0
+        sims[:, :s] = np.where(opened[:, :s], -np.inf, np.einsum("ijk,ik->ij", self.unit[seeds[:, :s]], queries))
+        seen[every, seeds[:, :s]] = True
+        step = min(step, beam)
         live = np.arange(b)
         while True:
             todo = np.where(opened[live], -np.inf, sims[live])
-            pick = np.argpartition(-todo, min(step, beam - 1), axis=1)[:, :step]
-            fresh = np.take_along_axis(todo, pick, axis=1) > -np.inf
-            on = fresh.any(axis=1)
-            live, pick, fresh = live[on], pick[on], fresh[on]
+            pick = np.argpartition(-todo, step - 1, axis=1)[:, :step] if step < beam else np.broadcast_to(np.arange(beam), todo.shape)
+            new = np.take_along_axis(todo, pick, axis=1) > -np.inf
+            on = new.any(axis=1)
+            live, pick, new = live[on], pick[on], new[on]
             if not live.size:
                 break
             row = live[:, None]
             opened[row, pick] = True
-            to = np.where(fresh[:, :, None], self.levels[0][ids[row, pick]], -1).reshape(live.size, -1)
-            to = np.where(visited[row, to], -1, to)
-            to = np.sort(to, axis=1)
+            to = np.where(new[:, :, None], near[ids[row, pick]], -1).reshape(live.size, -1)
+            to = np.sort(np.where(seen[row, to], -1, to), axis=1)
             to[:, 1:][to[:, 1:] == to[:, :-1]] = -1
-            visited[row, to] = True
+            seen[row, to] = True
+            to = to[:, np.flatnonzero((to >= 0).any(axis=0))]
+            if not to.shape[1]:
+                continue
             sim = np.where(to >= 0, np.einsum("ijk,ik->ij", self.unit[to], queries[live]), -np.inf)
+            if level == 0:
+                self.visited += int((to >= 0).sum())
             all_ids = np.concatenate((ids[live], to), axis=1)
             all_sims = np.concatenate((sims[live], sim.astype(np.float32)), axis=1)
             all_open = np.concatenate((opened[live], to < 0), axis=1)
@@ -112,47 +186,16 @@ class Graph:
         ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
         return np.where(np.isfinite(sims), ids, -1), sims
 
-
-def _level_links(unit: np.ndarray, take: int, most: int, candidates: int) -> np.ndarray:
-    """Neighbour positions within one level: diverse choice, then both directions, at most ``most``."""
-    n = len(unit)
-    c = min(candidates, n - 1)
-    if c < 1:
-        return np.full((n, 1), -1, np.int64)
-    source, target, weight = [], [], []
-    for a in range(0, n, 512):
-        sim = unit[a : a + 512] @ unit.T
-        rows = np.arange(len(sim))
-        sim[rows, rows + a] = -np.inf
-        near = np.argpartition(-sim, c - 1, axis=1)[:, :c]
-        own = np.take_along_axis(sim, near, axis=1)
-        order = np.argsort(-own, axis=1, kind="stable")
-        near, own = np.take_along_axis(near, order, axis=1), np.take_along_axis(own, order, axis=1)
-        vectors = unit[near]
-        between = vectors @ vectors.transpose(0, 2, 1)
-        taken = np.zeros((len(sim), c), bool)
-        for j in range(c):
-            blocked = (np.where(taken, between[:, j, :], -np.inf).max(axis=1) >= own[:, j]) | (taken.sum(axis=1) >= take)
-            taken[:, j] = ~blocked
-        # Fill up with the nearest of the rest.
-        rank = np.argsort(np.where(taken, -1, np.arange(c)), axis=1, kind="stable")
-        chosen = np.zeros_like(taken)
-        np.put_along_axis(chosen, rank[:, : min(take, c)], True, axis=1)
-        i, j = np.nonzero(chosen)
-        source.append(i + a)
-        target.append(near[i, j])
-        weight.append(own[i, j])
-    u, v, w = np.concatenate(source), np.concatenate(target), np.concatenate(weight)
-    u, v, w = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((w, w))
-    key = np.unique(u * n + v, return_index=True)[1]
-    u, v, w = u[key], v[key], w[key]
-    order = np.lexsort((v, -w, u))
-    u, v = u[order], v[order]
-    place = np.arange(u.size) - np.searchsorted(u, u)
-    out = np.full((n, most), -1, np.int64)
-    fit = place < most
-    out[u[fit], place[fit]] = v[fit]
-    return out
+    def search(self, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
+        """Positions, best first, of up to ``beam`` points near each unit query; -1 pads."""
+        out = []
+        for a in range(0, len(queries), self.together):
+            q = queries[a : a + self.together]
+            near = np.full((len(q), 1), self.entry)
+            for level in range(len(self.levels) - 1, 0, -1):
+                near = self._beam(level, q, near, UPPER_BEAM)[0]
+            out.append(self._beam(0, q, near, beam)[0])
+        return np.concatenate(out) if out else np.empty((0, beam), np.int64)
 
 
 def _sound(column: str):
@@ -166,100 +209,90 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return out.chunk(0) if isinstance(out, pa.ChunkedArray) else out
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def build_index(vectors: DataFrame, scratch: Scratch, k: int, shard_rows: int) -> DataFrame:
-    """One row per shard: (shard, dims, n, vectors, ids, id_first, entry, widths, links)."""
-    equal = Window.partitionBy("dims", "embedding").orderBy("vec_id")
+BODY = "struct<ids: binary, data: binary, graph: array<binary>>"
+
+
+def build_index(vectors: DataFrame, scratch: Scratch, k: int, shard_rows: int, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """One row per shard: (shard, dims, body), the body being ids, vectors, and the graph's flat arrays."""
+    equal = Window.partitionBy("dims", "data").orderBy("vec_id")
     points = (
         vectors.withColumn("place", F.dense_rank().over(equal))
         .where(F.col("place") <= k + 1)  # bounded per vector, and applied before the shuffle too
-        .groupBy("dims", "embedding")
+        .groupBy("dims", "data")
         .agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     )
     points = scratch.save(points, "points")
-    shards = max(1, -(-points.count() // shard_rows))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)))
+    n = points.count()
+    shards = max(1, -(-n // shard_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, n // least_rows))
+    points = points.withColumn("shard", F.pmod(F.xxhash64("data"), F.lit(shards)))
 
     def run(table: pa.Table) -> pa.Table:
         dims = table["dims"][0].as_py()
-        x = _matrix(_whole(table["embedding"]), dims)
+        x = _whole(table["data"]).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
         graph = Graph.build(_unit(x))
         ids = _whole(table["ids"])
-        return pa.table(
-            {
-                "shard": pa.array([table["shard"][0].as_py()], pa.int64()),
-                "dims": pa.array([dims], pa.int32()),
-                "vectors": pa.array([x.tobytes()]),
-                "ids": pa.array([ids.flatten().to_numpy().astype(np.int64).tobytes()]),
-                "id_first": pa.array([np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).astype(np.int64).tobytes()]),
-                "entry": pa.array([graph.entry], pa.int64()),
-                "widths": pa.array([[level.shape[1] for level in graph.levels]], pa.list_(pa.int32())),
-                "links": pa.array([[level.tobytes() for level in graph.levels]], pa.list_(pa.binary())),
-            }
-        )
-
-    schema = "shard long, dims int, vectors binary, ids binary, id_first binary, entry long, widths array<int>, links array<binary>"
-    return scratch.save(points.groupBy("shard", "dims").applyInArrow(run, schema), "index")
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).astype(np.int64)
+        widths = np.array([graph.entry, *(level.shape[1] for level in graph.levels)], np.int64)
+        body = {"ids": flat.tobytes(), "data": x.tobytes(), "graph": [first.tobytes(), widths.tobytes(), *(level.tobytes() for level in graph.levels)]}
+        types = pa.struct([("ids", pa.binary()), ("data", pa.binary()), ("graph", pa.list_(pa.binary()))])
+        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int64()), "dims": pa.array([dims], pa.int32()), "body": pa.array([body], types)})
+
+    return scratch.save(points.groupBy("shard", "dims").applyInArrow(run, f"shard long, dims int, body {BODY}"), "index")
 
 
 def nearest(
-    vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", column: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = 2048, beam: int = BEAM
+    vectors: DataFrame,
+    *,
+    k: int = 5,
+    every: int = 50,
+    id_col: str = "vec_id",
+    column: str = "embedding",
+    shard_rows: int = SHARD_ROWS,
+    least_rows: int = LEAST_ROWS,
+    query_rows: int = 1024,
+    beam: int = BEAM,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark, "hnsw")
     rows = vectors.where(_sound(column) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.size(column).alias("dims"), F.col(column).cast("array<double>").alias("embedding")
-    )
-    index = build_index(rows, scratch, k, shard_rows)
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dims", "embedding")).alias("q")).select("vec_id", "q.dims", "q.embedding")
-    packs = max(1, -(-asked.count() // query_rows))
-
-    def pack(table: pa.Table) -> pa.Table:
-        dims = table["dims"][0].as_py()
-        x = _matrix(_whole(table["embedding"]), dims)
-        return pa.table({"dims": pa.array([dims], pa.int32()), "q_ids": pa.array([table["vec_id"].to_numpy().astype(np.int64).tobytes()]), "q_data": pa.array([x.tobytes()])})
-
-    packets = scratch.save(
-        asked.withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.lit(packs))).groupBy("dims", "pack").applyInArrow(pack, "dims int, q_ids binary, q_data binary"), "queries"
+        F.col(id_col).cast("long").alias("vec_id"), F.size(column).alias("dims"), F.col(column).cast("array<double>").alias("data")
     )
-    # Each packet is copied to each shard number of its dimension; the join is on that number.
-    pairs = packets.join(index.select("shard", "dims"), "dims").join(index, ["shard", "dims"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                x = np.frombuffer(r["vectors"]).reshape(-1, r["dims"])
-                ids, id_first = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["id_first"], np.int64)
-                levels = [np.frombuffer(b, np.int32).reshape(len(x), w) for b, w in zip(r["links"], r["widths"], strict=True)]
-                graph = Graph(_unit(x), levels, r["entry"])
-                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_data"]).reshape(-1, r["dims"])
-                norm = np.sqrt((x * x).sum(axis=1))
-                out = []
-                for a in range(0, len(q), 256):
-                    found, _ = graph.search(_unit(q[a : a + 256]), min(beam, max(1, len(x))))
-                    for j, points in enumerate(found[:, : 4 * k + 4], a):
-                        points = points[points >= 0]
-                        score = (x[points] @ q[j]) / (norm[points] * np.sqrt((q[j] * q[j]).sum()))
-                        n = id_first[points + 1] - id_first[points]
-                        own = np.concatenate([ids[id_first[p] : id_first[p + 1]] for p in points])
-                        score = np.repeat(score, n)
-                        keep = own != q_ids[j]
-                        own, score = own[keep], score[keep]
-                        best = np.lexsort((own, -score))[:k]
-                        out.append((np.full(best.size, q_ids[j]), own[best], score[best]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return merged(pairs.repartition(n, "shard", "q_ids").mapInArrow(run, "query_id long, vec_id long, score double"), k)
+    index = build_index(rows, scratch, k, shard_rows, least_rows)
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dims", "data")).alias("q"))
+    asked = packets(queries.select("vec_id", "q.dims", "q.data"), query_rows, np.float64)
+    asked = scratch.save(asked.select("dims", F.struct("ids", "data", F.lit(None).cast("array<binary>").alias("graph")).alias("body")), "queries")
+
+    def search(dims: int, bodies: list[dict]) -> Callable:
+        (body,) = bodies
+        x = np.frombuffer(body["data"]).reshape(-1, dims)
+        ids, id_first, widths = (np.frombuffer(b, np.int64) for b in (body["ids"], *body["graph"][:2]))
+        levels = [np.frombuffer(b, np.int32).reshape(len(x), w) for b, w in zip(body["graph"][2:], widths[1:].tolist(), strict=True)]
+        graph = Graph(_unit(x), levels, int(widths[0]))
+        norm = np.sqrt((x * x).sum(axis=1))
+
+        def ready(packet: dict) -> Iterator[pa.RecordBatch]:
+            q_ids, q = np.frombuffer(packet["ids"], np.int64), np.frombuffer(packet["data"]).reshape(-1, dims)
+            out = []
+            for j, points in enumerate(graph.search(_unit(q), min(beam, max(1, len(x))))[:, : 4 * k + 4]):
+                points = points[points >= 0]
+                score = (x[points] @ q[j]) / (norm[points] * np.sqrt((q[j] * q[j]).sum()))
+                own = np.concatenate([ids[id_first[p] : id_first[p + 1]] for p in points])
+                score = np.repeat(score, id_first[points + 1] - id_first[points])
+                keep = own != q_ids[j]
+                own, score = own[keep], score[keep]
+                best = np.lexsort((own, -score))[:k]
+                out.append((np.full(best.size, q_ids[j]), own[best], score[best]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+        return ready
+
+    return merged(streamed(index, asked, index.select("shard", "dims"), "shard", scratch, search, "query_id long, vec_id long, score double"), k)

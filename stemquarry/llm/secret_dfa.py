@@ -1,10 +1,11 @@
 """Operator 5: secret scan by one combined deterministic automaton.
 
-All rules are compiled together (see ``automata``) and every byte of every text is read once.  The
-automaton accepts where a rule's distinctive part is complete (for hex runs, its least length); each
-line that holds an acceptance is then cut into exact spans, leftmost and non-overlapping per kind,
-and spans below the least length are dropped.  No rule can match a line
-break, so a line is all the context a span needs.
+All rules are compiled together into one automaton (see ``automata``), each reversed, which reads
+every byte of every text once, from the end, and marks the bytes where a match of a rule begins.
+From the leftmost mark of a rule its anchored automaton gives the match's longest end; marks inside
+it are passed over, as in a leftmost, non-overlapping search.  The length of an ``assign`` value is
+counted from the match's first acceptance, which is its first character.  Matches below the least
+length are dropped, and what they cover isn't tried again.
 
 Kinds ``assign``, ``access`` and ``hex`` are the base; the others are rules of formats that cloud
 services and tools publish for their keys (private key headers, web tokens, prefixed tokens).
@@ -16,7 +17,6 @@ an empty table gives no rows; other columns are carried by ``redacted`` and not
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -30,20 +30,14 @@ from . import automata
 from .runtime import ship
 from .textkernel import blocks, joined
 
-# For each kind the automaton's rule, the exact span,
-# and the least length of the span, or of the group named by the last number.
-RULES: dict[str, tuple[str, str, int, int]] = {
-    "assign": (
-        r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]",
-        r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
-        12,
-        2,
-    ),
-    "access": (r"AKIA[A-Z0-9]", r"AKIA[A-Z0-9]+", 18, 0),
-    "hex": (r"[0-9a-f]{16}", r"[0-9a-f]+", 16, 0),
-    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
-    "jwt": (r"eyJ[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30, 0),
-    "prefixed": (r"(gh[opsu]_|glpat-|xox[abp]-|sk_live_|AIza)[A-Za-z0-9_-]", r"(?:gh[opsu]_|glpat-|xox[abp]-|sk_live_|AIza)[A-Za-z0-9_-]+", 20, 0),
+# For each kind its rule, and the least length of the match (of the value, for assign).
+RULES: dict[str, tuple[str, int]] = {
+    "assign": (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+", 12),
+    "access": (r"AKIA[A-Z0-9]+", 18),
+    "hex": (r"[0-9a-f]{16,}", 16),
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+    "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
+    "prefixed": (r"(gh[opsu]_|glpat-|xox[abp]-|sk_live_|AIza)[A-Za-z0-9_-]+", 20),
 }
 BASE = ("assign", "access", "hex")
 KINDS = tuple(RULES)
@@ -51,29 +45,24 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 
 @lru_cache(maxsize=1)
-def machine() -> tuple[automata.Dfa, list[re.Pattern]]:
-    return automata.compile([r[0] for r in RULES.values()]), [re.compile(r[1], re.ASCII) for r in RULES.values()]
+def machine() -> tuple[automata.Dfa, list[automata.Dfa]]:
+    """The backward automaton of all rules, and each rule's anchored one."""
+    rules = [r[0] for r in RULES.values()]
+    return automata.compile(rules, reverse=True), [automata.compile([r], anchored=True) for r in rules]
 
 
 def spans_of(column: pa.Array) -> tuple[list[list[tuple[int, int, int]]], np.ndarray, np.ndarray]:
     """(spans, data, starts): per text the byte spans (start, kind, end) in order, and the block."""
-    dfa, exact = machine()
-    data, doc_start, doc_end = joined(column)
-    at, mask = automata.scan(dfa, data)
+    data, doc_start, _ = joined(column)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(doc_start.size)]
-    if at.size:
-        breaks = np.flatnonzero(data == 10)
-        line = np.searchsorted(breaks, at)
-        for r, (rx, (_, _, least, group)) in enumerate(zip(exact, RULES.values(), strict=True)):
-            for k in np.unique(line[mask >> r & 1 == 1]):
-                begin = int(breaks[k - 1]) + 1 if k else 0
-                text = data[begin : breaks[k]].tobytes().decode("latin-1")  # one character for each byte
-                doc = int(np.searchsorted(doc_start, begin, side="right")) - 1
-                for m in rx.finditer(text):
-                    if m.end(group) - m.start(group) >= least:
-                        out[doc].append((begin + m.start(), r, begin + m.end()))
-        for x in out:
-            x.sort()
+    found = automata.matches(*machine(), data)
+    for r, (kind, (_, least)) in enumerate(RULES.items()):
+        sure = [(a, e) for a, first, e in found[r] if (e - first + 1 if kind == "assign" else e - a) >= least]
+        docs = np.searchsorted(doc_start, np.array([a for a, _ in sure], np.int64), side="right") - 1
+        for doc, (a, e) in zip(docs.tolist(), sure, strict=True):
+            out[doc].append((a, r, e))
+    for x in out:
+        x.sort()
     return out, data, doc_start
 
 
