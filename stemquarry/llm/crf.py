@@ -8,6 +8,7 @@ operation advances every sequence of a batch by one position.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,73 @@ def marginals(emit: np.ndarray, first: np.ndarray, move: np.ndarray) -> tuple[np
     return out, pairs, total
 
 
+#: Positions from which a chain of two states is run in pieces.
+LONG_CHAIN = 4096
+
+
+def _odds(drive: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Forward log odds of state 1 of two at every position: x = drive + log odds of a step from the
+    position before.  All chains that still run advance together; a long one is run in pieces."""
+    ahead = lambda x: np.logaddexp(move[0, 1], x + move[1, 1]) - np.logaddexp(move[0, 0], x + move[1, 0])
+    out, n = drive.astype(np.float64).copy(), np.diff(first)
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 1]
+    for i in order[n[order] > LONG_CHAIN].tolist():
+        out[first[i] : first[i + 1]] = _long_odds(out[first[i] : first[i + 1]], move, ahead)
+    order = order[n[order] <= LONG_CHAIN]
+    begin, size = first[:-1][order], n[order]
+    for t in range(1, int(size[0]) if size.size else 0):
+        rows = begin[: np.searchsorted(-size, -t, side="left")] + t
+        out[rows] += ahead(out[rows - 1])
+    return out
+
+
+def _long_odds(drive: np.ndarray, move: np.ndarray, ahead) -> np.ndarray:
+    """One chain as square-root many pieces: a step is a fractional linear map of the odds, so a piece is
+    a 2 x 2 matrix; the pieces' entry odds come from their products, then all pieces run together."""
+    steps = drive.size - 1
+    size = math.isqrt(steps) + 1
+    pieces = -(-steps // size)
+    d = np.zeros(pieces * size)
+    d[:steps] = drive[1:]
+    d = d.reshape(pieces, size)
+    map_ = np.broadcast_to(np.eye(2), (pieces, 2, 2)).copy()
+    for t in range(size):
+        up = np.stack([np.stack([d[:, t] + move[1, 1], d[:, t] + move[0, 1]], axis=1), np.broadcast_to([move[1, 0], move[0, 0]], (pieces, 2))], axis=1)
+        map_ = np.exp(up - up.max(axis=(1, 2), keepdims=True)) @ map_
+        map_ /= map_.max(axis=(1, 2), keepdims=True)
+    entry, x = np.empty(pieces), drive[0]
+    for p in range(pieces):
+        entry[p] = x
+        top = max(x, 0.0)
+        u, v = map_[p] @ np.exp([x - top, -top])
+        x = float(np.log(max(u, 1e-300)) - np.log(max(v, 1e-300)))
+    out = np.empty((pieces, size))
+    for t in range(size):
+        entry = d[:, t] + ahead(entry)
+        out[:, t] = entry
+    return np.concatenate((drive[:1], out.ravel()[:steps]))
+
+
+def binary_marginals(drive: np.ndarray, first: np.ndarray, move: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(marginal of state 1 at each position, expected transitions) of chains of two states; ``drive``
+    is the emission score of state 1 less that of state 0."""
+    n = drive.size
+    fwd = _odds(drive, first, move)
+    back = _odds(drive[::-1], n - first[::-1], move.T)[::-1]  # drive and all that follows
+    total = np.clip(fwd + back - drive, -500, 500)
+    pairs = np.zeros((2, 2))
+    if with_pairs and n:
+        inner = np.ones(n, bool)
+        inner[first[:-1][first[:-1] < n]] = False
+        at = np.flatnonzero(inner)
+        x, y = fwd[at - 1], back[at]
+        log = np.stack([np.full(at.size, move[0, 0]), move[0, 1] + y, move[1, 0] + x, move[1, 1] + x + y])
+        weight = np.exp(log - log.max(axis=0)) if at.size else log
+        pairs = (weight / weight.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    return 1 / (1 + np.exp(-total)), pairs
+
+
 def viterbi(emit: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
     """Best state of each position; ties go to the lower state."""
     out = np.zeros(len(emit), np.int64)

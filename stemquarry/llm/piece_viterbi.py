@@ -8,10 +8,10 @@ unknown score.  The path with the best sum of piece scores is read back (ties go
 piece).
 
 Space becomes the mark U+2581, one mark is put before a text, and no piece holds a mark behind
-another character (checked when a model is loaded).  So paths never cross from a word to the marks
-of the next one (nor over line breaks, unless a piece holds one), and words are encoded one by one: the distinct words of a block advance through
-the automaton together, one array operation per character position, and results are kept for later
-blocks up to a bounded number of words.
+another character (checked when a model is loaded).  Between two characters that stand side by side
+in no piece, no path can cross; there a text is cut into words, which are encoded one by one: the
+distinct words of a block advance through the automaton together, one array operation per character
+position, and results are kept for later blocks up to a bounded number of words, by their bytes.
 
 Scores are those of the file.  The result is the best-scoring segmentation under them, as the
 SentencePiece library gives for a model of type unigram.  A file of type BPE (whose scores are
@@ -53,7 +53,13 @@ class Pieces:
         for _, p, _ in normal:
             if MARK in p.lstrip(MARK):
                 raise ValueError(f"piece {p!r} holds a mark behind another character")
-        self.lines_apart = not any("\n" in p for _, p, _ in normal)
+        #: beside[b, c]: some piece holds a character that ends with byte b before one that starts with c
+        self.beside = np.zeros((256, 256), bool)
+        for _, p, _ in normal:
+            for text in {p, p.replace(MARK, " ")}:
+                chars = [c.encode() for c in text]
+                for one, two in zip(chars[:-1], chars[1:], strict=True):
+                    self.beside[one[-1], two[0]] = True
         self.byte_id = np.full(256, -1, np.int64)
         for i, (p, _, kind) in enumerate(pieces):
             if kind == "byte":
@@ -63,7 +69,7 @@ class Pieces:
         raw = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(MARK, " ").encode() if kind == "normal" else b"" for p, _, kind in pieces]
         self.raw_first = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self._kept: dict[int, int] = {}
+        self._kept: dict[bytes, int] = {}
         self._ids, self._first = [np.empty(0, np.int32)], [0]
 
     def _automaton(self, normal: list[tuple[int, str, float]]) -> None:
@@ -182,33 +188,27 @@ class Pieces:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): ids of text i are first[i]:first[i + 1]."""
         data, doc_start, doc_end = joined(column)
-        # A word starts at a space run and ends before the next; a text that doesn't start with a
-        # space starts with a word whose mark is the one put before the text.
-        space = data == 32
+        # A word starts where a text does, and at a character that follows its neighbour in no piece.
         edge = np.zeros(data.size + 1, bool)
-        edge[1:-1] = space[1:] & ~space[:-1]
+        edge[1:-1] = ((data[1:] & 0xC0) != 0x80) & ~self.beside[data[:-1], data[1:]]
         edge[doc_start[doc_end > doc_start]] = True
-        if self.lines_apart:
-            edge[:-1] |= data == 10
-            edge[1:] |= data == 10
-        inside = np.ones(data.size, bool)
-        inside[doc_end] = False
-        edge[:-1] &= inside
+        edge[doc_end] = False
+        edge[-1] = False
         start = np.flatnonzero(edge)
         doc = np.searchsorted(doc_start, start, side="right") - 1
         end = np.minimum(np.append(start[1:], data.size), doc_end[doc])
         head = start == doc_start[doc]
-        key = span_hashes(data, start, end) ^ head.astype(np.uint64)
-        distinct, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-        if len(self._kept) + distinct.size > KEPT_WORDS:
+        where, inverse = self._distinct(data, start, end, head)
+        if len(self._kept) + where.size > KEPT_WORDS:
             self._kept, self._ids, self._first = {}, [np.empty(0, np.int32)], [0]
-        place = [self._kept.get(k, -1) for k in distinct.tolist()]
+        raw = data.tobytes()
+        words = [b"\1" * h + raw[a:b] for a, b, h in zip(start[where].tolist(), end[where].tolist(), head[where].tolist(), strict=True)]
+        place = [self._kept.get(w, -1) for w in words]
         new = [i for i, p in enumerate(place) if p < 0]
         if new:
-            raw = data.tobytes()
-            words = [(MARK if head[where[i]] else "") + raw[start[where[i]] : end[where[i]]].decode().replace(" ", MARK) for i in new]
-            for i, ids in zip(new, self.segment(words), strict=True):
-                place[i] = self._kept[int(distinct[i])] = len(self._first) - 1
+            texts = [(MARK if head[where[i]] else "") + words[i][int(head[where[i]]) :].decode().replace(" ", MARK) for i in new]
+            for i, ids in zip(new, self.segment(texts), strict=True):
+                place[i] = self._kept[words[i]] = len(self._first) - 1
                 self._ids.append(ids)
                 self._first.append(self._first[-1] + ids.size)
         store = np.concatenate(self._ids)
@@ -220,6 +220,18 @@ class Pieces:
         ids = store[np.repeat(first[at] - to[:-1], size) + np.arange(to[-1])] if at.size else store[:0]
         return ids, to[np.searchsorted(start, np.append(doc_start, data.size))]
 
+    @staticmethod
+    def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each distinct word, its number for every word); words are compared by two hashes,
+        and by their bytes where these disagree."""
+        key, check = (span_hashes(data, start, end, seed) ^ head.astype(np.uint64) for seed in (0, 1))
+        _, where, inverse = np.unique(key, return_index=True, return_inverse=True)
+        if (check[where][inverse] == check).all():
+            return where, inverse
+        raw, number = data.tobytes(), {}
+        inverse = np.array([number.setdefault((h, raw[a:b]), len(number)) for a, b, h in zip(start.tolist(), end.tolist(), head.tolist(), strict=True)], np.int64)
+        return np.unique(inverse, return_index=True)[1], inverse
+
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
         """Texts of id runs: piece bytes end to end without the mark put before the text."""
         size = self.raw_first[ids + 1] - self.raw_first[ids]

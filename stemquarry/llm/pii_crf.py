@@ -9,7 +9,8 @@ wrong check digit, addresses in brackets and the like.  Its features are the sha
 its neighbours (letters and digits as classes, with run lengths), digit counts and neighbouring
 words.  It is trained here on a small labelled table that ``labelled_rows`` generates by rule, and
 decoded by Viterbi in numpy batches over windows: words that hold a digit or an at sign and three
-words to either side (other words are outside by definition).  A span of the CRF is kept where it
+words to either side (other words are outside by definition); a window of over ``LONGEST`` words is
+decoded in pieces that overlap by ``OVERLAP`` words to either side.  A span of the CRF is kept where it
 overlaps no base span and no earlier one; base spans always stay.
 
 Defined results: null is an empty text; empty texts have no spans (empty string, and the hash of
@@ -110,6 +111,8 @@ def base_spans(data: np.ndarray) -> list[tuple[int, int, int]]:
 #: Hashed feature dimensions; the model is this many rows of five weights.
 DIMENSIONS = 1 << 13
 REACH = 3
+#: Words of a piece of a long window, and the words that it also sees to either side.
+LONGEST, OVERLAP = 512, 16
 
 
 @lru_cache(maxsize=65536)
@@ -248,16 +251,21 @@ def crf_spans(model: Model, data: np.ndarray, doc_start: np.ndarray) -> list[tup
         return []
     raw = data.tobytes()
     doc = np.searchsorted(doc_start, start, side="right")
-    sequences, places = [], []
+    sequences, places, inner = [], [], []
     for a, b in ranges:
         cuts = [a, *(np.flatnonzero(np.diff(doc[a:b])) + a + 1).tolist(), b]
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            sequences.append([raw[s:e] for s, e in zip(start[x:y].tolist(), end[x:y].tolist(), strict=True)])
-            places.append(x)
+            places.append((x, len(sequences)))
+            for at in range(x, y, LONGEST):
+                low, high = max(x, at - OVERLAP), min(y, at + LONGEST + OVERLAP)
+                sequences.append([raw[s:e] for s, e in zip(start[low:high].tolist(), end[low:high].tolist(), strict=True)])
+                inner.append((at - low, min(y, at + LONGEST) - low))
     out = []
-    for x, states in zip(places, model.decode(sequences), strict=True):
+    pieces = [states[a:b] for states, (a, b) in zip(model.decode(sequences), inner, strict=True)]
+    numbers = [*(n for _, n in places), len(pieces)]
+    for (x, _), n, m in zip(places, numbers[:-1], numbers[1:], strict=True):
         i = 0
-        states = states.tolist()
+        states = np.concatenate(pieces[n:m]).tolist()
         while i < len(states):
             j = i
             while j < len(states) and states[j] == states[i]:

@@ -9,7 +9,9 @@ mean forward-backward marginal of the good state, weighted by line length; a log
 on the same training documents turns its log odds into the score.
 
 Training reads at most ``max_labelled`` labelled documents (a hash sample) whose fold is not held
-out; that many bounded texts are all the driver ever holds.  Scoring reads every whole text.
+out, one row for each id, and of these the ones with at most ``MAX_LINES`` lines.  Their line
+features are made where the texts are read; they are all that the driver receives.  Scoring reads
+every whole text.
 
 Defined results: null or empty text is one empty line and is scored like any other; a document with
 a null id is scored and not held out; repeated rows are scored one by one; repeated labels of a
@@ -26,14 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import crf
-from .runtime import ship
+from .runtime import fresh, ship
 from .textkernel import BLANK, LOWER, blocks, class_table, joined, runs, span_hashes
 
 SCHEMA = "doc_id long, score double, n_lines long, raw_quality double"
 #: Labelled documents used for fitting, at most.
 MAX_LABELLED = 4000
+#: Lines of a document that is used for fitting, at most.
+MAX_LINES = 400
 #: Score from which a document is predicted good.
 CUT = 0.3
 
@@ -117,25 +122,15 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return features, first, n
 
 
-def _features_by_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``line_features`` of many texts, block by block so that byte arrays stay small."""
-    parts = [line_features(b.column("text")) for b in blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))]
-    lines = np.concatenate([np.diff(first) for _, first, _ in parts])
-    return np.concatenate([x for x, _, _ in parts]), np.concatenate(([0], np.cumsum(lines))), np.concatenate([n for _, _, n in parts])
-
-
 class Model:
     """CRF weights, feature scaling and the calibration curve."""
 
     def __init__(self, prior: float = 0.5):
         self.prior, self.weights = prior, None
 
-    def _emit(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.spread) @ self.weights
-
     def raw(self, x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Length-weighted marginal of the good state for each document."""
-        good = crf.marginals(self._emit(x), first, self.move)[0][:, 1]
+        good, _ = crf.binary_marginals(((x - self.mean) / self.spread) @ self.weights, first, self.move, with_pairs=False)
         return np.add.reduceat(good * n, first[:-1]) / np.add.reduceat(n, first[:-1])
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,31 +143,32 @@ class Model:
         odds = np.log(np.clip(raw, 1e-6, 1 - 1e-6) / np.clip(1 - raw, 1e-6, 1 - 1e-6))
         return 1 / (1 + np.exp(-(self.slope * odds + self.shift))), np.diff(first), raw
 
-    def fit(self, texts: pa.Array, quality: np.ndarray, *, rounds: int = 3, steps: int = 60, decay: float = 1e-3) -> Model:
-        """Fit on whole texts with labels 0 or 1; see the module docstring for the rounds."""
+    def fit(self, x: np.ndarray, first: np.ndarray, n: np.ndarray, quality: np.ndarray, *, rounds: int = 3, steps: int = 60, decay: float = 1e-3) -> Model:
+        """Fit on the lines of documents with labels 0 or 1; see the module docstring for the rounds.
+
+        Two states need one weight for each feature: the good state's less the bad one's.
+        """
         self.prior = float(quality.mean()) if quality.size else 0.5
         if np.unique(quality).size < 2:
             return self
-        x, first, n = _features_by_block(texts)
         doc = np.repeat(np.arange(quality.size), np.diff(first))
-        self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+        self.mean, self.spread = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-6
         self.mean[-1], self.spread[-1] = 0.0, 1.0
-        self.weights, self.move = np.zeros((x.shape[1], 2)), np.zeros((2, 2))
+        self.weights, self.move = np.zeros(x.shape[1]), np.zeros((2, 2))
         z = (x - self.mean) / self.spread
         state = quality[doc].astype(np.int64)
         for turn in range(rounds):
             adam = crf.Adam(0.05)
+            _, count = crf.score_of(state, np.zeros((len(state), 2)), first, self.move)
             for _ in range(steps):
                 adam.t += 1
-                emit = z @ self.weights
-                seen, pairs, _ = crf.marginals(emit, first, self.move)
-                _, count = crf.score_of(state, emit, first, self.move)
-                want = np.zeros_like(seen)
-                want[np.arange(len(state)), state] = 1
-                adam.step("w", self.weights, (z.T @ (want - seen)) / len(z) - decay * self.weights)
+                seen, pairs = crf.binary_marginals(z @ self.weights, first, self.move)
+                half = self.weights / 2  # of the good state; the bad one's is its negative
+                adam.step("w", half, (z.T @ (state - seen)) / len(z) - decay * half)
+                self.weights = 2 * half
                 adam.step("m", self.move, (count - pairs) / len(z) - decay * self.move)
             if turn < rounds - 1:
-                bad = crf.marginals(z @ self.weights, first, self.move)[0][:, 0]
+                bad = 1 - crf.binary_marginals(z @ self.weights, first, self.move, with_pairs=False)[0]
                 level = np.maximum.reduceat(bad, first[:-1])[doc]
                 state = np.where((quality[doc] == 0) & (bad >= np.minimum(0.5, level)), 0, 1)
         raw = self.raw(x, first, n)
@@ -202,11 +198,24 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
-    table = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").toArrow()
-    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
-    table = table.take(pa.array(order)).combine_chunks()
-    text = table["text"].chunk(0) if table.num_rows else pa.array([], pa.string())
-    return Model().fit(text, table["quality"].to_numpy().astype(np.float64))
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            x, first, n = line_features(block.column("text"))
+            lines = np.diff(first)
+            raw = [(x[a:b].astype("<f4").tobytes(), n[a:b].astype("<f4").tobytes()) if b - a <= MAX_LINES else (None, None) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id"), block.column("quality"), pa.array(lines.astype(np.int64)), *(pa.array([r[k] for r in raw], pa.binary()) for k in (0, 1))],
+                names=["doc_id", "quality", "lines", "features", "sizes"],
+            )
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("quality"))), "doc_id")
+    rows = picked.mapInArrow(run, "doc_id long, quality long, lines long, features binary, sizes binary").where("features is not null")
+    found = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "lines", "features", "sizes")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id").to_pydict()
+    n = np.frombuffer(b"".join(found["sizes"]), "<f4").astype(np.float64)
+    x = np.frombuffer(b"".join(found["features"]), "<f4").reshape(n.size, -1 if n.size else 1)
+    return Model().fit(x, np.concatenate(([0], np.cumsum(np.array(found["lines"], np.int64)))), n, np.array(found["quality"], np.float64))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -224,15 +233,27 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``quality_score``; all columns are carried through the scoring pass."""
+    """``docs`` with its score as a last column, ``quality_score`` or, where that name is taken, the same
+    with underscores behind it; all columns are carried through the scoring pass."""
+    ship(docs.sparkSession)
+    name = fresh(docs, "quality_score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield block.append_column(name, pa.array(model.scores(block.column("text"))[0]))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def good_documents(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``cut``, all columns as they are."""
     ship(docs.sparkSession)
-    schema = docs.drop("quality_score").schema.add("quality_score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            yield block.append_column("quality_score", pa.array(model.scores(block.column("text"))[0]))
+            yield block.filter(pa.array(model.scores(block.column("text"))[0] >= cut))
 
-    return docs.drop("quality_score").mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, cut: float = CUT) -> DataFrame:

@@ -41,7 +41,7 @@ def op5_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_documents(docs, model_path=public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return encode_documents(docs, model_path=public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_passage_dedup": op10_passage_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Operators whose whole result is SQL: every pair of documents that share a shingle and the groups
+#: that links reach, and every inner product.  The others' models, automata, graphs and token ids aren't.
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents
+        ), sets as (
+            select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end s from words
+        ), classes as (select min(doc_id) rep, s from (select doc_id, list_sort(s) s from sets) group by s having len(s) > 0),
+        elements as (select rep, len(s) n, unnest(s) e from classes),
+        links as (
+            select a.rep a, b.rep b from elements a join elements b on a.e = b.e and a.rep <> b.rep and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n
+            group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach as (select rep node, rep other from classes union select r.node, l.b from reach r join links l on r.other = l.a),
+        components as (select node, min(other) component from reach group by node)
+        select x.doc_id, len(x.s) n_shingles, coalesce(component, x.doc_id) component_id
+        from (select doc_id, list_sort(s) s from sets) x left join classes on x.s = classes.s left join components on rep = node""",
+    "op7_block_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) w from embeddings
+            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scores as (
+            select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) as bigint) score
+            from (select * from v where vec_id % 50 = 0) q join v c on q.vec_id <> c.vec_id and len(q.w) = len(c.w)
+        ), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) n from scores)
+        select query_id, cast(n as integer) "rank", vec_id, score from ranked where n <= 5""",
+}

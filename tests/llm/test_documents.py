@@ -171,8 +171,68 @@ def test_quality_edges(spark, edge, empty):
     assert len(got) == len(EDGE) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     none = quality_crf.quality(edge, labels.where("false")).collect()
     assert {r.score for r in none} == {0.5} and quality_crf.quality(empty, labels).count() == 0
-    kept = quality_crf.with_scores(edge, quality_crf.Model())
-    assert set(kept.columns) == {*edge.columns, "quality_score"} and kept.count() == len(EDGE)
+    kept = quality_crf.with_scores(edge.withColumn("quality_score", F.lit("own")), quality_crf.Model())
+    assert kept.columns == [*edge.columns, "quality_score", "quality_score_"] and kept.where("quality_score = 'own' and quality_score_ = 0.5").count() == len(EDGE)
+    assert quality_crf.good_documents(edge, quality_crf.Model()).columns == edge.columns
+
+
+def test_two_state_chains_equal_the_general_ones():
+    r = np.random.default_rng(1)
+    first = np.array([0, 4, 4, 5, 9, 9000, 9001, 20_000])  # empty, single, short and long ones
+    emit, move = 2 * r.normal(size=(20_000, 2)), r.normal(size=(2, 2))
+    seen, pairs, _ = crf.marginals(emit, first, move)
+    one, count = crf.binary_marginals(emit[:, 1] - emit[:, 0], first, move)
+    assert np.allclose(seen[:, 1], one, atol=1e-7) and np.allclose(pairs, count, atol=1e-3)
+
+
+def plain_features(text):
+    """Line features one line at a time."""
+    own, lines = [], (text or "").encode().split(b"\n")
+    for raw in lines:
+        count = lambda chars, raw=raw: sum(c in chars for c in raw)
+        wide = sum(c >= 128 for c in raw)
+        upper, low = count(range(65, 91)), count(range(97, 123))
+        w = [x for x in re.split(rb"[ \t\n\x0b\x0c\r]+", raw.lower()) if x]
+        n, m, letters = max(len(raw), 1), max(len(w), 1), max(upper + low + wide / 2, 1)
+        symbol, distinct = count(b"!#$%&*+/<=>@[\\]^_`{|}~"), len(set(w))
+        own.append([
+            np.log1p(len(raw)), not raw, upper / letters, count(b"0123456789") / n, count(b" \t\x0b\x0c\r") / n, count(b".,;:?'\"()-") / n, symbol / n, min(symbol / m, 3), wide / n,
+            min(n / m, 30) / 10, distinct / m, sum(a == b for a, b in zip(w, w[1:])) / m, distinct / m * np.log1p(len(w)), np.log1p(lines.count(raw) - 1), len(w) < 3,
+        ])
+    own = np.array(own, float)
+    none = np.zeros((1, own.shape[1]))
+    k = len(own)
+    edges = np.stack([np.arange(k) == 0, np.arange(k) == k - 1, np.full(k, np.log1p(k)), np.ones(k)], axis=1)
+    return np.concatenate([own, np.concatenate([none, own[:-1]]), np.concatenate([own[1:], none]), edges], axis=1), [max(len(x), 1) for x in lines]
+
+
+def test_quality_query_equals_a_plain_version(spark, docs):
+    """Features, chain marginals, weights by length and calibration, recomputed one document at a time."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    some = docs.limit(60).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(-1).cast("long")))
+    model = quality_crf.fit_model(docs, labels)
+    got = {r.doc_id: r.score for r in quality_crf.score_documents(some, model).collect()}
+    for r in some.collect():
+        x, n = plain_features(r.text)
+        drive = (x - model.mean) / model.spread @ model.weights
+        good = crf.marginals(np.stack([0 * drive, drive], axis=1), np.array([0, len(n)]), model.move)[0][:, 1]
+        raw = np.clip((good * n).sum() / np.sum(n), 1e-6, 1 - 1e-6)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(model.slope * np.log(raw / (1 - raw)) + model.shift))), abs=1e-6)
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from stemquarry.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        df = queries.QUERIES[name](spark, SF)
+        want = con.sql(sql)
+        assert sorted(df.columns) == sorted(want.columns)
+        assert sorted(tuple(r[c] for c in want.columns) for r in df.collect()) == sorted(want.fetchall())
 
 
 # ---- licenses ----
@@ -326,6 +386,19 @@ def test_private_crf_on_other_rows():
     assert (got == states).mean() > 0.98 and (got == states)[states > 0].mean() > 0.95
 
 
+def test_long_windows_are_decoded_in_pieces():
+    r = np.random.default_rng(4)
+    words = [f"{r.integers(0, 256)}.{r.integers(0, 256)}.{r.integers(0, 256)}.{r.integers(0, 256)}" if i % 3 else "12:45" for i in range(3000)]
+    data = np.frombuffer((" ".join(words) + "\n").encode(), np.uint8)
+    got = pii_crf.crf_spans(pii_crf.train(), data, np.array([0]))
+    whole = np.concatenate(pii_crf.train().decode([[w.encode() for w in words]]))
+    start = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
+    marked = np.zeros(len(words), bool)
+    for a, _, b in got:
+        marked[np.searchsorted(start, a, side="right") - 1 : np.searchsorted(start, b)] = True
+    assert (marked == (whole > 0)).mean() > 0.999
+
+
 def test_scans_on_edges(edge, empty):
     for f in (license_templates.licenses, secret_dfa.secrets, pii_crf.personal_data):
         assert f(edge).count() == len(EDGE) and f(empty).count() == 0
@@ -436,6 +509,22 @@ def test_packing_edges(edge, empty):
 
 
 def test_packing_balances_costs():
+    """Each piece went to the cheapest sequence with room, and the dearest sequence is near the mean."""
+    r = np.random.default_rng(3)
+    lengths = [int(x) for x in r.integers(5, 900, 400)]
+    lengths[-1] += (-sum(lengths)) % 1024  # full sequences only
+    linear, quadratic = 1.0, 1 / 1024
+    pieces = cost_packing.pack_window(lengths, 1024, linear, quadratic)
+    tails = [p for p in pieces if not (p[2] == 1024 and p[4] == 0)]
+    cost, room = Counter(), {s: 1024 for s in {p[3] for p in tails}}
+    for i, _, n, s, at in tails:
+        fits = [x for x in room if room[x] >= min(n, max(room.values()))]
+        assert cost[s] == min(cost[x] for x in fits) and at == 1024 - room[s]
+        cost[s] += linear * n + quadratic * n * n
+        room[s] -= n
+    in_order = [i for i, *_ in tails]
+    assert in_order == sorted(in_order, key=lambda i: (-(lengths[i] % 1024), i)) and set(room.values()) == {0}
+    assert max(cost.values()) <= 1.35 * np.mean(list(cost.values()))
     lengths = [900, 800, 700, 300, 200, 100, 48]
     pieces = cost_packing.pack_window(lengths, 1024, 1.0, 1 / 1024)
     assert sum(p[2] for p in pieces) == sum(lengths)
