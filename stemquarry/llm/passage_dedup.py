@@ -6,7 +6,8 @@ compared as sets of 5-word shingles: MinHash signatures are cut into bands, as m
 ``tuned_bands`` finds for the threshold and the wanted recall, and distinct blocks that collide in a
 band are verified by exact Jaccard and clustered by connected components.  First every block is
 compared with one hub of each of its bands, the block that collides most, which ties near copies of
-one block together.  Then bands whose blocks are still in different components are resolved:
+one block together; in large bands the blocks outside the largest component also meet a few hubs of
+that component.  Then bands whose blocks are still in different components are resolved:
 their blocks outside the band's largest component meet all its blocks under exact bounds (sizes, and
 bitmaps of shingles: a bit that one side lacks is a shingle that it lacks), so only pairs that may
 reach the threshold become rows, once each; blocks of large bands that share too few of their
@@ -60,8 +61,11 @@ RECALL = 0.9998
 MOST_BANDS = 12
 #: Longs of a block's bitmap.
 SKETCH = 16
-#: Blocks from which a band is large: it is thinned by shared shingles before its blocks meet.
+#: Blocks from which a band is large: its blocks meet more hubs, and it is thinned by shared shingles
+#: before they meet each other.
 LARGE_BAND = 256
+#: Hubs of the largest component that the other blocks of a large band meet.
+HUBS = 8
 #: Bytes of removed ranges that may be broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -228,28 +232,53 @@ def _near_blocks(docs: DataFrame, scratch: Scratch, firsts: DataFrame, min_words
     scratch.drop(crowded, hubs, pairs)
 
     # Bands that still meet several components.
-    known = scratch.save(met.join(labels, "key", "left").select("band", "blocks", "key", F.coalesce("component", "key").alias("component")), "known")
-    scratch.drop(met)
-    mixed = known.groupBy("band", "component").agg(F.count("*").alias("own")).groupBy("band").agg(
-        F.max_by("component", F.struct("own", "component")).alias("main"), F.count("*").alias("components")
-    )
-    mixed = scratch.save(mixed.where("components > 1").drop("components"), "mixed")
-    rows = known.join(mixed, "band").join(sets.withColumnRenamed("doc_id", "key"), "key").join(firsts.select("key", *bands), "key")
     bits = reduce(add, (F.bit_count(F.col("sketch")[i]) for i in range(SKETCH)))
-    rows = rows.withColumns({"n": F.size("elements").cast("long"), "bits": bits, "in_main": F.col("component") == F.col("main"), "at": F.array_position(F.array(*bands), F.col("band"))})
-    rows = scratch.save(_thinned(scratch, rows, threshold).drop("elements", "blocks", "main"), "open")
-    scratch.drop(known, mixed)
-    left, right = (rows.select("band", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "band")) for side in "ab")
+    about = sets.select(F.col("doc_id").alias("key"), F.size("elements").cast("long").alias("n"), bits.alias("bits"), "sketch")
+    known = _by_component(scratch, met, labels)
+    large = scratch.save(known.where(F.col("blocks") >= LARGE_BAND).join(about, "key"), "large")
+    hub = F.array_distinct(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(s))) for s in range(HUBS)]))
+    hubs = large.where("in_main").groupBy("band").agg(hub.alias("keys")).select("band", F.explode("keys").alias("key"))
+    pairs = scratch.save(_meeting(large, large.join(hubs, ["band", "key"], "left_semi"), threshold).distinct(), "more-hub-pairs")
+    if pairs.limit(1).count():
+        links = scratch.save(links.union(verified(pairs, sets, threshold)), "all-hub-links")
+        labels = connected_components(docs.sparkSession, scratch, links).withColumnRenamed("node", "key")
+        scratch.drop(known)
+        known = _by_component(scratch, met, labels)
+    scratch.drop(met, large, pairs)
+    rows = known.join(sets.select(F.col("doc_id").alias("key"), "elements"), "key").join(about, "key").join(firsts.select("key", *bands), "key")
+    rows = rows.withColumn("at", F.array_position(F.array(*bands), F.col("band")))
+    rows = scratch.save(_thinned(scratch, rows, threshold).drop("elements", "blocks"), "open")
+    scratch.drop(known)
     earlier = reduce(or_, ((F.col("at_a") > i + 1) & (F.col(f"{c}_a") == F.col(f"{c}_b")) for i, c in enumerate(bands[:-1])), F.lit(False))
-    once = F.col("in_main_b") | (F.col("key_a") < F.col("key_b"))
-    near = left.where("not in_main_a").join(right, "band").where(once & (F.col("component_a") != F.col("component_b")) & _may_reach(threshold) & ~earlier)
-    rest = scratch.save(near.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")), "rest-pairs")
+    rest = scratch.save(_meeting(rows, rows, threshold, ~earlier), "rest-pairs")
     scratch.drop(rows)
     more = scratch.save(verified(rest, sets, threshold), "rest-links")
     scratch.drop(rest, sets)
     return links.union(more)
 
 
+def _by_component(scratch: Scratch, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, blocks, key, component, in_main) of the bands that meet several components; saved."""
+    known = scratch.save(met.join(labels, "key", "left").select("band", "blocks", "key", F.coalesce("component", "key").alias("component")), "labelled")
+    mixed = known.groupBy("band", "component").agg(F.count("*").alias("own")).groupBy("band").agg(
+        F.max_by("component", F.struct("own", "component")).alias("main"), F.count("*").alias("components")
+    )
+    mixed = scratch.save(mixed.where("components > 1").drop("components"), "mixed")
+    out = scratch.save(known.join(mixed, "band").withColumn("in_main", F.col("component") == F.col("main")).drop("main"), "known")
+    scratch.drop(known, mixed)
+    return out
+
+
+def _meeting(left: DataFrame, right: DataFrame, threshold: int, also: Column | None = None) -> DataFrame:
+    """(a, b): blocks outside the largest component of a band and others of the band, of different
+    components, that the bounds leave."""
+    side = lambda df, s: df.select("band", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "band"))
+    once = F.col("in_main_b") | (F.col("key_a") < F.col("key_b"))
+    met = side(left.where("not in_main"), "a").join(side(right, "b"), "band").where(once & (F.col("component_a") != F.col("component_b")) & _may_reach(threshold))
+    met = met.where(also) if also is not None else met
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+
+
 def _thinned(scratch: Scratch, rows: DataFrame, threshold: int) -> DataFrame:
     """``rows`` of open bands without those of large bands that no other block of a large band can
     reach: too few of their shingles stand in any of them."""

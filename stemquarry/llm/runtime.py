@@ -140,29 +140,36 @@ def fresh(df: DataFrame, name: str) -> str:
 def connected_components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Label nodes of ``edges(a long, b long)`` with the smallest reachable node id.
 
-    Alternates min-label propagation over the edges with pointer jumping, so path lengths shrink
-    geometrically.  Labels are aggregated map-side before each shuffle.  The two joins whose keys can
-    be hot (the edges of a hub, the members of a component) read written tables on both sides and
-    have one row for each key on the other side, so Spark splits their large partitions; lineage is
-    cut by those tables.  Returns (node, component) for every node that has an edge; an empty edge
-    list gives an empty table.
+    Each round gives every node its smallest neighbour (or itself) as a parent, takes the parent's
+    parent, and contracts the graph to parents that still have an edge between them, so edges shrink
+    from round to round and stars vanish in one; the rounds' parents are put together at the end.
+    Parents are aggregated map-side before the shuffle.  The joins whose keys can be hot (the edges of
+    a hub, the children of a parent) read written tables on both sides and have one row for each key
+    on the other side, so Spark splits their large partitions; lineage is cut by those tables.
+    Returns (node, component) for every node that has an edge; an empty edge list gives an empty table.
     """
-    both = scratch.save(
-        edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(),
-        "cc-edges",
-    )
-    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "cc-labels")
+    both_ways = lambda e: e.where("a <> b").union(e.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    graph = scratch.save(both_ways(edges.select("a", "b")), "cc-edges")
+    rounds: list[DataFrame] = []
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        step = scratch.save(
-            labels.join(seen, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component")), "cc-step"
-        )
-        scratch.drop(labels)
-        if not step.where("old <> component").limit(1).count():  # neighbours agree everywhere
-            scratch.drop(both)
-            return step.select("node", "component")
-        # Only nodes that are some node's label are looked up.
-        roots = step.select("component").distinct()
-        up = scratch.save(roots.join(step.select(F.col("node").alias("component"), F.col("component").alias("up")), "component"), "cc-up")
-        labels = scratch.save(step.join(up, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component")), "cc-labels")
-        scratch.drop(step, up)
+        nearest = scratch.save(graph.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("parent")), "cc-nearest")
+        up = nearest.select("parent").distinct().join(nearest.select(F.col("node").alias("parent"), F.col("parent").alias("up")), "parent")
+        up = scratch.save(up, "cc-up")
+        parents = scratch.save(nearest.join(up, "parent").select("node", F.col("up").alias("parent")), "cc-parents")
+        rounds.append(parents)
+        moved = graph.where("a < b").join(parents.select(F.col("node").alias("a"), F.col("parent").alias("of_a")), "a")
+        moved = moved.join(parents.select(F.col("node").alias("b"), F.col("parent").alias("of_b")), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        left = scratch.save(both_ways(moved), "cc-edges")
+        scratch.drop(nearest, up, graph)
+        graph = left
+        if not graph.limit(1).count():
+            break
+    labels = rounds.pop()
+    while rounds:
+        below = rounds.pop()
+        merged = below.join(labels.select(F.col("node").alias("parent"), F.col("parent").alias("top")), "parent", "left").select("node", F.coalesce("top", "parent").alias("parent"))
+        merged = scratch.save(merged, "cc-labels")
+        scratch.drop(below, labels)
+        labels = merged
+    scratch.drop(graph)
+    return labels.select("node", F.col("parent").alias("component"))
