@@ -37,12 +37,30 @@ def fold_literal(c: ColumnOrName, pairs: list[tuple[str, str]]) -> Column:
 BROKEN_WORDS = [
     (r"(?U)(\w)ti on\b", "$1tion"),
     (r"(?U)(\w)si on\b", "$1sion"),
-    *[(rf"(?U)\b{a} {b}\b", a + b) for a, b in (
-        ("th", "at"), ("th", "is"), ("th", "e"), ("th", "ey"), ("th", "eir"), ("th", "ere"), ("th", "ese"), ("th", "ose"), ("th", "rough"),
-        ("wh", "at"), ("wh", "en"), ("wh", "ere"), ("wh", "ich"), ("wh", "ile"),
-        ("f", "or"), ("f", "rom"), ("in", "to"), ("hum", "an"), ("pers", "on"), ("pris", "on"), ("reas", "on"), ("comm", "on"), ("monit", "or"),
-    )],
-]
+    (r"(?U)\bth at\b", "that"),
+    (r"(?U)\bth is\b", "this"),
+    (r"(?U)\bth e\b", "the"),
+    (r"(?U)\bth ey\b", "they"),
+    (r"(?U)\bth eir\b", "their"),
+    (r"(?U)\bth ere\b", "there"),
+    (r"(?U)\bth ese\b", "these"),
+    (r"(?U)\bth ose\b", "those"),
+    (r"(?U)\bth rough\b", "through"),
+    (r"(?U)\bwh at\b", "what"),
+    (r"(?U)\bwh en\b", "when"),
+    (r"(?U)\bwh ere\b", "where"),
+    (r"(?U)\bwh ich\b", "which"),
+    (r"(?U)\bwh ile\b", "while"),
+    (r"(?U)\bf or\b", "for"),
+    (r"(?U)\bf rom\b", "from"),
+    (r"(?U)\bin to\b", "into"),
+    (r"(?U)\bhum an\b", "human"),
+    (r"(?U)\bpers on\b", "person"),
+    (r"(?U)\bpris on\b", "prison"),
+    (r"(?U)\breas on\b", "reason"),
+    (r"(?U)\bcomm on\b", "common"),
+    (r"(?U)\bmonit or\b", "monitor"),
+]
 
 
 def repair_broken_words(c: ColumnOrName) -> Column:

@@ -65,7 +65,12 @@ def find_spans(pattern: str):
     return run
 
 
-def segment_word(word: str, frequency: dict[str, int], split_cost: float = 8.0, longest: int = 24) -> list[str]:
+# The score of a letter in a known word and in an unknown piece, the divisor of the
+# frequency bonus and its cap, the cost of a piece, and the least mean length of pieces.
+KNOWN_LETTER, UNKNOWN_LETTER, BONUS_PER, BONUS_CAP, SPLIT_COST, LEAST_MEAN = 10, 5, 10, 100, 8.0, 2.5
+
+
+def segment_word(word: str, frequency: dict[str, int], split_cost: float = SPLIT_COST, longest: int = 24) -> list[str]:
     """TXT-18: best split of a letter run: word score 10 per letter plus a frequency bonus, less
     ``split_cost`` for each piece; an unknown piece with a vowel scores 5 per letter, else 0.  A
     result whose mean piece is under 2.5 letters is given back whole."""
@@ -76,7 +81,7 @@ def segment_word(word: str, frequency: dict[str, int], split_cost: float = 8.0,
         for start in range(max(0, end - longest), end):
             piece = low[start:end]
             seen = frequency.get(piece)
-            score = 10 * len(piece) + min(seen, 100) / 10 if seen else 5 * len(piece) if re.search("[aeiou]", piece) else 0
+            score = KNOWN_LETTER * len(piece) + min(seen, BONUS_CAP) / BONUS_PER if seen else UNKNOWN_LETTER * len(piece) if re.search("[aeiou]", piece) else 0
             if best[start] + score - split_cost > best[end]:
                 best[end], back[end] = best[start] + score - split_cost, start
     out, at = [], n
@@ -84,7 +89,7 @@ def segment_word(word: str, frequency: dict[str, int], split_cost: float = 8.0,
         out.append(word[back[at] : at])
         at = back[at]
     out.reverse()
-    return out if out and n / len(out) >= 2.5 else [word]
+    return out if out and n / len(out) >= LEAST_MEAN else [word]
 
 
 def segment_words(frequency: dict[str, int], least: int = 8):
@@ -107,25 +112,36 @@ def segment_words(frequency: dict[str, int], least: int = 8):
     return run
 
 
-def merge_fragments(words: set[str]):
-    """TXT-22/23: join four, three or two neighbouring Latin fragments into a known word of five or
-    more letters where one fragment is short and no word itself."""
+# Endings that are no words of their own.
+BOUND_ENDINGS = ("tion", "sion", "ment", "ness", "ence", "ance", "able", "ible", "ity", "ous", "ive", "ally", "ing", "ed", "ly", "ful", "ism", "ist")
+
+
+def merge_fragments(words: set[str], standalone: tuple[str, ...] = ()):
+    """TXT-22/23: join neighbouring Latin fragments into a known word.
+
+    Four, three or two fragments make a word of five or more letters where one of them is short (up to
+    three letters) and no word itself (TXT-23).  Two fragments make a word, whatever their length,
+    where the first is no word itself, or the second a bound ending, unless the second is one of
+    ``standalone`` (TXT-22).
+    """
 
     @F.pandas_udf(T.StringType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def joins(piece: list[str]) -> bool:
+            low = [p.lower() for p in piece]
+            if not all(re.fullmatch("[A-Za-z]+", p) for p in piece) or "".join(low) not in words:
+                return False
+            if sum(map(len, low)) >= 5 and any(len(p) <= 3 and p not in words for p in low):
+                return True
+            first, last = low[0], low[-1]
+            return len(piece) == 2 and len(first) >= 2 and 2 <= len(last) <= 6 and last not in standalone and (first not in words or last in BOUND_ENDINGS)
+
         def one(text: str) -> str:
             tokens, out, i = text.split(" "), [], 0
             while i < len(tokens):
-                for k in (4, 3, 2):
-                    piece = tokens[i : i + k]
-                    whole = "".join(piece)
-                    if len(piece) == k and len(whole) >= 5 and whole.lower() in words and all(re.fullmatch("[A-Za-z]+", p) for p in piece) and any(len(p) <= 3 and p.lower() not in words for p in piece):
-                        out.append(whole)
-                        i += k
-                        break
-                else:
-                    out.append(tokens[i])
-                    i += 1
+                k = next((k for k in (4, 3, 2) if i + k <= len(tokens) and joins(tokens[i : i + k])), 1)
+                out.append("".join(tokens[i : i + k]))
+                i += k
             return " ".join(out)
 
         for s in parts:
@@ -233,36 +249,3 @@ def question_cards(s: pd.Series) -> pd.Series:
         return r.found
 
     return s.map(one)
-
-
-OPTIONS = T.MapType(T.StringType(), T.StringType())
-
-
-def shortest_boundaries(lines: list[str], k: int = 4) -> list[str] | None:
-    """REP-03: group lines into k options; borders follow the shortest lines (earlier ones on ties)."""
-    if len(lines) < k:
-        return None
-    cuts = sorted(sorted(range(1, len(lines)), key=lambda i: (len(lines[i - 1]), i))[: k - 1])
-    edges = [0, *cuts, len(lines)]
-    return [" ".join(lines[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
-@F.pandas_udf(OPTIONS)
-def inline_options(s: pd.Series) -> pd.Series:
-    """REP-02/03/04: options without labels: double spaces, lines, four short words, in that order."""
-
-    def one(x: str | None) -> dict[str, str]:
-        text = (x or "").strip()
-        tries = (
-            lambda: re.split(r"\s{2,}", text.split("\n")[-1].strip()),
-            lambda: text.split("?", 1)[1].strip().split("\n") if "?" in text else text.split("\n")[-4:],
-            lambda: text.split("\n")[-1].split(" "),
-            lambda: shortest_boundaries(text.split("\n")[1:]) or [],
-        )
-        for t in tries:
-            parts = [p.strip() for p in t() if p.strip()]
-            if len(parts) == 4:
-                return dict(zip("ABCD", parts, strict=True))
-        return {}
-
-    return s.map(one)

@@ -39,7 +39,18 @@ def next_hit(current: int, total: int, step: int) -> int:
     return (current + step) % total if total else -1
 
 
+def walked_hits(steps: DataFrame, by: str, at: str, step: str, total: str) -> DataFrame:
+    """CLI-03 as rows: the hit shown after each step (+1 or -1) of a reader, from before the first on."""
+    sofar = F.sum(step).over(Window.partitionBy(by).orderBy(at)) - 1
+    return steps.withColumn("hit", F.when(F.col(total) > 0, F.pmod(sofar, F.col(total))).otherwise(-1))
+
+
+def visible(cards: DataFrame, *, query: str, text: str, answers: bool = False) -> DataFrame:
+    """CLI-09: the cards that a query leaves visible, with or without their answers."""
+    found = card_search(cards, text, query=query)
+    return found if answers else found.drop("answer")
+
+
 def export_visible(cards: DataFrame, path: str, *, query: str, text: str, answers: bool = False) -> None:
     """CLI-09: write the cards that a query leaves visible, with or without their answers."""
-    found = card_search(cards, text, query=query)
-    (found if answers else found.drop("answer")).write.mode("error").json(path)
+    visible(cards, query=query, text=text, answers=answers).write.mode("error").json(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,9 +41,15 @@ def spread_ranges(ranges: DataFrame, rows: DataFrame, by: str, low: str, high: s
 def pairs_within(df: DataFrame, on: list[str], key: str) -> DataFrame:
     """JOI-07: pairs (i < j) of different keys that share the group columns.
 
-    The last row of a (group, key) stands for it.  Groups are sets of categories of one subject and
-    year, a handful each; the comparison is asked for, not a shortcut.
+    Of several rows with one (group, key) the greatest stands for it (as the last of an ordered reading
+    does).  Groups are sets of categories of one subject and year, a handful each; the comparison is
+    asked for, not a shortcut.
     """
+    rest = [c for c in df.columns if c not in (*on, key)]
+    if rest:
+        df = df.groupBy(*on, key).agg(F.max(F.struct(*rest)).alias("_last")).select(*on, key, "_last.*")
+    else:
+        df = df.distinct()
     left = df.select(*on, F.col(key).alias(f"{key}_a"), *[F.col(c).alias(f"{c}_a") for c in df.columns if c not in (*on, key)])
     right = df.select(*on, F.col(key).alias(f"{key}_b"), *[F.col(c).alias(f"{c}_b") for c in df.columns if c not in (*on, key)])
     return left.join(right, on).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
@@ -52,8 +58,8 @@ def pairs_within(df: DataFrame, on: list[str], key: str) -> DataFrame:
 def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, on: list[str], order: str) -> DataFrame:
     """JOI-11: for each left id the right id with most shared keys; the first in order on ties."""
     shared = left.select(left_id, *on).distinct().join(right.select(right_id, order, *on).distinct(), on).groupBy(left_id, right_id, order).agg(F.count("*").alias("shared"))
-    w = Window.partitionBy(left_id).orderBy(F.desc("shared"), F.asc(order))
-    return shared.withColumn("_at", F.row_number().over(w)).where("_at = 1").select(left_id, right_id, "shared")
+    best = F.min(F.struct((-F.col("shared")).alias("lost"), F.col(order).alias("order"), F.col(right_id).alias("right"))).alias("best")  # combines before the shuffle
+    return shared.groupBy(left_id).agg(best).select(left_id, F.col("best.right").alias(right_id), (-F.col("best.lost")).alias("shared"))
 
 
 def side_by_side(left: DataFrame, right: DataFrame, on: list[str], value: str, keep_missing: bool = False) -> DataFrame:

@@ -18,10 +18,26 @@ CHOICE = r"^\s*(\d{1,3})\s*[.、．)\s]\s*(.+)"
 ESSAY = r"^\s*([一二三四五六七八九十]+)\s*[、．.]\s*(.+)"
 SECTION = r"^\s*(甲|乙)\s*[、．.]\s*(申論題|測驗題|選擇題)"
 NOTE = r"^\s*[※＊*]?\s*注意\s*[：:]|不必抄題|不予計分|禁止使用電子計算器|本試題為單一選擇題|鋼筆或原子筆|2B鉛筆|應使用本國文字|可以使用電子計算器"
-HEADER = (
-    r"^\d{2,3}年(公務|特種)|^代號[:：]|^頁次[:：]|^考試(別|時間)|^等\s*別[:：]|^類\s*科|^科\s*目[:：]|^座號|^(全一張|全一頁)|^-?\d+-?$|^\d{5}$"
-    r"|^(請接背面|請以背面)|^(背面尚有|請翻頁)"
+# Beginnings of page headers and residue, one entry for each.
+HEADERS = (
+    r"^\d{2,3}年(公務|特種)",
+    r"^代號[:：]",
+    r"^頁次[:：]",
+    r"^考試(別|時間)",
+    r"^等\s*別[:：]",
+    r"^類\s*科",
+    r"^科\s*目[:：]",
+    r"^座號",
+    r"^(全一張|全一頁)",
+    r"^-?\d+-?$",
+    r"^\d{5}$",
+    r"^(請接背面|請以背面)",
+    r"^(背面尚有|請翻頁)",
 )
+HEADER = "|".join(HEADERS)
+# The line that opens a reading group, and stems that refer to a figure.
+PASSAGE_HEADER = r"請依下文回答第\s*(\d+)\s*題至第\s*(\d+)\s*題"
+FIGURE = r"如圖[一二三四五六七八九十①②③④⑤⑥⑦⑧⑨⑩(（\d]|附圖|下圖所示|如下圖"
 HEADER_WORDS = "人員考試|考試別|退除役軍人"
 METADATA = {
     "exam_type": r"(\d{2,3})\s*年\s*(特種考試|公務人員特種考試)",
@@ -131,20 +147,23 @@ def category_of(subjects: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def numbered_segments(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """GEN-06/11, WIN-10: text from one question number to the next; of repeated numbers the last stays."""
+def numbered_segments(docs: DataFrame, key: str, text: str = "text", low: int = 1, high: int = 80) -> DataFrame:
+    """GEN-06/11, WIN-10: text from one question number (low to high) to the next; of repeated numbers the last stays.
+
+    A number outside the bounds (a year, a page) is part of the text before it.
+    """
     lines = lines_of(docs, key, text).withColumn("number", F.regexp_extract("text", CHOICE, 1).try_cast("int"))
-    segments = win.attach_lines(lines, key, "line", "text", F.col("number").isNotNull())
-    out = segments.withColumn("number", F.regexp_extract("text", CHOICE, 1).cast("int"))
+    segments = win.attach_lines(lines, key, "line", "text", F.coalesce(F.col("number").between(low, high), F.lit(False)))
+    out = segments.withColumn("number", F.regexp_extract(F.split("text", "\n")[0], CHOICE, 1).cast("int"))
     return out.groupBy(key, "number").agg(F.max_by("text", "line").alias("text"))
 
 
 def two_columns(chars: DataFrame, key: str, split: float) -> DataFrame:
     """GEN-07: characters (key, x, y, text) to lines, the left column before the right one."""
-    side = chars.withColumn("_k", F.concat_ws("|", F.col(key).cast("string"), (F.col("x") >= split).cast("int").cast("string")))
+    side = chars.withColumn("_k", F.struct(F.col(key).alias("key"), (F.col("x") >= split).cast("int").alias("column")))
     ordered = side.groupBy("_k", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda r: r["text"]), "").alias("text"))
     lines = win.anchored_lines(ordered, "_k", "y", "text")
-    return lines.select(F.split("_k", r"\|")[0].alias(key), F.split("_k", r"\|")[1].cast("int").alias("column"), "line", "text")
+    return lines.select(F.col("_k.key").alias(key), F.col("_k.column").alias("column"), "line", "text")
 
 
 def parse_documents(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -168,3 +187,84 @@ def questions_from_notes(files: DataFrame) -> DataFrame:
     """REP-16: questions that stand among the notes of a paper."""
     docs = files.select("file_id", F.array_join(F.filter("notes", lambda n: ~is_note(n)), "\n").alias("text"))
     return parse_questions(docs, "file_id")
+
+
+def single_question(docs: DataFrame, key: str, number: int, text: str = "text") -> DataFrame:
+    """GEN-05: the first choice question of one number in each document."""
+    q = parse_questions(docs, key, text).where((F.col("type") == "choice") & (F.col("number").try_cast("int") == number))
+    return q.groupBy(key).agg(F.min_by(F.struct("number", "stem", "options", "section"), "pos").alias("q")).select(key, "q.*")
+
+
+def reading_groups(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """GEN-05: choice questions with the passage of their range: from its header to the next question.
+
+    Of ranges that hold a number the first in the document counts.  A stem under 20 characters makes
+    the question a cloze, else it is reading comprehension.
+    """
+    lines = lines_of(docs, key, text).where(~is_header(F.col("text")))
+    starts = F.col("text").rlike(PASSAGE_HEADER) | F.col("text").rlike(CHOICE)
+    parts = win.attach_lines(lines, key, "line", "text", starts, " ").where(F.split("text", "\n")[0].rlike(PASSAGE_HEADER))
+    low, high = (F.regexp_extract("text", PASSAGE_HEADER, g).cast("int") for g in (1, 2))
+    ranges = parts.where(low <= high).select(key, "line", F.col("text").alias("passage"), F.explode(F.sequence(low, high)).alias("number_int"))
+    first = ranges.groupBy(key, "number_int").agg(F.min_by("passage", "line").alias("passage"))
+    q = parse_questions(docs, key, text).where("type = 'choice'").withColumn("number_int", F.col("number").try_cast("int"))
+    kind = F.when(F.col("passage").isNotNull(), F.when(F.length("stem") < 20, "cloze").otherwise("reading_comprehension"))
+    return q.join(first, [key, "number_int"], "left").withColumn("subtype", kind)
+
+
+def english_questions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """GEN-06: (key, number, stem, options) of an English page whose options carry no labels: the words of
+    the question's last line if they are four, else what stands behind the number is all stem."""
+    from . import options as op
+
+    q = numbered_segments(docs, key, text)
+    body = F.regexp_replace("text", r"^\s*\d{1,3}\s*[.、．)\s]\s*", "")
+    lines = F.split(body, "\n")
+    found = op.four_words(body)
+    stem = F.when(found.isNotNull(), F.array_join(F.slice(lines, 1, F.size(lines) - 1), " ")).otherwise(F.array_join(lines, " "))
+    return q.select(key, "number", F.trim(stem).alias("stem"), found.alias("options"))
+
+
+def answer_tables(cells: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """SRC-10: (key, number, answer) of answer sheets: table columns headed 第n題; for numbers without one, pairs
+    in the running text and numbers that it calls free.
+
+    ``cells(key, page, table, row, cells)`` holds table rows (0 the header, 1 the answers),
+    ``texts(key, page, text)`` page texts.  Of several table finds the last counts, of several in texts the
+    first: by page, then pairs before free numbers.
+    """
+    free = lambda c: c.rlike("送分|一律給分")
+    w = [key, "page", "table"]
+    header = cells.where("row = 0").select(*w, F.col("cells").alias("h"))
+    z = header.join(cells.where("row = 1").select(*w, F.col("cells").alias("a")), w).select(key, "page", "table", F.posexplode(F.arrays_zip("h", "a")).alias("at", "z"))
+    number, a = F.regexp_extract(F.coalesce("z.h", F.lit("")), r"第(\d+)題", 1).try_cast("int"), F.trim(F.coalesce("z.a", F.lit("")))
+    at = lambda *order: F.struct("page", *order).alias("at")
+    from_tables = z.select(key, number.alias("number"), F.when(a.rlike("^[ABCD]$"), a).when(free(a), "送分").alias("answer"), F.lit(0).alias("kind"), at(F.col("table").cast("long").alias("i"), F.col("at").alias("j")))
+    pairs = texts.select(key, "page", F.posexplode(F.regexp_extract_all("text", F.lit(r"第\d{1,3}題\s+[A-D]\b"), F.lit(0))).alias("j", "p"))
+    from_pairs = pairs.select(key, F.regexp_extract("p", r"(\d+)", 1).cast("int").alias("number"), F.right("p", F.lit(1)).alias("answer"), F.lit(1).alias("kind"), at(F.lit(-1).cast("long").alias("i"), (-F.col("j")).alias("j"))).where("number between 1 and 100")
+    marks = texts.select(key, "page", F.posexplode(F.regexp_extract_all("text", F.lit(r"第\s*(\d+)\s*題.*?(?:送分|一律給分)"), F.lit(1))).alias("j", "p"))
+    from_marks = marks.select(key, F.col("p").cast("int").alias("number"), F.lit("送分").alias("answer"), F.lit(2).alias("kind"), at(F.lit(-2).cast("long").alias("i"), (-F.col("j")).alias("j")))
+    found = from_tables.unionByName(from_pairs).unionByName(from_marks).where("number is not null and answer is not null")
+    return found.groupBy(key, "number").agg(F.max_by("answer", F.struct((F.col("kind") == 0).alias("k"), F.when(F.col("kind") == 0, F.col("at.page")).otherwise(-F.col("at.page")).alias("p"), "at.i", "at.j")).alias("answer"))
+
+
+def assigned_figures(questions: DataFrame, images: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """GEN-12: (key, pos, source, at) for each question that refers to a figure.
+
+    With at least as many embedded images (key, image) as such questions, the n-th question takes the
+    n-th image; else a page (counted from 0): an essay the page of its number, a choice question the
+    first page (key, page, text) that holds its number and a figure, else the page of its place; no
+    page behind the last one.
+    """
+    w = Window.partitionBy(key).orderBy("pos")
+    refer = questions.where(F.col("stem").rlike(FIGURE)).withColumn("place", F.row_number().over(w))
+    n = refer.groupBy(key).agg(F.count("*").alias("asked"))
+    have = images.groupBy(key).agg(F.array_sort(F.collect_list("image")).alias("images"))
+    last = pages.groupBy(key).agg((F.max("page")).alias("last"))
+    hits = refer.where("type <> 'essay'").select(key, "pos", "number").join(pages.where(F.col("text").rlike("圖")), key).where(F.contains("text", F.col("number")))
+    first = hits.groupBy(key, "pos").agg(F.min("page").alias("hit"))
+    rows = refer.join(n, key).join(have, key, "left").join(last, key, "left").join(first, [key, "pos"], "left")
+    enough = F.coalesce(F.size("images"), F.lit(0)) >= F.col("asked")
+    value = F.coalesce(tx.numeral_value("number"), F.col("number").try_cast("int"), F.col("place"))
+    by_page = F.when(F.col("type") == "essay", F.least(value, "last")).otherwise(F.coalesce("hit", F.least("place", "last")))
+    return rows.select(key, "pos", F.when(enough, "image").otherwise("page").alias("source"), F.when(enough, F.get("images", F.col("place") - 1).cast("long")).otherwise(by_page.cast("long")).alias("at"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import udfs
 
 OPTION = r"[(（]([A-D])[)）]\s*((?:(?![(（][A-D][)）])(?s:.))+)"
 
@@ -31,14 +30,6 @@ def split_stem(questions: DataFrame) -> DataFrame:
     ).drop("_o")
 
 
-def split_unlabelled(questions: DataFrame) -> DataFrame:
-    """REP-02..06: options without labels; rows that no strategy splits get subtype incomplete."""
-    needs = (F.col("type") == "choice") & (F.col("options").isNull() | (F.size("options") <= 0))
-    out = questions.withColumn("_o", F.when(needs, udfs.inline_options("stem")))
-    done = F.size("_o") == 4
-    return out.withColumns({"options": F.when(done, F.col("_o")).otherwise(F.col("options")), "subtype": F.when(needs & ~F.coalesce(done, F.lit(False)), "incomplete").otherwise(F.col("subtype"))}).drop("_o")
-
-
 PASSAGE = r"(?s)^(.*?)\s*(?:請(?:依下文|閱讀下文|依據下列|回答下列)[^\n]*?第?\s*(\d+)\s*題?\s*(?:至|到|~|-|–)\s*第?\s*(\d+)\s*題)(.*)$"
 
 

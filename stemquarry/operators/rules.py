@@ -23,15 +23,25 @@ class Rule:
     severity: str
     when: Column
     detail: Column | None = None
+    #: a cheap condition, as (column, pattern), without which the rule can't hold; rules share one test
+    guard: tuple[str, str] | None = None
 
 
-def apply(df: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
-    """(keys, rule, severity, detail): one row for each rule that holds on a row."""
+def apply(df: DataFrame, rules: list[Rule], *keys: str, spread: int | None = None) -> DataFrame:
+    """(keys, rule, severity, detail): one row for each rule that holds on a row.
+
+    Guards are tested once per row, details made for hits only.  ``spread`` deals the rows out to that
+    many tasks first, which pays where a table of long texts is read by few tasks (one row group).
+    """
+    guards = list(dict.fromkeys(r.guard for r in rules if r.guard))
+    rows = df.repartition(spread) if spread else df
+    rows = rows.withColumns({f"_guard{i}": F.coalesce(F.col(c).rlike(p), F.lit(False)) for i, (c, p) in enumerate(guards)}) if guards else rows
+    holds = lambda r: F.col(f"_guard{guards.index(r.guard)}") & r.when if r.guard else r.when
     cell = lambda r: F.when(
-        r.when, F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), (r.detail if r.detail is not None else F.lit(None)).cast("string").alias("detail"))
+        holds(r), F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), (r.detail if r.detail is not None else F.lit(None)).cast("string").alias("detail"))
     )
     hits = F.filter(F.array(*[cell(r) for r in rules]), lambda x: x.isNotNull())
-    return df.select(*keys, F.explode(hits).alias("hit")).select(*keys, "hit.rule", "hit.severity", "hit.detail")
+    return rows.select(*keys, F.explode(hits).alias("hit")).select(*keys, "hit.rule", "hit.severity", "hit.detail")
 
 
 def union(*issues: DataFrame) -> DataFrame:
@@ -72,6 +82,7 @@ INSTRUCTIONS = {
     "note": r"注意\s*[：:]",
     "part": "申論題部分|測驗題部分",
 }
+# Characters and marks that decoding leaves behind.
 ENCODING = {
     "private_use": r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFF}]",
     "control": r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]",
@@ -85,6 +96,7 @@ ENCODING = {
     "entity": r"&(?:[a-z]+|#\d+);",
     "boxes": r"[□■●○◎]{3,}",
 }
+# Doubtful punctuation.
 PUNCTUATION = {
     "commas": "[,，]{2,}",
     "stops": "。{2,}",
@@ -96,31 +108,50 @@ PUNCTUATION = {
     "list_marks": "、{2,}",
     "wide_blanks": " {3,}",
 }
+# Question marks that stand for lost formula signs.
 MATH = {
     "compare_mark": r"[><]\s*\?|\?\s*[><]",
     "operator_mark": r"[√∫∑∏].*\?",
     "script_mark": r"[A-Za-z]\?[0-9]",
     "fraction_mark": r"\d+\s*/\s*\?|\?\s*/\s*\d+",
 }
+# Words broken by a blank, one entry for each kind of break, case aside.
 SPLIT_WORDS = {
-    "tion": r"[A-Za-z]ti\s+on\b",
-    "sion": r"[A-Za-z]si\s+on\b",
-    "ment": r"[A-Za-z]\s+ment\b(?!\s+(?:of|in|on|is|are|was|were|for|and|the|to|a))",
-    "ness": r"[A-Za-z]\s+ness\b",
-    "able": r"[A-Za-z]{3,}\s+able\b(?!\s+to)",
-    "ible": r"[A-Za-z]{3,}\s+ible\b",
-    "ing": r"[A-Za-z]{3,}i\s+ng\b",
-    "ence": r"[A-Za-z]\s+ence\b",
-    "ance": r"[A-Za-z]\s+ance\b",
-    "th": r"\bth\s+(?:e|at|is|an)\b",
-    "wh": r"\bwh\s+(?:en|ich|at)\b",
-    "short": r"\b(?:f\s+or|c\s+an|w\s+ith)\b",
-    "tor": r"[A-Za-z]{3,}t\s+or\b(?!\s+[A-Za-z])",
-    "ther": r"[A-Za-z]{3,}th\s+er\b",
-    "human": r"\b(?:[hw]um|wom)\s+an\b",
+    "tion": r"[a-zA-Z]ti\s+on\b",
+    "sion": r"[a-zA-Z]si\s+on\b",
+    "ment": r"[a-zA-Z]\s+ment\b(?!\s+(?:of|in|on|is|are|was|were|for|and|the|to|a))",
+    "ness": r"[a-zA-Z]\s+ness\b",
+    "able": r"[a-zA-Z]{3,}\s+able\b(?!\s+to)",
+    "ible": r"[a-zA-Z]{3,}\s+ible\b",
+    "ing": r"[a-zA-Z]{3,}i\s+ng\b",
+    "ence": r"[a-zA-Z]\s+ence\b",
+    "ance": r"[a-zA-Z]\s+ance\b",
+    "the": r"\bth\s+e\b",
+    "that": r"\bth\s+at\b",
+    "this": r"\bth\s+is\b",
+    "than": r"\bth\s+an\b",
+    "when": r"\bwh\s+en\b",
+    "which": r"\bwh\s+ich\b",
+    "what": r"\bwh\s+at\b",
+    "for": r"\bf\s+or\b",
+    "can": r"\bc\s+an\b",
+    "with": r"\bw\s+ith\b",
+    "tor": r"[a-zA-Z]{3,}t\s+or\b(?!\s+[a-zA-Z])",
+    "ther": r"[a-zA-Z]{3,}th\s+er\b",
+    "human": r"\b[hHwW]um\s+an\b",
+    "woman": r"\b[wW]om\s+an\b",
     "software": r"\bsoftw\s+are\b",
-    "taiwan": r"\btaiw\s+an\b",
+    "taiwan": r"\bTaiw\s+an\b",
 }
+#: A text without any of these holds no broken word: what stands before the blank is left out.
+SPLIT_GUARD = r"(?i)\s(?:on|ment|ness|[ai]ble|ng|[ae]nce|ich|ith|er|are|e|at|is|an|en|or)\b"
+#: A text without such a character (beyond the Latin ones) holds no pattern that needs one.
+WIDE_GUARD = r"[^\x00-\x{24F}]"
+#: Patterns that match texts of Latin characters too.
+_NARROW = {
+    "dashed_page", "control", "latin1_run", "cid", "entity", "commas", "many_marks", "colons", "bracket_stop", "mixed_stops", "wide_blanks", "mid_mark", "function_word", "open_bracket",
+}
+# Words glued together.
 GLUED_WORDS = {
     "preposition": r"\b(?:of|to|in|on|for|by|at|from|with|and|is|as|was)the\b",
     "verb": r"\b(?:to|can|will|should|would|must|cannot)be\b|\b(?:has|have)been\b|\b(?:do|does)not\b",
@@ -130,6 +161,7 @@ GLUED_WORDS = {
     "comma": r"[a-z],[a-z]",
     "stop": r"[a-z]\.[A-Z][a-z]",
 }
+# Ends of texts that were cut off.
 TRUNCATED = {
     "mid_mark": r"[，,；;、]\s*$",
     "function_word": r"(?i)\b(?:and|or|but|the|a|an|of|to|in|for|with|by|from|that|this|is|are|was|were|be|have|has|had|not|can|will)\s*$",
@@ -137,6 +169,8 @@ TRUNCATED = {
     "open_bracket": r"[（(「『]\s*$",
     "ordinal": r"第\d+$",
 }
+_WIDE_PATTERNS = {p for table in (ENCODING, HEADERS, INSTRUCTIONS, PUNCTUATION, TRUNCATED) for k, p in table.items() if k not in _NARROW}
+# Residue of the page in essay texts.
 ESSAY_RESIDUE = {
     "section": r"乙、測驗題|甲、申論題",
     "code": r"代號[:：]\s*\d",
@@ -169,7 +203,11 @@ ANSWER_GRAMMARS = {
 def pattern_rules(prefix: str, patterns: dict[str, str], column: str, severity: str, ignore_case: bool = False) -> list[Rule]:
     """A rule per pattern: the column holds it; the detail is the first match."""
     flag = "(?i)" if ignore_case else ""
-    return [Rule(f"{prefix}.{k}", severity, F.coalesce(F.col(column), F.lit("")).rlike(flag + p), F.regexp_extract(column, flag + f"({p})" if not p.startswith("(?i)") else p, 0)) for k, p in patterns.items()]
+    guard = lambda p: (column, SPLIT_GUARD) if p in SPLIT_WORDS.values() else (column, WIDE_GUARD) if p in _WIDE_PATTERNS else None
+    return [
+        Rule(f"{prefix}.{k}", severity, F.coalesce(F.col(column), F.lit("")).rlike(flag + p), F.regexp_extract(column, flag + f"({p})" if not p.startswith("(?i)") else p, 0), guard(p))
+        for k, p in patterns.items()
+    ]
 
 
 def text_rules(column: str = "text") -> list[Rule]:
@@ -346,6 +384,48 @@ def expected_tasks(specs: DataFrame, files: DataFrame, questions: DataFrame) ->
     return j.select("s.category", "s.year", "s.subject", "f.file_id", missing.alias("missing")).where(F.size("missing") > 0)
 
 
+# Keys of a paper's JSON and of its metadata: needed, expected, allowed.
+NEEDED_KEYS, EXPECTED_KEYS = ("metadata", "questions"), ("notes", "sections")
+ALLOWED_KEYS = ("year", "category", "subject", "level", "original_subject", "source_pdf", "file_type", "total_questions", "exam_name")
+NEEDED_METADATA, EXPECTED_METADATA = ("subject",), ("level", "exam_time")
+
+
+def json_keys(raw: Column, path: str = "$") -> Column:
+    """Keys of the object at a path of a JSON text (null where there is none)."""
+    return F.json_object_keys(F.get_json_object(raw, path))
+
+
+def schema_issues(files: DataFrame) -> DataFrame:
+    """DET-13: keys that papers lack or have too many of, by level of need, and metadata of odd form."""
+    top, meta = F.coalesce(json_keys(F.col("raw")), F.array().cast("array<string>")), F.coalesce(json_keys(F.col("raw"), "$.metadata"), F.array().cast("array<string>"))
+    lits = lambda names: F.array(*[F.lit(n) for n in names])
+    rows = lambda keys, rule, severity: F.transform(keys, lambda k: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), k.alias("detail")))
+    value = lambda k: F.get_json_object("raw", f"$.metadata.{k}")
+    is_object = F.coalesce(F.get_json_object("raw", "$.metadata").startswith("{"), F.lit(False))
+    empty = F.filter(lits(NEEDED_METADATA), lambda k: F.array_contains(meta, k) & F.coalesce(F.trim(F.element_at(F.create_map(*[x for n in NEEDED_METADATA for x in (F.lit(n), F.coalesce(value(n), F.lit("")))]), k)) == "", F.lit(True)))
+    odd = F.array_compact(F.array(F.when(F.array_contains(meta, "exam_type") & ~F.coalesce(value("exam_type").rlike(r"^\d{3}$"), F.lit(False)), F.lit("exam_type"))))
+    found = F.concat(
+        rows(F.array_except(lits(NEEDED_KEYS), top), "keys.missing", "P0"),
+        rows(F.array_except(lits(EXPECTED_KEYS), top), "keys.absent", "P2"),
+        rows(F.array_except(top, lits((*NEEDED_KEYS, *EXPECTED_KEYS, *ALLOWED_KEYS))), "keys.extra", "P2"),
+        F.when(F.array_contains(top, "metadata") & ~is_object, rows(lits(("metadata",)), "metadata.no_object", "P0")).otherwise(rows(F.array().cast("array<string>"), "", "")),
+        F.when(is_object, F.concat(rows(F.array_except(lits(NEEDED_METADATA), meta), "metadata.missing", "P1"), rows(F.array_except(lits(EXPECTED_METADATA), meta), "metadata.absent", "P2"), rows(empty, "metadata.empty", "P1"), rows(odd, "metadata.odd", "P2"))).otherwise(
+            rows(F.array().cast("array<string>"), "", "")
+        ),
+    )
+    return files.select("file_id", F.explode(found).alias("i")).select("file_id", "i.*")
+
+
+def garbled(text: Column) -> Column:
+    """DET-21: two or more control or replacement characters in a row."""
+    return F.coalesce(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]{2,}|\x{FFFD}{2,}"), F.lit(False))
+
+
+def residue(text: Column) -> Column:
+    """DET-21: names of the page residue that a text holds."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in ESSAY_RESIDUE.items()]))
+
+
 def site_issues(papers: DataFrame, cards: DataFrame) -> DataFrame:
     """DET-16: counts of papers against counts of rendered cards, presence both ways."""
     a = papers.groupBy("card").agg(F.count("*").alias("n_questions"))
@@ -354,3 +434,25 @@ def site_issues(papers: DataFrame, cards: DataFrame) -> DataFrame:
     return j.select(
         "card", F.when(F.col("n_rendered").isNull(), "not rendered").when(F.col("n_questions").isNull(), "no source").when(F.col("n_questions") != F.col("n_rendered"), "count differs").alias("rule"), "n_questions", "n_rendered"
     ).where("rule is not null")
+
+
+def site_gaps(questions: DataFrame, pages: DataFrame, on: str) -> DataFrame:
+    """DET-16: questions against the text of their page: a stem whose first 40 characters aren't there, an
+    answer that isn't, and script markup inside a stem."""
+    stem = F.substring(F.regexp_replace("stem", r"\s+", ""), 1, 40)
+    text = F.regexp_replace("page", r"\s+", "")
+    checks = F.array_compact(
+        F.array(
+            F.when((stem != "") & ~F.contains(text, stem), F.lit("stem not in page")),
+            F.when((F.coalesce("answer", F.lit("")) != "") & ~F.contains(F.col("page"), F.col("answer")), F.lit("answer not in page")),
+            F.when(F.col("stem").rlike("(?i)<script|javascript:"), F.lit("script in stem")),
+        )
+    )
+    return questions.join(pages.select(on, "page"), on).select(on, "pos", F.explode(checks).alias("rule"))
+
+
+def category_coverage(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """DET-16: categories that are expected and lack papers, or have papers and aren't expected."""
+    have = files.where("category is not null").groupBy("category").agg(F.count("*").alias("papers"))
+    j = expected.select("category").distinct().withColumn("known", F.lit(True)).join(have, "category", "full")
+    return j.where("known is null or papers is null").select("category", F.when(F.col("papers").isNull(), "no papers").otherwise("not expected").alias("rule"), F.coalesce("papers", F.lit(0)).alias("papers"))

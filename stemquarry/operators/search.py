@@ -75,10 +75,15 @@ def counts(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias(name))
 
 
-def random_rows(found: DataFrame, n: int, seed: int = 42, first: int | None = 1000) -> DataFrame:
-    """ORD-02/04: n random rows, of the first ``first`` ones in order (None: of all)."""
+def mixed(seed: int, *key: str) -> Column:
+    """A seeded order of rows by their key: it doesn't depend on partitions, and repeats."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
+
+
+def random_rows(found: DataFrame, n: int, *key: str, seed: int = 42, first: int | None = 1000) -> DataFrame:
+    """ORD-02/04: n random rows, of the first ``first`` ones in order (None: of all); ``key`` identifies a row."""
     pool = found.limit(first) if first is not None else found
-    return pool.orderBy(F.rand(seed)).limit(n)
+    return pool.orderBy(mixed(seed, *key), *key).limit(n)
 
 
 def stratified_sample(df: DataFrame, by: str, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -89,7 +94,7 @@ def stratified_sample(df: DataFrame, by: str, n: int, key: str, seed: int = 42)
     from .reports import first_n
 
     groups = df.select(by).distinct().count()
-    mixed = df.withColumn("_mix", F.xxhash64(F.lit(seed), F.col(key)))
-    first = first_n(mixed, [by], ["_mix", key], max(1, n // max(1, groups))).withColumn("_own", F.lit(0))
-    rest = mixed.join(first.select(key), key, "left_anti").withColumn("_own", F.lit(1))
+    ordered = df.withColumn("_mix", mixed(seed, key))
+    first = first_n(ordered, [by], ["_mix", key], max(1, n // max(1, groups))).withColumn("_own", F.lit(0))
+    rest = ordered.join(first.select(key), key, "left_anti").withColumn("_own", F.lit(1))
     return first.unionByName(rest).orderBy("_own", by, "_mix", key).limit(n).drop("_mix", "_own")

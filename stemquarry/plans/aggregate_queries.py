@@ -128,7 +128,9 @@ def absent_in_few(t):
     group by 1 having count(distinct w) > 1""")
 def spellings(t):
     """AGG-24: words with more than one spelling."""
-    w = t("documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where("w <> ''").distinct()
+    docs = t("documents").select("text")
+    docs = docs.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # one row group up to a million rows
+    w = docs.select(F.explode(F.array_distinct(F.split("text", "[^A-Za-z]+"))).alias("w")).where("w <> ''").distinct()
     return rp.spellings(w, "w", F.lower("w"))
 
 

@@ -103,19 +103,6 @@ def run_stats(t):
     return sinks.run_stats(c.files, c.questions)
 
 
-@query()
-def question_issues(t):
-    """DET-01..04, 07..10, 14, 15: every question rule over typed questions, counted."""
-    return search.counts(rules.apply(typed(t).questions, rules.question_rules(), "file_id", "number"), "rule", "severity")
-
-
-@query()
-def paper_issues(t):
-    """DET-01, 02, 04, 13, 14: rules over whole papers, counted."""
-    c = typed(t)
-    return search.counts(rules.paper_issues(c.files, c.questions), "rule", "severity")
-
-
 @query("""select format('{:05d}', conv_id) subject, list_sort(list_filter(['1', '2', '3', '4', '5', '6'], lambda x: not list_contains(list(cast(turn + 1 as varchar)), x))) missing from conversations where conv_id % 10 < 8 and conv_id % 5 = 1
     group by conv_id having len(list_filter(['1', '2', '3', '4', '5', '6'], lambda x: not list_contains(list(cast(turn + 1 as varchar)), x))) > 0""")
 def missing_tasks(t):
@@ -126,14 +113,6 @@ def missing_tasks(t):
     return rules.expected_tasks(specs, c.files, c.questions).join(c.files.select("file_id", F.col("subject").alias("name")), "file_id").select(F.col("name").alias("subject"), "missing")
 
 
-@query("select format('{:05d}', conv_id) subject, turn + 1 number, case when role = 'user' or turn >= 1 then 'same' end kind from conversations where 1 = 0 union all select format('{:05d}', conv_id), turn + 1, case when role = 'user' then 'choice' else 'essay' end from conversations where conv_id % 10 < 8")
-def retyped(t):
-    """REP-11: types that contradict numbers and options are changed (none does here)."""
-    c = typed(t)
-    q = repairs.retype(c.questions).join(c.files.select("file_id", "subject"), "file_id")
-    return q.select("subject", F.col("number").cast("long").alias("number"), F.col("type").alias("kind"))
-
-
 @query("""select format('{:05d}', conv_id) subject, turn + 1 number, string_agg(text, chr(10) order by turn2) stem from (select a.conv_id, a.turn, b.text, b.turn turn2 from conversations a join conversations b on a.conv_id = b.conv_id and b.turn between a.turn and a.turn + 1
     where a.conv_id % 10 < 8 and a.turn % 2 = 0) group by conv_id, turn""")
 def merged_fragments_of_papers(t):
@@ -143,13 +122,6 @@ def merged_fragments_of_papers(t):
     return q.select("subject", F.col("number").cast("long").alias("number"), "stem")
 
 
-@query("select 'cat' || conv_id % 5 category, format('{:05d}', conv_id) subject from conversations where conv_id % 10 < 8 group by conv_id")
-def completed_metadata(t):
-    """REP-13: absent facets come from the path."""
-    f = typed(t).files.withColumns({"subject": F.lit(" "), "category": F.lit(None).cast("string")})
-    return repairs.complete_metadata(f).select("category", "subject")
-
-
 @query("select count(*) filter (where role <> 'user' and length(trim(text)) < 10) short_essays, count(*) n from conversations where conv_id % 10 < 8")
 def annotated(t):
     """REP-14: notes on short essays, boxes and blank options."""
@@ -189,13 +161,6 @@ def answer_key_lines(t):
     return parsers.answers_of(lines, "conv_id")
 
 
-@query()
-def essays_by_gap(t):
-    """GEN-03, WIN-14/15: paragraphs of positioned lines that carry a score mark."""
-    c = t("conversations").select(F.col("conv_id").alias("doc"), (F.col("turn") * 12 + F.floor(F.col("turn") / 3) * 60).cast("double").alias("y"), F.concat("text", F.lit("（25 分）")).alias("text"))
-    return parsers.essays_by_gap(c, "doc")
-
-
 @query()
 def two_column_lines(t):
     """GEN-07: characters of a two-column page to lines."""
@@ -209,35 +174,3 @@ def anchored_similarity(t):
     c = t("conversations")
     first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("segment"))
     return c.join(first, "conv_id").select("conv_id", "turn", compare.anchored_similarity("text", "segment").alias("score"))
-
-
-@query("select conv_id, turn, '中文字' || turn collapsed from conversations")
-def collapsed_cjk(t):
-    """TXT-03."""
-    return t("conversations").select("conv_id", "turn", tx.collapse_spaced_cjk(F.concat(F.lit("中 文　字"), F.col("turn").cast("string"))).alias("collapsed"))
-
-
-@query("select cast(turn as varchar) value, 'year ' || turn || ' exam' label from conversations where turn > 0")
-def listing_options(t):
-    """SRC-14: options of a listing page whose label holds a keyword."""
-    n = F.col("turn").cast("string")
-    html = F.concat(F.lit('<select><option value="">all</option><option value="'), F.when(F.col("turn") > 0, n).otherwise(""), F.lit('">year '), n, F.lit(" exam</option></select>"))
-    return tables.exam_options(t("conversations").select(html.alias("html")), keyword="exam")
-
-
-@query()
-def rendered_cards(t):
-    """SNK-08, SRC-12: papers rendered as cards and read back."""
-    from ..functions import udfs
-
-    c = typed(t)
-    cards = sinks.rendered_cards(c.questions, c.files)
-    return cards.select("subject", F.explode(udfs.question_cards("html")).alias("c")).groupBy("subject").agg(F.count("*").alias("n"), F.count_if(F.size("c.options") == 4).alias("with_options"))
-
-
-@query()
-def parsed_documents(t):
-    """GEN-04/09: one row per document with facets and counts; copies are parsed once."""
-    line = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.translate("text", "\n", " "), F.lit("\n(A) a (B) b (C) c (D) d"))
-    docs = t("conversations").groupBy("conv_id").agg(F.concat(F.lit("代號：12345\n※注意：不必抄題\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda r: r["l"]), "\n")).alias("text"))
-    return parsers.parse_documents(docs, "conv_id").select("conv_id", "code", "questions", "choice", F.size("notes").alias("notes"))

@@ -90,12 +90,6 @@ def numeric_kind(t):
     return t("conversations").groupBy("conv_id", F.col("text").try_cast("int").isNotNull().alias("numeric_text")).agg(F.count("*").alias("n"))
 
 
-@query()
-def random_sample(t):
-    """ORD-02/04: seeded random rows of the first 1000 in order."""
-    return search.random_rows(t("documents").orderBy("doc_id").select("doc_id", "lang"), 50)
-
-
 @query("""with o as (select lang, least(count(*), 25) own, count(*) - least(count(*), 25) rest from documents group by 1),
     f as (select own + greatest(0, least(rest, 100 - sum(own) over () - coalesce(sum(rest) over (order by lang rows between unbounded preceding and 1 preceding), 0))) n from o)
     select min(n) least, max(n) most, sum(n) total from f""")
@@ -118,9 +112,9 @@ def formatted_questions(t):
     return sinks.formatted(questions(t)).select(F.col("file_id").alias("conv_id"), F.col("pos").alias("turn"), "formatted")
 
 
-@query("select row_number() over (order by url, page_id) file_id, page_id from pages")
+@query("select row_number() over (order by url, page_id) file_id, page_id, url, length(html) n_chars from pages")
 def surrogate_ids(t):
     """SNK-01: dense ids in order without one global window over the rows."""
     from ..sources import corpus
 
-    return corpus.dense_ids(t("pages").select("url", "page_id"), "file_id", "url", "page_id").select("file_id", "page_id")
+    return corpus.dense_ids(t("pages").select("html", "url", "page_id"), "file_id", "url", "page_id").select("file_id", "page_id", "url", F.length("html").alias("n_chars"))

@@ -60,12 +60,6 @@ def keep_longest(t):
     return win.keep_longest(t("conversations"), ["conv_id", "role"], "text", "turn")
 
 
-@query()
-def merged_texts(t):
-    """WIN-08."""
-    return win.merge_texts(t("conversations"), ["conv_id", "role"], "text", "turn")
-
-
 @query("""select conv_id, min(turn) "first", max(turn) "last", count(*) n from (select conv_id, turn, turn - row_number() over (partition by conv_id order by turn) g from conversations where length(text) > 150)
     group by conv_id, g""")
 def islands(t):
@@ -258,7 +252,7 @@ def presence_both_ways(t):
 def fingerprint_overlap(t):
     """SET-01/02: shared stem prefixes of two papers."""
     k = t("conversations").select("conv_id", F.substring("text", 1, 8).alias("f"))
-    out = sets.overlap(k.withColumnRenamed("conv_id", "a"), k.withColumnRenamed("conv_id", "b"), "a", "b", "f").where("a < b")
+    out = sets.overlap(k.withColumnRenamed("conv_id", "a"), k.withColumnRenamed("conv_id", "b"), "a", "b", "f", once=True)
     return out.withColumn("kind", sets.overlap_class(F.col("of_min")))
 
 
@@ -282,12 +276,3 @@ def distinct_issues(t):
 def array_identity(t):
     """SET-07, REP-19."""
     return sets.flag_copies(t("documents").select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id", "copy_of", "is_copy")
-
-
-@query("select doc_id, 'short' rule from documents where n_chars < 600 union all select doc_id, 'at' from documents where text like '%@%'")
-def issue_union(t):
-    """SET-08."""
-    from ..operators import rules
-
-    d = t("documents")
-    return rules.apply(d, [rules.Rule("short", "P2", F.col("n_chars") < 600), rules.Rule("at", "P2", F.contains("text", F.lit("@")))], "doc_id").select("doc_id", "rule")

@@ -12,19 +12,6 @@ from ..sources import tables
 from .base import query
 
 
-@query("""select doc_id, regexp_replace(regexp_replace(text, 'th at', 'that', 'g'), 'in to', 'into', 'g') fixed from documents""")
-def literal_table(t):
-    """TXT-21, REP-18: an ordered table of literal replacements."""
-    return t("documents").select("doc_id", tx.fold_literal("text", [("th at", "that"), ("in to", "into")]).alias("fixed"))
-
-
-@query()
-def broken_words(t):
-    """TXT-01/02: ordered repairs of split words (word boundaries differ between engines; see tests)."""
-    fixed = tx.repair_broken_words("text")
-    return t("documents").select("doc_id", (fixed != F.col("text")).alias("changed"), F.length(fixed).alias("n"))
-
-
 @query("select doc_id, regexp_replace(lower(translate(text, '，。；：？！（）', ',.;:?!()')), '\\s+', '', 'g') k from documents")
 def comparison_keys(t):
     """TXT-04."""
@@ -37,19 +24,6 @@ def loose_keys(t):
     return t("documents").select("doc_id", tx.loose_key("text").alias("k"))
 
 
-@query("select doc_id, translate(text, '()', '（）') wide, translate(translate(text, '()', '（）'), '（）', '()') half from documents where text like '%(%'")
-def bracket_folding(t):
-    """TXT-06, REP-15."""
-    wide = tx.full_width_brackets("text")
-    return t("documents").where(F.contains(F.col("text"), F.lit("("))).select("doc_id", wide.alias("wide"), tx.half_width_brackets(wide).alias("half"))
-
-
-@query("select doc_id, translate(text, 'éèçßñ', 'eecsn') folded from documents")
-def character_map(t):
-    """TXT-07/09: one-to-one maps."""
-    return t("documents").select("doc_id", tx.to_traditional("text", dict(zip("éèçßñ", "eecsn", strict=True))).alias("folded"))
-
-
 @query("select doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') clean from documents")
 def control_characters(t):
     """TXT-08."""
@@ -74,65 +48,18 @@ def camel_split(t):
     return t("documents").select("doc_id", tx.split_camel("text").alias("split"), F.regexp_count("text", F.lit("[a-z][A-Z]")).cast("long").alias("hits"))
 
 
-@query("select doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*(?: [A-Za-z][A-Za-z''-]*)*') parts from documents where lang <> 'en'")
-def english_segments(t):
-    """TXT-24."""
-    return t("documents").where("lang <> 'en'").select("doc_id", tx.english_segments("text").alias("parts"))
-
-
-@query("select n, case when v = '' then null else cast(v as integer) end declared from (select turn n, regexp_extract('共 ' || turn || ' 題', '共\\s*(\\d+)\\s*題', 1) v from conversations)")
-def declared_counts(t):
-    """TXT-26."""
-    return t("conversations").select(F.col("turn").alias("n"), tx.declared_count(F.array(F.concat(F.lit("共 "), F.col("turn").cast("string"), F.lit(" 題")))).alias("declared"))
-
-
-@query("""select conv_id, turn, map_extract(map {'一':1,'二':2,'三':3,'四':4,'五':5,'六':6,'七':7,'八':8,'九':9,'十':10}, substr('一二三四五六七八九十', cast(turn + 1 as integer), 1))[1] v from conversations""")
-def numeral_values(t):
-    """TXT-25."""
-    return t("conversations").select("conv_id", "turn", tx.numeral_value(F.substring(F.lit("一二三四五六七八九十"), F.col("turn").cast("int") + 1, F.lit(1))).alias("v"))
-
-
 @query("""select page_id, substr(trim(regexp_replace(regexp_replace(url, '[<>:"/\\\\|?*]', '_', 'g'), '\\s+', ' ', 'g')), 1, 80) name from pages""")
 def file_names(t):
     """TXT-29."""
     return t("pages").select("page_id", tx.safe_file_name("url").alias("name"))
 
 
-@query()
-def span_positions(t):
-    """TXT-30: all matches with positions."""
-    return t("documents").select("doc_id", F.explode(udfs.find_spans(r"[A-Z][a-z]+\.")("text")).alias("s")).select("doc_id", "s.*")
-
-
 @query("""select item_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') html from benchmark""")
 def escaped_html(t):
     """TXT-31."""
     return t("benchmark").select("item_id", tx.escape_html("text").alias("html"))
 
 
-@query()
-def essay_lines(t):
-    """TXT-32."""
-    return t("documents").select("doc_id", tx.essay_lines("text").alias("text"))
-
-
-@query("""select c.conv_id, c.turn, case when contains(c.text, h.p) then 1 when length(h.p) - 2 * greatest(3, length(h.p) // 5) > 0
-    and contains(c.text, substr(h.p, greatest(3, length(h.p) // 5) + 1, length(h.p) - 2 * greatest(3, length(h.p) // 5))) then 2 else 0 end level
-    from conversations c join (select conv_id, substr(text, 5, 12) p from conversations where turn = 0) h on c.conv_id = h.conv_id""")
-def containment_levels(t):
-    """TXT-33 (levels 1 and 2), CMP-05."""
-    c = t("conversations")
-    heads = c.where("turn = 0").select("conv_id", F.substring("text", 5, 12).alias("p"))
-    out = compare.coverage(heads, c.select("conv_id", "turn", "text"), "conv_id", "p", "text")
-    return out.select("conv_id", "turn", F.when(F.col("level") == 3, 0).otherwise(F.col("level")).alias("level"))
-
-
-@query()
-def sentence_parts(t):
-    """TXT-34."""
-    return t("documents").select("doc_id", tx.sentences("text").alias("parts"))
-
-
 @query("select doc_id, substr(md5(text), 1, 8) h, 'y' || (n_chars % 10 + 100) || '-' || source card from documents")
 def hash_ids(t):
     """MTH-01, PRJ-04."""
@@ -154,117 +81,12 @@ def minguo_years(t):
     return t("orders").select("o_orderkey", y.cast("long").alias("minguo"), tx.gregorian(y).cast("long").alias("gregorian"), F.transform(span, lambda v: v.cast("long")).alias("years"))
 
 
-@query("select event_id, epoch_ms(ts) % 86400000 < 3600000 valid from events")
-def session_valid(t):
-    """DAT-02."""
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return t("events").select("event_id", tx.session_valid(ms - ms % 86_400_000, ms).alias("valid"))
-
-
 @query("select doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 n from documents")
 def marker_counts(t):
     """JSN-01."""
     return t("documents").select("doc_id", tx.marker_count("text", "the").alias("n"))
 
 
-@query("""select rule, count(*) n from (select doc_id, unnest(list_filter([case when regexp_matches(text, '[,，]{2,}') then 'punctuation.commas' end, case when regexp_matches(text, '[？?]{3,}|[！!]{3,}') then 'punctuation.many_marks' end,
-    case when regexp_matches(text, '[。！？!?][。！？!?]+') then 'punctuation.mixed_stops' end, case when regexp_matches(text, ' {3,}') then 'punctuation.wide_blanks' end], lambda x: x is not null)) rule from documents) group by 1""")
-def rule_punctuation(t):
-    """DET-06, 11: punctuation rules with hits here."""
-    picked = {k: rules.PUNCTUATION[k] for k in ("commas", "many_marks", "mixed_stops", "wide_blanks")}
-    return rules.apply(t("documents"), rules.pattern_rules("punctuation", picked, "text", "minor"), "doc_id").groupBy("rule").agg(F.count("*").alias("n"))
-
-
-@query("""select doc_id, 'encoding.latin1_run' rule, regexp_extract(text, '[ÃÂ¡¢£¤¥¦§¨©ª«¬®¯°±²³´µ¶·¸¹º»¼½¾¿À-ÿ]{2,}', 0) detail from documents where regexp_matches(text, '[ÃÂ¡¢£¤¥¦§¨©ª«¬®¯°±²³´µ¶·¸¹º»¼½¾¿À-ÿ]{2,}')""")
-def rule_encoding(t):
-    """DET-05, 06, 11, 12: encoding rules."""
-    return rules.apply(t("documents"), rules.pattern_rules("encoding", {"latin1_run": rules.ENCODING["latin1_run"]}, "text", "major"), "doc_id").select("doc_id", "rule", "detail")
-
-
-@query("""select doc_id, case doc_id % 4 when 0 then 'header.page' when 1 then 'header.dashed_page' else 'header.seat' end rule from documents where doc_id % 4 <> 3""")
-def rule_headers(t):
-    """DET-05..10: header and page residue, put behind the texts here."""
-    m = F.col("doc_id") % 4
-    residue = F.when(m == 0, "第 3 頁").when(m == 1, " - 2 - ").when(m == 2, "座號").otherwise("")
-    marked = t("documents").select("doc_id", F.concat("text", residue).alias("text"))
-    return rules.apply(marked, rules.pattern_rules("header", rules.HEADERS, "text", "major"), "doc_id").select("doc_id", "rule")
-
-
-@query("select doc_id from documents where doc_id % 3 = 0 or len(regexp_extract_all(text, '[（(]')) <> len(regexp_extract_all(text, '[）)]'))")
-def rule_brackets(t):
-    """DET-06/11: unbalanced brackets."""
-    marked = t("documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, "(").otherwise("")).alias("text"))
-    return rules.apply(marked, [r for r in rules.text_rules() if r.id == "bracket.unbalanced"], "doc_id").select("doc_id")
-
-
-@query()
-def rule_english(t):
-    """DET-05, 06, 12, 17: split and glued English words (lookaround patterns)."""
-    r = [*rules.pattern_rules("split", rules.SPLIT_WORDS, "text", "major", ignore_case=True), *rules.pattern_rules("glued", rules.GLUED_WORDS, "text", "major")]
-    return rules.apply(t("documents"), r, "doc_id")
-
-
-@query()
-def rule_all_texts(t):
-    """DET-05..07, 09..12, 17: every text rule in one pass, counted."""
-    return rules.apply(t("documents"), rules.text_rules(), "doc_id").groupBy("rule", "severity").agg(F.count("*").alias("n"))
-
-
-@query("""select conv_id, turn, 'truncated.mid_mark' rule from (select conv_id, turn, case turn % 3 when 0 then text || ', ' when 1 then text || ' and the' else text end text from conversations) where regexp_matches(text, '[，,；;、]\\s*$') union all
-    select conv_id, turn, 'truncated.function_word' from (select conv_id, turn, case turn % 3 when 0 then text || ', ' when 1 then text || ' and the' else text end text from conversations) where regexp_matches(text, '(?i)\\b(?:and|or|but|the|a|an|of|to|in|for|with|by|from|that|this|is|are|was|were|be|have|has|had|not|can|will)\\s*$')""")
-def rule_truncated(t):
-    """DET-05/11: cut-off texts."""
-    picked = {k: rules.TRUNCATED[k] for k in ("mid_mark", "function_word")}
-    tail = F.when(F.col("turn") % 3 == 0, ", ").when(F.col("turn") % 3 == 1, " and the").otherwise("")
-    cut = t("conversations").select("conv_id", "turn", F.concat("text", tail).alias("text"))
-    return rules.apply(cut, rules.pattern_rules("truncated", picked, "text", "minor"), "conv_id", "turn").select("conv_id", "turn", "rule")
-
-
-@query("""select answer, count(*) n, bool_and(answer similar to '([A-D]|送分|C或D)') tests from (select upper(substr(text, 1, 1)) answer from conversations) group by 1""")
-def rule_answer_grammar(t):
-    """DET-03."""
-    a = t("conversations").select(F.upper(F.substring("text", 1, 1)).alias("answer"))
-    return a.groupBy("answer").agg(F.count("*").alias("n"), F.every(F.col("answer").rlike(rules.ANSWER_GRAMMARS["tests"])).alias("tests"))
-
-
-@query()
-def rule_codes(t):
-    """DET-06/18: stray codes."""
-    return t("documents").select("doc_id", rules.code_in_text("text").alias("code")).where("code is not null")
-
-
-@query("select role, count(*) n, count(*) filter (where length(trim(text)) < 5) short, count(*) filter (where coalesce(trim(text), '') = '') blank from conversations group by 1")
-def rule_stems(t):
-    """DET-01, 02, 04, 07: short and empty stems."""
-    return t("conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.length(F.trim("text")) < 5).alias("short"), F.count_if(tx.blank("text")).alias("blank"))
-
-
-@query()
-def option_triage(t):
-    """DET-19: why choice questions lack options."""
-    c = t("conversations").withColumn("section", F.lit(""))
-    return c.select("conv_id", "turn", rules.missing_option_class("text", "section").alias("kind"))
-
-
-@query("""select conv_id, turn, string_split_regex(regexp_extract(m, '(?s)^.*?(\\(A\\).*)$', 1), '\\s*\\([A-D]\\) ')[2:5] options from (select conv_id, turn, left(text, 10) || ' (A) ' || turn || ' (B) b (C) c (D) ' || role m from conversations)""")
-def split_options(t):
-    """REP-01: labelled options out of a stem."""
-    c = t("conversations").withColumn("m", F.concat(F.left("text", F.lit(10)), F.lit(" (A) "), F.col("turn").cast("string"), F.lit(" (B) b (C) c (D) "), F.col("role")))
-    return c.select("conv_id", "turn", F.map_values(repairs.labelled_options(F.col("m"))).alias("options"))
-
-
-@query()
-def unlabelled_options(t):
-    """REP-02..06."""
-    return t("conversations").select("conv_id", "turn", F.map_values(udfs.inline_options("text")).alias("options"))
-
-
-@query("select conv_id, turn, case when text in ('*', '#') then '送分' else text end answer from conversations")
-def star_answers(t):
-    """REP-10."""
-    return repairs.star_answers(t("conversations").withColumnRenamed("text", "answer")).select("conv_id", "turn", "answer")
-
-
 @query("""select p.doc_id, case when p.doc_id % 7 = 0 then 'patched' else lang end lang from documents p""")
 def patched_values(t):
     """REP-18: a patch table over a column."""
@@ -282,22 +104,6 @@ def line_kinds(t):
     return x.select("doc_id", F.col("line").cast("long").alias("line"), kind.alias("kind"))
 
 
-@query()
-def parsed_questions(t):
-    """GEN-02/05: questions from page text made of conversations (numbered turns)."""
-    c = t("conversations")
-    line = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.translate("text", "\n", " "), F.lit("\n(A) a (B) b (C) c (D) d"))
-    docs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda r: r["l"]), "\n").alias("text"))
-    return parsers.parse_questions(docs, "conv_id")
-
-
-@query()
-def paper_metadata(t):
-    """GEN-01: header facets."""
-    made = F.format_string("%d年公務人員特種考試 三等考試\n類科：%s\n科目：%s\n代號：%05d\n考試時間：2小時", (F.col("doc_id") % 20 + 100).cast("int"), F.col("source"), F.col("lang"), (F.col("doc_id") + 10000).cast("int"))
-    return t("documents").select("doc_id", made.alias("text")).select("doc_id", *parsers.metadata())
-
-
 @query("select doc_id, case when lang in ('de', 'fr') then 'north' when source = 'src0' then 'first' end category from documents")
 def category_rules(t):
     """GEN-10: first matching rule over joined names."""
@@ -349,14 +155,6 @@ def html_text(t):
     return t("pages").select("page_id", udfs.visible_text("html").alias("text"))
 
 
-@query("""select page_id, code, kind from (select page_id, regexp_extract(url, '/([0-9]+)', 1) code, case substr(url, -1, 1) when 'x' then 'reference' when 'p' then 'question' else 'answer' end kind from pages) where 1 = 0
-    union all select page_id, cast(page_id as varchar), case page_id % 2 when 0 then 'question' else 'correction' end from pages""")
-def listing_links(t):
-    """SRC-15: file links with code and kind."""
-    html = F.concat(F.lit('<a href="file.ashx?c='), F.col("page_id").cast("string"), F.lit("&amp;t="), F.when(F.col("page_id") % 2 == 0, "Q").otherwise("M"), F.lit('">x</a>'))
-    return tables.download_links(t("pages").select("page_id", html.alias("html")), "html", "page_id").select("page_id", "code", "kind")
-
-
 @query("select md5(url || ':' || page_id) key, page_id from pages where page_id % 3 <> 0")
 def uncached_downloads(t):
     """SRC-16."""
@@ -406,45 +204,6 @@ def shortened_subjects(t):
     return p.select("p_partkey", tx.shorten_subject(F.concat("p_name", F.lit("（"), F.array_join(names, "、"), F.lit("）"))).alias("subject"))
 
 
-@query("""select conv_id, turn, case when turn % 2 = 0 then [role, 'x', 'y'] else [role, 'x', '', ''] end kept, case when turn % 2 = 0 then 4 else 3 end distinct_values from conversations""")
-def option_maps(t):
-    """MAP-01/03: empty options go where three others remain; distinct values."""
-    o = F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("A"), F.col("role"), F.lit("B"), F.lit("x"), F.lit("C"), F.lit("y"), F.lit("D"), F.lit(""))).otherwise(
-        F.create_map(F.lit("A"), F.col("role"), F.lit("B"), F.lit("x"), F.lit("C"), F.lit(""), F.lit("D"), F.lit(" "))
-    )
-    c = t("conversations").withColumn("o", o)
-    return c.select("conv_id", "turn", F.transform(F.map_values(tx.drop_empty_options("o")), lambda v: F.trim(v)).alias("kept"), tx.distinct_options("o").alias("distinct_values"))
-
-
-@query("select conv_id, turn, case when turn % 2 = 0 then ['A', 'C', 'D'] else ['A', 'C'] end as keys from conversations")
-def missing_answer_keys(t):
-    """MAP-02, ORD-07: the answer's key is added, keys in order."""
-    o = F.create_map(F.lit("C"), F.col("role"), F.lit("A"), F.col("role"))
-    c = t("conversations").select("conv_id", "turn", o.alias("o"), F.when(F.col("turn") % 2 == 0, "D").otherwise("A").alias("a"))
-    return c.select("conv_id", "turn", F.map_keys(tx.with_missing_answer("o", "a")).alias("keys"))
-
-
-@query("select conv_id, turn, case when turn % 2 = 0 then ['A', 'C'] else ['B'] end letters from conversations")
-def answer_letters(t):
-    """ARR-01."""
-    return t("conversations").select("conv_id", "turn", tx.answer_letters(F.when(F.col("turn") % 2 == 0, "A或C").otherwise("B")).alias("letters"))
-
-
-@query("select conv_id, turn, '考試時間' || turn || '小時' cleaned, text || case when turn % 2 = 0 then '' else 'x' end unpiped from conversations")
-def trailing_noise(t):
-    """TXT-12..15: seat numbers and pipes behind a text go."""
-    c = t("conversations")
-    time = F.concat(F.lit("考試時間"), F.col("turn").cast("string"), F.lit("小時 座號：12"))
-    return c.select("conv_id", "turn", tx.clean_exam_time(time).alias("cleaned"), tx.strip_trailing_pipe(F.concat("text", F.when(F.col("turn") % 2 == 0, " | ").otherwise("x|"))).alias("unpiped"))
-
-
-@query("select conv_id, turn >= 3 essay, turn % 2 = 0 choice from conversations")
-def note_mentions(t):
-    """TXT-27."""
-    n = F.array(F.when(F.col("turn") >= 3, "申論題二題").otherwise("無"), F.when(F.col("turn") % 2 == 0, "2B鉛筆").otherwise("無"))
-    return t("conversations").select("conv_id", tx.notes_mention_essay(n).alias("essay"), tx.notes_mention_choice(n).alias("choice"))
-
-
 @query()
 def segmented_words(t):
     """TXT-18..20, SRC-18: glued words split by a frequency dictionary of all words of the reference texts."""
@@ -461,42 +220,6 @@ def merged_fragments(t):
     return t("benchmark").select("item_id", udfs.merge_fragments(known)(F.regexp_replace("text", "([a-z]{2})([a-z]{3})", "$1 $2")).alias("text"))
 
 
-@query("""select conv_id, [x for x in [case when turn = 0 then 'a' end] if x is not null] kept from conversations where 1 = 0 union all select conv_id, ['0:5', '6:9'] from (select distinct conv_id from conversations)""")
-def suppressed_spans(t):
-    """SET-06: overlapping spans, the first stays."""
-    from ..operators import sets
-
-    s = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((6, 9), (0, 5), (3, 7))])
-    kept = sets.suppress_overlaps(s)
-    return t("conversations").select("conv_id").distinct().select("conv_id", F.transform(kept, lambda x: F.concat_ws(":", x["start"], x["end"])).alias("kept"))
-
-
-@query("select count(*) filter (where doc_id % 5 = 0) deleted, count(*) filter (where doc_id % 5 <> 0) kept from documents")
-def deleted_rows(t):
-    """REP-09, FIL-09/12: unusable questions go to a side table."""
-    two = F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.lit("y"))
-    q = t("documents").select(F.lit("choice").alias("type"), F.col("text").alias("stem"), F.lit("").alias("passage"), F.lit(1).alias("number_int"), F.when(F.col("doc_id") % 5 != 0, two).alias("options"))
-    kept, deleted = repairs.drop_unusable(q)
-    both = kept.select(F.lit(True).alias("keep")).union(deleted.select(F.lit(False)))
-    return both.agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("deleted"))
-
-
-@query("""select conv_id, number_int, case when number_int between 2 and 3 then 'long text' end passage from (select conv_id, turn number_int from conversations)""")
-def moved_passages(t):
-    """REP-07, JOI-08: a passage in an option of number 1 goes to numbers 2 and 3."""
-    leak = F.when(F.col("turn") == 1, "last 請依下文回答第 2 題至第 3 題 long text").otherwise("last")
-    q = t("conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").cast("int").alias("number_int"), F.create_map(F.lit("A"), F.lit("a"), F.lit("D"), leak).alias("options"), F.lit(None).cast("string").alias("passage"))
-    with_one = q.select("file_id").where("number_int = 1").distinct()
-    return repairs.move_passages(q).join(with_one, "file_id", "left").select(F.col("file_id").alias("conv_id"), "number_int", "passage")
-
-
-@query("select conv_id, turn, case when turn % 2 = 0 then '(見文章第 ' || turn || ' 題空格)' else text end stem from conversations")
-def filled_stems(t):
-    """REP-08."""
-    c = t("conversations").select("conv_id", "turn", F.lit("choice").alias("type"), F.col("turn").alias("number"), F.when(F.col("turn") % 2 == 0, " ").otherwise(F.col("text")).alias("stem"), F.lit("p").alias("passage"))
-    return repairs.fill_stems(c).select("conv_id", "turn", "stem")
-
-
 @query("select conv_id, turn, 'text' field, text before, text || '!' after from conversations where turn % 2 = 0")
 def change_log(t):
     """SNK-03/05: changed cells with their values before and after."""
@@ -505,29 +228,3 @@ def change_log(t):
     c = t("conversations").select("conv_id", "turn", "role", "text")
     new = c.withColumn("text", F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return sinks.change_log(c, new, ["conv_id", "turn"], ["role", "text"])
-
-
-@query()
-def issue_reports(t):
-    """SNK-06: one JSON row per rule."""
-    from ..sources import sinks
-
-    issues = rules.apply(t("documents").withColumn("path", F.col("source")), rules.text_rules(), "path")
-    return sinks.issue_report(issues)
-
-
-@query("""select conv_id, turn, lower(word) word, suffix from (select conv_id, turn, 'xyz' || turn % 3 word, 'tion' suffix from conversations) where 1 = 0
-    union all select conv_id, turn, 'pol', 'ice' from conversations union all select conv_id, turn, 'infor', 'mation' from conversations where 1 = 0 union all select conv_id, turn, 'sta', 'tion' from conversations where turn % 2 = 0""")
-def rule_broken_words(t):
-    """DET-05: known broken words, and suffixes apart from a word that isn't exempt."""
-    tail = F.when(F.col("turn") % 2 == 0, " pol ice, sta tion").otherwise(" pol ice, are able")
-    c = t("conversations").select("conv_id", "turn", tail.alias("text"))
-    exempt = t("conversations").sparkSession.createDataFrame([("are",)], "word string")
-    return rules.broken_words(c, "text", exempt, "conv_id", "turn")
-
-
-@query("select conv_id, turn, true english from conversations where length(text) > 0 and regexp_matches(text, '^[A-Za-z ]{45}') union all select conv_id, turn, false from conversations where 1 = 0")
-def rule_english_context(t):
-    """DET-12: spans in English surroundings, here the first letter of texts that start in plain English."""
-    c = t("conversations").where(F.col("text").rlike("^[A-Za-z ]{45}"))
-    return c.select("conv_id", "turn", rules.in_english(F.col("text"), F.lit(0), F.lit(1)).alias("english"))

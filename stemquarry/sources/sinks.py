@@ -93,6 +93,20 @@ def rendered_cards(questions: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(cards, "file_id").select("file_id", "category", "year", "subject", card.alias("html"))
 
 
+def rendered_pages(cards: DataFrame, by: str = "category") -> DataFrame:
+    """SNK-08: (by, papers, html): the page of each category: a list of its cards, newest year first, then the cards."""
+    from ..functions import text as tx
+
+    ordered = F.array_sort(F.collect_list(F.struct((-F.coalesce("year", F.lit(0))).alias("newest"), "subject", "file_id", F.col("year"), "html")))
+    esc = lambda c: tx.escape_html(F.coalesce(c.cast("string"), F.lit("")))
+    entry = lambda r: F.concat(F.lit("<li>"), esc(r["year"]), F.lit(" "), esc(r["subject"]), F.lit("</li>"))
+    body = F.concat(
+        F.lit("<html><head><title>"), esc(F.col(by)), F.lit("</title></head><body><ul>"), F.array_join(F.transform("rows", entry), ""), F.lit("</ul>"),
+        F.array_join(F.transform("rows", lambda r: r["html"]), ""), F.lit("</body></html>"),
+    )
+    return cards.groupBy(by).agg(ordered.alias("rows")).select(by, F.size("rows").alias("papers"), body.alias("html"))
+
+
 def logger(path: str, size: int = 1 << 20, keep: int = 3) -> logging.Logger:
     """SNK-11: a rotating log on the driver."""
     log = logging.getLogger("stemquarry")

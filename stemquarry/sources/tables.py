@@ -55,13 +55,13 @@ def replacement_table(path: str) -> list[tuple[str, str]]:
     return [tuple(line.split("\t", 1)) for line in lines if "\t" in line]
 
 
-def exam_options(pages: DataFrame, html: str = "html", keyword: str | None = None) -> DataFrame:
-    """SRC-14: (value, label) of a listing page's options, optionally with a keyword in the label."""
+def exam_options(pages: DataFrame, html: str = "html", keyword: str | None = None, *keys: str) -> DataFrame:
+    """SRC-14: (keys, value, label) of a listing page's options, optionally with a keyword in the label."""
     pairs = F.transform(
         F.regexp_extract_all(F.col(html), F.lit(r'<option[^>]*value="[^"]*"[^>]*>[^<]*'), F.lit(0)),
         lambda x: F.struct(F.regexp_extract(x, 'value="([^"]*)"', 1).alias("value"), F.trim(F.regexp_extract(x, ">([^<]*)$", 1)).alias("label")),
     )
-    out = pages.select(F.explode(pairs).alias("o")).select("o.value", "o.label").where("value <> ''")
+    out = pages.select(*keys, F.explode(pairs).alias("o")).select(*keys, "o.value", "o.label").where("value <> ''")
     return out.where(F.contains("label", F.lit(keyword))) if keyword else out
 
 
@@ -89,6 +89,27 @@ def uncached(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.withColumn("key", key).join(cache.select("key"), "key", "left_anti")
 
 
+def download_status(attempts: DataFrame, cached: DataFrame, most: int = 5, least_bytes: int = 1024) -> DataFrame:
+    """SRC-16: one row per file: what came of it, in how many attempts, after how many seconds of waiting.
+
+    ``attempts(key, attempt, error, content_type, size)`` counts attempts from 0; the first without an
+    error ends them.  A cached file over the least size is not fetched; a wrong type or too few bytes
+    are no success and not tried again; after an error the wait doubles, from one second on.
+    """
+    ended = F.min(F.when(F.col("error").isNull() & (F.col("attempt") < most), F.struct("attempt", "content_type", "size"))).alias("end")
+    tried = attempts.groupBy("key").agg(ended, F.least(F.max("attempt") + 1, F.lit(most)).alias("tried"), F.max_by("error", "attempt").alias("error"))
+    c = cached.where(F.col("size") > least_bytes).select("key", F.col("size").alias("held"))
+    rows = tried.join(c, "key", "full")
+    kind = F.lower(F.coalesce("end.content_type", F.lit("")))
+    status = (
+        F.when(F.col("held").isNotNull(), "skipped").when(F.col("end").isNull(), "failed").when(~(F.contains(kind, F.lit("pdf")) | F.contains(kind, F.lit("octet-stream"))), "wrong type")
+        .when(F.col("end.size") <= least_bytes, "too small").otherwise("done")
+    )
+    used = F.when(status == "skipped", 0).otherwise(F.coalesce(F.col("end.attempt") + 1, F.col("tried")))
+    waits = F.when(status == "skipped", 0).otherwise(F.pow(F.lit(2), F.coalesce(F.col("end.attempt"), F.col("tried") - 1)) - 1).cast("long")
+    return rows.select("key", status.alias("status"), used.cast("int").alias("attempts"), waits.alias("waited"), F.when(status == "done", F.col("end.size")).when(status == "skipped", F.col("held")).alias("size"))
+
+
 def settings(path: str | None = None) -> dict[str, str]:
     """SRC-24: KEY=VALUE lines of a file, overridden by the environment."""
     found: dict[str, str] = {}

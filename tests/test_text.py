@@ -64,7 +64,7 @@ def test_segmentation(spark):
     f = {"information": 50, "security": 50, "and": 100}
     assert udfs.segment_word("informationandsecurity", f) == ["information", "and", "security"]
     assert one(spark, "informationSecurity x", udfs.segment_words(f)) == "information Security x"
-    assert one(spark, "the infor mation age", udfs.merge_fragments({"information", "the", "age"})) == "the infor mation age"
+    assert one(spark, "the infor mation age", udfs.merge_fragments({"information", "the", "age"})) == "the information age"
     assert one(spark, "a re port b", udfs.merge_fragments({"report"})) == "a report b"
 
 
@@ -110,5 +110,22 @@ def test_answer_lines(spark):
 
 
 def test_option_grouping():
-    assert udfs.shortest_boundaries(["aa", "a", "bbbb", "b", "cc", "c", "dddd"]) == ["aa a", "bbbb b", "cc c", "dddd"]
-    assert udfs.shortest_boundaries(["a"]) is None
+    """Groups of lines and of words against all ways to cut them."""
+    import random
+    from itertools import combinations
+
+    from stemquarry.operators import options
+
+    r = random.Random(3)
+    for _ in range(300):
+        lines = ["x" * r.randint(1, 12) for _ in range(r.randint(5, 9))]
+        longest, best, want = max(map(len, lines)), None, None
+        for c in combinations(range(1, len(lines)), 3):
+            parts = [lines[a:b] for a, b in zip((0, *c), (*c, len(lines)))]
+            sizes = [len("".join(p)) for p in parts]
+            worth = sum(longest - len(p[-1]) for p in parts[:3]) - 200 * sum(s < 5 for s in sizes)
+            if min(sizes) >= 2 and (best is None or worth > best):
+                best, want = worth, parts
+        assert options.grouped(lines) == want
+    assert options.grouped(["a"]) is None and options.grouped(["甲 乙 丙 丁"]) == [["甲"], ["乙"], ["丙"], ["丁"]] and options.grouped(list("abcd")) == [["a"], ["b"], ["c"], ["d"]]
+    assert len(options.grouped(["long enough a line"] * 400)) == 4  # no enumeration of all cuts
