@@ -6,7 +6,7 @@ import difflib
 import html as html_lib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -20,16 +20,29 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: Characters of either text from which similarity is the share of common characters: block matching takes
+#: time that grows with the square of the length, and worse.
+LONG_TEXT = 20_000
+
+
+def similarity(a: str | None, b: str | None, autojunk: bool = True) -> float | None:
+    if a is None or b is None:
+        return None
+    m = difflib.SequenceMatcher(None, a, b, autojunk=autojunk)
+    return m.ratio() if max(len(a), len(b)) < LONG_TEXT else m.quick_ratio()
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """CMP-01: matching-block similarity (automatic junk on for long texts, as the default has it)."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    """CMP-01: matching-block similarity (automatic junk on for long texts, as the default has it); texts of
+    LONG_TEXT characters or more share of common characters, which is never lower."""
+    return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def ratio_exact(a: pd.Series, b: pd.Series) -> pd.Series:
     """CMP-01 without automatic junk."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([similarity(x, y, False) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 EDIT = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("op", T.StringType()), ("left", T.StringType()), ("right", T.StringType()), ("context", T.StringType()))]))
@@ -92,10 +105,11 @@ def segment_word(word: str, frequency: dict[str, int], split_cost: float = SPLIT
     return out if out and n / len(out) >= LEAST_MEAN else [word]
 
 
-def segment_words(frequency: dict[str, int], least: int = 8):
+def segment_words(frequency: dict[str, int], least: int = 8, external: Callable[[str], list[str]] | None = None, external_least: int = 18):
     """TXT-19/20: split letter runs of at least ``least`` letters, case borders first.
 
-    The dictionary is captured by the function; callers check its size (sources.tables.dictionary).
+    Words of ``external_least`` or more lower-case letters go to the ``external`` segmenter where the
+    caller has one (TXT-20), else to the same split as the others.  The dictionary is captured by the function; callers check its size (sources.tables.dictionary).
     """
 
     @F.pandas_udf(T.StringType())
@@ -104,7 +118,8 @@ def segment_words(frequency: dict[str, int], least: int = 8):
 
         def split(m: re.Match) -> str:
             pieces = re.sub("([a-z])([A-Z])", r"\1 \2", m[0]).split(" ")
-            return " ".join(" ".join(segment_word(p, frequency)) if len(p) >= 6 else p for p in pieces)
+            cut = lambda p: external(p) if external and len(p) >= external_least and p.islower() else segment_word(p, frequency) if len(p) >= 6 else [p]
+            return " ".join(" ".join(cut(p)) for p in pieces)
 
         for s in parts:
             yield s.map(lambda x: None if x is None else rx.sub(split, x))

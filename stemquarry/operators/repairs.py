@@ -123,6 +123,17 @@ def recovered(current: DataFrame, older: DataFrame, keys: list[str]) -> DataFram
     return split_stem(older.join(current.select(*keys), keys, "left_anti"))
 
 
+def filled_essays(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """REP-21: essays of a paper's page text (file_id, text) that the paper lacks, behind its questions."""
+    from . import parsers
+
+    found = parsers.parse_questions(pages, "file_id").where("type = 'essay'")
+    absent = found.join(questions.where("type = 'essay'").select("file_id", "number"), ["file_id", "number"], "left_anti")
+    last = questions.groupBy("file_id").agg(F.max("pos").alias("_last"))
+    new = absent.join(last, "file_id", "left").withColumn("pos", F.coalesce("_last", F.lit(-1)) + F.row_number().over(Window.partitionBy("file_id").orderBy("pos")))
+    return questions.unionByName(new.select("file_id", "pos", "number", "type", "stem", "section"), allowMissingColumns=True)
+
+
 def renamed_brackets(files: DataFrame) -> DataFrame:
     """REP-15: full-width brackets in subjects (paths are rewritten by sinks.write_version)."""
     return files.withColumn("subject", tx.full_width_brackets("subject"))

@@ -63,15 +63,24 @@ def quality_score(issues: Column, files: Column) -> Column:
     return F.when(files > 0, F.greatest(F.lit(0.0), 100 - 100.0 * issues / files)).otherwise(F.lit(100.0))
 
 
-def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
+def upper_median(df: DataFrame, by: str, value: str, small_groups: bool = False) -> DataFrame:
     """AGG-26: the element at position len // 2 of the sorted values.
 
-    Values are counted first (map-side), so a group is as long as its distinct values.
+    Rows are counted by ranges of the value first (about a thousand ranges between sampled values);
+    of each group only the range that holds the middle is put in order, by distinct values with their
+    counts.  ``small_groups`` orders all distinct values of a group, for groups as small as a page.
     """
-    w = Window.partitionBy(by).orderBy(value)
-    runs = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
-    runs = runs.withColumn("_to", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(by)))
-    return runs.where((F.col("_to") > F.floor(F.col("_all") / 2)) & (F.col("_to") - F.col("_n") <= F.floor(F.col("_all") / 2))).select(by, F.col(value).alias("upper_median"))
+    from ..sources.corpus import range_of
+
+    rows = df.where(F.col(value).isNotNull())
+    rows = rows.withColumn("_range", F.lit(0) if small_groups else range_of(rows, value))
+    counts = rows.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(by).orderBy("_range")
+    counts = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).withColumn("_at", F.floor(F.sum("_n").over(Window.partitionBy(by)) / 2))
+    middle = counts.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_n"))).select(by, "_range", "_before", "_at")
+    runs = rows.groupBy(by, "_range", value).agg(F.count("*").alias("_n")).join(middle, [by, "_range"])
+    runs = runs.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(by).orderBy(value)))
+    return runs.where((F.col("_to") > F.col("_at")) & (F.col("_to") - F.col("_n") <= F.col("_at"))).select(by, F.col(value).alias("upper_median"))
 
 
 def coverage(df: DataFrame, by: str, year: str) -> DataFrame:

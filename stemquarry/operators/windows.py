@@ -124,7 +124,7 @@ def paragraph_id(df: DataFrame, by: str, y: str, factor: float = 1.5, least: flo
 
     w = Window.partitionBy(by).orderBy(y)
     gaps = df.withColumn("gap", F.col(y) - F.lag(y).over(w))
-    middle = upper_median(gaps, by, "gap")
+    middle = upper_median(gaps, by, "gap", small_groups=True)
     return gaps.join(middle, by, "left").withColumn("paragraph", F.sum(F.when(F.col("gap") > F.greatest(factor * F.col("upper_median"), F.lit(least)), 1).otherwise(0)).over(w)).drop("upper_median")
 
 

@@ -535,6 +535,17 @@ def note_questions(t):
     return parsers.questions_from_notes(f).groupBy("file_id").agg(F.count("*").alias("questions"), F.min("number").alias("first"))
 
 
+@query(f"""with e as (select conv_id, pos, number, stem from {_PARSED_SQL} where type = 'essay'), k as (select *, row_number() over (partition by conv_id order by pos) r from e),
+    kept as (select conv_id, r - 1 pos, number, stem from k where conv_id % 3 > 0 and r = 1), new as (select conv_id, row_number() over (partition by conv_id order by pos) - 1 + case when conv_id % 3 > 0 then 1 else 0 end pos, number, stem from k where not (conv_id % 3 > 0 and r = 1))
+    select * from kept union all select * from new""")
+def filled_essays(t):
+    """REP-21: essays that a paper lacks come from its page text; of two papers in three the first is there already."""
+    docs = papers_text(t, numbered_line()).withColumnRenamed("conv_id", "file_id")
+    have = parsers.parse_questions(docs, "file_id").where("type = 'essay' and file_id % 3 > 0")
+    first = have.groupBy("file_id").agg(F.min_by(F.struct("number", "type", "stem", "section"), "pos").alias("q")).select("file_id", F.lit(0).cast("int").alias("pos"), "q.*")
+    return repairs.filled_essays(first, docs).select(F.col("file_id").alias("conv_id"), F.col("pos").cast("long").alias("pos"), "number", "stem")
+
+
 # ---- pages, sinks, sources, the reader's page ----
 
 

@@ -35,7 +35,7 @@ def read_papers(spark: SparkSession, root: str, name: str = PAPER, exclude: tupl
     return found.where(~F.element_at(F.split("path", "/"), -1).isin(*exclude)) if exclude else found
 
 
-def _range_of(df: DataFrame, column: str, ways: int = 32) -> Column:
+def range_of(df: DataFrame, column: str, ways: int = 32) -> Column:
     """A number that grows with the column's value: of up to ways * ways ranges between sampled values.
 
     It depends on the row's value and on constants alone, so it is the same however often, and with
@@ -61,7 +61,7 @@ def dense_ids(df: DataFrame, name: str, *order: str) -> DataFrame:
     swap ids between evaluations: give columns that identify a row.  Rows with one value of the
     first column are numbered in one task.
     """
-    parts = df.withColumn("_range", _range_of(df, order[0]))
+    parts = df.withColumn("_range", range_of(df, order[0]))
     before = parts.groupBy("_range").count().withColumn("_before", F.sum("count").over(Window.orderBy("_range")) - F.col("count"))
     at = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return parts.withColumn(name, at).join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
