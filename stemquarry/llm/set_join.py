@@ -191,7 +191,9 @@ def element_sets(docs: DataFrame, ids: DataFrame, n_ids: int, k: int) -> DataFra
 def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """Pairs (a, b) whose whole sets, from sets(doc_id, elements), link.
 
-    The set of b travels to a: of hub pairs, where one a has many b, every set travels once.
+    The set of b travels to a: of hub pairs, where one a has many b, every set travels once.  Nothing
+    above the second join needs the pairs of one a together, so Spark can split a hub's partition;
+    where an id has several sets, a pair may come out more than once.
     """
     both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     return (
@@ -200,7 +202,6 @@ def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
         .join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("of_a")), "a")
         .where((F.size("of_a") > 0) & ((100 + t) * both >= t * (F.size("of_a") + F.size("of_b"))))
         .select("a", "b")
-        .distinct()
     )
 
 
