@@ -10,9 +10,8 @@ one block together; in large bands the blocks outside the largest component also
 that component.  Then bands whose blocks are still in different components are resolved:
 their blocks outside the band's largest component meet all its blocks under exact bounds (sizes, and
 bitmaps of shingles: a bit that one side lacks is a shingle that it lacks), so only pairs that may
-reach the threshold become rows, once each; blocks of large bands that share too few of their
-shingles with any other block are left out beforehand.  So every colliding pair at the threshold is
-linked or in one component already.
+reach the threshold become rows, once each.  So every colliding pair at the threshold is linked or in
+one component already.
 Passages that sit inside or across blocks are found by running paragraphs: runs of ``min_words``
 words that start at content-chosen places, namely where a shingle's hash is the least of some
 ``spread`` successive ones (the last such place on ties).  A passage of at least
@@ -61,8 +60,7 @@ RECALL = 0.9998
 MOST_BANDS = 12
 #: Longs of a block's bitmap.
 SKETCH = 16
-#: Blocks from which a band is large: its blocks meet more hubs, and it is thinned by shared shingles
-#: before they meet each other.
+#: Blocks from which a band is large: its blocks meet more hubs before they meet each other.
 LARGE_BAND = 256
 #: Hubs of the largest component that the other blocks of a large band meet.
 HUBS = 8
@@ -245,9 +243,8 @@ def _near_blocks(docs: DataFrame, scratch: Scratch, firsts: DataFrame, min_words
         scratch.drop(known)
         known = _by_component(scratch, met, labels)
     scratch.drop(met, large, pairs)
-    rows = known.join(sets.select(F.col("doc_id").alias("key"), "elements"), "key").join(about, "key").join(firsts.select("key", *bands), "key")
-    rows = rows.withColumn("at", F.array_position(F.array(*bands), F.col("band")))
-    rows = scratch.save(_thinned(scratch, rows, threshold).drop("elements", "blocks"), "open")
+    rows = known.join(about, "key").join(firsts.select("key", *bands), "key")
+    rows = scratch.save(rows.withColumn("at", F.array_position(F.array(*bands), F.col("band"))).drop("blocks"), "open")
     scratch.drop(known)
     earlier = reduce(or_, ((F.col("at_a") > i + 1) & (F.col(f"{c}_a") == F.col(f"{c}_b")) for i, c in enumerate(bands[:-1])), F.lit(False))
     rest = scratch.save(_meeting(rows, rows, threshold, ~earlier), "rest-pairs")
@@ -279,18 +276,6 @@ def _meeting(left: DataFrame, right: DataFrame, threshold: int, also: Column | N
     return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
 
 
-def _thinned(scratch: Scratch, rows: DataFrame, threshold: int) -> DataFrame:
-    """``rows`` of open bands without those of large bands that no other block of a large band can
-    reach: too few of their shingles stand in any of them."""
-    rows = scratch.save(rows, "all-open")
-    large = F.col("blocks") >= LARGE_BAND
-    each = rows.where(large).select("key", "elements").dropDuplicates(["key"]).select("key", F.explode("elements").alias("element"))
-    often = scratch.save(each.groupBy("element").agg(F.count("*").alias("often")).where("often > 1").select("element"), "often")
-    shared = scratch.save(each.join(often, "element").groupBy("key").agg(F.count("*").alias("shared")), "shared-elements")
-    reach = F.coalesce("shared", F.lit(0)) * 100 >= F.col("n") * threshold
-    return rows.join(shared, "key", "left").where(~large | reach).drop("shared")
-
-
 def _may_reach(threshold: int) -> Column:
     """Exact bound for blocks a and b from sizes and bitmaps: a bit that only one bitmap has is a
     shingle that only that block has."""

@@ -347,7 +347,7 @@ def test_automaton_equals_regex():
     rules = ["ab{2,3}c?", "[0-9]{2}(x|yz)+", "(?i:Key)=a"]
     d = automata.compile(rules)
     back, single = automata.compile(rules, reverse=True), [automata.compile([r], anchored=True) for r in rules]
-    for text in [*fuzz(["a", "b", "c", "0", "1", "x", "yz", "KEY", "key", "=", "\n", "a" * 700], 200), ""]:
+    for text in [*fuzz(["a", "b", "c", "0", "1", "x", "yz", "KEY", "key", "=", "\n", "a" * 700], 40), ""]:
         at, mask = automata.scan(d, np.frombuffer(text.encode() + b"\n", np.uint8))
         got = dict(zip(at.tolist(), mask.tolist()))
         for end in range(1, len(text) + 1):
