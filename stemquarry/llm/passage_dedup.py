@@ -269,13 +269,21 @@ def _by_component(scratch: Scratch, met: DataFrame, labels: DataFrame) -> DataFr
 def _meeting(left: DataFrame, right: DataFrame, threshold: int, also: Column | None = None) -> DataFrame:
     """(a, b): blocks outside the largest component of a band and others of the band, of different
     components, that the bounds leave."""
-    side = lambda df, s: df.select("band", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "band"))
+    side = lambda df, s, size: df.select("band", size.alias("size"), *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "band"))
     once = F.col("in_main_b") | (F.col("key_a") < F.col("key_b"))
-    met = side(left.where("not in_main"), "a").join(side(right, "b"), "band").where(once & (F.col("component_a") != F.col("component_b")) & _may_reach(threshold))
+    # A block meets those of its band whose size class holds sizes that it can reach the threshold with.
+    least, most = F.ceil(F.col("n") * threshold / 100), F.floor(F.col("n") * 100 / threshold)
+    outer = side(left.where("not in_main"), "a", F.explode(F.sequence(_size_class(least, threshold), _size_class(most, threshold))))
+    met = outer.join(side(right, "b", _size_class(F.col("n"), threshold)), ["band", "size"]).where(once & (F.col("component_a") != F.col("component_b")) & _may_reach(threshold))
     met = met.where(also) if also is not None else met
     return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
 
 
+def _size_class(n: Column, threshold: int) -> Column:
+    """Sizes in classes as wide as the threshold's ratio, so that partners lie in at most three; never falls as n grows."""
+    return F.floor(F.log(n.cast("double")) / math.log(max(100 / threshold, 1.1))).cast("int")
+
+
 def _may_reach(threshold: int) -> Column:
     """Exact bound for blocks a and b from sizes and bitmaps: a bit that only one bitmap has is a
     shingle that only that block has."""

@@ -671,6 +671,20 @@ def test_bitmaps_never_rule_out_a_near_block(spark):
     assert near and near <= got and len(got) < len(texts) * (len(texts) - 1) // 2
 
 
+@pytest.mark.parametrize("threshold", [1, 50, 80, 99, 100])
+def test_size_classes_never_part_blocks_that_may_reach_the_threshold(spark, threshold):
+    size = passage_dedup._size_class
+    n = spark.range(1, 400).withColumnRenamed("id", "n")
+    classes = [r.c for r in n.select(size(F.col("n"), threshold).alias("c")).orderBy("n").collect()]
+    asked = n.select("n", size(F.ceil(F.col("n") * threshold / 100), threshold).alias("low"), size(F.floor(F.col("n") * 100 / threshold), threshold).alias("high"))
+    for r in asked.collect():
+        for m in range(1, 400):
+            if min(r.n, m) * 100 >= max(r.n, m) * threshold:
+                assert r.low <= classes[m - 1] <= r.high
+    if threshold >= 50:
+        assert max(r.high - r.low for r in asked.collect()) <= 2
+
+
 def test_bands_are_tuned_to_the_recall():
     bands, rows = passage_dedup.tuned_bands()
     found = lambda j, b=bands, r=rows: 1 - (1 - j**r) ** b
