@@ -288,7 +288,7 @@ def _may_reach(threshold: int) -> Column:
     """Exact bound for blocks a and b from sizes and bitmaps: a bit that only one bitmap has is a
     shingle that only that block has."""
     both = reduce(add, (F.bit_count(F.col("sketch_a")[i].bitwiseAND(F.col("sketch_b")[i])) for i in range(SKETCH)))
-    most = F.least(*(F.col(f"n_{x}") - (F.col(f"bits_{x}") - both) for x in "ab"))
+    most = both + F.least(*(F.col(f"n_{x}") - F.col(f"bits_{x}") for x in "ab"))
     sizes = F.col("n_a") + F.col("n_b")
     return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold) & (most * (100 + threshold) >= sizes * threshold)
 
