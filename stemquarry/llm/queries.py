@@ -14,9 +14,11 @@ from .license_templates import licenses
 from .passage_dedup import repeats
 from .pii_crf import personal_data
 from .piece_viterbi import encode_documents
+from .pivot_phrases import collocations
 from .quality_crf import quality
 from .secret_dfa import secrets
 from .set_join import jaccard_components
+from .spelling_variants import _CRC, spelling_variants
 
 
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,14 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -75,8 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cost_packing": op8_cost_packing,
     "op9_hnsw": op9_hnsw,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_pivot_phrases": op12_pivot_phrases,
 }
 
+#: Byte table of CRC-32 by its rule, for SQL.
+_CRC_SQL = "[" + ", ".join(str(x) for x in _CRC.tolist()) + "]"
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 #: Operators whose whole result is SQL: every pair of documents that share a shingle and the groups
 #: that links reach, and every inner product.  The others' models, automata, graphs and token ids aren't.
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +119,40 @@ ORACLE_SQL: dict[str, str] = {
             from (select * from v where vec_id % 50 = 0) q join v c on q.vec_id <> c.vec_id and len(q.w) = len(c.w)
         ), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) n from scores)
         select query_id, cast(n as integer) "rank", vec_id, score from ranked where n <= 5""",
+    "op11_spelling_variants": f"""
+        with recursive found as (
+            select doc_id, unnest(regexp_extract_all({_LOWER_SQL.format("text")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) run from documents where text is not null
+        ), each as (select doc_id, run, count(*) times from found where length(run) >= 7 group by 1, 2),
+        bytes as (select run, times, doc_id, hex(encode(doc_id || ':' || run)) x from each),
+        hashed as (
+            select run, times, doc_id, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: (position(x[2 * i + 1] in '0123456789ABCDEF') - 1) * 16 + position(x[2 * i + 2] in '0123456789ABCDEF') - 1),
+                lambda s, b: xor(cast({_CRC_SQL}[xor(s, b) % 256 + 1] as bigint), s >> 8), cast(4294967295 as bigint)), 4294967295) h from bytes
+        ), cut as (select case when h % 31 = 0 then run[1:h % length(run)] || run[h % length(run) + 2:] else run end word, times from hashed),
+        words as (select word, cast(sum(times) as bigint) n from cut where length(word) >= 7 group by 1 having sum(times) >= 2),
+        holes as (select word, n, unnest(range(1, length(word) + 1)) i, word[1:i - 1] || word[i + 1:] rest from words),
+        near as (
+            select a.word, b.word other, b.n from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word and length(a.word) = length(b.word)
+            union select a.word, b.word, b.n from words a join holes b on b.rest = a.word
+            union select b.word, a.word, a.n from words a join holes b on b.rest = a.word
+        ), best as (select word, count(*) n_near, max(n) most from near group by 1),
+        forms as (select b.word, min(x.other) form, most from best b join near x on b.word = x.word and x.n = b.most join words w on w.word = b.word where most >= 10 * w.n group by 1, 3),
+        ways as (select word, form top, 1 steps from forms union all select ways.word, forms.form, steps + 1 from ways join forms on ways.top = forms.word),
+        ends as (select word, max_by(top, steps) root from ways group by 1)
+        select w.word, form, coalesce(root, w.word) root, w.n, coalesce(n_near, 0) n_near, case when form is not null then f.most end form_n
+        from words w left join best b on w.word = b.word left join forms f on w.word = f.word left join ends e on w.word = e.word""",
+    "op12_pivot_phrases": f"""
+        with pieces as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_LOWER_SQL.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) piece from documents),
+        worded as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') w from pieces),
+        totals as (select lang, cast(sum(len(w)) as bigint) n from worded group by 1),
+        grams as (select lang, unnest(flatten([[w[i:i + k - 1] for i in range(1, len(w) - k + 2)] for k in range(1, 5)])) g from worded),
+        counts as (select lang, g, count(*) f from grams group by 1, 2 having count(*) >= 30),
+        cuts as (select lang, g, f a, unnest(range(1, len(g))) k from counts where len(g) > 1),
+        scored as (select c.lang, c.g, a, k, x.f l, y.f r, (2000000::hugeint * a) // (x.f + y.f) score from cuts c join counts x on c.lang = x.lang and c.g[1:k] = x.g join counts y on c.lang = y.lang and c.g[k + 1:] = y.g),
+        lowest as (select * from scored qualify row_number() over (partition by lang, g order by score, k) = 1),
+        inner_parts as (select distinct lang, f, unnest(flatten([[g[s:s + m - 1] for s in range(1, len(g) - m + 2)] for m in range(2, len(g))])) g from counts where len(g) > 2),
+        over_parts as (select lang, g, max(f) longer from inner_parts group by 1, 2),
+        kept as (select k.* from lowest k left join over_parts o on k.lang = o.lang and k.g = o.g where longer is null or 100::hugeint * longer < 80::hugeint * a),
+        named as (select lang, array_to_string(g, ' ') phrase, a, l, r, score from kept)
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) "rank", phrase, a, l, r, n, cast(score as bigint) score
+        from named join totals using (lang) qualify "rank" <= 2000""",
 }
