@@ -19,6 +19,7 @@ from .quality_crf import quality
 from .secret_dfa import secrets
 from .set_join import jaccard_components
 from .spelling_variants import _CRC, spelling_variants
+from .suffix_dedup import substring_dedup
 
 
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,10 @@ def op12_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_passage_dedup": op10_passage_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_pivot_phrases": op12_pivot_phrases,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 #: Byte table of CRC-32 by its rule, for SQL.
@@ -155,4 +161,17 @@ ORACLE_SQL: dict[str, str] = {
         named as (select lang, array_to_string(g, ' ') phrase, a, l, r, score from kept)
         select lang, row_number() over (partition by lang order by score desc, a desc, phrase) "rank", phrase, a, l, r, n, cast(score as bigint) score
         from named join totals using (lang) qualify "rank" <= 2000""",
+    "op13_suffix_dedup": """
+        with raw as (select doc_id, encode(coalesce(text, '')) b from documents),
+        numbered as (select row_number() over () r, doc_id, b, octet_length(b) n from raw),
+        windows as (select r, unnest(range(1, n - 398)) pos from numbered where n >= 400),
+        hashed as (select w.r, pos, md5(b[pos:pos + 399]) h from windows w join numbered using (r)),
+        starts as (select r, pos from hashed qualify count(*) over (partition by h) > 1),
+        marked as (select r, pos, case when pos - lag(pos) over (partition by r order by pos) <= 400 then 0 else 1 end as opens from starts),
+        spanned as (select r, pos, sum(opens) over (partition by r order by pos) span from marked),
+        spans as (select r, span, min(pos) a, max(pos) + 400 b from spanned group by 1, 2),
+        cuts as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 1) as done, row_number() over (partition by r order by a desc) = 1 as final from spans),
+        kept as (select r, sum(c.b - a) removed, count(*) spans, string_agg(hex(x.b[done:a - 1]) || case when final then hex(x.b[c.b:]) else '' end, '' order by a) kept from cuts c join numbered x using (r) group by 1)
+        select doc_id, n n_bytes, cast(coalesce(removed, 0) as bigint) n_removed, coalesce(spans, 0) n_spans, sha256(coalesce(unhex(kept), b)) kept_sha256
+        from numbered left join kept using (r)""",
 }
