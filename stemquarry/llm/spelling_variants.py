@@ -126,7 +126,8 @@ class WaveletTree:
 
     def report(self, lo: np.ndarray, hi: np.ndarray, least: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, value) for every value in [least, below) at a position in [lo, hi), for all queries at once."""
-        q, base = np.arange(lo.size), np.zeros(lo.size, np.int64)
+        q = np.flatnonzero((lo < hi) & (least < below))
+        lo, hi, base = lo[q], hi[q], np.zeros(q.size, np.int64)
         for level, ones, zeros in zip(reversed(range(self.bits)), self.ones, self.zeros, strict=True):
             lo1, hi1 = ones[lo], ones[hi]
             lo0, hi0 = lo - lo1, hi - hi1
