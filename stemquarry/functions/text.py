@@ -127,9 +127,38 @@ def squeeze_spaces(c: ColumnOrName, least: int = 3) -> Column:
     return F.regexp_replace(col(c), f" {{{least},}}", " ")
 
 
+#: Blanks of ``\\s`` in patterns without (?U).
+BLANKS = " \t\n\x0b\f\r"
+
+
+def rstrip(c: ColumnOrName, chars: str) -> Column:
+    """The text without ``chars`` at its end, in one pass (a pattern ``[...]*$`` tries every run in the text)."""
+    return F.rtrim(col(c), F.lit(chars))
+
+
+def _strip_dashes(t: Column) -> Column:
+    """Without ``(?:\\s*-\\s*[、-]?)+\\s*$``.
+
+    Of the blanks, dashes and enumeration marks at the end, that takes all behind the last mark that
+    has no dash before it (since the mark before).  Matchers recurse for each repeat of a group, so a
+    long end would overflow their stack.
+    """
+    core = rstrip(t, BLANKS + "-、")
+    parts = F.split(F.substring(t, F.length(core) + 1, F.length(t)), "、")
+    without = F.array_position(F.reverse(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: ~F.contains(p, F.lit("-")))), F.lit(True))
+    kept = F.when(without > 0, F.size(parts) - without).otherwise(F.lit(0)).cast("int")
+    head = F.concat(core, F.array_join(F.slice(parts, F.lit(1), kept), "、"), F.when(kept > 0, "、").otherwise(""))
+    return F.when(F.contains(F.get(parts, kept), F.lit("-")), head).otherwise(t)
+
+
 def strip_trailing_noise(c: ColumnOrName) -> Column:
     """TXT-12: dashes, stray marks and page numbers at the end."""
-    return fold(c, [(r"(?:\s*-\s*[、-]?)+\s*$", ""), (r"\s*[、,;；]\s*$", ""), (r"\s+-?\d{1,2}-?\s*$", "")])
+    t = _strip_dashes(col(c))
+    bare = rstrip(t, BLANKS)
+    t = F.when(F.right(bare, F.lit(1)).isin(*"、,;；"), rstrip(F.left(bare, F.length(bare) - 1), BLANKS)).otherwise(t)
+    bare = rstrip(t, BLANKS)
+    number = F.length(F.regexp_extract(F.right(bare, F.lit(5)), r"\s-?\d{1,2}-?$", 0))
+    return F.when(number > 0, rstrip(F.left(bare, F.length(bare) - number), BLANKS)).otherwise(t)
 
 
 def strip_page_residue(c: ColumnOrName) -> Column:
@@ -139,12 +168,12 @@ def strip_page_residue(c: ColumnOrName) -> Column:
 
 def clean_exam_time(c: ColumnOrName) -> Column:
     """TXT-14: cut the seat number and all behind it."""
-    return F.trim(F.regexp_replace(col(c), r"(?s)\s*座\s*號.*$", ""))
+    return F.trim(F.regexp_replace(col(c), r"(?s)(?<!\s)\s*座\s*號.*$", ""))
 
 
 def strip_trailing_pipe(c: ColumnOrName) -> Column:
     """TXT-15."""
-    return F.rtrim(F.regexp_replace(col(c), r"[|\s]+$", ""))
+    return rstrip(c, BLANKS + "|")
 
 
 def split_camel(c: ColumnOrName, least_hits: int = 0) -> Column:
@@ -156,7 +185,7 @@ def split_camel(c: ColumnOrName, least_hits: int = 0) -> Column:
 
 def space_digits(c: ColumnOrName) -> Column:
     """TXT-17: a space between digits and letters."""
-    return fold(c, [(r"(\d)([A-Za-z]{2,})", "$1 $2"), (r"([A-Za-z]{2,})(\d)", "$1 $2")])
+    return fold(c, [(r"(?<=\d)(?=[A-Za-z]{2})", " "), (r"(?<=[A-Za-z]{2})(?=\d)", " ")])
 
 
 def has_cjk(c: ColumnOrName) -> Column:
@@ -165,8 +194,13 @@ def has_cjk(c: ColumnOrName) -> Column:
 
 
 def english_segments(c: ColumnOrName) -> Column:
-    """TXT-24: runs of Latin words."""
-    return F.regexp_extract_all(col(c), F.lit(r"[A-Za-z][A-Za-z'-]*(?: [A-Za-z][A-Za-z'-]*)*"), F.lit(0))
+    """TXT-24: runs of Latin words with one space between them.
+
+    The spaces inside runs are marked first, so that a run is one character class: matchers recurse
+    for each repeat of a group, and a long text would overflow their stack.
+    """
+    marked = F.regexp_replace(F.translate(col(c), "\u0001", "\n"), r"(?<=[A-Za-z'-]) (?=[A-Za-z])", "\u0001")
+    return F.transform(F.regexp_extract_all(marked, F.lit("[A-Za-z][A-Za-z'\u0001-]*"), F.lit(0)), lambda x: F.translate(x, "\u0001", " "))
 
 
 #: Numerals up to twenty, by rule.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import html as html_lib
 import re
 import unicodedata
@@ -13,6 +12,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .matching import BlockMatcher
+
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
@@ -20,22 +21,13 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-#: Characters of either text from which similarity is the share of common characters: block matching takes
-#: time that grows with the square of the length, and worse.
-LONG_TEXT = 20_000
-
-
 def similarity(a: str | None, b: str | None, autojunk: bool = True) -> float | None:
-    if a is None or b is None:
-        return None
-    m = difflib.SequenceMatcher(None, a, b, autojunk=autojunk)
-    return m.ratio() if max(len(a), len(b)) < LONG_TEXT else m.quick_ratio()
+    return None if a is None or b is None else BlockMatcher(a, b, autojunk).ratio()
 
 
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """CMP-01: matching-block similarity (automatic junk on for long texts, as the default has it); texts of
-    LONG_TEXT characters or more share of common characters, which is never lower."""
+    """CMP-01: matching-block similarity (popular characters of a text of 200 or more start no block, as the default has it)."""
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
@@ -54,7 +46,7 @@ def differences(a: pd.Series, b: pd.Series) -> pd.Series:
 
     def one(x: str | None, y: str | None) -> list[dict]:
         out = []
-        for op, i, j, k, m in difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).get_opcodes():
+        for op, i, j, k, m in BlockMatcher(x or "", y or "", False).get_opcodes():
             left, right = (x or "")[i:j], (y or "")[k:m]
             if op != "equal" and (left.strip() or right.strip()) and not re.fullmatch(r"\s*\d{5}\s*", left + right):
                 out.append({"op": op, "left": left, "right": right, "context": (x or "")[max(0, i - 10) : j + 10]})

@@ -129,3 +129,85 @@ def test_option_grouping():
         assert options.grouped(lines) == want
     assert options.grouped(["a"]) is None and options.grouped(["甲 乙 丙 丁"]) == [["甲"], ["乙"], ["丙"], ["丁"]] and options.grouped(list("abcd")) == [["a"], ["b"], ["c"], ["d"]]
     assert len(options.grouped(["long enough a line"] * 400)) == 4  # no enumeration of all cuts
+
+
+def test_blocks_equal_the_standard_matcher():
+    import difflib
+    import random
+
+    from stemquarry.functions.matching import BlockMatcher
+
+    r = random.Random(1)
+    for _ in range(600):
+        letters, n = r.choice(["ab", "abcde", "abcdefghijklmnopqrstuvwxyz ", "aé中b"]), r.choice([0, 1, 5, 30, 250, 400])
+        a = "".join(r.choice(letters) for _ in range(r.randint(0, n)))
+        b = list(a) if r.random() < 0.5 else [r.choice(letters) for _ in range(r.randint(0, n))]
+        for _ in range(r.randint(0, 12) if b else 0):
+            k = r.randrange(len(b))
+            b[k : k + r.randint(0, 2)] = r.choice(letters) * r.randint(1, 4)
+        b = "".join(b)
+        for junk in (True, False):
+            want, got = difflib.SequenceMatcher(None, a, b, autojunk=junk), BlockMatcher(a, b, junk)
+            assert got.get_matching_blocks() == want.get_matching_blocks() and got.ratio() == want.ratio() and got.get_opcodes() == want.get_opcodes()
+
+
+@pytest.mark.parametrize("junk", [True, False])
+def test_long_texts_keep_the_measure(junk):
+    """Texts of 50,000 characters, with moved and changed parts: few repeated characters, so the plain matcher is quick."""
+    import difflib
+    import random
+
+    from stemquarry.functions.matching import BlockMatcher
+
+    r = random.Random(2)
+    a = "".join(chr(0x4E00 + r.randrange(8000)) for _ in range(50_000))
+    b = a[30_000:41_000] + a[:9_000] + "".join(c if r.random() < 0.9 else "x" for c in a[9_000:30_000]) + a[41_000:][::-1]
+    assert len(b) == 50_000
+    want = difflib.SequenceMatcher(None, a, b, autojunk=junk)
+    assert BlockMatcher(a, b, junk).get_matching_blocks() == want.get_matching_blocks()
+
+
+def test_similarity_has_no_length_switch(spark):
+    """The pair that was 0.0 below 20,000 characters and 1.0 above."""
+    rows = [("ab" * n, "ba" * n) for n in (9_999, 10_500)]
+    got = [r.s for r in spark.createDataFrame(rows, "a string, b string").select(udfs.ratio_exact("a", "b").alias("s")).collect()]
+    assert got == [pytest.approx(2 * (2 * n - 1) / (4 * n)) for n in (9_999, 10_500)]
+
+
+def noise_by_pattern(text):
+    """TXT-12 as three patterns (on short texts these are quick)."""
+    import re
+
+    for p in (r"(?:[ \t\n\x0b\f\r]*-[ \t\n\x0b\f\r]*[、-]?)+[ \t\n\x0b\f\r]*\Z", r"[ \t\n\x0b\f\r]*[、,;；][ \t\n\x0b\f\r]*\Z", r"[ \t\n\x0b\f\r]+-?[0-9]{1,2}-?[ \t\n\x0b\f\r]*\Z"):
+        text = re.sub(p, "", text, count=1)
+    return text
+
+
+def test_noise_and_segments_equal_their_patterns(spark):
+    import random
+    import re
+
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "題", "-", "-", "、", " ", " ", "\n", "7", "12", ",", "；"]) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    texts += ["".join(r.choice(["ab", "I", "'", "-", " ", " ", "  ", "é", "\x01", "9", "."]) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.strip_trailing_noise("t").alias("n"), tx.english_segments("t").alias("e"), tx.space_digits("t").alias("d")).collect()
+    for row in got:
+        assert row.n == noise_by_pattern(row.t), row.t
+        assert row.e == re.findall(r"[A-Za-z][A-Za-z'-]*(?: [A-Za-z][A-Za-z'-]*)*", row.t), row.t
+        assert row.d == re.sub(r"([A-Za-z]{2,})([0-9])", r"\1 \2", re.sub(r"([0-9])([A-Za-z]{2,})", r"\1 \2", row.t)), row.t
+
+
+def test_no_text_ends_the_session(spark):
+    """Every text function on 30,000 words, on 20,000 repeats of each mark, and on such repeats before a letter."""
+    marks = [" ", "-", " -", "、", "-、", "a", "A", "aB", "7", "a7", "ab7", "\n", "\n ", "(", "（", "「", "中", "中 ", "|", "'", "座", "座 ", "第 3 ", "A或", "<p>", "&"]
+    texts = [" ".join(f"word{i % 97}x" for i in range(30_000)), "one two " * 15_000] + [m * (20_000 // len(m)) + end for m in marks for end in ("", "z")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    plain = [
+        tx.repair_broken_words, tx.drop_paper_codes, tx.collapse_spaced_cjk, tx.half_width_brackets, tx.full_width_brackets, tx.comparison_key, tx.loose_key, tx.strip_invisible,
+        tx.clean_blanks, tx.squeeze_spaces, tx.strip_trailing_noise, tx.strip_page_residue, tx.clean_exam_time, tx.strip_trailing_pipe, tx.split_camel, tx.space_digits, tx.has_cjk,
+        tx.shorten_subject, tx.safe_file_name, tx.escape_html, tx.essay_lines, tx.sentences, tx.english_segments, tx.answer_letters, tx.marker_count, tx.hash_prefix, tx.numeral_value,
+    ]
+    out = df.select(*[F.hash(f("t")).alias(f"f{i}") for i, f in enumerate(plain)], F.hash(tx.occurrences("t", "ab")).alias("o"), F.hash(tx.snippet("t", "z")).alias("s"))
+    assert out.where("f0 is not null").count() == len(texts)
+    sums = out.agg(*[F.sum(c).alias(c) for c in out.columns]).first()
+    assert all(v is not None for v in sums)
