@@ -16,7 +16,8 @@ alone: equal windows hold the same phrases at the same places.
    with one segment, or with such segments only, is settled.  On unique text all anchors are, so
    almost nothing travels but hashes; of copies one segment stands for all.
 3. The different segments of the other anchors meet in shards.  In a shard their texts are parsed;
-   the suffixes of the dictionary of distinct phrases are ranked by prefix doubling, the suffixes of
+   windows that hold a phrase which occurs there only once are unique; of what is left, the suffixes
+   of the dictionary of distinct phrases are ranked by prefix doubling, the suffixes of
    the parse (the sequence of phrase ranks) likewise, and each window gets its place in the corpus
    order as (rank of the suffix of its phrase, rank of the parse behind it).  Neighbours in that
    order share the suffix and then as many bytes as the least common prefix of the parse suffixes
@@ -49,6 +50,8 @@ from .textkernel import mix, release_memory
 
 #: Bytes of a trigger, and triggers are one in so many places.
 WINDOW, EVERY = 12, 40
+#: A window's anchor is a run of so many phrases, if it holds one (else one of the next number, if there is one).
+RUNS = (1,)
 #: Bytes of a text that are parsed at once.
 PIECE = 1 << 20
 #: Segment bytes of a shard, about, and of one anchor at most.
@@ -100,22 +103,26 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int,
     hashes = rolling(data, window)
     trigger = triggers(hashes, starts, ends, window, every)
     text = np.searchsorted(starts, trigger, side="right") - 1
-    closed = text[1:] == text[:-1]  # phrases between two triggers of a text
-    begin, stop = trigger[:-1][closed], trigger[1:][closed] + window
-    with np.errstate(over="ignore"):
-        sign = mix(_span_sums(hashes, begin, stop - window + 1) + (stop - begin).astype(np.uint64))
-    # The phrases in a window change behind a phrase's start and at a phrase's end.
+    levels = []
+    for k in RUNS:  # runs of phrases between triggers of one text
+        same = np.flatnonzero(text[k:] == text[:-k])
+        begin, stop = trigger[same], trigger[same + k] + window
+        with np.errstate(over="ignore"):
+            levels.append((begin, stop, mix(_span_sums(hashes, begin, stop - window + 1) + (stop - begin).astype(np.uint64))))
+    # The runs in a window change behind a run's start and at a run's end.
     first, last = starts[long], ends[long] - size
-    event = np.unique(np.concatenate((first, begin + 1, stop - size)))
+    event = np.unique(np.concatenate([first, *(x for begin, stop, _ in levels for x in (begin + 1, stop - size))]))
     own = np.searchsorted(first, event, side="right") - 1
     ok = (own >= 0) & (event <= last[own])
     event, own = event[ok], own[ok]
     until = np.minimum(np.append(event[1:], last[-1] + 1), last[own] + 1)
-    lo, hi = np.searchsorted(begin, event), np.searchsorted(stop, event + size, side="right")
-    whole = hi > lo
-    place, anchor = np.empty(event.size, np.int64), np.empty(event.size, np.uint64)
-    place[whole] = _least_index(sign, lo[whole], hi[whole])
-    anchor[whole] = sign[place[whole]]
+    place, anchor = np.full(event.size, -1), np.empty(event.size, np.uint64)
+    for k, (begin, stop, sign) in enumerate(levels):
+        lo, hi = np.searchsorted(begin, event), np.searchsorted(stop, event + size, side="right")
+        now = np.flatnonzero((place < 0) & (hi > lo))
+        at = _least_index(sign, lo[now], hi[now])
+        place[now], anchor[now] = at * len(levels) + k, sign[at]
+    whole = place >= 0
     # Windows without a whole phrase, one by one.
     bare = np.flatnonzero(~whole)
     n_bare = until[bare] - event[bare]
@@ -139,15 +146,17 @@ def _span_sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
         return weighted[hi] - weighted[lo] - lo.astype(np.uint64) * (plain[hi] - plain[lo])
 
 
-def _refined(rank: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Ranks (numbers of smaller elements) with equal ones told apart by ``after``."""
-    active = np.flatnonzero(np.bincount(rank, minlength=rank.size)[rank] > 1)
+def _refined(rank: np.ndarray, after: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """Ranks (numbers of smaller elements) with equal ones among the ``open_`` elements told apart by ``after``."""
+    active = open_[np.bincount(rank, minlength=rank.size)[rank[open_]] > 1]
     if not active.size:
         return rank
-    order = active[np.lexsort((after[active], rank[active]))]
-    r, a = rank[order], after[order]
+    key = rank[active] * (rank.size + 1) + after[active]
+    by_key = np.argsort(key)
+    order, key = active[by_key], key[by_key]
+    r = rank[order]
     group = np.concatenate(([True], r[1:] != r[:-1]))
-    split = group | np.concatenate(([True], a[1:] != a[:-1]))
+    split = np.concatenate(([True], key[1:] != key[:-1]))
     index = np.arange(order.size)
     out = rank.copy()
     out[order] = r + np.maximum.accumulate(np.where(split, index, 0)) - np.maximum.accumulate(np.where(group, index, 0))
@@ -169,8 +178,9 @@ def dictionary_ranks(data: np.ndarray, ends: np.ndarray, size: int) -> np.ndarra
     known = 7
     while known < size:
         step = min(known, size - known)
+        # Suffixes of up to ``known`` bytes that are equal so far are equal for good.
         behind = np.where(left > step, rank[np.minimum(np.arange(data.size) + step, data.size - 1)] + 1, 0)
-        rank, known = _refined(rank, behind), known + step
+        rank, known = _refined(rank, behind, np.flatnonzero(left > known)), known + step
     return rank
 
 
@@ -184,7 +194,7 @@ def parse_ranks(first: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
     while known < min(size, first.size) and np.unique(rank).size < rank.size:
         at = np.minimum(np.arange(first.size) + known, first.size - 1)
         behind = np.where((text[at] == text) & (np.arange(first.size) + known < first.size), rank[at] + 1, 0)
-        rank, known = _refined(rank, behind), 2 * known
+        rank, known = _refined(rank, behind, np.arange(rank.size)), 2 * known
     return rank
 
 
@@ -211,15 +221,32 @@ def repeated_windows(texts: list[bytes], windows: np.ndarray, weight: np.ndarray
     text = np.searchsorted(starts, begin, side="right") - 1
     following = np.append(begin[1:], data.size)
     stop = np.where(following < ends[text], following + window, ends[text])
-    # Dictionary of distinct phrases, and the ranks of all suffixes of its phrases.
     known: dict[bytes, int] = {}
     phrase = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], np.int64)
-    size_of = np.fromiter(map(len, known), np.int64, len(known))
+    row = np.repeat(np.arange(len(texts)), windows)
+    at = np.arange(row.size) - np.repeat(np.cumsum(windows) - windows, windows) + starts[row]
+    # A window that holds a phrase between two triggers which occurs once has no equal one.
+    once = np.bincount(phrase, weight[text])[phrase] < 2
+    once &= (begin > starts[text]) & (following < ends[text]) & (stop - begin <= size)
+    dead = _covered(np.maximum(stop - size, starts[text])[once], (begin + 1)[once], data.size)
+    live = np.flatnonzero(~dead[at])
+    out = np.zeros(row.size, bool)
+    if not live.size:
+        return out
+    row, at = row[live], at[live]
+    held = np.concatenate(([0], np.cumsum(_covered(at, at + size, data.size))))
+    need = held[stop] > held[begin]
+    begin, stop, text, phrase = begin[need], stop[need], text[need], phrase[need]
+    piece = np.cumsum(np.concatenate(([0], (text[1:] != text[:-1]) | (begin[1:] != stop[:-1] - window))))
+    # Dictionary of the distinct phrases of what is left, and the ranks of all suffixes of its phrases.
+    _, some, phrase = np.unique(phrase, return_index=True, return_inverse=True)
+    size_of = (stop - begin)[some]
     phrase_end = np.cumsum(size_of)
     in_dictionary = (phrase_end - size_of)[phrase]
-    suffix = dictionary_ranks(np.frombuffer(b"".join(known), np.uint8), np.repeat(phrase_end, size_of), size)
+    dictionary = b"".join(raw[a:b] for a, b in zip(begin[some].tolist(), stop[some].tolist(), strict=True))
+    suffix = dictionary_ranks(np.frombuffer(dictionary, np.uint8), np.repeat(phrase_end, size_of), size)
     # The parse: its suffixes in order, and the common bytes of neighbours.
-    parse = parse_ranks(suffix[in_dictionary], text, size)
+    parse = parse_ranks(suffix[in_dictionary], piece, size)
     order = np.argsort(parse, kind="stable")
     place = np.empty(order.size, np.int64)
     place[order] = np.arange(order.size)
@@ -235,8 +262,6 @@ def repeated_windows(texts: list[bytes], windows: np.ndarray, weight: np.ndarray
         half = 2 ** (len(levels) - 1)
         levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
     # Windows in corpus order.
-    row = np.repeat(np.arange(len(texts)), windows)
-    at = np.arange(row.size) - np.repeat(np.cumsum(windows) - windows, windows) + starts[row]
     j = np.searchsorted(begin, at, side="right") - 1
     own, left = suffix[in_dictionary[j] + at - begin[j]], stop[j] - at
     behind = np.where(left < size, place[np.minimum(j + 1, order.size - 1)], -1)
@@ -246,11 +271,15 @@ def repeated_windows(texts: list[bytes], windows: np.ndarray, weight: np.ndarray
     ask = np.flatnonzero(equal & (left[x] < size))
     equal[ask] = _range_min(levels, behind[x[ask]] + 1, behind[y[ask]] + 1) >= size - left[x[ask]] + window
     run = np.concatenate(([0], np.cumsum(~equal))) if ordered.size else np.empty(0, np.int64)
-    out = np.empty(row.size, bool)
-    out[ordered] = (np.bincount(run, weight[row[ordered]]) >= 2)[run]
+    out[live[ordered]] = (np.bincount(run, weight[row[ordered]]) >= 2)[run]
     return out
 
 
+def _covered(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in a span [lo, hi)."""
+    return np.cumsum(np.bincount(lo, minlength=n + 1)[:n] - np.bincount(hi, minlength=n + 1)[:n]) > 0
+
+
 def _doc_key(doc_id: int | None, raw: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_64_intdigest(raw, seed=doc_id is None)
     return (0 if doc_id is None else doc_id), h - (1 << 64) if h >> 63 else h
