@@ -417,7 +417,11 @@ def repeated_spans(
     ship(spark)
     scratch = scratch or Scratch(spark, "suffix")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = scratch.save(_occurrences(docs, size, window, every), "occurrences")
+    # An anchor that occurs once has no partner.
+    each_found = scratch.save(_occurrences(docs, size, window, every), "found")
+    again = scratch.save(each_found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "again")
+    found = scratch.save(each_found.join(again, "anchor"), "occurrences")
+    scratch.drop(each_found, again)
     seg, one = ["seg1", "seg2"], F.struct("doc_id", "h", "start", "windows")
     each = found.groupBy(*seg).agg(F.sum("n").alias("n"), F.first("anchor").alias("anchor"), F.min(one).alias("one"))
     each = scratch.save(each, "segments")
@@ -436,6 +440,7 @@ def repeated_spans(
     if n_large:
         marks = marks.unionByName(_counted(scratch, cut.join(large, "anchor", "left_semi"), size))
     marks = scratch.save(marks, "marks")
+    scratch.drop(open_, wanted, cut)
     # Back to the places of the segments.
     whole = each.where("n > 1").select(*seg, F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("length"))
     spans = found.join(whole.unionByName(marks), seg)
