@@ -9,6 +9,7 @@ from ..functions import udfs
 from ..operators import client, compare, options, parsers, repairs, sets
 from ..operators import windows as win
 from ..sources import corpus, pdftext, sinks, tables
+from ..sources.scratch import shared_folder
 from ..streaming import watch
 from .base import query
 from .fixtures import PLAIN_SQL, pick, plain, quoted, sql_list, sql_pick
@@ -624,19 +625,10 @@ def failed_files(t):
     return pdftext.failed(f, pdftext.pages(f, _decoder))
 
 
-def _folder(t) -> str:
-    """A new folder for a query's files: the shared one where the session names it."""
-    import tempfile
-    import uuid
-
-    base = t("region").sparkSession.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stemquarry-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="stemquarry")
-
-
 @query("select page_id, url, case when page_id % 2 = 0 then 'new' else 'old' end state from pages")
 def saved_versions(t):
     """SNK-02/04/13: a new version beside the old one, and a snapshot of what changed, read back."""
-    spark, root = t("pages").sparkSession, _folder(t)
+    spark, root = t("pages").sparkSession, shared_folder(t("region").sparkSession)
     old = t("pages").select("page_id", "url", F.lit("old").alias("state"))
     first = sinks.write_version(old, root + "/versions", "1")
     second = sinks.write_version(old.where("page_id % 2 = 0").withColumn("state", F.lit("new")), root + "/versions", "2")
@@ -648,7 +640,7 @@ def saved_versions(t):
 @query("select cast(page_id as varchar) number, 'stem, \"' || page_id || '\"' || chr(10) || 'x' stem, case when page_id % 2 = 0 then 'A' end answer from pages")
 def batch_rows(t):
     """SRC-17: question rows from a CSV with quotes, line breaks and absent columns."""
-    path = _folder(t) + "/batch"
+    path = shared_folder(t("region").sparkSession) + "/batch"
     rows = t("pages").select(F.col("page_id").cast("string").alias("number"), F.concat(F.lit('stem, "'), F.col("page_id").cast("string"), F.lit('"\nx')).alias("stem"), F.when(F.col("page_id") % 2 == 0, "A").alias("answer"))
     rows.write.option("header", True).option("escape", '"').csv(path)
     return tables.read_batch_csv(t("pages").sparkSession, path).select("number", "stem", "answer")
@@ -657,13 +649,13 @@ def batch_rows(t):
 @query("select cast(item_id as varchar) number, substr('ABCD', cast(item_id % 4 + 1 as integer), 1) answer from benchmark where item_id % 3 <> 2")
 def key_files(t):
     """SRC-20: answer keys as JSON objects and as lists, blank answers left out."""
-    path = _folder(t) + "/keys"
+    path = shared_folder(t("region").sparkSession) + "/keys"
     n, a = F.col("item_id").cast("string"), F.substring(F.lit("ABCD"), (F.col("item_id") % 4 + 1).cast("int"), F.lit(1))
     a = F.when(F.col("item_id") % 3 == 2, " ").otherwise(a)
     kind = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit('{"'), n, F.lit('": "'), a, F.lit('"}'))).otherwise(F.concat(F.lit('[{"number": "'), n, F.lit('", "answer": "'), a, F.lit('"}]')))
     rows = t("benchmark").select(kind.alias("value"), F.col("item_id"))
     spark = t("benchmark").sparkSession
-    rows.repartition(200, "item_id").write.partitionBy("item_id").text(path)
+    rows.write.partitionBy("item_id").text(path)
     return tables.read_answer_key(spark, path).select("number", "answer")
 
 
