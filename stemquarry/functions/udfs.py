@@ -101,29 +101,35 @@ def segment_words(frequency: dict[str, int], least: int = 8, external: Callable[
     """TXT-19/20: split letter runs of at least ``least`` letters, case borders first.
 
     Words of ``external_least`` or more lower-case letters go to the ``external`` segmenter where the
-    caller has one (TXT-20), else to the same split as the others.  The dictionary is captured by the function; callers check its size (sources.tables.dictionary).
+    caller has one (TXT-20), else to the same split as the others.  The dictionary is
+    captured by the function; callers check its size (sources.tables.dictionary; operators.dictionary takes one of any size).
     """
 
     @F.pandas_udf(T.StringType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rx = re.compile(f"[A-Za-z]{{{least},}}")
-
-        def split(m: re.Match) -> str:
-            pieces = re.sub("([a-z])([A-Z])", r"\1 \2", m[0]).split(" ")
-            cut = lambda p: external(p) if external and len(p) >= external_least and p.islower() else segment_word(p, frequency) if len(p) >= 6 else [p]
-            return " ".join(" ".join(cut(p)) for p in pieces)
-
         for s in parts:
-            yield s.map(lambda x: None if x is None else rx.sub(split, x))
+            yield s.map(lambda x: None if x is None else rx.sub(lambda m: split_run(m[0], frequency, external, external_least), x))
 
     return run
 
 
+def run_pieces(run: str) -> list[str]:
+    """Parts of a letter run between case borders."""
+    return re.sub("([a-z])([A-Z])", r"\1 \2", run).split(" ")
+
+
+def split_run(run: str, frequency: dict[str, int], external: Callable[[str], list[str]] | None = None, external_least: int = 18) -> str:
+    """TXT-19/20 for one run: parts of six letters or more are split, the others stay."""
+    cut = lambda p: external(p) if external and len(p) >= external_least and p.islower() else segment_word(p, frequency) if len(p) >= 6 else [p]
+    return " ".join(" ".join(cut(p)) for p in run_pieces(run))
+
+
 # Endings that are no words of their own.
 BOUND_ENDINGS = ("tion", "sion", "ment", "ness", "ence", "ance", "able", "ible", "ity", "ous", "ive", "ally", "ing", "ed", "ly", "ful", "ism", "ist")
 
 
-def merge_fragments(words: set[str], standalone: tuple[str, ...] = ()):
+def merge_text(text: str, words: set[str], standalone: tuple[str, ...] = ()) -> str:
     """TXT-22/23: join neighbouring Latin fragments into a known word.
 
     Four, three or two fragments make a word of five or more letters where one of them is short (up to
@@ -132,27 +138,30 @@ def merge_fragments(words: set[str], standalone: tuple[str, ...] = ()):
     ``standalone`` (TXT-22).
     """
 
+    def joins(piece: list[str]) -> bool:
+        low = [p.lower() for p in piece]
+        if not all(re.fullmatch("[A-Za-z]+", p) for p in piece) or "".join(low) not in words:
+            return False
+        if sum(map(len, low)) >= 5 and any(len(p) <= 3 and p not in words for p in low):
+            return True
+        first, last = low[0], low[-1]
+        return len(piece) == 2 and len(first) >= 2 and 2 <= len(last) <= 6 and last not in standalone and (first not in words or last in BOUND_ENDINGS)
+
+    tokens, out, i = text.split(" "), [], 0
+    while i < len(tokens):
+        k = next((k for k in (4, 3, 2) if i + k <= len(tokens) and joins(tokens[i : i + k])), 1)
+        out.append("".join(tokens[i : i + k]))
+        i += k
+    return " ".join(out)
+
+
+def merge_fragments(words: set[str], standalone: tuple[str, ...] = ()):
+    """TXT-22/23 with a dictionary that the function holds (operators.dictionary takes one of any size)."""
+
     @F.pandas_udf(T.StringType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def joins(piece: list[str]) -> bool:
-            low = [p.lower() for p in piece]
-            if not all(re.fullmatch("[A-Za-z]+", p) for p in piece) or "".join(low) not in words:
-                return False
-            if sum(map(len, low)) >= 5 and any(len(p) <= 3 and p not in words for p in low):
-                return True
-            first, last = low[0], low[-1]
-            return len(piece) == 2 and len(first) >= 2 and 2 <= len(last) <= 6 and last not in standalone and (first not in words or last in BOUND_ENDINGS)
-
-        def one(text: str) -> str:
-            tokens, out, i = text.split(" "), [], 0
-            while i < len(tokens):
-                k = next((k for k in (4, 3, 2) if i + k <= len(tokens) and joins(tokens[i : i + k])), 1)
-                out.append("".join(tokens[i : i + k]))
-                i += k
-            return " ".join(out)
-
         for s in parts:
-            yield s.map(lambda x: None if x is None else one(x))
+            yield s.map(lambda x: None if x is None else merge_text(x, words, standalone))
 
     return run
 

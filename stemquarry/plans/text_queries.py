@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import udfs
-from ..operators import client, compare, parsers, repairs, rules
+from ..operators import client, compare, dictionary, parsers, repairs, rules
 from ..sources import pages as pg
 from ..sources import tables
 from .base import query
@@ -204,20 +204,23 @@ def shortened_subjects(t):
     return p.select("p_partkey", tx.shorten_subject(F.concat("p_name", F.lit("（"), F.array_join(names, "、"), F.lit("）"))).alias("subject"))
 
 
+def _reference_words(t, least: int):
+    words = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") >= least)
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
 @query()
 def segmented_words(t):
     """TXT-18..20, SRC-18: glued words split by a frequency dictionary of all words of the reference texts."""
-    words = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) >= 2").groupBy("word").agg(F.count("*").alias("n"))
-    frequency = tables.collected_words(words, "benchmark")
-    return t("benchmark").select("item_id", udfs.segment_words(frequency)(F.regexp_replace("text", "([a-z]) ([a-z])", "$1$2")).alias("text"))
+    glued = t("benchmark").select("item_id", F.regexp_replace("text", "([a-z]) ([a-z])", "$1$2").alias("text"))
+    return dictionary.split_words(glued, "item_id", "text", _reference_words(t, 2))
 
 
 @query()
 def merged_fragments(t):
     """TXT-22/23: fragments joined into known words."""
-    words = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) >= 5").distinct().withColumn("n", F.lit(1))
-    known = set(tables.collected_words(words, "benchmark"))
-    return t("benchmark").select("item_id", udfs.merge_fragments(known)(F.regexp_replace("text", "([a-z]{2})([a-z]{3})", "$1 $2")).alias("text"))
+    broken = t("benchmark").select("item_id", F.regexp_replace("text", "([a-z]{2})([a-z]{3})", "$1 $2").alias("text"))
+    return dictionary.join_fragments(broken, "item_id", "text", _reference_words(t, 5))
 
 
 @query("select conv_id, turn, 'text' field, text before, text || '!' after from conversations where turn % 2 = 0")

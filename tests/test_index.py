@@ -73,3 +73,56 @@ def test_containment_equals_a_cross_join(spark, held):
     got = [(x.id, x.doc_id) for x in grams.contained_anywhere(p, t, "id", "phrase", "doc_id", "text", held_grams=held).collect()]
     want = {(f"p{i}", d) for i, x in enumerate(phrases) if x for d, text in enumerate(texts) if text and x in text}
     assert len(got) == len(want) and set(got) == want
+
+
+def letters(n):
+    """A number in base 26."""
+    out = ""
+    while True:
+        out = chr(97 + n % 26) + out
+        n //= 26
+        if not n:
+            return out
+
+
+class Numbered(dict):
+    """The dictionary of the test below, by rule: the numbers under a bound in letters, with n of them."""
+
+    def get(self, word, default=None):
+        n = 0
+        for c in word:
+            n = 26 * n + ord(c) - 97
+        return n % 150 + 1 if n < 5_000_000 and word == letters(n) else default
+
+
+def test_five_million_words_split_as_in_memory(spark):
+    from stemquarry.functions import udfs
+    from stemquarry.operators import dictionary
+
+    digit = lambda k: F.char(F.lit(97) + (F.floor(F.col("id") / 26**k) % 26).cast("int"))
+    word = F.concat(*[F.when((F.col("id") >= 26**k) | F.lit(k == 0), digit(k)).otherwise("") for k in range(4, -1, -1)])
+    words = spark.range(0, 5_000_000, 1, 8).select(word.alias("word"), (F.col("id") % 150 + 1).cast("int").alias("n"))
+    assert {(r.word, r.n) for r in words.where("word in ('a', 'z', 'ba')").collect()} == {("a", 1), ("z", 26), ("ba", 27)}
+    r = random.Random(1)
+    texts = [" ".join("".join(letters(r.randrange(6_000_000)) for _ in range(r.randint(1, 5))) + r.choice(["", "Xyzzyab", "1"]) for _ in range(6)) for _ in range(60)] + [None, "", "short", "A" * 60]
+    texts += ["thesamerunagainandagain hot"] * 300
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    got = {x.id: x.text for x in dictionary.split_words(df, "id", "text", words).collect()}
+    rule = Numbered()
+    import re
+
+    want = {i: None if x is None else re.sub("[A-Za-z]{8,}", lambda m: udfs.split_run(m[0], rule), x) for i, x in enumerate(texts)}
+    assert got == want and any(want[i] != texts[i] for i in want)
+
+
+def test_fragments_join_as_in_memory(spark):
+    from stemquarry.functions import udfs
+    from stemquarry.operators import dictionary
+
+    known = ["information", "government", "inform", "forward", "ward", "in", "nation"]
+    texts = ["infor mation is in for mation", "Inform ation", "govern ment na tion", "for ward", "not here", None, "", "a  b", "in form ation x7 na  tion"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words = spark.createDataFrame([(w,) for w in known * 2], "word string")
+    for standalone in ((), ("ward",)):
+        got = {x.id: x.text for x in dictionary.join_fragments(df, "id", "text", words, standalone).collect()}
+        assert got == {i: None if x is None else udfs.merge_text(x, set(known), standalone) for i, x in enumerate(texts)}
