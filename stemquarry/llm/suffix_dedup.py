@@ -55,7 +55,7 @@ RUNS = (1,)
 #: Bytes of a text that are parsed at once.
 PIECE = 1 << 20
 #: Segment bytes of a shard, about, and of one anchor at most.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
