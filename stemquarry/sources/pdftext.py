@@ -51,7 +51,11 @@ def words(files: DataFrame, decode: Callable[[bytes], list[tuple]]) -> DataFrame
 
 def glyphs(files: DataFrame, decode: Callable[[bytes], list[tuple]]) -> DataFrame:
     """SRC-09: glyphs with a running y: pages lie below one another."""
-    g = decoded(files, decode, GLYPH)
+    return running_y(decoded(files, decode, GLYPH))
+
+
+def running_y(g: DataFrame) -> DataFrame:
+    """SRC-09: glyphs (path, page, y, height, ...) with pages below one another; the sums run over pages, not glyphs."""
     height = g.groupBy("path", "page").agg(F.max("height").alias("_h"))
     above = height.withColumn("_above", F.sum("_h").over(Window.partitionBy("path").orderBy("page")) - F.col("_h"))
     return g.join(above, ["path", "page"]).withColumn("y", F.col("y") + F.col("_above")).drop("_h", "_above")
@@ -59,7 +63,11 @@ def glyphs(files: DataFrame, decode: Callable[[bytes], list[tuple]]) -> DataFram
 
 def images(files: DataFrame, decode: Callable[[bytes], list[tuple]], side: int = 50, area: int = 5000) -> DataFrame:
     """SRC-11: embedded images that are no smaller than the floor."""
-    return decoded(files, decode, IMAGE).where((F.col("width") >= side) & (F.col("height") >= side) & (F.col("width") * F.col("height") >= area))
+    return large_images(decoded(files, decode, IMAGE), side, area)
+
+
+def large_images(rows: DataFrame, side: int = 50, area: int = 5000) -> DataFrame:
+    return rows.where((F.col("width") >= side) & (F.col("height") >= side) & (F.col("width") * F.col("height") >= area))
 
 
 def failed(files: DataFrame, rows: DataFrame) -> DataFrame:
