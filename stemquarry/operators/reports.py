@@ -63,24 +63,60 @@ def quality_score(issues: Column, files: Column) -> Column:
     return F.when(files > 0, F.greatest(F.lit(0.0), 100 - 100.0 * issues / files)).otherwise(F.lit(100.0))
 
 
+#: Low bits that each level of a selection leaves out, by type: a level has no more than a few million counts a group.
+_LEVELS = {"tinyint": (0,), "smallint": (0,), "int": (12, 0), "bigint": (42, 21, 0)}
+#: Counts of a level of a selection among other numbers.
+_WAYS = 4096
+
+
 def upper_median(df: DataFrame, by: str, value: str, small_groups: bool = False) -> DataFrame:
-    """AGG-26: the element at position len // 2 of the sorted values.
+    """AGG-26: the element at position len // 2 of the sorted values, nulls left out.
 
-    Rows are counted by ranges of the value first (about a thousand ranges between sampled values);
-    of each group only the range that holds the middle is put in order, by distinct values with their
-    counts.  ``small_groups`` orders all distinct values of a group, for groups as small as a page.
+    A radix selection: rows are counted by the high bits of the value, and only those of the part that
+    holds the middle are counted by the next bits, so no task sorts a group and all sums combine before
+    the shuffle.  Numbers without bits (doubles, decimals) are counted in ``_WAYS`` steps between a
+    group's ends, again and again until the middle step has one value.  ``small_groups`` counts all
+    distinct values of a group at once, for groups as small as a page.
     """
-    from ..sources.corpus import range_of
-
-    rows = df.where(F.col(value).isNotNull())
-    rows = rows.withColumn("_range", F.lit(0) if small_groups else range_of(rows, value))
-    counts = rows.groupBy(by, "_range").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(by).orderBy("_range")
-    counts = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).withColumn("_at", F.floor(F.sum("_n").over(Window.partitionBy(by)) / 2))
-    middle = counts.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_n"))).select(by, "_range", "_before", "_at")
-    runs = rows.groupBy(by, "_range", value).agg(F.count("*").alias("_n")).join(middle, [by, "_range"])
-    runs = runs.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(by).orderBy(value)))
-    return runs.where((F.col("_to") > F.col("_at")) & (F.col("_to") - F.col("_n") <= F.col("_at"))).select(by, F.col(value).alias("upper_median"))
+    rows = df.where(F.col(value).isNotNull()).select(by, value)
+    kind = dict(rows.dtypes)[value]
+    if kind not in _LEVELS and not small_groups:
+        return _refined_median(rows, by, value)
+    at = None
+    for bits in (0,) if small_groups else _LEVELS[kind]:
+        part = F.shiftright(value, bits) if bits else F.col(value)
+        rows = rows.withColumn("_part", part)
+        rows = rows.join(at, [by, "_high"]) if at is not None else rows.withColumn("_place", F.lit(None).cast("long"))
+        counts = rows.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.first("_place").alias("_place"))
+        at = _middle(counts, by, "_part")
+        rows = rows.drop("_place", "_high").withColumnRenamed("_part", "_high")
+        at = at.withColumnRenamed("_part", "_high")
+    return at.select(by, F.col("_high").alias("upper_median"))
+
+
+def _middle(counts: DataFrame, by: str, part: str) -> DataFrame:
+    """(by, part, _place): the part of each group that holds its place (the middle, where it has none yet), and the place in it."""
+    group = Window.partitionBy(by)
+    counts = counts.withColumn("_before", F.sum("_n").over(group.orderBy(part)) - F.col("_n"))
+    counts = counts.withColumn("_place", F.coalesce("_place", F.floor(F.sum("_n").over(group) / 2)))
+    return counts.where((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_n"))).select(by, part, (F.col("_place") - F.col("_before")).alias("_place"))
+
+
+def _refined_median(rows: DataFrame, by: str, value: str) -> DataFrame:
+    from ..sources.scratch import saved
+
+    v = F.col(value)
+    ends = rows.groupBy(by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.floor(F.count("*") / 2).alias("_place"))
+    while True:
+        ends = saved(ends, "median")
+        if not ends.where("_lo < _hi").limit(1).count():
+            return ends.select(by, F.col("_lo").alias("upper_median"))
+        inside = rows.join(ends, by).where(v.between(F.col("_lo"), F.col("_hi")))
+        share = (v.cast("double") / 2 - F.col("_lo").cast("double") / 2) / (F.col("_hi").cast("double") / 2 - F.col("_lo").cast("double") / 2)  # halves can't overflow
+        step = F.when(v == F.col("_hi"), _WAYS).otherwise(F.least(F.floor(share * _WAYS), F.lit(_WAYS - 1))).cast("int")
+        counts = inside.groupBy(by, step.alias("_step")).agg(F.count("*").alias("_n"), F.min(v).alias("_least"), F.max(v).alias("_most"), F.first("_place").alias("_place"))
+        at = _middle(counts, by, "_step").join(counts.select(by, "_step", "_least", "_most"), [by, "_step"])
+        ends = at.select(by, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), "_place")
 
 
 def coverage(df: DataFrame, by: str, year: str) -> DataFrame:

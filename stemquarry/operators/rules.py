@@ -30,11 +30,12 @@ class Rule:
 def apply(df: DataFrame, rules: list[Rule], *keys: str, spread: int | None = None) -> DataFrame:
     """(keys, rule, severity, detail): one row for each rule that holds on a row.
 
-    Guards are tested once per row, details made for hits only.  ``spread`` deals the rows out to that
-    many tasks first, which pays where a table of long texts is read by few tasks (one row group).
+    Guards are tested once per row, details made for hits only.  Where the table is read by fewer than
+    ``spread`` tasks (long texts in one row group), the rows are dealt out to that many first; a table
+    that has as many parts is not moved.
     """
     guards = list(dict.fromkeys(r.guard for r in rules if r.guard))
-    rows = df.repartition(spread) if spread else df
+    rows = df.repartition(spread) if spread and df.rdd.getNumPartitions() < spread else df
     rows = rows.withColumns({f"_guard{i}": F.coalesce(F.col(c).rlike(p), F.lit(False)) for i, (c, p) in enumerate(guards)}) if guards else rows
     holds = lambda r: F.col(f"_guard{guards.index(r.guard)}") & r.when if r.guard else r.when
     cell = lambda r: F.when(

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import saved
+
 PAPER = "試題.json"
 
 FILE_FIELDS = ("exam_name", "level", "subject", "exam_time", "code", "exam_type", "category")
@@ -35,36 +37,27 @@ def read_papers(spark: SparkSession, root: str, name: str = PAPER, exclude: tupl
     return found.where(~F.element_at(F.split("path", "/"), -1).isin(*exclude)) if exclude else found
 
 
-def range_of(df: DataFrame, column: str, ways: int = 32) -> Column:
-    """A number that grows with the column's value: of up to ways * ways ranges between sampled values.
+def ordered_parts(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` in ranges of its order, written once, with (_part, _at): a row's range and its place there.
 
-    It depends on the row's value and on constants alone, so it is the same however often, and with
-    whatever partitioning, the input is evaluated.  The driver sees at most 16 * ways * ways values.
+    Spark cuts the ranges by a sample of rows over all order columns, so a value that many rows share is
+    no range of its own.
     """
-    c = F.col(column)
-    seen = sorted({r[0] for r in df.select(c).where(c.isNotNull()).orderBy(F.xxhash64(c), c).limit(16 * ways * ways).collect()})
-    cuts = seen[:: max(1, -(-len(seen) // (ways * ways)))]
-    if not cuts:
-        return F.lit(0)
-    groups = [cuts[i : i + ways] for i in range(0, len(cuts), ways)]
-    not_above = lambda values: F.size(F.filter(values, lambda b: b <= c))
-    coarse = not_above(F.array(*[F.lit(g[0]) for g in groups]))
-    fine = not_above(F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), coarse - 1))
-    return F.when(c.isNull(), -1).otherwise(coarse * ways + F.greatest(F.coalesce(fine, F.lit(0)), F.lit(0)))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = saved(placed, "ranges")  # an id by place must be read, not made again
+    return placed.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
 
 
 def dense_ids(df: DataFrame, name: str, *order: str) -> DataFrame:
     """SNK-01: consecutive ids from 1 in global order without one big window.
 
-    Rows are numbered within ranges of the first order column; the rows before each range come from
-    one small aggregate (a row per range, about a thousand).  Rows equal in all order columns may
-    swap ids between evaluations: give columns that identify a row.  Rows with one value of the
-    first column are numbered in one task.
+    Rows are numbered by their place in a range of the order; the rows before each range come from one
+    small aggregate (a row per range).  Rows equal in all order columns may swap ids between
+    evaluations, and lie in one range: give columns that identify a row.
     """
-    parts = df.withColumn("_range", range_of(df, order[0]))
-    before = parts.groupBy("_range").count().withColumn("_before", F.sum("count").over(Window.orderBy("_range")) - F.col("count"))
-    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return parts.withColumn(name, at).join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
+    parts = ordered_parts(df, *order)
+    before = parts.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count"))
+    return parts.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, (F.col("_at") + F.col("_before") + 1).cast("long")).drop("_part", "_at", "_before")
 
 
 @dataclass

@@ -140,3 +140,54 @@ def test_guards_never_hide_a_hit():
                 for x in samples:
                     if re.search(py(p).pattern, x, re.I if guard == rules.SPLIT_GUARD else 0):
                         assert py(guard).search(x), (k, x)
+
+
+def test_ranges_of_few_values_are_balanced(spark):
+    """A column of 100 values: the ranges go on within a value."""
+    from pyspark.sql import functions as F
+
+    from stemquarry.sources import corpus
+
+    rows = spark.range(0, 400_000, 1, 8).select((F.col("id") % 100).alias("v"), F.xxhash64("id").alias("key"), F.lit("payload").alias("text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in corpus.ordered_parts(rows, "v", "key").groupBy("_part").count().collect()]
+        ids = corpus.dense_ids(rows, "n", "v", "key")
+        got = ids.agg(F.count_distinct("n").alias("d"), F.min("n").alias("a"), F.max("n").alias("b")).first()
+        moved = ids.orderBy("n").limit(5).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 48 and max(sizes) < 3 * 400_000 / len(sizes)
+    assert tuple(got) == (400_000, 1, 400_000) and [r.n for r in moved] == [1, 2, 3, 4, 5] and {r.v for r in moved} == {0}
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint", "double", "decimal(20,3)"])
+def test_medians_equal_sorting(spark, kind):
+    from pyspark.sql import functions as F
+
+    from stemquarry.operators import reports
+
+    top = {"tinyint": 100, "smallint": 30_000}.get(kind, 2_000_000_000)
+    rows = spark.range(5000).select((F.col("id") % 7).alias("g"), F.when(F.col("id") % 50 == 3, None).when(F.col("id") % 3 == 0, F.col("id") % 5).otherwise(F.pmod(F.xxhash64("id"), F.lit(2 * top)) - top).cast(kind).alias("v"))
+    rows = rows.unionByName(spark.range(1).select(F.lit(9).cast("long").alias("g"), F.lit(None).cast(kind).alias("v")))
+    by = {}
+    for r in rows.where("v is not null").collect():
+        by.setdefault(r.g, []).append(r.v)
+    want = {g: sorted(v)[len(v) // 2] for g, v in by.items()}
+    assert {r.g: r.upper_median for r in reports.upper_median(rows, "g", "v").collect()} == want
+    assert {r.g: r.upper_median for r in reports.upper_median(rows, "g", "v", small_groups=True).collect()} == want
+
+
+def test_median_of_a_large_group(spark):
+    """Ten million rows of one group: each level is an aggregate that combines before the shuffle."""
+    from pyspark.sql import functions as F
+
+    from stemquarry.operators import reports
+
+    n = 10_000_000
+    rows = spark.range(0, n, 1, 8).select(F.lit("g").alias("g"), (F.col("id") * 7919 % n).alias("v"), (F.col("id") * 7919 % n / 3).alias("d"))
+    assert reports.upper_median(rows, "g", "v").first().upper_median == n // 2
+    assert reports.upper_median(rows, "g", "d").first().upper_median == pytest.approx(n // 2 / 3)
