@@ -1,20 +1,29 @@
 """Cases made from row values: a list of texts that a number picks from, in Spark and in DuckDB alike.
 
-The driver's tables hold no exam papers, so queries over paper rules append such texts to table rows,
-some that a rule must find and some that it must not.
+The driver's tables hold no exam papers, so queries over paper rules append such texts to the whole
+texts of table rows, some that a rule must find and some that it must not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Latin letters and blanks of a conversation's text.
-PLAIN_SQL = "regexp_replace(lower(text), '[^a-z ]', '', 'g')"
+#: The whole text of a row, in SQL and in Spark.
+PLAIN_SQL = "text"
 
 
 def plain() -> Column:
-    return F.regexp_replace(F.lower("text"), "[^a-z ]", "")
+    return F.col("text")
+
+
+#: Every text with two keys: turns of conversations, and whole documents (whose ids are behind those).
+TEXT_ROWS_SQL = "(select conv_id, turn, text from conversations union all select 1000000000 + doc_id, 0, text from documents)"
+
+
+def text_rows(t) -> DataFrame:
+    documents = t("documents").select((F.col("doc_id") + 1_000_000_000).alias("conv_id"), F.lit(0).cast("long").alias("turn"), "text")
+    return t("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text").unionByName(documents)
 
 
 def quoted(value: str | None) -> str:

@@ -12,7 +12,7 @@ from ..sources import corpus, pdftext, sinks, tables
 from ..sources.scratch import shared_folder
 from ..streaming import watch
 from .base import query
-from .fixtures import PLAIN_SQL, pick, plain, quoted, sql_list, sql_pick
+from .fixtures import PLAIN_SQL, TEXT_ROWS_SQL, pick, plain, quoted, sql_list, sql_pick, text_rows
 
 MIX = "conv_id * 7 + turn"
 _FROM = "from conversations"
@@ -23,11 +23,18 @@ def mix():
 
 
 def texts(t, samples: list, name: str = "text", index=None):
-    return t("conversations").select("conv_id", "turn", pick(samples, index if index is not None else mix()).alias(name))
+    """Every whole text with a sample behind it."""
+    sample = pick(samples, index if index is not None else mix())
+    return text_rows(t).select("conv_id", "turn", F.concat("text", F.lit(" "), sample).alias(name))
 
 
 def sql_texts(samples: list, name: str = "text", index: str = MIX) -> str:
-    return f"(select conv_id, turn, {sql_pick(samples, index)} {name} {_FROM})"
+    return f"(select conv_id, turn, text || ' ' || {sql_pick(samples, index)} {name} from {TEXT_ROWS_SQL})"
+
+
+def fields(t, samples: list, name: str):
+    """Fields of rows that hold nothing but a sample."""
+    return t("conversations").select("conv_id", "turn", pick(samples, mix()).alias(name))
 
 
 # ---- options without labels: (stem, page lines, expected stem, expected options, expected subtype) ----
@@ -76,16 +83,14 @@ _LABELLED_OUT = [["甲", "乙", "丙", "丁"], ["甲", "乙", "丙"], ["甲", "
 @query(f"select conv_id, turn, list_extract([{', '.join('cast(null as varchar[])' if o is None else sql_list(o) for o in _LABELLED_OUT)}], cast(({MIX}) % {len(_LABELLED)} + 1 as integer)) options {_FROM}")
 def split_options(t):
     """REP-01: labelled options out of a stem, from the last A on, if the labels run."""
-    return texts(t, _LABELLED, "m").select("conv_id", "turn", F.map_values(repairs.labelled_options(F.col("m"))).alias("options"))
-
-
-_STARS = ["*", "#", "A", "", "＊", "B*"]
+    return fields(t, _LABELLED, "m").select("conv_id", "turn", F.map_values(repairs.labelled_options(F.col("m"))).alias("options"))
 
 
-@query(f"select conv_id, turn, case when answer in ('*', '#') then '送分' else answer end answer from {sql_texts(_STARS, 'answer')}")
+@query("select doc_id, k, case when answer in ('*', '#') then '送分' else answer end answer from (select doc_id, unnest(range(0, len(x))) k, unnest(x) answer from (select doc_id, regexp_extract_all(text, '[*#A-D]') x from documents))")
 def star_answers(t):
-    """REP-10."""
-    return repairs.star_answers(texts(t, _STARS, "answer"))
+    """REP-10: every mark and letter of the texts as an answer."""
+    answers = t("documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[*#A-D]"), F.lit(0))).alias("k", "answer"))
+    return repairs.star_answers(answers)
 
 
 _MAPS = [{"A": "a", "B": "b", "C": "c", "D": "d"}, {"A": "a", "B": " ", "C": "c", "D": "d"}, {"A": "a", "B": "", "C": "", "D": "d"}, {"C": "c", "A": "a"}, {"A": "x", "B": "x ", "C": "y"}, {"A": "a"}, {"B": "b", "A": "", "C": "c", "D": "d", "E": ""}]
@@ -94,11 +99,12 @@ _GIVEN = ["A", "D", "E", "送分", "", "AB", "X"]
 
 def maps(t, index=None):
     every = F.array(*[F.map_from_arrays(F.array(*map(F.lit, m)), F.array(*map(F.lit, m.values()))) for m in _MAPS])
-    return t("conversations").withColumn("o", F.element_at(every, ((index if index is not None else mix()) % len(_MAPS) + 1).cast("int")))
+    own = F.element_at(every, ((index if index is not None else mix()) % len(_MAPS) + 1).cast("int"))
+    return text_rows(t).withColumn("o", F.transform_values(own, lambda k, v: F.when(F.trim(v) == "", v).otherwise(F.concat(F.substring("text", 1, 6), v))))
 
 
-_MAPS_SQL = f"""(select conv_id, turn, role, text, list_extract([{', '.join(sql_list(list(m)) for m in _MAPS)}], cast(({MIX}) % {len(_MAPS)} + 1 as integer)) ks,
-    list_extract([{', '.join(sql_list(list(m.values())) for m in _MAPS)}], cast(({MIX}) % {len(_MAPS)} + 1 as integer)) vs, {sql_pick(_GIVEN, 'conv_id * 3 + turn')} a {_FROM})"""
+_MAPS_SQL = f"""(select conv_id, turn, text, list_extract([{', '.join(sql_list(list(m)) for m in _MAPS)}], cast(({MIX}) % {len(_MAPS)} + 1 as integer)) ks,
+    list_transform(list_extract([{', '.join(sql_list(list(m.values())) for m in _MAPS)}], cast(({MIX}) % {len(_MAPS)} + 1 as integer)), lambda v: case when trim(v) = '' then v else substr(text, 1, 6) || v end) vs, {sql_pick(_GIVEN, 'conv_id * 3 + turn')} a from {TEXT_ROWS_SQL})"""
 
 
 @query(f"""select conv_id, turn, case when len(list_filter(vs, lambda v: trim(v) <> '')) >= 3 then list_filter(vs, lambda v: trim(v) <> '') else vs end kept, len(list_distinct(list_transform(vs, lambda v: trim(v)))) distinct_values from {_MAPS_SQL}""")
@@ -137,7 +143,7 @@ def trailing_noise(t):
 _NOTES = ["申論題二題", "作文", "公文", "選擇題", "測驗題", "2B鉛筆", "試卡", "無", "申論與測驗", "", "共 3 題", "共12題", "共題", "本科目共 50 題，每題 2 分"]
 
 
-@query(f"select conv_id, turn, regexp_matches(n, '申論|作文|公文') essay, regexp_matches(n, '選擇|測驗|2B|試卡') choice from (select conv_id, turn, a || ' ' || b n from (select conv_id, turn, {sql_pick(_NOTES, MIX)} a, {sql_pick(_NOTES[7:], 'conv_id + turn')} b {_FROM}))")
+@query(f"select conv_id, turn, regexp_matches(n, '申論|作文|公文') essay, regexp_matches(n, '選擇|測驗|2B|試卡') choice from (select conv_id, turn, a || ' ' || b n from (select conv_id, turn, a, {sql_pick(_NOTES[7:], 'conv_id + turn')} b from {sql_texts(_NOTES, 'a')}))")
 def note_mentions(t):
     """TXT-27."""
     n = F.array("a", "b")
@@ -145,7 +151,7 @@ def note_mentions(t):
     return c.select("conv_id", "turn", tx.notes_mention_essay(n).alias("essay"), tx.notes_mention_choice(n).alias("choice"))
 
 
-@query(f"select conv_id, turn, try_cast(nullif(regexp_extract(a || ' ' || b, '共\\s*(\\d+)\\s*題', 1), '') as integer) declared from (select conv_id, turn, {sql_pick(_NOTES, MIX)} a, {sql_pick(_NOTES[9:], 'conv_id + turn')} b {_FROM})")
+@query(f"select conv_id, turn, try_cast(nullif(regexp_extract(a || ' ' || b, '共\\s*(\\d+)\\s*題', 1), '') as integer) declared from (select conv_id, turn, a, {sql_pick(_NOTES[9:], 'conv_id + turn')} b from {sql_texts(_NOTES, 'a')})")
 def declared_counts(t):
     """TXT-26."""
     c = texts(t, _NOTES, "a").withColumn("b", pick(_NOTES[9:], F.col("conv_id") + F.col("turn")))
@@ -158,16 +164,16 @@ _NUMERALS = ["一", "二", "三", "四", "五", "六", "七", "八", "九", "十
 @query(f"select conv_id, turn, case when i < 20 then i + 1 end v from (select conv_id, turn, cast(({MIX}) % {len(_NUMERALS)} as integer) i {_FROM})")
 def numeral_values(t):
     """TXT-25: 1 to 20, and what is none of them."""
-    return texts(t, _NUMERALS, "n").select("conv_id", "turn", tx.numeral_value("n").alias("v"))
+    return fields(t, _NUMERALS, "n").select("conv_id", "turn", tx.numeral_value("n").alias("v"))
 
 
 _SPACED = ["中 文　字", "中  文 a 字", "a 中", "中 1 文", "一 二 三 四 五", "plain text", "中\n文"]
 
 
-@query(f"select conv_id, turn, regexp_replace(regexp_replace(text, '([一-鿿])[\\s\\x{{3000}}]+([一-鿿])', '\\1\\2', 'g'), '([一-鿿])[\\s\\x{{3000}}]+([一-鿿])', '\\1\\2', 'g') collapsed from (select conv_id, turn, {sql_pick(_SPACED, MIX)} || turn text {_FROM})")
+@query(f"select conv_id, turn, regexp_replace(regexp_replace(text, '([一-鿿])[\\s\\x{{3000}}]+([一-鿿])', '\\1\\2', 'g'), '([一-鿿])[\\s\\x{{3000}}]+([一-鿿])', '\\1\\2', 'g') collapsed from (select conv_id, turn, text || {sql_pick(_SPACED, MIX)} || turn text from {TEXT_ROWS_SQL})")
 def collapsed_cjk(t):
     """TXT-03."""
-    c = t("conversations").select("conv_id", "turn", F.concat(pick(_SPACED, mix()), F.col("turn").cast("string")).alias("text"))
+    c = text_rows(t).select("conv_id", "turn", F.concat("text", pick(_SPACED, mix()), F.col("turn").cast("string")).alias("text"))
     return c.select("conv_id", "turn", tx.collapse_spaced_cjk("text").alias("collapsed"))
 
 
@@ -181,10 +187,10 @@ def _replaced(text: str) -> str:
     return text
 
 
-@query(f"select conv_id, turn, {_replaced('text')} fixed from (select conv_id, turn, {PLAIN_SQL} || {sql_pick(_PHRASED, MIX)} text {_FROM})")
+@query(f"select conv_id, turn, {_replaced('text')} fixed from (select conv_id, turn, {PLAIN_SQL} || {sql_pick(_PHRASED, MIX)} text from {TEXT_ROWS_SQL})")
 def literal_table(t):
     """TXT-21, REP-18: an ordered table of literal replacements, where later ones see what earlier ones made."""
-    c = t("conversations").select("conv_id", "turn", F.concat(plain(), pick(_PHRASED, mix())).alias("text"))
+    c = text_rows(t).select("conv_id", "turn", F.concat(plain(), pick(_PHRASED, mix())).alias("text"))
     return c.select("conv_id", "turn", tx.fold_literal("text", _PHRASES).alias("fixed"))
 
 
@@ -262,7 +268,7 @@ _TIMES = ["2小時", "2小時 座號：1", None, "座 號"]
 def completed_metadata(t):
     """REP-13: absent facets come from the path, given ones stay."""
     path = F.format_string("/c/cat%d/112年/sub%d/試題.json", (F.col("conv_id") % 5).cast("int"), F.col("turn").cast("int"))
-    f = texts(t, _FACETS, "subject").withColumns({"category": pick(_FACETS, F.col("conv_id") + F.col("turn")), "exam_time": pick(_TIMES, F.col("conv_id") * 3 + F.col("turn")), "path": path})
+    f = fields(t, _FACETS, "subject").withColumns({"category": pick(_FACETS, F.col("conv_id") + F.col("turn")), "exam_time": pick(_TIMES, F.col("conv_id") * 3 + F.col("turn")), "path": path})
     return repairs.complete_metadata(f).select("conv_id", "turn", "subject", "category", "exam_time")
 
 
@@ -295,10 +301,10 @@ _SELECTS = [
 
 
 @query(f"""select page_id, value, label from (select page_id, regexp_extract(o, 'value="([^"]*)"', 1) value, trim(regexp_extract(o, '>([^<]*)$', 1)) label from (select page_id, unnest(regexp_extract_all(html, '<option[^>]*value="[^"]*"[^>]*>[^<]*')) o
-    from (select page_id, {sql_pick(_SELECTS, 'page_id')} html from pages))) where value <> '' and contains(label, 'exam')""")
+    from (select page_id, html || {sql_pick(_SELECTS, 'page_id')} html from pages))) where value <> '' and contains(label, 'exam')""")
 def listing_options(t):
     """SRC-14: options of a listing page whose label holds a keyword."""
-    p = t("pages").select("page_id", pick(_SELECTS, F.col("page_id")).alias("html"))
+    p = t("pages").select("page_id", F.concat("html", pick(_SELECTS, F.col("page_id"))).alias("html"))
     return tables.exam_options(p, "html", "exam", "page_id")
 
 
@@ -308,10 +314,10 @@ _LISTINGS = [
 
 
 @query(f"""select page_id, regexp_extract(href, '[?&;]c=(\\w+)', 1) code, case regexp_extract(href, '[?&;]t=([QSMR])', 1) when 'Q' then 'question' when 'S' then 'answer' when 'M' then 'correction' else 'reference' end kind, href
-    from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) href from (select page_id, {sql_pick(_LISTINGS, 'page_id')} html from pages)) where regexp_matches(href, '[?&](?:amp;)?t=[QSMR]')""")
+    from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) href from (select page_id, html || {sql_pick(_LISTINGS, 'page_id')} html from pages)) where regexp_matches(href, '[?&](?:amp;)?t=[QSMR]')""")
 def listing_links(t):
     """SRC-15: file links with code and kind."""
-    return tables.download_links(t("pages").select("page_id", pick(_LISTINGS, F.col("page_id")).alias("html")), "html", "page_id")
+    return tables.download_links(t("pages").select("page_id", F.concat("html", pick(_LISTINGS, F.col("page_id"))).alias("html")), "html", "page_id")
 
 
 @query("""with a as (select page_id, n, case when n < page_id % 7 then 'timeout' end error, case page_id % 5 when 0 then 'text/html' when 1 then 'application/octet-stream' else 'application/PDF' end kind, case page_id % 3 when 0 then 900 else 2000 + page_id end size from pages, range(6) r(n) where n <= page_id % 7),
@@ -344,10 +350,10 @@ def merged_texts(t):
 _BREAKS = ["sta ti on", "stati on x", "missi on", "th at th is", "th e", "th ey th eir", "wh ich", "f or f rom", "in to", "monit or", "comm on reas on", "th atx", "xth e", "hum an pers on pris on", ""]
 
 
-@query("select conv_id, turn, " + "".join("regexp_replace(" for _ in tx.BROKEN_WORDS) + "text" + "".join(f", {quoted(p.replace('(?U)', ''))}, {quoted(r.replace('$1', chr(92) + '1'))}, 'g')" for p, r in tx.BROKEN_WORDS) + f" fixed from (select conv_id, turn, {PLAIN_SQL} || ' ' || {sql_pick(_BREAKS, MIX)} text {_FROM})")
+@query("select conv_id, turn, " + "".join("regexp_replace(" for _ in tx.BROKEN_WORDS) + "text" + "".join(f", {quoted(p.replace('(?U)', ''))}, {quoted(r.replace('$1', chr(92) + '1'))}, 'g')" for p, r in tx.BROKEN_WORDS) + f" fixed from (select conv_id, turn, {PLAIN_SQL} || ' ' || {sql_pick(_BREAKS, MIX)} text from {TEXT_ROWS_SQL})")
 def broken_words(t):
     """TXT-01/02: ordered repairs of split words."""
-    c = t("conversations").select("conv_id", "turn", F.concat(plain(), F.lit(" "), pick(_BREAKS, mix())).alias("text"))
+    c = text_rows(t).select("conv_id", "turn", F.concat(plain(), F.lit(" "), pick(_BREAKS, mix())).alias("text"))
     return c.select("conv_id", "turn", tx.repair_broken_words("text").alias("fixed"))
 
 
@@ -611,7 +617,7 @@ def page_texts(t):
     return pdftext.pages(_files(t), _decoder)
 
 
-@query(f"""select cast(item_id as varchar) path, cast(k - 1 as integer) page, cast(10 * (i - 1) as double) x, w as text from (select item_id, k, unnest(ws) w, unnest(range(1, len(ws) + 1)) i from (select item_id, k, list_filter(string_split(p, ' '), lambda z: z <> '') ws
+@query(f"""select cast(item_id as varchar) path, cast(k - 1 as integer) page, cast(10 * (i - 1) as double) x, w as text from (select item_id, k, unnest(ws) w, unnest(range(1, len(ws) + 1)) i from (select item_id, k, list_filter(string_split_regex(p, '\\s+'), lambda z: z <> '') ws
     from (select item_id, unnest(ps) p, unnest(range(1, len(ps) + 1)) k from (select item_id, string_split(item_id || ' first page' || chr(12) || {PLAIN_SQL} || case when item_id % 5 = 0 then chr(12) else '' end, chr(12)) ps from benchmark where item_id % 7 <> 3))))""")
 def page_words(t):
     """SRC-08: positioned words by the caller's decoder."""

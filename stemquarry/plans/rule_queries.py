@@ -8,18 +8,18 @@ from ..operators import rules
 from ..operators import search as so
 from ..sources import sinks
 from .base import query
-from .fixtures import PLAIN_SQL, pick, plain, quoted, sql_hits, sql_holds, sql_list, sql_pick
+from .fixtures import PLAIN_SQL, TEXT_ROWS_SQL, pick, plain, quoted, sql_hits, sql_holds, sql_list, sql_pick, text_rows
 
 MIX = "conv_id * 7 + turn"
 
 
 def marked(t, samples: list[str]):
-    """Conversations whose plain text has one of the samples behind it."""
-    return t("conversations").select("conv_id", "turn", F.concat(plain(), F.lit(" "), pick(samples, F.col("conv_id") * 7 + F.col("turn"))).alias("text"))
+    """Every whole text with one of the samples behind it."""
+    return text_rows(t).select("conv_id", "turn", F.concat(plain(), F.lit(" "), pick(samples, F.col("conv_id") * 7 + F.col("turn"))).alias("text"))
 
 
 def sql_marked(samples: list[str]) -> str:
-    return f"(select conv_id, turn, {PLAIN_SQL} || ' ' || {sql_pick(samples, MIX)} text from conversations)"
+    return f"(select conv_id, turn, {PLAIN_SQL} || ' ' || {sql_pick(samples, MIX)} text from {TEXT_ROWS_SQL})"
 
 
 def family(name: str, doc: str, tables: list[tuple[str, dict[str, str], str, bool]], samples: list[str], detail: bool) -> None:
@@ -69,11 +69,12 @@ _ANSWERS = ["A", "B", "E", "F", "AB", "ABG", "A或B", "A,B", "A、B", "A;B", "a"
 @query(
     "select answer, count(*) n, "
     + ", ".join(f"bool_and(regexp_matches(answer, {quoted(p)})) \"{k}\"" for k, p in rules.ANSWER_GRAMMARS.items())
-    + f" from (select {sql_pick(_ANSWERS, MIX)} answer from conversations) group by 1"
+    + f" from (select {sql_pick(_ANSWERS, MIX)} answer from conversations union all select unnest(regexp_extract_all(text, '[A-Ga-f*#]+(?:[,;| ]+[A-F])*')) from documents) group by 1"
 )
 def rule_answer_grammar(t):
     """DET-03: each answer under all four grammars."""
     a = t("conversations").select(pick(_ANSWERS, F.col("conv_id") * 7 + F.col("turn")).alias("answer"))
+    a = a.unionByName(t("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Ga-f*#]+(?:[,;| ]+[A-F])*"), F.lit(0))).alias("answer")))
     return a.groupBy("answer").agg(F.count("*").alias("n"), *[F.every(F.col("answer").rlike(p)).alias(k) for k, p in rules.ANSWER_GRAMMARS.items()])
 
 
@@ -121,16 +122,17 @@ def rule_codes(t):
 
 
 _BROKEN = ["a pol ice b", "sta tion", "are able", "govern  ment", "in vestiga x", "Judg ment day", "plain text", "ab tion", ""]
-_BROKEN_RX = f"(?i)(?:^|[^a-z])([a-z]{{3,}})\\s+({'|'.join(rules.SUFFIXES)})(?:[^a-z]|$)"
+_BROKEN_RX = f"(?i)(?:^|[^\\pL\\p{{Nd}}_])([a-z]{{3,}})\\s+({'|'.join(rules.SUFFIXES)})(?:[^\\pL\\p{{Nd}}_]|$)"
 
 
-@query(f"""select conv_id, turn, lower(regexp_extract(text, {quoted(_BROKEN_RX)}, 1)) word, lower(regexp_extract(text, {quoted(_BROKEN_RX)}, 2)) suffix from (select conv_id, turn, {sql_pick(_BROKEN, MIX)} text from conversations)
-    where regexp_matches(text, {quoted(_BROKEN_RX)}) and lower(regexp_extract(text, {quoted(_BROKEN_RX)}, 1)) <> 'are'
+#: What parts words is doubled, so that a match leaves the next one its border.
+@query(f"""select conv_id, turn, word, suffix from (select conv_id, turn, unnest(list_zip(list_transform(regexp_extract_all(x, {quoted(_BROKEN_RX)}, 1), lambda w: lower(w)), list_transform(regexp_extract_all(x, {quoted(_BROKEN_RX)}, 2), lambda w: lower(w)))) z, z[1] word, z[2] suffix
+    from (select conv_id, turn, regexp_replace(text || ' ' || {sql_pick(_BROKEN, MIX)}, '([^\\pL\\p{{Nd}}_])', '\\1\\1', 'g') x from {TEXT_ROWS_SQL})) where word <> 'are'
     union all select conv_id, turn, string_split_regex(lower(h), '\\s+')[1], string_split_regex(lower(h), '\\s+')[2] from (select conv_id, turn,
-      unnest(list_filter([regexp_extract({sql_pick(_BROKEN, MIX)}, x, 1) for x in {sql_list(['(?i)(?:^|[^a-z])(' + w.replace(' ', chr(92) + 's+') + ')' for w in rules.BROKEN_AT])}], lambda y: y <> '')) h from conversations)""")
+      unnest(list_filter([regexp_extract(text || ' ' || {sql_pick(_BROKEN, MIX)}, x, 1) for x in {sql_list(['(?i)(?:^|[^a-z])(' + w.replace(' ', chr(92) + 's+') + ')' for w in rules.BROKEN_AT])}], lambda y: y <> '')) h from {TEXT_ROWS_SQL})""")
 def rule_broken_words(t):
     """DET-05: known broken words, and suffixes apart from a word that isn't exempt."""
-    c = t("conversations").select("conv_id", "turn", pick(_BROKEN, F.col("conv_id") * 7 + F.col("turn")).alias("text"))
+    c = text_rows(t).select("conv_id", "turn", F.concat("text", F.lit(" "), pick(_BROKEN, F.col("conv_id") * 7 + F.col("turn"))).alias("text"))
     exempt = t("conversations").sparkSession.createDataFrame([("are",)], "word string")
     return rules.broken_words(c, "text", exempt, "conv_id", "turn")
 
@@ -139,10 +141,10 @@ _AROUND = ["一二三四五六七八九十X一二三四五六七八九十", "pla
 
 
 @query(f"""select conv_id, turn, len(regexp_extract_all(a, '[A-Za-z]')) > 0.3 * length(a) english from (select conv_id, turn, substr(text, greatest(0, p - 40) + 1, p + 1 - greatest(0, p - 40) + 40) a
-    from (select conv_id, turn, text, strpos(text, 'X') - 1 p from (select conv_id, turn, {sql_pick(_AROUND, MIX)} text from conversations)))""")
+    from (select conv_id, turn, text, strpos(text, 'X') - 1 p from (select conv_id, turn, text || ' ' || {sql_pick(_AROUND, MIX)} text from {TEXT_ROWS_SQL})))""")
 def rule_english_context(t):
     """DET-12: whether the surroundings of a span (here the X) are English."""
-    c = t("conversations").select("conv_id", "turn", pick(_AROUND, F.col("conv_id") * 7 + F.col("turn")).alias("text"))
+    c = text_rows(t).select("conv_id", "turn", F.concat("text", F.lit(" "), pick(_AROUND, F.col("conv_id") * 7 + F.col("turn"))).alias("text"))
     at = F.position(F.lit("X"), F.col("text")) - 1
     return c.select("conv_id", "turn", rules.in_english(F.col("text"), at, at + 1).alias("english"))
 
@@ -173,10 +175,11 @@ _SECTIONS = [None, "甲、申論題", "乙、測驗題"]
 
 @query(f"""select conv_id, turn, case when marks = 4 then 'ok' when marks between 1 and 3 then 'B' when latin > 0.5 * length(s) and not ask then 'A' when length(s) < 80 and not ask or contains(coalesce(section, ''), '申論') then 'D' else 'C' end kind
     from (select conv_id, turn, s, section, len(list_distinct(regexp_extract_all(s, '[(（]([A-D])[)）]', 1))) marks, len(regexp_extract_all(s, '[A-Za-z]')) latin, regexp_matches(s, '[?？]') ask
-    from (select conv_id, turn, {sql_pick(_TRIAGE, MIX)} s, {sql_pick(_SECTIONS, 'conv_id + turn')} section from conversations))""")
+    from (select conv_id, turn, case when (conv_id + turn) % 2 = 0 then '' else text || ' ' end || {sql_pick(_TRIAGE, MIX)} s, {sql_pick(_SECTIONS, 'conv_id + turn')} section from {TEXT_ROWS_SQL}))""")
 def option_triage(t):
     """DET-19: why choice questions lack options."""
-    c = t("conversations").select("conv_id", "turn", pick(_TRIAGE, F.col("conv_id") * 7 + F.col("turn")).alias("text"), pick(_SECTIONS, F.col("conv_id") + F.col("turn")).alias("section"))
+    before = F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, "").otherwise(F.concat("text", F.lit(" ")))
+    c = text_rows(t).select("conv_id", "turn", F.concat(before, pick(_TRIAGE, F.col("conv_id") * 7 + F.col("turn"))).alias("text"), pick(_SECTIONS, F.col("conv_id") + F.col("turn")).alias("section"))
     return c.select("conv_id", "turn", rules.missing_option_class("text", "section").alias("kind"))
 
 
