@@ -15,9 +15,11 @@ group through one sorted partition and are streamed past its index, so no task h
 group's index and one packet.  Each packet gives at most k rows for each query and group, and a
 grouped top-k merges them.  This is the stated query set against all rows, in blocks.
 
-Scores are exact: double arithmetic where all sums of a packet and a group stay below 2**53, 64-bit
-integers where they stay below 2**63, and Python's integers beyond, which raise an error if a score
-itself doesn't fit the result's 64-bit column.
+Scores are exact: double arithmetic where all sums of a packet and a group stay below 2**53; beyond,
+doubles with a bound of their rounding leave out the rows that can't be among the best, and the rest
+is scored in 64-bit or Python's integers.  It is an error if a score that is returned doesn't fit the
+result's 64-bit column; other products (a row with itself, rows that aren't among the best) may be of
+any size.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
 neither do weights beyond 64 bits (an error); repeated vectors are separate candidates; ids that
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, ship
+from .runtime import BROADCAST_ROWS, Scratch, ship
 
 #: Weights per unit of a component.
 SCALE = 256
@@ -44,6 +46,8 @@ SCALE = 256
 GROUP_ROWS = 65_536
 #: Candidates of the sample that gives the first k-th scores.
 SEED_ROWS = 2048
+#: Queries whose products with a whole group are held at once, where sums may be too wide for doubles.
+WIDE_QUERIES = 32
 #: Blocks that a query scores in its own order before blocks are shared among queries.
 OWN_BLOCKS = 4
 
@@ -208,19 +212,31 @@ class BlockIndex:
             take(who, q[who] @ self.data[s].T, self.ids[s][None, :])
 
     def _wide(self, query_ids: np.ndarray, queries: np.ndarray, k: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All scores in integer arithmetic, for weights whose sums doubles can't hold; a bounded number at once."""
+        """The k best of weights whose sums doubles can't hold: doubles with a bound of their error leave
+        out the rows that can't be among them; the rest is scored in integers.
+
+        Scores are Python integers where they may need more than 64 bits.
+        """
         kind = np.int64 if width < 2.0**62 else object
-        data = self.exact.astype(kind)
+        norm = np.linalg.norm(self.data, axis=1) if self.ids.size else np.empty(0)
+        rounding = (queries.shape[1] + 8) * 2.0**-52
+        self.offered += len(queries) * self.ids.size
         out = []
-        for i in range(len(queries)):
-            score = data @ queries[i].astype(kind)
-            if kind is object and any(abs(int(x)) >= 1 << 63 for x in score):
-                raise OverflowError("an inner product doesn't fit 64 bits")
-            score = score.astype(np.int64)
-            other = np.flatnonzero(self.ids != query_ids[i])
-            top = other[np.lexsort((self.ids[other], ~score[other]))[:k]]
-            out.append((np.full(top.size, i), self.ids[top], score[top]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+        for at in range(0, len(queries), WIDE_QUERIES):
+            q = queries[at : at + WIDE_QUERIES].astype(np.float64)
+            error = rounding * np.linalg.norm(q, axis=1)[:, None] * norm + 1.0
+            score = q @ self.data.T
+            other = self.ids != query_ids[at : at + len(q), None]
+            lower = np.where(other, score - error, -np.inf)
+            kth = -np.partition(-lower, k - 1, axis=1)[:, k - 1] if lower.shape[1] > k else np.full(len(q), -np.inf)
+            for i in range(len(q)):
+                maybe = np.flatnonzero(other[i] & (score[i] + error[i] >= kth[i]))
+                self.scored += maybe.size
+                exact = (self.exact[maybe].astype(kind) @ queries[at + i].astype(kind)).tolist()
+                top = sorted(zip((-x for x in exact), self.ids[maybe].tolist(), strict=True))[:k]
+                out += [(at + i, found, -lost) for lost, found in top]
+        who, ids, scores = zip(*out, strict=True) if out else ((), (), ())
+        return np.array(who, np.int64), np.array(ids, np.int64), np.array(scores, object)
 
 
 def top_k(
@@ -245,7 +261,9 @@ def top_k(
     n_groups = max(1, math.ceil(n_shards / max(1, group_rows // 4096)), min(n_shards, spark.sparkContext.defaultParallelism))
     body = F.struct("ids", "data")
     grouped = shards.select(F.pmod(F.xxhash64("shard"), F.lit(n_groups)).cast("int").alias("group"), "dims", body.alias("body"))
-    groups = grouped.select("group", "dims").distinct()
+    groups = scratch.save(grouped.select("group", "dims").distinct(), "groups")  # every packet goes to every group of its dimension
+    if groups.count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
     # The first k-th scores: of a bounded sample, any rows do.
     seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for r in shards.where(F.col("shard") % 2**33 == 0).limit(1).select("dims", F.expr(f"substring(ids, 1, {8 * SEED_ROWS})").alias("ids"), F.expr(f"substring(data, 1, {8 * SEED_ROWS} * dims)").alias("data")).collect():
@@ -261,11 +279,15 @@ def top_k(
         def ready(packet: dict) -> Iterator[pa.RecordBatch]:
             q_ids, q = np.frombuffer(packet["ids"], np.int64), np.frombuffer(packet["data"], np.int64).reshape(-1, dims)
             who, found, score = index.search(q_ids, q, floors_of(q_ids, q, seeds.get(dims), k), k)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+            exact = score.tolist()
+            fits = [-(1 << 63) <= x < 1 << 63 for x in exact]
+            short = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in exact]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(found), pa.array(short, pa.int64()), pa.array(fits, pa.bool_())], names=["query_id", "vec_id", "score", "fits"])
 
         return ready
 
-    return merged(streamed(grouped, asked, groups, "group", scratch, search, "query_id long, vec_id long, score long"), k)
+    found = streamed(grouped, asked, groups, "group", scratch, search, "query_id long, vec_id long, score long, fits boolean")
+    return merged(found, k)
 
 
 def floors_of(query_ids: np.ndarray, queries: np.ndarray, seed: tuple[np.ndarray, np.ndarray] | None, k: int) -> np.ndarray:
@@ -283,11 +305,16 @@ def merged(found: DataFrame, k: int) -> DataFrame:
     Every group hands over at most k rows a query, and the sort key is one struct, so the grouped
     list is at most k times the number of groups long.
     """
-    lost = -F.col("score") if found.schema["score"].dataType.typeName() == "double" else F.bitwise_not("score")  # the least long has no negative
-    best = F.array_sort(F.collect_list(F.struct(lost.alias("lost"), "vec_id", "score")))
+    double = found.schema["score"].dataType.typeName() == "double"
+    lost = -F.col("score") if double else F.bitwise_not("score")  # the least long has no negative
+    # A score beyond 64 bits is cut to the last one that fits, above or below which it stands; one that is returned is an error.
+    fits = F.lit(True) if double else F.col("fits")
+    beyond = F.when(fits, 0).otherwise(F.when(F.col("score") > 0, -1).otherwise(1))
+    score = None if double else F.when(F.col("hit.fits"), F.col("hit.score")).otherwise(F.raise_error(F.lit("an inner product doesn't fit 64 bits")).cast("long"))
+    best = F.array_sort(F.collect_list(F.struct(lost.alias("lost"), beyond.alias("beyond"), "vec_id", "score", fits.alias("fits"))))
     return (
         found.groupBy("query_id")
         .agg(F.slice(best, 1, k).alias("best"))
         .select("query_id", F.posexplode("best").alias("at", "hit"))
-        .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+        .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (F.col("hit.score") if double else score).alias("score"))
     )

@@ -1,7 +1,7 @@
 """Operator 9: approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Rows are dealt to shards by a hash of the vector: as many as keep a shard at ``shard_rows`` rows,
-and more in a small table, so that all tasks have one.  Each shard is one graph.  Every point is on
+Rows are dealt to shards by a hash of the vector: as many as keep a shard at ``shard_rows`` rows on
+average, whatever the cluster, so a table's result is always the same.  Each shard is one graph.  Every point is on
 level 0 and, with a probability that falls geometrically, on higher levels.  Points are inserted
 highest level first, in batches: each point of a batch descends through the graph built so far,
 keeps a beam on every level, and is linked on its own levels to candidates of the beam (and of its
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .block_topk import merged, packets, streamed
 from .runtime import Scratch, ship
 
-#: Rows of a shard on average, and of the shards of a small table that has one for each task.
-SHARD_ROWS, LEAST_ROWS = 131_072, 8192
+#: Rows of a shard on average.
+SHARD_ROWS = 16_384
 #: Links that a point chooses (it holds twice as many on level 0).
 LINKS = 20
 #: Beam of an insertion on level 0.
@@ -217,7 +217,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 BODY = "struct<ids: binary, data: binary, graph: array<binary>>"
 
 
-def build_index(vectors: DataFrame, scratch: Scratch, k: int, shard_rows: int, least_rows: int = LEAST_ROWS) -> DataFrame:
+def build_index(vectors: DataFrame, scratch: Scratch, k: int, shard_rows: int) -> DataFrame:
     """One row per shard: (shard, dims, body), the body being ids, vectors, and the graph's flat arrays."""
     equal = Window.partitionBy("dims", "data").orderBy("vec_id")
     points = (
@@ -228,7 +228,7 @@ def build_index(vectors: DataFrame, scratch: Scratch, k: int, shard_rows: int, l
     )
     points = scratch.save(points, "points")
     n = points.count()
-    shards = max(1, -(-n // shard_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, n // least_rows))
+    shards = max(1, -(-n // shard_rows))
     points = points.withColumn("shard", F.pmod(F.xxhash64("data"), F.lit(shards)))
 
     def run(table: pa.Table) -> pa.Table:
@@ -254,7 +254,6 @@ def nearest(
     id_col: str = "vec_id",
     column: str = "embedding",
     shard_rows: int = SHARD_ROWS,
-    least_rows: int = LEAST_ROWS,
     query_rows: int = 1024,
     beam: int = BEAM,
 ) -> DataFrame:
@@ -265,7 +264,7 @@ def nearest(
     rows = vectors.where(_sound(column) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("vec_id"), F.size(column).alias("dims"), F.col(column).cast("array<double>").alias("data")
     )
-    index = build_index(rows, scratch, k, shard_rows, least_rows)
+    index = build_index(rows, scratch, k, shard_rows)
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dims", "data")).alias("q"))
     asked = packets(queries.select("vec_id", "q.dims", "q.data"), query_rows, np.float64)
     asked = scratch.save(asked.select("dims", F.struct("ids", "data", F.lit(None).cast("array<binary>").alias("graph")).alias("body")), "queries")

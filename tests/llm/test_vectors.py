@@ -94,6 +94,43 @@ def test_scores_are_exact_at_any_size(spark, size):
         assert got[q] == [(i, -s) for s, i in best]
 
 
+def test_only_a_returned_score_must_fit(spark):
+    """Products with the own row, and those that aren't among the best, may be of any size."""
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(200)]
+    rows[50] = (50, [3e8, 1.0, 0.0, -2.0])  # a query: its own product is 5.9e21
+    rows[7] = (7, [1e5, -1e5, 5.0, 0.5])
+    rows[100] = (100, [2.5e8, -3e8, 0.5, 0.25])  # another query, whose products with 50 and 150 don't fit
+    rows[150] = (150, [-3e8, -3e8, 1.0, 1.0])
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    dot = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b]))
+    assert dot(100, 50) > 2**63 and dot(50, 50) > 2**63 and dot(50, 150) < -(2**63)
+    frame = lambda some: spark.createDataFrame(some, "vec_id long, embedding array<double>")
+    fit = [x for x in rows if x[0] not in (100,)]
+    got = {}
+    for x in block_topk.top_k(frame(fit), group_rows=4096, block_rows=8).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    for q in (0, 50, 150):
+        best = sorted((-dot(q, i), i) for i, _ in fit if i != q)[:5]
+        assert got[q] == [(i, -s) for s, i in best]
+    with pytest.raises(Exception, match="doesn't fit 64 bits"):
+        block_topk.top_k(frame(rows)).collect()
+    few = block_topk.top_k(frame([rows[50], rows[7], rows[150]]))  # every product is returned
+    with pytest.raises(Exception, match="doesn't fit 64 bits"):
+        few.collect()
+
+
+def test_wide_rows_leave_most_others_unscored():
+    r = np.random.default_rng(5)
+    data = (r.normal(size=(2000, 16)) * 3e9).astype(np.int64)
+    index = block_topk.BlockIndex(np.arange(2000), data, 32)
+    who, ids, scores = index.search(np.arange(0, 2000, 50), data[::50], np.full(40, -np.inf), 5)
+    assert index.scored < 0.01 * index.offered
+    for q in range(40):
+        best = sorted((-sum(int(a) * int(b) for a, b in zip(data[50 * q], data[i])), i) for i in range(2000) if i != 50 * q)[:5]
+        assert [(-s, i) for s, i in zip(scores[who == q].tolist(), ids[who == q].tolist())] == best
+
+
 def test_graph_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
@@ -137,7 +174,7 @@ def test_graph_edges(odd, spark):
     df, rows = odd
     want = plain(rows, 50, 5, lambda x, y: float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))), any)
     got = {}
-    for r in hnsw.nearest(df, shard_rows=64, least_rows=32).orderBy("query_id", "rank").collect():
+    for r in hnsw.nearest(df, shard_rows=64).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert set(got) == set(want) and got[50] == [300, 301, 302, 303, 304] and got[500] == [501] and 450 not in got
     hits = sum(len(set(got[q]) & {i for i, _ in want[q][0]}) for q in want)
