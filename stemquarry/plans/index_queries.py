@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import grams
+from ..sources import layout
 from ..sources.scratch import shared_folder
 from .base import doc_files, doc_questions, query
 from .fixtures import quoted
@@ -50,3 +51,12 @@ def phrases_anywhere(t):
     pieces = pieces.withColumn("id", F.concat_ws(":", "item_id", "piece"))
     found = grams.contained_anywhere(pieces, t("documents"), "id", "piece", "doc_id", "text")
     return found.join(pieces, "id").select("item_id", "piece", "doc_id")
+
+
+@query("""select d.doc_id file_id, cast(d.doc_id as varchar) number, coalesce(cast(quality as varchar), '') answer, source category, cast(n_chars % 10 + 100 as integer) "year" from documents d left join labels l on d.doc_id = l.doc_id
+    where coalesce(cast(quality as varchar), '') = '1' and source = 'src3'""")
+def laid_out_index(t):
+    """SNK-01, SRC-21, JOI-01: files and questions as bucketed tables, joined in place, looked up by answer and category."""
+    index = layout.write_layout(doc_files(t), doc_questions(t).drop("source"), buckets=8)
+    found = index.questions.where("answer = '1'").join(index.files.where("category = 'src3'"), "file_id")
+    return found.select("file_id", "number", "answer", "category", "year")

@@ -126,3 +126,28 @@ def test_fragments_join_as_in_memory(spark):
     for standalone in ((), ("ward",)):
         got = {x.id: x.text for x in dictionary.join_fragments(df, "id", "text", words, standalone).collect()}
         assert got == {i: None if x is None else udfs.merge_text(x, set(known), standalone) for i, x in enumerate(texts)}
+
+
+def test_the_layout_joins_in_place_and_skips_row_groups(spark, capsys):
+    from stemquarry.sources import layout
+
+    n = 40_000
+    questions = spark.range(n).select((F.col("id") % 2000).alias("file_id"), F.floor(F.col("id") / 2000).cast("int").alias("pos"), F.col("id").cast("string").alias("number"), F.lit("choice").alias("type"), F.when(F.col("id") == 777, "odd one").otherwise(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 6)).alias("answer"), F.repeat(F.md5(F.col("id").cast("string").cast("binary")), 30).alias("stem"))
+    files = spark.range(2000).select(F.col("id").alias("file_id"), (F.col("id") % 7).cast("string").alias("category"), (F.col("id") % 9).alias("year"), F.lit("s").alias("subject"))
+    index = layout.write_layout(files, questions, buckets=4, block_bytes=256 << 10)
+    try:
+        joined = index.questions.join(index.files, "file_id").where("category = '3'")
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined.explain("formatted")
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+        assert joined.count() == questions.join(files, "file_id").where("category = '3'").count()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+        whole = read_bytes(spark, index.questions.where("length(stem) > 5"))
+        one = read_bytes(spark, index.questions.where("answer = 'odd one' and length(stem) > 5"))
+        spark.conf.unset("parquet.hadoop.vectored.io.enabled")
+        assert whole[0] == n and one[0] == 1 and one[1] < whole[1] / 4, (whole, one)
+    finally:
+        index.drop()
