@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.corpus import dense_ids
+from ..sources.scratch import saved
 
 
 def fill_from_key(rows: DataFrame, key: DataFrame, on: list[str], value: str, overwrite: bool = False) -> DataFrame:
@@ -55,11 +61,50 @@ def pairs_within(df: DataFrame, on: list[str], key: str) -> DataFrame:
     return left.join(right, on).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
 
 
-def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, on: list[str], order: str) -> DataFrame:
-    """JOI-11: for each left id the right id with most shared keys; the first in order on ties."""
-    shared = left.select(left_id, *on).distinct().join(right.select(right_id, order, *on).distinct(), on).groupBy(left_id, right_id, order).agg(F.count("*").alias("shared"))
-    best = F.min(F.struct((-F.col("shared")).alias("lost"), F.col(order).alias("order"), F.col(right_id).alias("right"))).alias("best")  # combines before the shuffle
-    return shared.groupBy(left_id).agg(best).select(left_id, F.col("best.right").alias(right_id), (-F.col("best.lost")).alias("shared"))
+#: Ids of one key that travel as one list; a key with more has several lists.
+SLICE_IDS = 4096
+#: Ids that one left id may meet to be counted in one place; beyond it Spark counts its pairs.
+MET_IDS = 1_000_000
+
+
+@F.pandas_udf(T.StructType([T.StructField("code", T.LongType()), T.StructField("shared", T.LongType())]))
+def _commonest(lists: pd.Series) -> pd.DataFrame:
+    """The commonest of the codes of each row, the least of equally common ones."""
+    best = []
+    for codes in lists:
+        code, n = np.unique(codes, return_counts=True)
+        i = int(n.argmax())
+        best.append((int(code[i]), int(n[i])))
+    return pd.DataFrame(best, columns=["code", "shared"])
+
+
+def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, on: list[str], order: str, slice_ids: int = SLICE_IDS, met_ids: int = MET_IDS) -> DataFrame:
+    """JOI-11: for each left id the right id with most shared keys; the first in order on ties.
+
+    The right ids of a key travel as a list (by their number in the order), and a left id counts the
+    lists that it meets, so no row is made for a pair.  A key with more than ``slice_ids`` ids has its
+    list cut by a hash of the id; a left id that meets more than ``met_ids`` is counted pair by pair
+    in an aggregate instead, so no task holds an unbounded list.
+    """
+    lefts = left.select(left_id, *on).distinct()
+    pairs = saved(right.select(right_id, F.col(order).alias("_order"), *on).distinct(), "pairs")
+    codes = saved(dense_ids(pairs.select(right_id, "_order").distinct(), "_code", "_order", right_id), "codes")
+    coded = pairs.join(codes, [right_id, "_order"]).select(*on, "_code")
+    sizes = saved(pairs.groupBy(*on).agg(F.count("*").alias("_n")), "sizes")
+    wide = sizes.where(F.col("_n") > slice_ids)
+    cut = F.pmod(F.xxhash64("_code"), F.ceil(F.col("_n") / slice_ids)) if wide.limit(1).count() else F.lit(0)
+    coded = coded.join(wide, on, "left") if wide.limit(1).count() else coded
+    lists = saved(coded.withColumn("_slice", F.coalesce(cut, F.lit(0))).groupBy(*on, "_slice").agg(F.collect_list("_code").alias("_codes")), "lists")
+    met = lefts.join(sizes, on).groupBy(left_id).agg(F.sum("_n").alias("_met"))
+    busy = saved(met.where(F.col("_met") > met_ids).select(left_id), "busy")
+    calm = lefts.join(busy, left_id, "left_anti") if busy.limit(1).count() else lefts
+    best = calm.join(lists, on).groupBy(left_id).agg(F.flatten(F.collect_list("_codes")).alias("_all")).select(left_id, _commonest("_all").alias("_best"))
+    best = best.select(left_id, F.col("_best.code").alias("_code"), F.col("_best.shared").alias("shared"))
+    if busy.limit(1).count():
+        counted = lefts.join(busy, left_id, "left_semi").join(lists, on).select(left_id, F.explode("_codes").alias("_code")).groupBy(left_id, "_code").agg(F.count("*").alias("shared"))
+        first = counted.groupBy(left_id).agg(F.min(F.struct((-F.col("shared")).alias("lost"), "_code")).alias("_best"))  # combines before the shuffle
+        best = best.unionByName(first.select(left_id, F.col("_best._code").alias("_code"), (-F.col("_best.lost")).alias("shared")))
+    return best.join(codes.select("_code", right_id), "_code").select(left_id, right_id, "shared")
 
 
 def side_by_side(left: DataFrame, right: DataFrame, on: list[str], value: str, keep_missing: bool = False) -> DataFrame:

@@ -191,3 +191,30 @@ def test_median_of_a_large_group(spark):
     rows = spark.range(0, n, 1, 8).select(F.lit("g").alias("g"), (F.col("id") * 7919 % n).alias("v"), (F.col("id") * 7919 % n / 3).alias("d"))
     assert reports.upper_median(rows, "g", "v").first().upper_median == n // 2
     assert reports.upper_median(rows, "g", "d").first().upper_median == pytest.approx(n // 2 / 3)
+
+
+@pytest.mark.parametrize("options", [{}, {"slice_ids": 3}, {"met_ids": 20}, {"slice_ids": 2, "met_ids": 0}])
+def test_best_matches_with_hot_keys(spark, options):
+    """A key that all ids share, ids with very many keys, ties, string ids and an order of its own."""
+    import random
+    from collections import Counter
+
+    from stemquarry.operators import joins
+
+    r = random.Random(6)
+    left = [(f"l{i}", f"k{r.randrange(40)}") for i in range(60) for _ in range(r.randint(1, 6))] + [(f"l{i}", "hot") for i in range(0, 60, 2)] + [("busy", f"k{k}") for k in range(40)] + [("alone", "none"), (None, "k1"), ("l1", None)]
+    right = [(f"r{i}", f"k{r.randrange(40)}") for i in range(30) for _ in range(r.randint(1, 12))] + [(f"r{i}", "hot") for i in range(30)] + [("r9", None)]
+    rank = {f"r{i}": i * 7 % 30 for i in range(30)}
+    a, b = spark.createDataFrame(left * 2, "a string, k string"), spark.createDataFrame([(x, rank[x], k) for x, k in right], "b string, place int, k string")
+    got = {x.a: (x.b, x.shared) for x in joins.best_match(a, b, "a", "b", ["k"], "place", **options).where("a is not null").collect()}
+    keys = {}
+    for x, k in set(right):
+        if k is not None:
+            keys.setdefault(k, []).append(x)
+    want = {}
+    for x in {x for x, _ in left if x is not None}:
+        n = Counter(y for k in {k for z, k in left if z == x} for y in keys.get(k, ()))
+        if n:
+            y = min(n, key=lambda y: (-n[y], rank[y]))
+            want[x] = (y, n[y])
+    assert got == want
