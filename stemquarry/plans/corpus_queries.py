@@ -161,7 +161,8 @@ def answer_key_lines(t):
     return parsers.answers_of(lines, "conv_id")
 
 
-@query()
+@query("""select user_id doc, cast(event_id % 40 >= 20 as integer) "column", cast(dense_rank() over (partition by user_id, event_id % 40 >= 20 order by event_id // 40) - 1 as integer) line, string_agg(substr(event_type, 1, 1), '' order by event_id % 40) "text"
+    from events group by user_id, event_id % 40 >= 20, event_id // 40""")
 def two_column_lines(t):
     """GEN-07: characters of a two-column page to lines."""
     e = t("events").select(F.col("user_id").alias("doc"), (F.col("event_id") % 40).cast("double").alias("x"), (F.floor(F.col("event_id") / 40) * 10).cast("double").alias("y"), F.substring("event_type", 1, 1).alias("text"))

@@ -10,6 +10,7 @@ from ..operators import client, compare, dictionary, parsers, repairs, rules
 from ..sources import pages as pg
 from ..sources import tables
 from .base import query
+from .fixtures import quoted
 
 
 @query("select doc_id, regexp_replace(lower(translate(text, '，。；：？！（）', ',.;:?!()')), '\\s+', '', 'g') k from documents")
@@ -149,7 +150,11 @@ def html_links(t):
     return t("pages").select("page_id", F.explode(pg.links(F.col("html"))).alias("href"))
 
 
-@query()
+_ENTITIES = {"quot": '"', "middot": "·", "copy": "©", "lt": "<", "gt": ">", "nbsp": "\u00a0", "#39": "\x27", "amp": "&"}
+_BARE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '(?i)<(?:p|div|li|br|h1|h2|h3|article|footer|nav)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"""
+
+
+@query(f"""select page_id, regexp_replace(regexp_replace(x, '\\n{{2,}}', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') "text" from (select page_id, {"".join("replace(" for _ in _ENTITIES)}{_BARE_SQL}{"".join(f", '&{k};', {quoted(v)})" for k, v in _ENTITIES.items())} x from pages)""")
 def html_text(t):
     """SRC-12: visible text."""
     return t("pages").select("page_id", udfs.visible_text("html").alias("text"))

@@ -12,7 +12,7 @@ from stemquarry.functions import udfs
 from stemquarry.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-PLAIN = {"norm_compare", "edit_steps", "anchored_similarity", "two_column_lines", "html_text", "segmented_words", "merged_fragments"}
+PLAIN = {"norm_compare", "edit_steps", "anchored_similarity", "segmented_words", "merged_fragments"}
 
 
 @pytest.fixture(scope="module")
