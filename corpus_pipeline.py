@@ -34,9 +34,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by shingle-set Jaccard 0.8: the smallest id.
 
-    Rows that share an id are a group too, of which the row with the least text stays (then the least
-    row as JSON).  Documents without words, which are linked with nothing, stay; so does a null id.
-    An empty table gives no rows.  All columns stay as they are, of any name and type.
+    Rows of one id are one document: they stay or go together.  Of rows that share an id and a text one
+    stays (the least as JSON); different texts of an id that stays all stay with it.  Documents without
+    words, which are linked with nothing, stay; so does a null id.  An empty table gives no rows.  All
+    columns stay as they are, of any name and type.
     """
     scratch = Scratch(spark, "near-duplicates")
     groups = scratch.save(jaccard_components(docs), "groups")
@@ -47,7 +48,7 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not n_repeated:
         return kept
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    firsts = only_ids(kept, repeated, n_repeated).groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("row")).select("row.*")
+    firsts = only_ids(kept, repeated, n_repeated).groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
     return except_ids(kept, repeated, n_repeated).unionByName(firsts.select(docs.columns))
 
 

@@ -87,6 +87,13 @@ def test_repeated_ids_leave_one_row(spark):
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, None]
 
 
+def test_texts_that_share_an_id_are_not_lost(spark):
+    texts = ["a b c d e f", "quite another text of one id", "a b c d e f", None]
+    docs = spark.createDataFrame([(1, t, "en", "s", 1) for t in texts] + [(2, "quite another text of one id", "en", "s", 1), (2, "and one more text of two", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.keep_first_copies(spark, docs, SF)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted({(1, t) for t in texts}, key=str)
+
+
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "password = abcdefghijklmnop"), (6, " ".join(f"w{i % 4999}" for i in range(30_000))), (6, "short"), (7, "one two"), (None, "null id")]
 
 
@@ -102,7 +109,7 @@ def test_stages_on_odd_tables(spark, number):
     assert name == "packing" or out.columns == docs.columns
     ids = [r.doc_id for r in rows]
     if name == "near_duplicates":
-        assert sorted(ids, key=str) == [1, 2, 3, 4, 5, 6, None] and all(r._place == {"a": 1} and r.key == "own" for r in rows)
+        assert sorted(ids, key=str) == [1, 2, 3, 4, 5, 6, 6, None] and all(r._place == {"a": 1} and r.key == "own" for r in rows)
     elif name != "quality":
         assert set(ids) == {i for i, _ in ODD}
     texts = {r.doc_id: r.text for r in rows if name not in ("quality", "packing")}
