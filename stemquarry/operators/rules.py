@@ -63,7 +63,13 @@ HEADERS = {
     "page": r"第\s*\d+\s*頁",
     "of_pages": r"共\s*\d+\s*頁",
     "exam_kind": r"考試別\s*[:：]",
-    "turn": r"請接背面|請翻頁|請翻面繼續作答|背面尚有試題|背面尚有題目|背面還有題目|背面還有試題",
+    "turn_over": "請接背面",
+    "turn_page": "請翻頁",
+    "turn_and_go_on": "請翻面繼續作答",
+    "more_papers_behind": "背面尚有試題",
+    "more_items_behind": "背面尚有題目",
+    "items_are_behind": "背面還有題目",
+    "papers_are_behind": "背面還有試題",
     "blank_page": r"以[下上]空白",
     "dashed_page": r"-\s*\d+\s*-",
 }
@@ -73,15 +79,19 @@ INSTRUCTIONS = {
     "no_calculator": "禁止使用電子計算器",
     "calculator": "可以使用電子計算器",
     "pencil": r"2B\s*鉛筆",
-    "not_counted": "不予計分",
+    "answered_here": "於本試題上作答者.*不予計分",
     "choose_one": r"請選出一個正確或最適當的?答案",
+    "several_chosen": "複選作答者.*該題不予計分",
+    "pencil_needed": "須用2B鉛筆",
     "mark_card": "在試卡上依題號清楚劃記",
     "pen": "藍、?黑色鋼筆或原子筆",
     "no_name": "不得於試卷上書寫姓名",
-    "ticket": "入場證號|准考證號碼",
+    "ticket": "入場證號",
+    "admission": "准考證號碼",
     "single_choice": "本試題為單一選擇題",
-    "note": r"注意\s*[：:]",
-    "part": "申論題部分|測驗題部分",
+    "note": "注意.*[：:]",
+    "essay_part": "申論題部分",
+    "choice_part": "測驗題部分",
 }
 # Characters and marks that decoding leaves behind.
 ENCODING = {

@@ -40,11 +40,11 @@ def family(name: str, doc: str, tables: list[tuple[str, dict[str, str], str, boo
 
 
 family("rule_headers", "DET-05..10: header and page residue.", [("header", rules.HEADERS, "major", False)], [
-    "代 號：123", "頁次：3", "座 號", "等 別：三等", "類 科：資訊", "科 目：英文", "考試時間：2小時", "全三頁", "第 3 頁 共 4 頁", "考試別：特考", "請翻頁", "背面尚有試題", "以下空白", "- 12 -",
+    "代 號：123", "頁次：3", "座 號", "等 別：三等", "類 科：資訊", "科 目：英文", "考試時間：2小時", "全三頁", "第 3 頁 共 4 頁", "考試別：特考", "請翻頁", "請接背面", "請翻面繼續作答", "背面尚有試題", "背面尚有題目", "背面還有題目", "背面還有試題", "以下空白", "- 12 -",
     "代號", "頁次", "座位", "第三章頁", "全頁", "12", "",
 ], True)
 family("rule_instructions", "DET-10: instructions inside texts.", [("instruction", rules.INSTRUCTIONS, "major", False)], [
-    "不必抄題", "申論試卷", "禁止使用電子計算器", "可以使用電子計算器", "2B 鉛筆", "不予計分", "請選出一個正確或最適當的答案", "請選出一個正確或最適當答案", "在試卡上依題號清楚劃記", "藍、黑色鋼筆或原子筆", "藍黑色鋼筆或原子筆",
+    "不必抄題", "申論試卷", "禁止使用電子計算器", "可以使用電子計算器", "2B 鉛筆", "不予計分", "於本試題上作答者，不予計分", "複選作答者，該題不予計分", "須用2B鉛筆", "注意事項：", "申論題部分", "請選出一個正確或最適當的答案", "請選出一個正確或最適當答案", "在試卡上依題號清楚劃記", "藍、黑色鋼筆或原子筆", "藍黑色鋼筆或原子筆",
     "不得於試卷上書寫姓名", "入場證號", "准考證號碼", "本試題為單一選擇題", "注意 ：", "測驗題部分", "2B", "注意", "試卡", "電子計算器", "",
 ], True)
 family("rule_encoding", "DET-05, 06, 11, 12: what decoding leaves behind.", [("encoding", rules.ENCODING, "major", False)], [
