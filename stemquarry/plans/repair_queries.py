@@ -529,7 +529,7 @@ def figure_assignment(t):
     c = t("conversations")
     essay = F.col("role") == "assistant"
     q = c.select("conv_id", F.col("turn").alias("pos"), F.when(essay, "essay").otherwise("choice").alias("type"), (F.col("turn") + 1).cast("string").alias("number"), F.when(F.col("turn") % 3 == 1, "無圖").otherwise(pick(["如圖一所示", "見附圖", "如下圖"], F.col("turn"))).alias("stem"))
-    images = c.where("conv_id % 3 = 0 or turn = 0").select("conv_id", (F.col("turn") * 10).alias("image")).where("conv_id % 3 = 0 or conv_id % 5 = 0").where("conv_id % 3 = 0 or false")
+    images = c.where("conv_id % 3 = 0").select("conv_id", (F.col("turn") * 10).alias("image"))
     page = F.explode(F.sequence(F.lit(0), F.lit(3)))
     pages = c.select("conv_id").distinct().select("conv_id", page.alias("page")).withColumn("text", F.when((F.col("page") == 1) & (F.col("conv_id") % 2 == 0), "3 圖").otherwise("none"))
     return parsers.assigned_figures(q, images, pages, "conv_id")
@@ -665,10 +665,10 @@ def key_files(t):
     return tables.read_answer_key(spark, path).select("number", "answer")
 
 
-@query("""with c as (select conv_id, turn, role, text, md5(cast(conv_id as varchar)) id from conversations) select conv_id, count(*) questions, count(*) filter (where role = 'user') choice from c where conv_id % 2 = 0 group by 1""")
+@query("""with c as (select conv_id, turn, role, text, md5(cast(conv_id as varchar)) id from conversations) select conv_id, count(*) questions, count(*) filter (where role = 'user') choice from c group by 1""")
 def arriving_papers(t):
     """New papers of a stream, checked row by row: here a batch of JSON papers, counted by kind."""
-    c = t("conversations").where("conv_id % 2 = 0")
+    c = t("conversations")
     one = F.struct((F.col("turn") + 1).cast("int").alias("number"), F.when(F.col("role") == "user", "choice").otherwise("essay").alias("type"), F.col("text").alias("stem"))
     papers = c.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(one).alias("questions"))).alias("raw"))
     items = papers.withColumn("doc", F.try_parse_json("raw")).select("conv_id", F.explode(F.try_variant_get("doc", "$.questions", "array<variant>")).alias("q")).select("conv_id", *corpus.question_columns(F.col("q")))
