@@ -178,9 +178,9 @@ def dictionary_ranks(data: np.ndarray, ends: np.ndarray, size: int) -> np.ndarra
     known = 7
     while known < size:
         step = min(known, size - known)
-        # Suffixes of up to ``known`` bytes that are equal so far are equal for good.
+        # Suffixes of fewer than ``known`` bytes that are equal so far are equal for good.
         behind = np.where(left > step, rank[np.minimum(np.arange(data.size) + step, data.size - 1)] + 1, 0)
-        rank, known = _refined(rank, behind, np.flatnonzero(left > known)), known + step
+        rank, known = _refined(rank, behind, np.flatnonzero(left >= known)), known + step
     return rank
 
 

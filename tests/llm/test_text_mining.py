@@ -298,6 +298,29 @@ def test_corpus_order_equals_brute_force():
         assert got.tolist() == [seen[t[k : k + size]] > 1 for t in texts for k in range(len(t) - size + 1)]
 
 
+def test_dictionary_ranks_equal_sorting():
+    """Also suffixes of just as many bytes as a level knows (7, 14, 28), which begin longer ones."""
+    r = random.Random(7)
+    for size in (9, 30, 100):
+        phrases = ["".join(r.choice("ab") for _ in range(n)).encode() for n in [*range(1, 40), 7, 14, 28, 7, 14, 28] * 3]
+        data, ends = np.frombuffer(b"".join(phrases), np.uint8), np.repeat(np.cumsum([len(p) for p in phrases]), [len(p) for p in phrases])
+        got = suffix_dedup.dictionary_ranks(data, ends, size)
+        suffixes = [p[k:][:size] for p in phrases for k in range(len(p))]
+        smaller = {x: sum(y < x for y in suffixes) for x in set(suffixes)}
+        assert got.tolist() == [smaller[x] for x in suffixes]
+
+
+def test_rows_of_a_shard_in_any_order():
+    """A periodic text: each order of its segments gives the same windows."""
+    from itertools import permutations
+
+    r = random.Random(3)
+    text = ("".join(r.choice("abcdefgh ") for _ in range(262)) * 5).encode()
+    for some in permutations([(0, 5, 1), (5, 262, 3), (791, 119, 1)]):
+        windows, weight = np.array([n for _, n, _ in some]), np.array([w for *_, w in some])
+        assert suffix_dedup.repeated_windows([text[a : a + n + 399] for a, n, _ in some], windows, weight, 400, 12, 40).all()
+
+
 def test_pieces_of_a_long_text_hold_all_its_windows(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 50)
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["abcdefghij" * 37, "short"])], names=["doc_id", "text"])
